@@ -31,7 +31,7 @@ _BLOCK = "__block"
 
 
 def block_of(pos: str, block: int) -> Column:
-    return F.floor(F.col(pos) / block).cast("long")
+    return F.expr(f"`{pos}` div {block}")
 
 
 def neighbour_window(
@@ -66,9 +66,11 @@ def running(
     sums: dict[str, Column] | None = None,
     latest: dict[str, Column] | None = None,
     *,
+    ties: Sequence[str] = (),
     block: int = WINDOW_BLOCK,
 ) -> DataFrame:
-    """Running sums, and "largest value so far" columns, over ``pos`` within each key (both inclusive)."""
+    """Running sums, and "largest value so far" columns, over ``pos`` within each key (both inclusive).
+    ``ties`` orders rows of equal position."""
     sums, latest = sums or {}, latest or {}
     blocked = df.withColumn(_BLOCK, block_of(pos, block)).withColumns(
         {**{f"__v_{n}": c for n, c in sums.items()}, **{f"__v_{n}": c for n, c in latest.items()}}
@@ -84,7 +86,7 @@ def running(
         *[F.coalesce(F.sum(f"__t_{n}").over(before), F.lit(0)).alias(f"__o_{n}") for n in sums],
         *[F.max(f"__t_{n}").over(before).alias(f"__o_{n}") for n in latest],
     )
-    inside = Window.partitionBy(*keys, _BLOCK).orderBy(pos).rowsBetween(Window.unboundedPreceding, 0)
+    inside = Window.partitionBy(*keys, _BLOCK).orderBy(pos, *ties).rowsBetween(Window.unboundedPreceding, 0)
     joined = blocked.join(offsets, [*keys, _BLOCK])
     return joined.withColumns(
         {
@@ -94,9 +96,11 @@ def running(
     ).drop(_BLOCK, *[f"__v_{n}" for n in [*sums, *latest]], *[f"__o_{n}" for n in [*sums, *latest]])
 
 
-def dense_position(df: DataFrame, keys: Sequence[str], order: str, out: str, *, block: int = WINDOW_BLOCK) -> DataFrame:
-    """0-based dense position of the rows of a key along an increasing, unique integer column."""
-    return running(df, keys, order, sums={out: F.lit(1)}, block=block).withColumn(out, F.col(out) - 1)
+def dense_position(
+    df: DataFrame, keys: Sequence[str], order: str, out: str, *, ties: Sequence[str] = (), block: int = WINDOW_BLOCK
+) -> DataFrame:
+    """0-based dense position of the rows of a key along an integer column (then ``ties``)."""
+    return running(df, keys, order, sums={out: F.lit(1)}, ties=ties, block=block).withColumn(out, F.col(out) - 1)
 
 
 NextStart = Callable[[dict[str, list], int, int], int]
@@ -111,14 +115,17 @@ def bounded_greedy(
     *,
     reach: int,
     block: int = GREEDY_BLOCK,
+    stored: bool = False,
 ) -> DataFrame:
     """Greedy grouping of a dense sequence; returns (keys, pos, group) with groups numbered from 0.
 
     ``next_start(cols, i, n)`` gets the rows' column arrays and says where the group after the one
     starting at row ``i`` starts (``i < j <= n``); it looks at no more than ``reach`` rows, and gives
-    -1 when it ran out of rows undecided. Only the narrow columns travel to Python.
+    -1 when it ran out of rows undecided. Only the narrow columns travel to Python. ``stored`` says the
+    input is a stored table already, and need not be written once more.
     """
-    narrow = materialise(df.select(*keys, pos, *columns))
+    narrow = df.select(*keys, pos, *columns)
+    narrow = narrow if stored else materialise(narrow)
     fields = {f.name: f.dataType for f in narrow.schema.fields}
     key_fields = [T.StructField(k, fields[k]) for k in keys]
     row_type = T.StructType([*key_fields, T.StructField(pos, T.LongType()), T.StructField("group", T.LongType())])

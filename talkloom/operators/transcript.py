@@ -15,6 +15,7 @@ from talkloom.functions import text as tx
 from talkloom.functions import times as tm
 from talkloom.functions.fields import alternative_ms, first_present
 from talkloom.operators import sequence as seq
+from talkloom.session import materialise
 
 VIDEO = ["video_id"]
 
@@ -209,7 +210,7 @@ def boundary_features(tokens: DataFrame, limits: SegmentLimits = DEFAULTS.segmen
 def transcript_atoms(tokens: DataFrame, limits: SegmentLimits = DEFAULTS.segment) -> DataFrame:
     """The smallest pieces a unit is made of: token runs between two places where a unit could end or
     the speaker identity changes. Pre-aggregating to atoms keeps the greedy step narrow."""
-    features = boundary_features(tokens, limits)
+    features = materialise(boundary_features(tokens, limits))
     ends_atom = (
         F.col("hard_reason").isNotNull() | F.col("is_clause") | F.col("is_safe") | F.coalesce("identity_ends", F.lit(True))
     )
@@ -282,15 +283,16 @@ def transcript_units(
 
     Trailing blank tokens belong to the unit on their left (end_pos reaches to the next content token).
     """
-    atoms = transcript_atoms(tokens, limits)
+    atoms = materialise(transcript_atoms(tokens, limits).withColumn("hard", F.col("hard_reason").isNotNull()))
     grouped = seq.bounded_greedy(
-        atoms.withColumn("hard", F.col("hard_reason").isNotNull()),
+        atoms,
         VIDEO,
         "atom",
         ["start_ms", "end_ms", "words_before", "words_after", "hard", "is_clause", "is_safe"],
         _next_unit(limits),
         reach=reach,
         block=block,
+        stored=True,
     )
     totals = tokens.groupBy("video_id").agg(F.max("pos").alias("video_last_pos"), F.max_by("end_ms", "pos").alias("video_end_ms"))
     first = F.struct("first_c", "start_pos", "start_ms", "words_before", "first_starts_word")

@@ -45,7 +45,7 @@ claims AS (
     (['rule','recommendation','warning','definition','example','exception'])[(length(lang) + ascii(lang)) % 6 + 1] AS claim_type,
     lang AS subject, text AS claim, substring(text, 1, 80) AS rationale, CAST([] AS VARCHAR[]) AS conditions,
     [lang] AS applies_to, CAST([] AS VARCHAR[]) AS avoid, [source] AS prefer,
-    list_filter(string_split(text, chr(10))[1:6], x -> x <> '') AS evidence, [lang, source] AS topics,
+    list_filter(string_split(text, chr(10))[1:6], lambda x: x <> '') AS evidence, [lang, source] AS topics,
     CASE WHEN n_chars > 2000 THEN 'high' WHEN n_chars > 500 THEN 'medium' ELSE 'low' END AS confidence,
     (doc_id % 50) * 1000 AS start_ms
   FROM documents)"""

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-AREAS = ["speech"]
+AREAS = ["speech", "scenes"]
 
 
 def registered() -> dict[str, tuple]:

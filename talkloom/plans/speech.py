@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from talkloom.operators import transcript as tr
 from talkloom.plans import inputs
 from talkloom.plans import oracle_inputs as oi
+from talkloom.session import materialise
 
 BASE = oi.with_ctes(oi.TOKENS, oi.SPEAKERS).rstrip() + " "
 
@@ -141,9 +142,13 @@ UNIT_BOUNDARIES = FEATURES_SQL + (
 )
 
 
-def _units(spark, sf_dir):
+def _tokens_with_roles(spark, sf_dir):
     toks = inputs.tokens(spark, sf_dir)
-    return tr.transcript_units(tr.attach_roles(toks, tr.speaker_profiles(toks)))
+    return materialise(tr.attach_roles(toks, tr.speaker_profiles(toks)))
+
+
+def _units(spark, sf_dir):
+    return tr.transcript_units(_tokens_with_roles(spark, sf_dir))
 
 
 def transcript_units(spark, sf_dir):
@@ -225,6 +230,192 @@ SEGMENTS_PROPOSED = SEGWALK_CTE + (
 )
 
 
+def _test_ranges(units: DataFrame) -> DataFrame:
+    """Ranges of twelve units with planted faults: shifted starts and ends beyond the last unit."""
+    k = F.floor((F.col("unit_index") - 1) / 12)
+    return units.groupBy("video_id", (k + 1).alias("segment_index")).agg(
+        F.min("unit_index").alias("a"), F.max("unit_index").alias("b")
+    ).select(
+        "video_id",
+        "segment_index",
+        (F.col("a") + (F.col("segment_index") % 9 == 0).cast("long")).alias("unit_start_index"),
+        (F.col("b") + F.when((F.col("video_id") % 5 == 0) & (F.col("b") % 12 != 0), 3).otherwise(0)).alias("unit_end_index"),
+    )
+
+
+def segment_range_errors(spark, sf_dir):
+    units = materialise(_units(spark, sf_dir))
+    return tr.segment_range_errors(_test_ranges(units), units)
+
+
+UN_CTE = UNITS_CTE.rstrip() + """,
+un AS (SELECT *, boundary_reason IN ('end', 'speaker_change') OR last_safe AS can_end, boundary_reason IN ('end', 'speaker_change') AS must_end FROM units)
+"""
+RANGES_CTE = UN_CTE.rstrip() + r""",
+rng AS (SELECT video_id, segment_index, a + CASE WHEN segment_index % 9 = 0 THEN 1 ELSE 0 END AS s,
+    b + CASE WHEN video_id % 5 = 0 AND b % 12 <> 0 THEN 3 ELSE 0 END AS e
+  FROM (SELECT video_id, (unit_index - 1) // 12 + 1 AS segment_index, min(unit_index) AS a, max(unit_index) AS b FROM un GROUP BY 1, 2)),
+cnt AS (SELECT video_id, max(unit_index) AS n FROM un GROUP BY 1),
+con AS (SELECT r.video_id, r.segment_index, min(u.start_ms) AS start_ms, max(u.end_ms) AS end_ms,
+    sum(u.word_count - CASE WHEN u.unit_index = r.s OR u.fsw = 1 THEN 0 ELSE 1 END) AS words,
+    sum(len(regexp_extract_all(u.text, '[.!?…]+'))) AS sentences, count(DISTINCT u.speaker) AS speakers,
+    bool_or(u.must_end AND u.unit_index < r.e) AS crosses, bool_or(u.can_end) FILTER (u.unit_index = r.e) AS safe_end
+  FROM rng r JOIN cnt c ON c.video_id = r.video_id AND r.e <= c.n
+  JOIN un u ON u.video_id = r.video_id AND u.unit_index BETWEEN r.s AND r.e GROUP BY 1, 2),
+chk AS (SELECT r.*, c.n, k.start_ms, k.end_ms, k.words, k.sentences, k.speakers, k.crosses, k.safe_end, k.start_ms IS NOT NULL AS ok,
+    lag(r.e) OVER (PARTITION BY r.video_id ORDER BY r.segment_index) AS pe
+  FROM rng r JOIN cnt c USING (video_id) LEFT JOIN con k ON k.video_id = r.video_id AND k.segment_index = r.segment_index),
+err AS (
+  SELECT video_id, segment_index, 'non_contiguous_ranges' AS code FROM chk WHERE s <> coalesce(pe, 0) + 1
+  UNION ALL SELECT video_id, segment_index, 'unit_range_invalid' FROM chk WHERE NOT ok
+  UNION ALL SELECT video_id, segment_index, 'duration_exceeded' FROM chk WHERE ok AND end_ms - start_ms > 60250
+  UNION ALL SELECT video_id, segment_index, 'duration_too_short' FROM chk WHERE ok AND speakers = 0 AND end_ms - start_ms < 4750
+  UNION ALL SELECT video_id, segment_index, 'words_exceeded' FROM chk WHERE ok AND words > 150
+  UNION ALL SELECT video_id, segment_index, 'too_dense' FROM chk WHERE ok AND end_ms - start_ms > 40000 AND words >= 90 AND sentences >= 4
+  UNION ALL SELECT video_id, segment_index, 'mixed_speakers' FROM chk WHERE ok AND speakers > 1
+  UNION ALL SELECT video_id, segment_index, 'crossed_must_boundary' FROM chk WHERE ok AND crosses
+  UNION ALL SELECT video_id, segment_index, 'unsafe_unit_boundary' FROM chk WHERE ok AND e < n AND NOT safe_end
+  UNION ALL SELECT video_id, 0, 'incomplete_coverage' FROM (SELECT video_id, arg_max(e, segment_index) AS reached, any_value(n) AS n FROM chk GROUP BY 1) WHERE reached <> n)
+"""
+SEGMENT_RANGE_ERRORS = RANGES_CTE + "SELECT video_id, CAST(segment_index AS BIGINT) AS segment_index, code FROM err"
+
+
+def segment_error_causes(spark, sf_dir):
+    return tr.error_causes(segment_range_errors(spark, sf_dir))
+
+
+SEGMENT_ERROR_CAUSES = RANGES_CTE + (
+    "SELECT CASE WHEN code IN ('duration_exceeded', 'duration_too_short', 'words_exceeded') THEN 'limits' "
+    "WHEN code IN ('too_dense', 'unsafe_unit_boundary') THEN 'semantic_boundary' "
+    "WHEN code IN ('mixed_speakers', 'crossed_must_boundary') THEN 'speakers' ELSE 'shape' END AS cause, code, count(*) AS errors FROM err GROUP BY 1, 2"
+)
+
+
+def _segments(spark, sf_dir):
+    units = materialise(_units(spark, sf_dir))
+    return units, tr.build_segments(tr.propose_segments(units), units)
+
+
+def speech_segments(spark, sf_dir):
+    _, segments = _segments(spark, sf_dir)
+    return segments.select(
+        "video_id", "seg", "segment_id", "start_ms", "end_ms", "start_pos", "end_pos", "tokens_count", "words", "text",
+        "speaker", "speaker_role", "timestamp_url",
+    )
+
+
+def half_even(ms: str) -> str:
+    return f"({ms} // 1000 + CASE WHEN {ms} % 1000 > 500 OR ({ms} % 1000 = 500 AND ({ms} // 1000) % 2 = 1) THEN 1 ELSE 0 END)"
+
+
+SPEECH_SEGMENTS = SEGWALK_CTE.rstrip() + rf""",
+built AS (SELECT w.video_id, CAST(w.segment_index - 1 AS BIGINT) AS seg, min(u.start_ms) AS start_ms, max(u.end_ms) AS end_ms, min(u.start_pos) AS start_pos,
+    max(u.end_pos) AS end_pos, CAST(sum(u.word_count - CASE WHEN u.unit_index = w.i OR u.fsw = 1 THEN 0 ELSE 1 END) AS BIGINT) AS words,
+    any_value(u.speaker) AS speaker, any_value(u.speaker_role) AS speaker_role
+  FROM segwalk w JOIN un u ON u.video_id = w.video_id AND u.unit_index BETWEEN w.i AND w.j - 1 GROUP BY 1, 2),
+txt AS (SELECT b.video_id, b.seg, trim(regexp_replace(string_agg(t.text, '' ORDER BY t.pos), '\s+', ' ', 'g')) AS text
+  FROM built b JOIN tok t ON t.video_id = b.video_id AND t.pos BETWEEN b.start_pos AND b.end_pos GROUP BY 1, 2)
+SELECT video_id, seg, printf('%d_s_%06d_%06d', video_id, {half_even('start_ms')}, {half_even('end_ms')}) AS segment_id, start_ms, end_ms, start_pos, end_pos,
+  end_pos - start_pos + 1 AS tokens_count, words, text, speaker, speaker_role,
+  'https://www.youtube.com/watch?v=' || video_id || '&t=' || (start_ms // 1000) || 's' AS timestamp_url
+FROM built JOIN txt USING (video_id, seg)"""
+
+
+def segment_validation(spark, sf_dir):
+    """Every check on the segments this library builds itself; sound segments give no rows but
+    the counted ones, so the number of checked segments is reported next to the violations."""
+    tokens = _tokens_with_roles(spark, sf_dir)
+    units = materialise(tr.transcript_units(tokens))
+    ranges = materialise(tr.propose_segments(units))
+    segments = materialise(tr.build_segments(ranges, units))
+    broken = tr.segment_violations(segments, units, tokens).groupBy("code").agg(F.count("*").alias("rows"))
+    shape = (
+        tr.segment_range_errors(ranges, units)
+        .where(F.col("code").isin("non_contiguous_ranges", "unit_range_invalid", "incomplete_coverage", "crossed_must_boundary", "mixed_speakers"))
+        .groupBy("code").agg(F.count("*").alias("rows"))
+    )
+    mapped = tr.segment_unit_ranges(segments, units).agg(F.lit("segments_on_unit_edges").alias("code"), F.count("*").alias("rows"))
+    return broken.unionByName(shape).unionByName(mapped)
+
+
+SEGMENT_VALIDATION = SEGWALK_CTE.rstrip() + """,
+ids AS (SELECT w.video_id, w.segment_index, min(u.start_ms) AS s, max(u.end_ms) AS e, arg_max(u.can_end, u.unit_index) AS can_end, arg_max(u.must_end, u.unit_index) AS m
+  FROM segwalk w JOIN un u ON u.video_id = w.video_id AND u.unit_index BETWEEN w.i AND w.j - 1 GROUP BY 1, 2)
+SELECT 'segments_on_unit_edges' AS code, count(*) AS rows FROM ids
+UNION ALL SELECT 'ends_at_unsafe_boundary', count(*) FROM ids WHERE NOT can_end HAVING count(*) > 0
+UNION ALL SELECT 'duplicate_segment_id', count(*) FROM (SELECT video_id, """ + half_even("s") + " AS a, " + half_even("e") + """ AS b FROM ids GROUP BY 1, 2, 3 HAVING count(*) > 1) HAVING count(*) > 0"""
+
+
+def segment_boundary_issues(spark, sf_dir):
+    _, segments = _segments(spark, sf_dir)
+    return tr.segment_boundary_issues(materialise(segments))
+
+
+BOUNDARY_ISSUES = SPEECH_SEGMENTS[: SPEECH_SEGMENTS.rindex("SELECT video_id, seg, printf")].rstrip() + r""",
+pr AS (SELECT b.*, t.text, lag(t.text) OVER w AS pt, lag(b.speaker) OVER w AS ps FROM built b JOIN txt t USING (video_id, seg) WINDOW w AS (PARTITION BY b.video_id ORDER BY b.seg)),
+pq AS (SELECT *, right(regexp_replace(pt, '["''»”)\]}\s]+$', ''), 1) AS tc, pt IS NOT NULL AND speaker = ps AS pair FROM pr)
+SELECT video_id, seg, 'too_dense' AS code FROM pq WHERE end_ms - start_ms > 40000 AND len(regexp_extract_all(text, '\S+')) >= 90 AND len(regexp_extract_all(text, '[.!?…]+')) >= 4
+UNION ALL SELECT video_id, seg, 'ends_on_non_terminal' FROM pq WHERE pair AND tc IN (',', ';', ':')
+UNION ALL SELECT video_id, seg, 'starts_lower_case' FROM pq WHERE pair AND regexp_matches(text, '^\s*\p{Ll}') AND tc NOT IN ('.', '!', '?', '…')
+UNION ALL SELECT video_id, seg, 'starts_with_continuation' FROM pq WHERE pair AND tc NOT IN ('.', '!', '?', '…') AND
+  lower(trim(regexp_extract(text, '[A-Za-zА-Яа-яЁё-]+'), '-')) IN ('а','но','и','или','либо','потому','поэтому','соответственно','также','то','пожалуйста')"""
+
+
+def segments_merged_short(spark, sf_dir):
+    """Units taken as segments, so that short neighbours of one speaker exist."""
+    units = _units(spark, sf_dir).select(
+        "video_id", (F.col("unit_index") - 1).alias("seg"), "start_ms", "end_ms", "start_pos", "end_pos",
+        F.col("word_count").alias("words"), "speaker", "speaker_role", F.col("first_starts_word").alias("starts_word"), "text",
+    )
+    return tr.merge_short_segments(materialise(units)).select(
+        "video_id", "seg", "start_ms", "end_ms", "start_pos", "end_pos", "words", "merged_from", "speaker", "text"
+    )
+
+
+SEGMENTS_MERGED_SHORT = UNITS_CTE.rstrip() + r""",
+mw AS (
+  SELECT video_id, unit_index AS i, 0 AS g, start_ms AS s, end_ms AS e, word_count AS w, speaker AS sp FROM units WHERE unit_index = 1
+  UNION ALL
+  SELECT u.video_id, u.unit_index, CASE WHEN m.ok THEN m.g ELSE m.g + 1 END, CASE WHEN m.ok THEN m.s ELSE u.start_ms END, u.end_ms,
+    CASE WHEN m.ok THEN m.w + u.word_count - (1 - u.fsw) ELSE u.word_count END, u.speaker
+  FROM (SELECT m.*, n.unit_index AS ni, (m.sp = n.speaker AND (m.e - m.s < 5000 OR n.end_ms - n.start_ms < 5000)
+          AND n.end_ms - m.s <= 60250 AND m.w + n.word_count - (1 - n.fsw) <= 150) AS ok
+        FROM mw m JOIN units n ON n.video_id = m.video_id AND n.unit_index = m.i + 1) m
+  JOIN units u ON u.video_id = m.video_id AND u.unit_index = m.ni)
+SELECT m.video_id, CAST(m.g AS BIGINT) AS seg, min(u.start_ms) AS start_ms, max(u.end_ms) AS end_ms, min(u.start_pos) AS start_pos, max(u.end_pos) AS end_pos,
+  CAST(arg_max(m.w, m.i) AS BIGINT) AS words, count(*) AS merged_from, any_value(u.speaker) AS speaker,
+  trim(regexp_replace(string_agg(CASE WHEN u.fsw = 1 THEN ' ' ELSE '' END || u.text, '' ORDER BY m.i), '\s+', ' ', 'g')) AS text
+FROM mw m JOIN units u ON u.video_id = m.video_id AND u.unit_index = m.i GROUP BY m.video_id, m.g"""
+
+
+def segment_language_mode(spark, sf_dir):
+    """Most frequent token language and speaker of every turn."""
+    toks = inputs.tokens(spark, sf_dir)
+    lang = tr.mode_by(toks, ["video_id", "turn"], "language", "pos")
+    who = tr.mode_by(toks, ["video_id", "turn"], "speaker", "pos")
+    return lang.join(who, ["video_id", "turn"])
+
+
+SEGMENT_LANGUAGE_MODE = oi.with_ctes(oi.TOKENS) + (
+    "SELECT a.video_id, a.turn, a.language, b.speaker FROM "
+    "(SELECT video_id, turn, arg_max(language, n * 1000000 - seen) AS language FROM (SELECT video_id, turn, language, count(*) AS n, min(pos) AS seen FROM tok GROUP BY 1, 2, 3) GROUP BY 1, 2) a "
+    "JOIN (SELECT DISTINCT video_id, turn, speaker FROM tok) b USING (video_id, turn)"
+)
+
+
+def duration_distribution(spark, sf_dir):
+    segs = inputs.turn_segments(spark, sf_dir)
+    spoken = tr.distribution(segs, ["speaker_role"], (F.col("end_ms") - F.col("start_ms"))).withColumnRenamed("speaker_role", "grp")
+    docs = tr.distribution(inputs.table(spark, sf_dir, "documents"), ["lang"], F.col("n_chars")).withColumnRenamed("lang", "grp")
+    return spoken.unionByName(docs)
+
+
+DURATION_DISTRIBUTION = oi.with_ctes(oi.TOKENS, oi.SPEAKERS, oi.SEGMENTS) + (
+    "SELECT speaker_role AS grp, min(end_ms - start_ms) AS min_value, max(end_ms - start_ms) AS max_value, round(avg(end_ms - start_ms), 3) AS avg_value FROM seg GROUP BY 1 "
+    "UNION ALL SELECT lang, min(n_chars), max(n_chars), round(avg(n_chars), 3) FROM documents GROUP BY 1"
+)
+
+
 QUERIES = {
     "speaker_profiles": (speaker_profiles, SPEAKER_PROFILES),
     "speaker_summary": (speaker_summary, SPEAKER_SUMMARY),
@@ -236,4 +427,12 @@ QUERIES = {
     "unit_reason_histogram": (unit_reasons, UNIT_REASONS),
     "unit_payloads": (unit_payloads, None),
     "segments_proposed": (segments_proposed, SEGMENTS_PROPOSED),
+    "segment_range_errors": (segment_range_errors, SEGMENT_RANGE_ERRORS),
+    "segment_error_causes": (segment_error_causes, SEGMENT_ERROR_CAUSES),
+    "speech_segments": (speech_segments, SPEECH_SEGMENTS),
+    "segment_validation": (segment_validation, SEGMENT_VALIDATION),
+    "segment_boundary_issues": (segment_boundary_issues, BOUNDARY_ISSUES),
+    "segments_merged_short": (segments_merged_short, SEGMENTS_MERGED_SHORT),
+    "segment_language_mode": (segment_language_mode, SEGMENT_LANGUAGE_MODE),
+    "duration_distribution": (duration_distribution, DURATION_DISTRIBUTION),
 }

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -19,6 +20,7 @@ def build_session(app_name: str = "talkloom", master: str | None = None, **conf:
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
         "spark.sql.sources.partitionOverwriteMode": "dynamic",
+        "spark.sql.adaptive.coalescePartitions.minPartitionSize": "128k",
         "spark.ui.enabled": "false",
     }
     for key, value in {**defaults, **conf}.items():
@@ -38,7 +40,10 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 
 def materialise(df: DataFrame) -> DataFrame:
-    """Compute a frame once into reliable storage, so several consumers share it and a lost
-    executor does not replay its whole lineage."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write a frame once as a table in the shared checkpoint folder and read it back.
+
+    Several consumers then share one computation, a lost executor does not replay the lineage, and the
+    columnar table still gives column pruning, pushdown and true sizes for join choices."""
+    folder = f"{ensure_checkpoint_dir(df.sparkSession).rstrip('/')}/stage-{uuid.uuid4().hex}"
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
