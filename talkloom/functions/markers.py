@@ -23,39 +23,55 @@ class MarkerRules:
 DEFAULT_RULES = MarkerRules()
 
 
+def _over_key(pattern: str) -> str:
+    """A word pattern rewritten for label keys. Keys hold words and single blanks only, so a word character is
+    any non-blank and a boundary is a blank: plain classes, much cheaper than Unicode-aware ones."""
+    body = pattern.removeprefix(r"\b").replace(r"\b", "(?= )")
+    return body.replace(r"\w", "[^ ]").replace(r"\s+", " ")
+
+
 def _any_pattern(key: Column, patterns: tuple[str, ...]) -> Column:
-    """One alternation per text, so each text is scanned once."""
-    return key.rlike("(?U)(?:" + "|".join(f"(?:{p})" for p in patterns) + ")")
+    """One alternation per text, tried only where a word starts."""
+    padded = F.concat(F.lit(" "), key, F.lit(" "))
+    return padded.rlike(" (?:" + "|".join(_over_key(p) for p in patterns) + ")")
 
 
-def is_technical(text: Column, rules: MarkerRules = DEFAULT_RULES) -> Column:
-    key = label_key(text)
+def technical_key(key: Column, rules: MarkerRules = DEFAULT_RULES) -> Column:
     return (key != "") & (key.isin(list(rules.colours)) | _any_pattern(key, rules.technical))
 
 
-def is_presentation(text: Column, rules: MarkerRules = DEFAULT_RULES) -> Column:
-    key = label_key(text)
+def presentation_key(key: Column, rules: MarkerRules = DEFAULT_RULES) -> Column:
     return (key != "") & _any_pattern(key, rules.presentation)
 
 
+def noise_key(key: Column, rules: MarkerRules = DEFAULT_RULES) -> Column:
+    return (key != "") & (key.isin(list(rules.colours)) | _any_pattern(key, rules.technical + rules.presentation))
+
+
 def is_noise(text: Column, rules: MarkerRules = DEFAULT_RULES) -> Column:
-    key = label_key(text)
-    return (key != "") & (
-        key.isin(list(rules.colours)) | _any_pattern(key, rules.technical + rules.presentation)
-    )
+    return noise_key(label_key(text), rules)
+
+
+def keyed(values: Column) -> Column:
+    """Squashed texts with their label keys: the key is worked out once per text, however many tests follow."""
+    arr = F.coalesce(values, F.array().cast("array<string>"))
+    return F.transform(arr, lambda v: F.struct(squash(v).alias("text"), label_key(v).alias("key")))
+
+
+def texts(pairs: Column) -> Column:
+    return F.transform(pairs, lambda p: p["text"])
 
 
 def _hits(values: Column, test) -> Column:
-    cleaned = F.transform(F.coalesce(values, F.array().cast("array<string>")), squash)
-    return F.array_distinct(F.filter(cleaned, test))
+    return F.array_distinct(texts(F.filter(keyed(values), lambda p: test(p["key"]))))
 
 
 def technical_markers(values: Column, rules: MarkerRules = DEFAULT_RULES) -> Column:
-    return _hits(values, lambda v: is_technical(v, rules))
+    return _hits(values, lambda k: technical_key(k, rules))
 
 
 def presentation_markers(values: Column, rules: MarkerRules = DEFAULT_RULES) -> Column:
-    return _hits(values, lambda v: is_presentation(v, rules))
+    return _hits(values, lambda k: presentation_key(k, rules))
 
 
 def noise_markers(values: Column, rules: MarkerRules = DEFAULT_RULES) -> Column:
@@ -63,9 +79,8 @@ def noise_markers(values: Column, rules: MarkerRules = DEFAULT_RULES) -> Column:
     return F.array_union(technical_markers(values, rules), presentation_markers(values, rules))
 
 
-def drop_label(value: Column, rules: MarkerRules = DEFAULT_RULES) -> Column:
+def drop_key(key: Column, rules: MarkerRules = DEFAULT_RULES) -> Column:
     """An item or topic label that is empty, a bare colour or technical has no place in the knowledge base."""
-    key = label_key(value)
     return (key == "") | key.isin(list(rules.colours)) | _any_pattern(key, rules.technical)
 
 
@@ -76,5 +91,4 @@ def safe_text(value: Column, rules: MarkerRules = DEFAULT_RULES) -> Column:
 
 
 def safe_list(values: Column, rules: MarkerRules = DEFAULT_RULES) -> Column:
-    cleaned = F.transform(F.coalesce(values, F.array().cast("array<string>")), squash)
-    return F.array_distinct(F.filter(cleaned, lambda v: (v != "") & ~is_noise(v, rules)))
+    return F.array_distinct(texts(F.filter(keyed(values), lambda p: (p["text"] != "") & ~noise_key(p["key"], rules))))

@@ -98,3 +98,31 @@ def claims(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("n_chars") > 2000, "high").when(F.col("n_chars") > 500, "medium").otherwise("low").alias("confidence"),
         ((F.col("doc_id") % 50) * 1000).alias("start_ms"),
     )
+
+
+def visual_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One visual event per document: lines as observations, first words as items."""
+    docs = table(spark, sf_dir, "documents")
+    words = F.filter(F.split(F.substring("text", 1, 400), r"[\s.,;:!?]+"), lambda w: w != "")
+    lines = F.filter(F.split("text", "\n"), lambda s: F.trim(s) != "")
+    relevance = F.element_at(F.array(*[F.lit(r) for r in ["none", "background", "brief", "primary_example"]]), (F.col("doc_id") % 4 + 1).cast("int"))
+    return docs.select(
+        F.col("source").alias("video_id"),
+        F.concat("source", F.lit("_scene_"), F.col("doc_id")).alias("scene_id"),
+        F.col("doc_id"),
+        F.get(lines, 0).alias("visual_summary"),
+        lines.alias("observations"),
+        F.slice(lines, 2, 2).alias("interpretations"),
+        F.slice(words, 1, 5).alias("items"),
+        F.array("lang", "source", F.coalesce(F.get(words, 5), F.lit(""))).alias("style_topics"),
+        F.slice(words, 3, 3).alias("on_screen_text"),
+        F.slice(words, 7, 2).alias("presentation_context"),
+        F.coalesce(F.get(lines, F.size(lines) - 1), F.lit("")).alias("notes"),
+        F.struct(
+            (F.col("doc_id") % 3 == 0).alias("is_recurring"),
+            relevance.alias("relevance"),
+            F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("baseline "), F.col("doc_id") % 5)).otherwise("").alias("baseline_summary"),
+            F.slice(lines, 3, 2).alias("scene_deltas"),
+            F.coalesce(F.get(words, 1), F.lit("")).alias("narrative_brief"),
+        ).alias("presenter_context"),
+    )

@@ -78,3 +78,13 @@ def any_pattern(key: str, patterns: list[str]) -> str:
 
 def quote_list(values: list[str]) -> str:
     return "(" + ", ".join("'" + v.replace("'", "''") + "'" for v in values) + ")"
+
+
+VISUAL = r"""
+vev AS (SELECT *, lines[1] AS visual_summary, lines AS observations, lines[2:3] AS interpretations, words[1:5] AS items,
+    [lang, source, coalesce(words[6], '')] AS style_topics, words[3:5] AS on_screen_text, words[7:8] AS presentation_context, coalesce(lines[-1], '') AS notes,
+    doc_id % 3 = 0 AS is_recurring, (['none','background','brief','primary_example'])[doc_id % 4 + 1] AS relevance,
+    CASE WHEN doc_id % 3 = 0 THEN 'baseline ' || (doc_id % 5) ELSE '' END AS baseline_summary, lines[3:4] AS scene_deltas, coalesce(words[2], '') AS narrative_brief
+  FROM (SELECT doc_id, lang, source, source AS video_id, source || '_scene_' || doc_id AS scene_id,
+      list_filter(string_split(text, chr(10)), lambda s: trim(s) <> '') AS lines,
+      list_filter(regexp_split_to_array(substring(text, 1, 400), '[\s.,;:!?]+'), lambda w: w <> '') AS words FROM documents))"""

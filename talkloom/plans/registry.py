@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-AREAS = ["speech", "scenes"]
+AREAS = ["speech", "scenes", "timeline", "visual"]
 
 
 def registered() -> dict[str, tuple]:
