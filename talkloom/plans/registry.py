@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-AREAS = ["speech", "scenes", "timeline", "visual"]
+AREAS = ["speech", "scenes", "timeline", "visual", "chunks"]
 
 
 def registered() -> dict[str, tuple]:
