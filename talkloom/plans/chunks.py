@@ -10,7 +10,7 @@ from talkloom.operators import timeline as tl
 from talkloom.plans import inputs
 from talkloom.plans import oracle_inputs as oi
 from talkloom.plans.scenes import SCENES, fallback_scenes
-from talkloom.plans.timeline import HALF, SCENE_VISUALS, _scene_visuals
+from talkloom.plans.timeline import HALF, _scene_visuals
 from talkloom.plans.visual import RULES, _is_presentation, _is_technical, _ordered_unique
 from talkloom.session import materialise
 
@@ -237,10 +237,11 @@ def _safe_list(field: str) -> str:
     return f"list_filter(list_transform({field}, lambda s: {oi.squash('s')}), lambda s: s <> '' AND NOT {_noise('s')})"
 
 
-CHUNKS_CTE = PACK.replace(oi.SEGMENTS.strip(), oi.SEGMENTS.strip() + "," + SCENES.strip() + "," + oi.VISUAL.strip()).rstrip() + SCENE_VISUALS + f""",
-sf0 AS (SELECT vid AS video_id, sid AS event_id, {oi.squash('visual_summary')} AS sm, {_safe_list('on_screen_text')} AS sc0, {_safe_list('items')} AS it0, {_safe_list('style_topics')} AS tp0, relevance, narrative_brief FROM svs),
-sfe AS (SELECT video_id, event_id, CASE WHEN {_noise('sm')} THEN '' ELSE sm END AS sm, {_ordered_unique('sc0')} AS sc, {_ordered_unique('it0')} AS itm, {_ordered_unique('tp0')} AS tp,
+CHUNKS_CTE = PACK.replace(oi.SEGMENTS.strip(), oi.SEGMENTS.strip() + "," + SCENES.strip() + "," + oi.VISUAL.strip()).rstrip() + f""",
+sf0 AS MATERIALIZED (SELECT doc_id, {oi.squash('visual_summary')} AS sm, {_safe_list('on_screen_text')} AS sc0, {_safe_list('items')} AS it0, {_safe_list('style_topics')} AS tp0, relevance, narrative_brief FROM vev),
+sf1 AS MATERIALIZED (SELECT doc_id, CASE WHEN {_noise('sm')} THEN '' ELSE sm END AS sm, {_ordered_unique('sc0')} AS sc, {_ordered_unique('it0')} AS itm, {_ordered_unique('tp0')} AS tp,
    CASE WHEN relevance IN ('brief', 'primary_example') THEN narrative_brief ELSE '' END AS br FROM sf0),
+sfe AS (SELECT c.video_id, c.scene_id AS event_id, v.* EXCLUDE (doc_id) FROM scn c JOIN sf1 v ON v.doc_id = (7 * c.video_id + c.scene_index) % (SELECT count(*) FROM documents)),
 spn AS (SELECT p.video_id, p.chunk_index, min(s.start_ms) AS start_ms, max(s.end_ms) AS end_ms, string_agg(s.segment_id, ',' ORDER BY s.seg) AS ids, arg_min(s.text, s.seg) AS t0, string_agg(s.text, ' ' ORDER BY s.seg) AS speech_text, list(s.speaker_role ORDER BY s.seg) AS rl
   FROM pk p JOIN seg s ON s.video_id = p.video_id AND s.seg >= p.i AND s.seg < p.j GROUP BY 1, 2),
 rn0 AS (SELECT p.video_id, p.chunk_index, s.seg, s.text, s.speaker, s.speaker_role, count(DISTINCT s.speaker) OVER (PARTITION BY p.video_id, p.chunk_index, s.speaker_role) AS ns,

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-AREAS = ["speech", "scenes", "timeline", "visual", "chunks"]
+AREAS = ["speech", "scenes", "timeline", "visual", "chunks", "claims"]
 
 
 def registered() -> dict[str, tuple]:
