@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-AREAS = ["speech", "scenes", "timeline", "visual", "chunks", "claims"]
+AREAS = ["speech", "scenes", "timeline", "visual", "chunks", "claims", "requests"]
 
 
 def registered() -> dict[str, tuple]:
