@@ -5,11 +5,12 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from talkloom import fixed_values as fx
 from talkloom.functions import times as tm
+from talkloom.operators import sequence as seq
 
 STAGE = ["job_id", "stage"]
 
@@ -242,15 +243,11 @@ def delete_jobs(requests: DataFrame, jobs: DataFrame, tables: dict[str, DataFram
 def audit_summary(rows: DataFrame, sample: int = 10) -> DataFrame:
     """Number of findings per kind and a sample of them in job order."""
     counts = rows.groupBy("kind").agg(F.count("*").alias("findings"))
-    return rows.groupBy("kind", "job_id").agg(F.count("*").alias("n")).withColumn(
-        "r", F.row_number().over(Window.partitionBy("kind").orderBy("job_id"))
-    ).where(F.col("r") <= sample).join(counts, "kind").select("kind", "findings", "job_id", "n")
+    per_job = rows.groupBy("kind", "job_id").agg(F.count("*").alias("n"))
+    shown = seq.first_n(per_job, ["kind"], ["job_id"], sample, spread="job_id")
+    return shown.join(counts, "kind").select("kind", "findings", "job_id", "n")
 
 
 def tail(events: DataFrame, n: int, by: Sequence[str] = ("job_id",)) -> DataFrame:
-    """The last n log rows per job. A job's rows are salted over 64 parts that each keep their own last n,
-    so a job with any share of the log never sits in one task."""
-    local = Window.partitionBy(*by, "__part").orderBy(F.desc("ts"), F.desc("seq"))
-    last = Window.partitionBy(*by).orderBy(F.desc("ts"), F.desc("seq"))
-    trimmed = events.withColumn("__part", F.pmod(F.hash("seq"), F.lit(64))).withColumn("__l", F.row_number().over(local)).where(F.col("__l") <= n)
-    return trimmed.withColumn("__l", F.row_number().over(last)).where(F.col("__l") <= n).drop("__part", "__l")
+    """The last n log rows per job."""
+    return seq.first_n(events, list(by), [F.desc("ts"), F.desc("seq")], n, spread="seq")

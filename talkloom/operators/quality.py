@@ -4,15 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from talkloom import fixed_values as fx
 from talkloom.functions import markers as mk
-from talkloom.functions import text as tx
 from talkloom.functions import times as tm
 from talkloom.functions.fields import short_hash
 from talkloom.functions.markers import DEFAULT_RULES, MarkerRules
+from talkloom.operators import sequence as seq
 from talkloom.operators.visual import field_values
 
 JOB = ["job_id"]
@@ -131,8 +131,7 @@ def top_counts(df: DataFrame, value: str, n: int, by: Sequence[str] = ()) -> Dat
     counts = df.groupBy(*by, value).agg(F.count("*").alias("count"))
     if not by:
         return counts.orderBy(F.desc("count"), value).limit(n)
-    w = Window.partitionBy(*by).orderBy(F.desc("count"), value)
-    return counts.withColumn("__r", F.row_number().over(w)).where(F.col("__r") <= n).drop("__r")
+    return seq.first_n(counts, list(by), [F.desc("count"), value], n, spread=value)
 
 
 def histogram(df: DataFrame, section: str, value: Column) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-AREAS = ["speech", "scenes", "timeline", "visual", "chunks", "claims", "requests"]
+AREAS = ["speech", "scenes", "timeline", "visual", "chunks", "claims", "requests", "fleet"]
 
 
 def registered() -> dict[str, tuple]:
