@@ -443,7 +443,7 @@ def stage_state_fold(spark, sf_dir):
 
 
 STATE = L + f""", st AS (SELECT *, CASE event WHEN 'stage_started' THEN 'running' WHEN 'stage_completed' THEN 'completed' WHEN 'stage_failed' THEN 'failed' END AS s FROM log),
-ag AS (SELECT job_id, stage, arg_max(s, seq) AS status, count(*) FILTER (s = 'running') AS attempt, max(ts) FILTER (s = 'running') AS sa, arg_max(ts, seq) FILTER (s <> 'running') AS fa, max(seq) AS last_seq FROM st WHERE s IS NOT NULL GROUP BY 1, 2)
+ag AS (SELECT job_id, stage, arg_max(s, seq) AS status, count(*) FILTER (s = 'running') AS attempt, max(ts) FILTER (s = 'running') AS sa, CASE WHEN arg_max(s, seq) <> 'running' THEN arg_max(ts, seq) END AS fa, max(seq) AS last_seq FROM st WHERE s IS NOT NULL GROUP BY 1, 2)
 """
 STAGE_STATE_FOLD = STATE + f"""SELECT j.job_id, n.stage, coalesce(status, 'pending') AS status, coalesce(attempt, 0) AS attempt, epoch_us(sa) AS started_us, epoch_us(fa) AS finished_us, last_seq
 FROM (SELECT DISTINCT job_id FROM log) j CROSS JOIN (SELECT unnest({NAMES}) AS stage) n LEFT JOIN ag ON ag.job_id = j.job_id AND ag.stage = n.stage"""
