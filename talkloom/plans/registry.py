@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-AREAS = ["speech", "scenes", "timeline", "visual", "chunks", "claims", "requests", "fleet", "logs"]
+AREAS = ["speech", "scenes", "timeline", "visual", "chunks", "claims", "requests", "fleet", "logs", "text", "exports"]
 
 
 def registered() -> dict[str, tuple]:
