@@ -76,8 +76,8 @@ def join_array(values: Column, sep: str) -> Column:
 
 
 def word_count(c: Column | str) -> Column:
-    squashed = squash(c)
-    return F.when(squashed == "", F.lit(0)).otherwise(F.size(F.split(squashed, " "))).cast("long")
+    """Number of runs of non-blank characters."""
+    return F.regexp_count(text_or_empty(c), F.lit(r"(?U)\S+")).cast("long")
 
 
 def clip_words(c: Column | str, n: int) -> Column:

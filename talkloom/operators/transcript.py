@@ -154,7 +154,10 @@ def boundary_features(tokens: DataFrame, limits: SegmentLimits = DEFAULTS.segmen
         tokens = tokens.withColumn("language", F.lit(None).cast("string"))
     if "speaker_role" not in tokens.columns:
         tokens = tokens.withColumn("speaker_role", F.lit(None).cast("string"))
-    content = seq.dense_position(tokens.where(~tx.is_blank("text")), VIDEO, "pos", "c")
+    marked = tokens.where(~tx.is_blank("text")).withColumns(
+        {"end_char": tx.terminal_char("text"), "opens": tx.leads_with_space("text")}
+    )
+    content = seq.dense_position(marked, VIDEO, "pos", "c")
     k = limits.lookahead_tokens
 
     def columns(w):
@@ -170,14 +173,14 @@ def boundary_features(tokens: DataFrame, limits: SegmentLimits = DEFAULTS.segmen
             "next_start_ms": F.lead("start_ms").over(w),
             "next_speaker": F.lead("speaker").over(w),
             "next_role": F.lead("speaker_role").over(w),
-            "next_token": F.lead("text").over(w),
+            "next_opens": F.lead("opens").over(w),
             "next_text": F.concat(*[following(i) for i in range(1, k + 1)]),
             "glued_text": glued,
         }
 
     ahead = seq.neighbour_window(content, VIDEO, "c", columns, back=1, ahead=k)
-    end_char = tx.terminal_char("text")
-    next_starts_word = tx.leads_with_space("next_token") | (F.col("next_pos") - F.col("pos") > 1)
+    end_char = F.col("end_char")
+    next_starts_word = F.col("next_opens") | (F.col("next_pos") - F.col("pos") > 1)
     both = (F.coalesce("speaker", F.lit("")) != "") & (F.coalesce("next_speaker", F.lit("")) != "")
     hard = (
         F.when(F.col("next_pos").isNull(), "end")
@@ -192,7 +195,7 @@ def boundary_features(tokens: DataFrame, limits: SegmentLimits = DEFAULTS.segmen
         .otherwise(~tx.first_word("next_text").isin(fx.CONTINUATION_WORDS))
     )
     starts_word = (
-        F.col("prev_pos").isNull() | tx.leads_with_space("text") | (F.col("pos") - F.col("prev_pos") > 1)
+        F.col("prev_pos").isNull() | F.col("opens") | (F.col("pos") - F.col("prev_pos") > 1)
     )
     return ahead.select(
         "video_id", "pos", "c", "glued_text", "start_ms", "end_ms", "speaker", "speaker_role", "language",

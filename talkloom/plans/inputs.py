@@ -10,8 +10,17 @@ from talkloom.operators import sequence as seq
 from talkloom.operators import transcript as tr
 
 
+TEXT_TABLES = {"conversations", "documents", "embeddings", "pages"}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A given table. Text tables whose scan has fewer splits than there are cores are spread over the cores, as
+    the expressions on them are costly; a table of many splits is read as it lies."""
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    if name in TEXT_TABLES and df.rdd.getNumPartitions() < cores:
+        return df.repartition(cores)
+    return df
 
 
 def tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
