@@ -23,6 +23,7 @@ from talkloom.operators.visual import marker_hits
 
 VIDEO = ["video_id"]
 ITEM = ["video_id", "chunk_index"]
+WINDOW_ITEMS = 1 << 20  # more items than any one response can hold
 
 
 # --- questions and answers -------------------------------------------------------------------
@@ -140,12 +141,15 @@ def propose_plan(segments: DataFrame, limits: ChunkLimits = DEFAULTS.chunk, *, b
 
 
 def plan_items(responses: DataFrame, limits: ChunkLimits = DEFAULTS.chunk) -> DataFrame:
-    """Plan items out of planner responses (video_id, body): squashed, clipped, topics lower-case and unique."""
+    """Plan items out of planner responses (video_id, window_index, body), one response per planner window:
+    squashed, clipped, topics lower-case and unique, numbered through the windows of a video."""
     schema = "chunks array<struct<speech_segment_ids:array<string>,title:string,boundary_reason:string,topics:array<string>,notes:string>>"
-    rows = responses.select("video_id", F.posexplode(F.from_json("body", schema)["chunks"]).alias("i", "c"))
-    return rows.select(
+    rows = responses.select("video_id", "window_index", F.posexplode(F.from_json("body", schema)["chunks"]).alias("i", "c"))
+    placed = rows.withColumn("place", F.col("window_index").cast("long") * WINDOW_ITEMS + F.col("i"))
+    numbered = seq.dense_position(placed, VIDEO, "place", "k")
+    return numbered.select(
         "video_id",
-        (F.col("i") + 1).cast("long").alias("chunk_index"),
+        (F.col("k") + 1).alias("chunk_index"),
         F.coalesce(F.col("c.speech_segment_ids"), F.array().cast("array<string>")).alias("speech_segment_ids"),
         tx.clip_words(tx.squash("c.title"), limits.title_chars).alias("title"),
         tx.clip_words(tx.squash("c.boundary_reason"), limits.boundary_reason_chars).alias("boundary_reason"),

@@ -73,7 +73,7 @@ LEFT JOIN scn c ON c.video_id = s.video_id AND s.end_ms > c.start_ms AND s.start
 
 
 def _test_plan(segments):
-    """Plan items of two segments each, with planted faults of every kind; written as planner responses."""
+    """Plan items of two segments each, with planted faults of every kind; written as planner responses of three items."""
     k = F.floor(F.col("seg") / 2)
     two = segments.groupBy("video_id", k.alias("k")).agg(F.array_sort(F.collect_list(F.struct("seg", "segment_id", "text"))).alias("s"))
     ids = F.transform("s", lambda x: x["segment_id"])
@@ -86,9 +86,9 @@ def _test_plan(segments):
     topics = F.when(m == 7, F.array().cast("array<string>")).when(m == 8, F.array(*[F.lit(t) for t in "A b C d e f g h".split()])).otherwise(F.array(F.lit("Fit "), F.lit("fit"), F.lit("Cloth")))
     row = F.struct("k", ids.alias("speech_segment_ids"), title.alias("title"), F.when(m == 9, "").otherwise("pair").alias("boundary_reason"), topics.alias("topics"),
                    F.when(m == 10, F.concat(F.lit("note "), F.get("s", 0)["text"])).otherwise("").alias("notes"))
-    chunks = two.groupBy("video_id").agg(F.array_sort(F.collect_list(row)).alias("chunks"))
+    chunks = two.groupBy("video_id", F.floor(F.col("k") / 3).alias("window_index")).agg(F.array_sort(F.collect_list(row)).alias("chunks"))
     body = F.to_json(F.struct(F.transform("chunks", lambda c: c.dropFields("k")).alias("chunks")))
-    return chunks.select("video_id", body.alias("body"))
+    return chunks.select("video_id", "window_index", body.alias("body"))
 
 
 def plan_items(spark, sf_dir):

@@ -76,6 +76,19 @@ def _metrics_sql(source: str, fields: list[str]) -> str:
 LEAKAGE_METRICS = VIS + _metrics_sql("th", vis.LEAKAGE_FIELDS)
 
 
+NOISE_FIELDS = [*vis.LEAKAGE_FIELDS, "scene_deltas"]
+
+
+def presentation_noise_metrics(spark, sf_dir):
+    hits = vis.marker_hits(inputs.visual_events(spark, sf_dir), KEYS, [*vis.LEAKAGE_FIELDS, "presenter_context.scene_deltas"], "presentation", RULES)
+    return vis.leakage_metrics(materialise(hits), KEYS, ["video_id"], NOISE_FIELDS)
+
+
+PRESENTATION_NOISE_METRICS = oi.with_ctes(
+    oi.VISUAL, _fields(LEAK | {"scene_deltas": "scene_deltas"}), f"ns AS (SELECT DISTINCT video_id, scene_id, field, m AS marker FROM vk WHERE k <> '' AND {_is_presentation('k')})"
+) + _metrics_sql("ns", NOISE_FIELDS)
+
+
 def _profiles(spark, sf_dir):
     """A presenter profile per source, drawn from the first document of the source."""
     first = inputs.visual_events(spark, sf_dir).groupBy("video_id").agg(F.min_by(F.struct("items", "visual_summary"), "doc_id").alias("d"))
@@ -212,6 +225,7 @@ QUERIES = {
     "marker_hits": (marker_hits, MARKER_HITS),
     "visual_leakage_errors": (leakage_errors, LEAKAGE_ERRORS),
     "leakage_metrics": (leakage_metrics, LEAKAGE_METRICS),
+    "presentation_noise_metrics": (presentation_noise_metrics, PRESENTATION_NOISE_METRICS),
     "baseline_leakage": (baseline_leakage, BASELINE_LEAKAGE),
     "baseline_leakage_metrics": (baseline_metrics, BASELINE_METRICS),
     "label_quarantine": (label_quarantine, LABEL_QUARANTINE),
