@@ -103,6 +103,13 @@ def video_lines(videos: DataFrame, claims: DataFrame, events: DataFrame, turns:
         ).alias("turns")
     )
     links = frame_links(frames)
+    brief = F.coalesce("presenter_context.narrative_brief", F.lit(""))
+
+    def heading(of: DataFrame, section: int, ordinal: int, text: str) -> DataFrame:
+        return of.select(path.alias("path"), F.lit(section).alias("section"), F.lit(ordinal).cast("long").alias("ordinal"), F.lit(text).alias("line"))
+
+    with_claims = claims.select("video_id").distinct()
+    headings = heading(with_claims, 1, -1, "## Style Claims\n").unionByName(heading(with_claims, 2, -2, "")).unionByName(heading(videos, 2, -1, "## Timeline\n"))
     body = F.array_join(
         F.array_compact(
             F.array(
@@ -110,10 +117,13 @@ def video_lines(videos: DataFrame, claims: DataFrame, events: DataFrame, turns:
                 _line("- Timestamp: [YouTube]({})", k("timestamp_url")),
                 _line("- Topics: {}", _listed(k("topics"))),
                 _line("- Items: {}", _listed(k("items"))),
+                F.when(brief != "", _line("- Presenter: {}", brief)),
                 F.coalesce("turns", "speech_text"),
                 _line("\n{}\n", k("visual_summary")),
                 F.when(F.size("on_screen_text") > 0, _line("On-screen text:\n{}", F.array_join(F.transform("on_screen_text", lambda t: F.concat(F.lit("- "), t)), "\n"))),
+                F.lit(""),
                 F.when(k("frame_links").isNotNull(), _line("Frames:\n{}", F.array_join(F.transform("frame_links", lambda p: F.concat(F.lit("![]("), p, F.lit(")"))), "\n"))),
+                F.lit(""),
             )
         ),
         "\n",
@@ -121,7 +131,7 @@ def video_lines(videos: DataFrame, claims: DataFrame, events: DataFrame, turns:
     event_rows = events.join(spoken, "scene_id", "left").join(links, "scene_id", "left").select(
         path.alias("path"), F.lit(2).alias("section"), k("start_ms").alias("ordinal"), body.alias("line")
     )
-    return top.unionByName(claim_rows).unionByName(event_rows)
+    return top.unionByName(headings).unionByName(claim_rows).unionByName(event_rows)
 
 
 def frame_links(frames: DataFrame) -> DataFrame:

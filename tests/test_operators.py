@@ -227,3 +227,58 @@ def test_drift_cases(spark):
     notes = spark.createDataFrame([("j", f"j_c_{i:06d}_{i + 1:06d}.md") for i in range(12)] + [("j", "mine.md")], "job_id string, note string")
     assert au.note_drift(chunks, notes).groupBy("kind").count().collect()[0].asDict() == {"kind": "extra", "count": 4}
     assert au.stale_notes(chunks, notes).count() == 3
+
+
+def test_claim_violations_find_each_fault_once(spark):
+    empty = []
+    row = lambda pos, cid, chunk, **k: {
+        "video_id": "v", "position": pos, "claim_id": cid, "chunk_id": chunk, "claim_type": "rule", "subject": "suit", "claim": f"text {pos}", "rationale": "why",
+        "conditions": empty, "applies_to": empty, "avoid": empty, "prefer": empty, "evidence": ["seen"], "topics": ["fit"], **k,
+    }
+    rows = [
+        row(0, "v_claim_000001", "c1"), row(1, "wrong", "c1"), row(2, "v_claim_000003", "gone"), row(3, "v_claim_000004", "c1", rationale=" "), row(4, "v_claim_000005", "c1", subject="Source refs"),
+        row(5, "v_claim_000006", "c1", topics=["source", "fit"]), row(6, "v_claim_000007", "c1", evidence=["В кадре: сумка"]), row(7, "v_claim_000008", "c1", claim="тенсил"),
+        row(8, "v_claim_000009", "c1", prefer=["the schema"]), row(9, "v_claim_000010", "c1", claim="Text  0"),
+    ]
+    fields = "video_id string, position long, claim_id string, chunk_id string, claim_type string, subject string, claim string, rationale string, " + ", ".join(
+        f"{f} array<string>" for f in ("conditions", "applies_to", "avoid", "prefer", "evidence", "topics")
+    )
+    names = [f.split()[0] for f in fields.split(", ")]
+    df = spark.createDataFrame([tuple(r[n] for n in names) for r in rows], fields)
+    got = sorted((r["claim_id"], r["code"]) for r in cl.claim_violations(df, spark.createDataFrame([("c1",)], "chunk_id string")).collect())
+    assert got == sorted(
+        [
+            ("wrong", "wrong_claim_id"), ("v_claim_000003", "unknown_chunk"), ("v_claim_000004", "empty_required_field"), ("v_claim_000005", "service_subject"), ("v_claim_000006", "service_topics"),
+            ("v_claim_000007", "evidence_prefix"), ("v_claim_000008", "unnormalised_term"), ("v_claim_000009", "technical_marker"), ("v_claim_000001", "duplicate_key"),
+        ]
+    )
+
+
+def test_unit_payloads_round_trip(spark):
+    import json
+
+    units = tr.transcript_units(tokens(spark, [("Да", 0, 1250, "a"), (" нет.", 1300, 2000, "a")]))
+    payload = json.loads(tr.unit_payloads(units).first()["payload"])
+    assert (payload["unit_index"], payload["start"], payload["end"], payload["duration"], payload["word_count"], payload["text"]) == (1, 0.0, 2.0, 2.0, 2, "Да нет.")
+    assert (payload["boundary_reason"], payload["can_end_segment"], payload["must_end_segment"], payload["speaker_role"]) == ("end", True, True, None)
+
+
+def test_note_lines_in_order(spark):
+    from talkloom.sources import notes
+
+    videos = spark.createDataFrame([("v", "Talk", "u", "ch", 12.5)], "video_id string, title string, url string, channel string, duration double")
+    chunks = spark.createDataFrame([("v", 9000, "b"), ("v", 0, "a")], "video_id string, start_ms long, chunk_id string")
+    index = [r["line"] for r in notes.index_lines(videos, chunks, "KB").orderBy("section", "ordinal").collect()]
+    assert index == ["# KB", "", "- Video: [Talk](u)", "- Channel: ch", "- Job ID: `v`", "- Chunks: 2", "", "## Chunks", "", "- [[chunks/a|a]]", "- [[chunks/b|b]]"]
+    turns = spark.createDataFrame([("s", 1, "host", "h", "B"), ("s", 0, None, None, "A")], "scene_id string, turn_index long, speaker_role string, speaker string, text string")
+    events = spark.createDataFrame([("v", "s", 0, 1500, "t", ["x", "y"], [], "A B", "seen", ["SALE"], ("calm",))], "video_id string, scene_id string, start_ms long, end_ms long, timestamp_url string, topics array<string>, items array<string>, speech_text string, visual_summary string, on_screen_text array<string>, presenter_context struct<narrative_brief:string>")
+    frames = spark.createDataFrame([("s", 2, "f2.jpg"), ("s", 1, "f1.jpg")], "scene_id string, ts_ms long, path string")
+    claims = spark.createDataFrame([("v", 1, 500, "t", "suit", "wear it", "", ["cold"], [], ["rain"])], "video_id string, claim_pos long, start_ms long, timestamp_url string, subject string, claim string, rationale string, conditions array<string>, prefer array<string>, avoid array<string>")
+    lines = [r["line"] for r in notes.video_lines(videos, claims, events, turns, frames).orderBy("section", "ordinal").collect()]
+    assert lines[0] == "# Talk\n\n- Channel: ch\n- URL: u\n- Video ID: `v`\n- Duration: 12.5s\n"
+    assert lines[1:3] == ["## Style Claims\n", "- [0.5s](t) **suit**: wear it\n  - Conditions: cold\n  - Avoid: rain"]
+    assert lines[3:5] == ["", "## Timeline\n"]
+    assert lines[5] == (
+        "### 0.0s -> 1.5s\n\n- Timestamp: [YouTube](t)\n- Topics: x, y\n- Items: \n- Presenter: calm\nГолос: A\nВедущий (h): B\n\nseen\n\n"
+        "On-screen text:\n- SALE\n\nFrames:\n![](../../../f1.jpg)\n![](../../../f2.jpg)\n"
+    )
