@@ -151,7 +151,7 @@ fq AS (SELECT vec_id, vec_id // 8 AS scene, vec_id % 8 + 1 AS image_index, CASE
 fm AS (SELECT *, q[1] AS gs, q[2] / 4 AS co, q[3] / 2000 AS ed, q[4] / 8 AS ms, q[5] / 5 AS p90, q[9:24] AS tiles,
     len(list_filter(q[9:24], lambda x: x < 20)) / 16.0 AS br, len(list_filter([q[14], q[15], q[18], q[19]], lambda x: x < 20)) / 4.0 AS cb FROM fq),
 fx AS (SELECT *, gs < 35 AS ls, co < 18 AS lc, ed < 0.035 AS le, ms < 18 AND p90 < 32 AS lsat, cb >= 0.5 AS hc, ms < 18 AND p90 < 32 AND co < 30 AND ed < 0.06 AS grey FROM fm),
-fs AS (SELECT *, greatest(0.0, round(0.55 * least(1.0, ln(1 + gs) / ln(181.0)) + 0.20 * least(1.0, ln(1 + co) / ln(49.0)) + 0.15 * least(1.0, ed / 0.16)
+fs AS (SELECT *, greatest(0.0, round_even(0.55 * least(1.0, ln(1 + gs) / ln(181.0)) + 0.20 * least(1.0, ln(1 + co) / ln(49.0)) + 0.15 * least(1.0, ed / 0.16)
     - 0.10 * br - 0.20 * cb - CASE WHEN grey THEN 0.18 ELSE 0.0 END, 6)) AS score,
     CASE WHEN (ls AND (lc OR le)) OR grey OR hc THEN 'low_quality_kept' ELSE 'good' END AS quality_class FROM fx)"""
 FEAT = oi.with_ctes(FEATURES).rstrip() + " "

@@ -411,8 +411,8 @@ def duration_distribution(spark, sf_dir):
 
 
 DURATION_DISTRIBUTION = oi.with_ctes(oi.TOKENS, oi.SPEAKERS, oi.SEGMENTS) + (
-    "SELECT speaker_role AS grp, min(end_ms - start_ms) AS min_value, max(end_ms - start_ms) AS max_value, round(avg(end_ms - start_ms), 3) AS avg_value FROM seg GROUP BY 1 "
-    "UNION ALL SELECT lang, min(n_chars), max(n_chars), round(avg(n_chars), 3) FROM documents GROUP BY 1"
+    "SELECT speaker_role AS grp, min(end_ms - start_ms) AS min_value, max(end_ms - start_ms) AS max_value, round_even(avg(end_ms - start_ms), 3) AS avg_value FROM seg GROUP BY 1 "
+    "UNION ALL SELECT lang, min(n_chars), max(n_chars), round_even(avg(n_chars), 3) FROM documents GROUP BY 1"
 )
 
 
