@@ -6,6 +6,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from talkloom.llm import media, mixing, sharding, url_filters, warc
 from talkloom.llm import token_counts as tokens
 from talkloom.llm.common import table
 from talkloom.session import ensure_checkpoint_dir
@@ -16,10 +17,36 @@ def fresh_folder(spark: SparkSession, name: str) -> str:
     return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def op1_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filters.judge_pages(table(spark, sf_dir, "pages"))
+
+
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixed_documents(table(spark, sf_dir, "documents"))
+
+
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both derivatives of every page, with their whole blocks."""
+    return warc.derivatives(warc.page_responses(table(spark, sf_dir, "pages")), ["page_id"])
+
+
+def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.document_shards(table(spark, sf_dir, "documents"))
+
+
+def op9_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.text_media(table(spark, sf_dir, "documents"))
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_counts(table(spark, sf_dir, "documents"), fresh_folder(spark, "token-cache"))
 
 
 QUERIES = {
+    "op1_url_filters": (op1_url_filters, None),
+    "op3_mixing": (op3_mixing, None),
+    "op5_warc": (op5_warc, None),
+    "op6_sharding": (op6_sharding, None),
+    "op9_media": (op9_media, None),
     "op10_token_counts": (op10_token_counts, None),
 }

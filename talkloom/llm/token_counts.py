@@ -106,7 +106,8 @@ def read_cache(spark, cache_dir: str) -> DataFrame:
 def append_misses(docs: DataFrame, cache_dir: str, tokenizer: str, text: str = "text") -> None:
     """Encode the distinct contents of `docs` that the cache lacks for this tokenizer's version and append them.
 
-    A part written by a run that failed is never committed, so a rerun encodes what is still missing."""
+    What a failed run has committed is known to the next one, which encodes only what is still missing; so a digest is
+    stored once as long as one writer at a time appends to a cache."""
     path = tokenizer_path(tokenizer)
     version = tokenizer_version(path)
     known = read_cache(docs.sparkSession, cache_dir).where(F.col("tokenizer") == version).select("digest")
@@ -125,8 +126,8 @@ def token_counts(docs: DataFrame, cache_dir: str, tokenizer: str = "byte_bpe_50k
     tokenizer's library counts them by default; nothing is added, cut or padded."""
     append_misses(docs, cache_dir, tokenizer)
     version = tokenizer_version(tokenizer_path(tokenizer))
-    # a rerun after a lost driver can append a digest twice, with the same count
-    cache = read_cache(docs.sparkSession, cache_dir).where(F.col("tokenizer") == version).groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
+    # a digest is stored once, so the cache side needs no aggregate and the join splits a digest that very many rows share
+    cache = read_cache(docs.sparkSession, cache_dir).where(F.col("tokenizer") == version).select("digest", "n_tokens")
     rows = docs.select("doc_id", utf8_length(F.col("text")).alias("n_bytes"), content_digest(F.col("text")).alias("digest"))
     found = rows.join(cache, "digest", "left")
     return found.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
