@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,6 +18,8 @@ SEGMENT_BYTES = 1 << 21
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
+#: All ASCII signs divide words too.
+SIGNS = np.array([c < 128 and not chr(c).isalnum() for c in range(256)])
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15 | 3)  # P, with P - 1 = 2 mod 4
@@ -66,12 +69,12 @@ def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers["up"], _powers["down"]
 
 
-def _hash_segment(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _hash_segment(data: np.ndarray, offsets: np.ndarray, gaps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the words of some texts laid end to end, and where each text's words begin."""
     n = len(data)
     if n == 0:
         return np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64)
-    space = _SPACE[data]
+    space = gaps[data]
     before, after = np.empty(n, bool), np.empty(n, bool)
     before[0], before[1:] = True, space[:-1]
     after[-1], after[:-1] = True, space[1:]
@@ -84,31 +87,31 @@ def _hash_segment(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np
     return mix64(hashes), np.searchsorted(starts, offsets)
 
 
-def _hash_long(data: np.ndarray) -> np.ndarray:
+def _hash_long(data: np.ndarray, gaps: np.ndarray) -> np.ndarray:
     """Word hashes of one long text, by pieces cut at blanks (a single longer word grows its piece)."""
     parts, start = [], 0
     while start < len(data):
         end = min(len(data), start + SEGMENT_BYTES)
         if end < len(data):
-            blanks = np.flatnonzero(_SPACE[data[start:end]])
+            blanks = np.flatnonzero(gaps[data[start:end]])
             while not len(blanks) and end < len(data):
                 at, end = end, min(len(data), end + SEGMENT_BYTES)
-                blanks = np.flatnonzero(_SPACE[data[at:end]]) + (at - start)
+                blanks = np.flatnonzero(gaps[data[at:end]]) + (at - start)
             if len(blanks) and end < len(data):
                 end = start + int(blanks[-1]) + 1
-        parts.append(_hash_segment(data[start:end], np.array([0, end - start]))[0])
+        parts.append(_hash_segment(data[start:end], np.array([0, end - start]), gaps)[0])
         start = end
     return np.concatenate(parts)
 
 
-def word_hashes(texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+def word_hashes(texts: pa.Array, gaps: np.ndarray = _SPACE) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(first row, word hashes, word offsets) of consecutive rows of a string array, in segments of bounded bytes.
 
-    Words are lower-cased in A to Z; null counts as empty."""
+    Words are runs of bytes outside `gaps`, lower-cased in A to Z; null counts as empty."""
     if isinstance(texts, pa.ChunkedArray):
         texts = texts.combine_chunks()
     offsets = np.zeros(len(texts) + 1, np.int64)
-    lengths = np.array(pa.compute.fill_null(pa.compute.binary_length(texts), 0), np.int64)
+    lengths = np.array(pc.fill_null(pc.binary_length(texts), 0), np.int64)
     np.cumsum(lengths, out=offsets[1:])
     kind = np.int64 if pa.types.is_large_string(texts.type) else np.int32
     places = np.frombuffer(texts.buffers()[1], kind)[texts.offset : texts.offset + len(texts) + 1] if len(texts) else np.zeros(1, kind)
@@ -119,8 +122,8 @@ def word_hashes(texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]
         last = max(first + 1, int(np.searchsorted(offsets, offsets[first] + SEGMENT_BYTES, "right")) - 1)
         piece = data[int(places[first]) : int(places[last])]
         if last == first + 1 and len(piece) > SEGMENT_BYTES:
-            hashes = _hash_long(piece)
+            hashes = _hash_long(piece, gaps)
             yield first, hashes, np.array([0, len(hashes)])
         else:
-            yield first, *_hash_segment(piece, (places[first : last + 1] - places[first]).astype(np.int64))
+            yield first, *_hash_segment(piece, (places[first : last + 1] - places[first]).astype(np.int64), gaps)
         first = last

@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from talkloom.llm import media, mixing, sharding, url_filters, warc
+from talkloom.llm import decontamination, media, mixing, near_dedup, quality_classifier, sharding, toxicity, url_filters, warc
 from talkloom.llm import token_counts as tokens
 from talkloom.llm.common import table
 from talkloom.session import ensure_checkpoint_dir
@@ -21,10 +21,18 @@ def op1_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filters.judge_pages(table(spark, sf_dir, "pages"))
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed_documents(table(spark, sf_dir, "documents"))
 
 
+def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Both derivatives of every page, with their whole blocks."""
     return warc.derivatives(warc.page_responses(table(spark, sf_dir, "pages")), ["page_id"])
@@ -34,6 +42,15 @@ def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.document_shards(table(spark, sf_dir, "documents"))
 
 
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text in which a benchmark item is found, with the items."""
+    return decontamination.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_classifier.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op9_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.text_media(table(spark, sf_dir, "documents"))
 
@@ -44,9 +61,13 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_url_filters": (op1_url_filters, None),
+    "op2_toxicity": (op2_toxicity, None),
     "op3_mixing": (op3_mixing, None),
+    "op4_near_dedup": (op4_near_dedup, None),
     "op5_warc": (op5_warc, None),
     "op6_sharding": (op6_sharding, None),
+    "op7_decontamination": (op7_decontamination, None),
+    "op8_quality": (op8_quality, None),
     "op9_media": (op9_media, None),
     "op10_token_counts": (op10_token_counts, None),
 }
