@@ -90,9 +90,9 @@ def equivalent_form(url: Column) -> Column:
     return F.concat(F.lit("https://"), host, path, F.when(kept != "", F.concat(F.lit("?"), kept)).otherwise(""))
 
 
-def redirect_edges(pages: DataFrame) -> DataFrame:
-    """url, alias of the redirects that `equivalent_form` describes; addresses without a host have none."""
-    known = pages.select("url").where(url_host(F.col("url")) != "").distinct()
+def redirect_edges(addresses: DataFrame) -> DataFrame:
+    """url, alias of the redirects that `equivalent_form` describes; an `url` without a host has none."""
+    known = addresses.select("url").where(url_host(F.col("url")) != "").distinct()
     return known.select("url", equivalent_form(F.col("url")).alias("alias")).where("url <> alias")
 
 
@@ -126,4 +126,6 @@ def judge(pages: DataFrame, edges: DataFrame, rules: DataFrame) -> DataFrame:
 def judge_pages(pages: DataFrame, rules: DataFrame | None = None) -> DataFrame:
     """`judge` over all that the pages tell of aliases, under the default rules unless others are given."""
     rules = rule_table(pages.sparkSession) if rules is None else rules
-    return judge(pages, declared_edges(pages).unionByName(redirect_edges(pages)), rules)
+    declared = materialise(declared_edges(pages))  # else every page's html would be searched once for each use
+    addresses = pages.select("url").unionByName(declared.select(F.col("alias").alias("url")))
+    return judge(pages, declared.unionByName(redirect_edges(addresses)), rules)
