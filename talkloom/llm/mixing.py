@@ -12,6 +12,7 @@ from __future__ import annotations
 import heapq
 import math
 import random
+from fractions import Fraction
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -53,13 +54,13 @@ def sainte_lague(votes: list[float], seats: int) -> list[int]:
             low = middle
         else:
             high = middle
-    won = given(low)
-    queue = [(-v / (2 * won[i] + 1), i) for i, v in enumerate(votes) if v > 0]
+    won = given(low * (1 - 1e-9))  # short of the last seats, which exact quotients decide
+    queue = [(-Fraction(v) / (2 * won[i] + 1), i) for i, v in enumerate(votes) if v > 0]
     heapq.heapify(queue)
     for _ in range(seats - sum(won)):
         _, i = heapq.heappop(queue)
         won[i] += 1
-        heapq.heappush(queue, (-votes[i] / (2 * won[i] + 1), i))
+        heapq.heappush(queue, (-Fraction(votes[i]) / (2 * won[i] + 1), i))
     return won
 
 
@@ -93,14 +94,14 @@ def source_plan(sizes: dict, weights: tuple[int, ...] = WEIGHTS, block: int = BL
 PLAN_SCHEMA = "sid int, source string, source_size bigint, target double, blocks bigint, upto array<bigint>, step bigint, start bigint, parts bigint"
 
 
-def block_uses(docs: DataFrame, n_shards: int = 8, seed: int = 7, block: int = BLOCK_WORDS) -> DataFrame:
-    """`docs` (doc_id, text, source) as one struct column `row`, with size, source_size, target, sid, first (the place of
-    the document's first word in its source) and uses: how often each block that it touches is taken."""
+def block_uses(docs: DataFrame, columns: list[str], n_shards: int = 8, seed: int = 7, block: int = BLOCK_WORDS) -> DataFrame:
+    """`columns` of `docs` (doc_id, text, source) as one struct column `row`, with size, source_size, target, sid, first (the
+    place of the document's first word in its source) and uses: how often each block that it touches is taken."""
     size = word_count(F.col("text"))
     totals = docs.groupBy("source").agg(F.sum(size).alias("n")).collect()
     plan = docs.sparkSession.createDataFrame(source_plan({r["source"]: r["n"] for r in totals}, block=block, n_shards=n_shards, seed=seed), PLAN_SCHEMA)
     rows = docs.select(
-        F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"),
+        F.struct(*[docs[f"`{c}`"] for c in columns]).alias("row"),
         size.alias("size"),
         F.col("source").alias("of"),
         F.xxhash64(F.lit(seed), "doc_id", "text").alias("mix"),
@@ -132,7 +133,7 @@ def mixed_documents(docs: DataFrame, n_shards: int = 8, seed: int = 7, block: in
     `taken`: words that the mix takes from the document, repeats counted, at most twice its size. A null or empty text
     has size 0 and gives nothing; null is a source of its own, after all others. Repeated rows are separate documents.
     The same rows and seed give the same result. An empty table gives an empty result; other columns are ignored."""
-    used = block_uses(docs.select("doc_id", "text", "source"), n_shards, seed, block)
+    used = block_uses(docs, ["doc_id"], n_shards, seed, block)
     head = F.col("first") % block  # words of the first block that lie before the document
     overlap = lambda i: F.least(F.lit(block) * (i + 1) - head, F.col("size")) - F.greatest(F.lit(block) * i - head, F.lit(0))
     parts = F.transform("uses", lambda n, i: n * overlap(i))
@@ -145,7 +146,7 @@ def mix(docs: DataFrame, n_shards: int = 8, seed: int = 7, block: int = BLOCK_WO
 
     A document used in part keeps the words of its used blocks, each with the white space after it; one used whole keeps
     its text. Unused documents, and those without words, are left out. `n_chars` follows the text where it exists."""
-    used = block_uses(docs, n_shards, seed, block)
+    used = block_uses(docs, docs.columns, n_shards, seed, block)
     at = F.col("first")
     copies = used.withColumn("copy", F.explode(F.sequence(F.lit(1), F.greatest(F.array_max("uses"), F.lit(1)))))
     copies = copies.where(F.exists("uses", lambda n: n >= F.col("copy")))
