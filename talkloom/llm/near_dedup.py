@@ -88,26 +88,27 @@ def text_sets(docs: DataFrame) -> DataFrame:
 
 
 def candidate_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """id, n, signature, shingles of the texts of `wanted` (id, digest); a row of another digest under that id is left out."""
+    """id, n, signature, bands, shingles of the texts of `wanted` (id, digest); a row of another digest under that id is left out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            kept, sizes, signatures, sets = [], [], [], []
+            kept, sizes, signatures, bands, sets = [], [], [], [], []
             for k, (values, digest) in enumerate(zip(_sets(batch.column("text")), batch.column("digest"), strict=True)):
                 if _digest(values) == digest.as_py():
                     kept.append(k)
                     sizes.append(len(values))
                     signatures.append(minima(values, _LONG_A, _LONG_B).astype(np.uint8).tobytes())
+                    bands.append(minima(values, _BAND_A, _BAND_B).tobytes())
                     sets.append(values.view(np.int64))
             ids = batch.column("id").take(pa.array(kept, pa.int64()))
             offsets = pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32))
             lists = pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(sets) if sets else np.zeros(0, np.int64)))
-            columns = [ids, pa.array(sizes, pa.int64()), pa.array(signatures, pa.binary()), lists]
-            yield pa.RecordBatch.from_arrays(columns, ["id", "n", "signature", "shingles"])
+            columns = [ids, pa.array(sizes, pa.int64()), pa.array(signatures, pa.binary()), pa.array(bands, pa.binary()), lists]
+            yield pa.RecordBatch.from_arrays(columns, ["id", "n", "signature", "bands", "shingles"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     texts = docs.select(F.col("doc_id").alias("id"), "text").join(wanted, "id").select("id", "digest", "text")
-    return texts.mapInArrow(run, f"id {kind}, n bigint, signature binary, shingles array<bigint>")
+    return texts.mapInArrow(run, f"id {kind}, n bigint, signature binary, bands binary, shingles array<bigint>")
 
 
 def least_matches(similarity: float, miss: float) -> list[int]:
@@ -171,7 +172,9 @@ def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 def _outside_pairs(members: DataFrame, sets: DataFrame, percent: int, miss: float) -> DataFrame:
     """Possible pairs (a, b) of different components with an outsider among them, from buckets split into blocks.
 
-    `members`: bucket, id, component, outside, outsiders and insiders (of the bucket; the first member counts as neither)."""
+    `members`: bucket, band, id, component, outside, outsiders and insiders (of the bucket; the first member counts as neither).
+    A pair that shares buckets in several bands is emitted in the first of them alone. It has been compared before if one
+    of the two is the first member there, and it is in no need of it if both are insiders there."""
     needed = least_matches(percent / 100, miss)
     blocks = lambda c: F.ceil(F.col(c) / BLOCK).cast("int")
     own = F.when(F.col("outside"), F.pmod(F.xxhash64("id"), blocks("outsiders"))).otherwise(F.pmod(F.xxhash64("id"), blocks("insiders"))).cast("int")
@@ -183,8 +186,8 @@ def _outside_pairs(members: DataFrame, sets: DataFrame, percent: int, miss: floa
     outer = F.concat(same, F.transform(all_inner, lambda o: place(F.col("own"), -o - 1, 0)))
     inner = F.transform(all_outer, lambda o: place(o, -F.col("own") - 1, 1))
     dealt = members.withColumn("own", own).withColumn("at", F.explode(F.when(F.col("outside"), outer).otherwise(inner)))
-    keyed = dealt.select(F.xxhash64("bucket", "at.i", "at.j").alias("task"), (F.col("at.i") == F.col("at.j")).alias("alone"), "at.side", "id", "component")
-    full = keyed.join(sets.select("id", "n", "signature"), "id").repartition("task").sortWithinPartitions("task")
+    keyed = dealt.select(F.xxhash64("bucket", "at.i", "at.j").alias("task"), (F.col("at.i") == F.col("at.j")).alias("alone"), "at.side", "band", "id", "component")
+    full = keyed.join(sets.select("id", "n", "signature", "bands"), "id").repartition("task").sortWithinPartitions("task")
 
     def compare(rows: pa.Table) -> Iterator[pa.RecordBatch]:
         side, ids = rows["side"].to_numpy(), rows["id"].to_numpy()
@@ -200,6 +203,9 @@ def _outside_pairs(members: DataFrame, sets: DataFrame, percent: int, miss: floa
         if len(i):
             signatures = _signatures(rows["signature"])
             alive = _alike(signatures, signatures, i, j, needed)
+            bands = np.frombuffer(b"".join(rows["bands"].to_pylist()), np.uint64).reshape(len(ids), BANDS, -1)
+            shared = (bands[i[alive]] == bands[j[alive]]).all(axis=2)
+            alive = alive[shared.argmax(axis=1) == rows["band"][0].as_py()]
             a, b = np.minimum(ids[i[alive]], ids[j[alive]]), np.maximum(ids[i[alive]], ids[j[alive]])
             if len(a):
                 yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
@@ -240,7 +246,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, miss: float = 1e-5) -> D
     )
     width = 4 * ROWS
     keys = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda k: F.xxhash64(k, F.substring(F.col("bands"), k * width + 1, F.lit(width))))
-    banded = classes.where("id is not null").select("id", "digest", F.explode(keys).alias("bucket"))
+    banded = classes.where("id is not null").select("id", "digest", F.posexplode(keys).alias("band", "bucket"))
     shared = materialise(banded.groupBy("bucket").agg(F.count("*").alias("n"), F.min("id").alias("first")).where("n > 1"))
     members = materialise(banded.join(shared, "bucket"))
     sets = materialise(candidate_sets(docs, members.select("id", "digest").distinct()))
@@ -250,7 +256,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, miss: float = 1e-5) -> D
     own = members.where("n > 2").join(joined.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
     firsts = joined.select(F.col("node").alias("first"), F.col("component").alias("first_component"))
     placed = own.join(firsts, "first", "left").where("id <> first").withColumn("outside", F.col("component") != F.coalesce("first_component", "first"))
-    placed = materialise(placed.select("bucket", "id", "component", "outside"))
+    placed = materialise(placed.select("bucket", "band", "id", "component", "outside"))
     counted = placed.groupBy("bucket").agg(F.sum(F.col("outside").cast("int")).alias("outsiders"), F.sum((~F.col("outside")).cast("int")).alias("insiders"))
     open_buckets = materialise(counted.where("outsiders > 0"))
     more = materialise(verify(_outside_pairs(placed.join(open_buckets, "bucket"), sets, percent, miss), sets, percent))
