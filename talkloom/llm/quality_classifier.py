@@ -102,6 +102,12 @@ def trusted_positives(labels: DataFrame, most: int = MOST_POSITIVES) -> DataFram
     return sure.where(share)
 
 
+def _marked(docs: DataFrame, positives: DataFrame) -> DataFrame:
+    """text, chosen. At most MOST_POSITIVES ids, so the broadcast has a bound, and texts are not shuffled."""
+    marked = docs.select("doc_id", "text").join(F.broadcast(positives.select("doc_id", F.lit(True).alias("chosen"))), "doc_id", "left")
+    return marked.select("text", F.coalesce("chosen", F.lit(False)).alias("chosen"))
+
+
 def gather(docs: DataFrame, positives: DataFrame) -> dict[str, np.ndarray]:
     """Sums of feature products over all texts (u) and over the positives (p): two WIDTH x WIDTH counts."""
 
@@ -116,9 +122,7 @@ def gather(docs: DataFrame, positives: DataFrame) -> dict[str, np.ndarray]:
         cell = np.flatnonzero(sums[0])
         yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(sums[0][cell]), pa.array(sums[1][cell])], ["cell", "u", "p"])
 
-    # at most MOST_POSITIVES ids, so the broadcast has a bound, and texts are not shuffled
-    marked = docs.select("doc_id", "text").join(F.broadcast(positives.select("doc_id", F.lit(True).alias("chosen"))), "doc_id", "left")
-    counted = marked.select("text", F.coalesce("chosen", F.lit(False)).alias("chosen")).mapInArrow(run, "cell bigint, u bigint, p bigint")
+    counted = _marked(docs, positives).mapInArrow(run, "cell bigint, u bigint, p bigint")
     found = {"u": np.zeros(WIDTH * WIDTH), "p": np.zeros(WIDTH * WIDTH)}
     for row in counted.groupBy("cell").agg(F.sum("u").alias("u"), F.sum("p").alias("p")).collect():  # WIDTH^2 rows at most
         found["u"][row["cell"]], found["p"][row["cell"]] = row["u"], row["p"]
@@ -156,21 +160,80 @@ def fit(sums: dict[str, np.ndarray], prior: float, steps: int = 4000, rate: floa
     return w
 
 
+def weigh(rows: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """The linear score of each row of places, within -2 and 2."""
+    return np.clip(w[rows].sum(axis=1), -2.0, 2.0)
+
+
+#: Steps of the linear score for which positives and all texts are counted.
+STEPS = 400
+
+
+def calibrate(counts_u: np.ndarray, counts_p: np.ndarray, prior: float) -> np.ndarray:
+    """The probability of label 1 for each step of the linear score: prior times the ratio of the shares of positives and
+    of all texts, made monotone by pooling adjacent violators (weighted by all texts)."""
+    blocks: list[list[float]] = []  # positives, all texts, steps
+    scale = prior * counts_u.sum() / max(1.0, counts_p.sum())
+    for u, p in zip(counts_u.tolist(), (counts_p * scale).tolist(), strict=True):
+        blocks.append([p, u, 1])
+        while len(blocks) > 1 and blocks[-2][0] * blocks[-1][1] >= blocks[-1][0] * blocks[-2][1]:
+            last = blocks.pop()
+            blocks[-1] = [a + b for a, b in zip(blocks[-1], last, strict=True)]
+    return np.concatenate([np.full(int(n), min(1.0, p / u) if u else 0.0) for p, u, n in blocks])
+
+
+def _step(scores: np.ndarray) -> np.ndarray:
+    return np.minimum(((scores + 2.0) / 4.0 * STEPS).astype(np.int64), STEPS - 1)
+
+
+class Scorer:
+    """A fitted classifier: weights, and the calibrated probability of each step of the linear score. A few kilobytes."""
+
+    def __init__(self, weights: np.ndarray, curve: np.ndarray):
+        self.weights, self.curve = weights, curve
+
+    def __call__(self, texts: pa.Array) -> np.ndarray:
+        scores = weigh(_places(texts), self.weights)
+        # the linear score breaks ties inside a step, by less than a step of the curve can
+        return np.clip(self.curve[_step(scores)] * 0.999 + (scores + 2.0) / 4000.0, 0.0, 1.0)
+
+
+def train(docs: DataFrame, labels: DataFrame) -> Scorer:
+    """Fit on the trusted positives of `labels` and all texts of `docs`; without positives every score is about 0.5."""
+    positives = trusted_positives(labels)
+    sums = gather(docs, positives)
+    if not sums["p"][0, 0]:
+        return Scorer(np.zeros(WIDTH), np.full(STEPS, 0.5))
+    prior = class_prior(sums)
+    w = fit(sums, prior)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros((2, STEPS), np.int64)
+        for batch in batches:
+            steps = _step(weigh(_places(batch.column("text")), w))
+            chosen = batch.column("chosen").to_numpy(zero_copy_only=False).astype(bool)
+            counts[0] += np.bincount(steps, minlength=STEPS)
+            counts[1] += np.bincount(steps[chosen], minlength=STEPS)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(STEPS)), pa.array(counts[0]), pa.array(counts[1])], ["step", "u", "p"])
+
+    counted = _marked(docs, positives).mapInArrow(run, "step bigint, u bigint, p bigint")
+    found = {r["step"]: (r["u"], r["p"]) for r in counted.groupBy("step").agg(F.sum("u").alias("u"), F.sum("p").alias("p")).collect()}
+    u, p = (np.array([found.get(k, (0, 0))[side] for k in range(STEPS)], float) for side in (0, 1))
+    return Scorer(w, calibrate(u, p, prior))
+
+
 def quality_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
     """doc_id, held_out, score, predicted for every row of `docs` (doc_id, text), learnt from `labels` (doc_id, quality).
 
-    Rows of fold 0 never lend their labels. Score is (1 + g) / 2 within 0 and 1, the squared loss's estimate of the
-    probability of label 1. Null and empty texts have the features of no text, and a score like any other; a null id is
+    Rows of fold 0 never lend their labels. Score is the calibrated probability of label 1. Null and empty texts have the features of no text, and a score like any other; a null id is
     held out of nothing (held_out false) and is unlabelled; repeated rows are each scored and each count; without
-    positives all scores are 0.5. An empty table gives an empty result; other columns are ignored."""
-    sums = gather(docs, trusted_positives(labels))
-    learnt = sums["p"][0, 0] > 0
-    w = fit(sums, class_prior(sums)) if learnt else np.zeros(WIDTH)
+    positives all scores are about 0.5. An empty table gives an empty result; other columns are ignored."""
+    score = train(docs, labels)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            scores = np.clip((1 + w[_places(batch.column("text"))].sum(axis=1)) / 2, 0.0, 1.0)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(scores)], ["doc_id", "held_out", "score"])
+            columns = [batch.column("doc_id"), batch.column("held_out"), pa.array(score(batch.column("text")))]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "held_out", "score"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     held = docs.select("doc_id", F.coalesce(fold(F.col("doc_id")) == 0, F.lit(False)).alias("held_out"), "text")
@@ -180,12 +243,10 @@ def quality_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
     """The rows of `docs`, with all columns, that the classifier accepts; scored where they lie, without a shuffle."""
-    sums = gather(docs, trusted_positives(labels))
-    w = fit(sums, class_prior(sums)) if sums["p"][0, 0] > 0 else np.zeros(WIDTH)
+    score = train(docs, labels)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            scores = np.clip((1 + w[_places(batch.column("text"))].sum(axis=1)) / 2, 0.0, 1.0)
-            yield batch.filter(pa.array(scores >= threshold))
+            yield batch.filter(pa.array(score(batch.column("text")) >= threshold))
 
     return docs.mapInArrow(run, docs.schema)

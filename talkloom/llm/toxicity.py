@@ -1,9 +1,10 @@
 """Toxicity by two Kneser-Ney models, one of toxic text and one of ordinary text.
 
-Both are interpolated: pairs of word classes back off to words, and words to one distribution that the models share,
-made of continuation counts (in how many contexts a word occurs) over the whole corpus, labelled or not. A word that is
-rare in one class is thus smoothed by what all text knows of it. A text is scored by the difference of the two mean log
-likelihoods per word, and a logistic curve fitted on labelled rows that no count has seen turns it into a probability.
+Both are interpolated: pairs of word classes back off to words, words to the counts of the whole corpus, labelled or
+not, which both models share, and those to continuation counts (in how many contexts a word occurs). Most of the weight
+lies on the shared counts, so an expression that is rare in one class is smoothed by what all text knows of it, and
+only what a class has far too often tells. A text is scored by the difference of the two mean log likelihoods per word,
+and a logistic curve fitted on labelled rows that no count has seen turns it into a probability.
 
 Words are hashed into WORDS places and, for pairs, into CLASSES classes, so a model has a fixed size whatever the
 corpus. Counting is one pass whose partial tables are summed by key."""
@@ -23,6 +24,8 @@ WORDS = 1 << 20
 CLASSES = 1 << 9
 #: Contexts are told apart by a hash of this many values; their number is found by linear counting.
 CONTEXTS = 32
+#: Weight of the shared counts against a class's own, for words and for pairs.
+SHARED_WORDS, SHARED_PAIRS = 0.97, 0.995
 #: Labelled rows taken at most, chosen by hash; they are broadcast to the texts (12 bytes each).
 MOST_LABELS = 1 << 18
 #: Labelled rows of this fold fit the curve, those of the others but 0 the counts.
@@ -48,13 +51,13 @@ def known_labels(labels: DataFrame, most: int = MOST_LABELS) -> DataFrame:
 
 
 def count_words(marked: DataFrame) -> pa.Table:
-    """key, ordinary, toxic, contexts: counts by word (key below WORDS) and by pair of classes (above), summed over all rows.
+    """key, ordinary, toxic, whole, contexts: counts by word (key below WORDS) and by pair of classes (above), over all rows.
 
-    `marked`: text, and toxic (0, 1, or -1 for texts that count for contexts only)."""
+    `marked`: text, and toxic (0, 1, or -1 for texts that count for the whole only)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = [np.zeros(WORDS, np.int64) for _ in range(2)]
-        pairs = [np.zeros(CLASSES * CLASSES, np.int64) for _ in range(2)]
+        counts = [np.zeros(WORDS, np.int64) for _ in range(3)]
+        pairs = [np.zeros(CLASSES * CLASSES, np.int64) for _ in range(3)]
         seen = np.zeros(WORDS * CONTEXTS, bool)
         for batch in batches:
             marks = batch.column("toxic").to_numpy()
@@ -66,16 +69,19 @@ def count_words(marked: DataFrame) -> pa.Table:
                     if (mark == c).any():
                         counts[c] += np.bincount(word[mark == c], minlength=WORDS)
                         pairs[c] += np.bincount(pair[mark == c], minlength=CLASSES * CLASSES)
+                counts[2] += np.bincount(word, minlength=WORDS)
+                pairs[2] += np.bincount(pair, minlength=CLASSES * CLASSES)
         bits = seen.reshape(WORDS, CONTEXTS) @ (1 << np.arange(CONTEXTS, dtype=np.int64)) if seen.any() else np.zeros(WORDS, np.int64)
-        used, met = np.flatnonzero(bits), np.flatnonzero(pairs[0] + pairs[1])
-        columns = [np.concatenate([used, WORDS + met]), *(np.concatenate([counts[c][used], pairs[c][met]]) for c in (0, 1))]
+        used, met = np.flatnonzero(counts[2]), np.flatnonzero(pairs[2])
+        columns = [np.concatenate([used, WORDS + met]), *(np.concatenate([counts[c][used], pairs[c][met]]) for c in range(3))]
         columns.append(np.concatenate([bits[used], np.zeros(len(met), np.int64)]))
         for start in range(0, len(columns[0]), 1 << 16):
-            yield pa.RecordBatch.from_arrays([pa.array(c[start : start + (1 << 16)]) for c in columns], ["key", "ordinary", "toxic", "contexts"])
+            yield pa.RecordBatch.from_arrays([pa.array(c[start : start + (1 << 16)]) for c in columns], ["key", *names])
 
-    parts = marked.select("text", "toxic").mapInArrow(run, "key bigint, ordinary bigint, toxic bigint, contexts bigint")
-    whole = parts.groupBy("key").agg(F.sum("ordinary").alias("ordinary"), F.sum("toxic").alias("toxic"), F.bit_or("contexts").alias("contexts"))
-    return whole.toArrow()  # WORDS + CLASSES^2 rows at most
+    names = ["ordinary", "toxic", "whole", "contexts"]
+    parts = marked.select("text", "toxic").mapInArrow(run, "key bigint, " + ", ".join(f"{name} bigint" for name in names))
+    summed = parts.groupBy("key").agg(*[F.sum(name).alias(name) for name in names[:3]], F.bit_or("contexts").alias("contexts"))
+    return summed.toArrow()  # WORDS + CLASSES^2 rows at most
 
 
 def _discount(counts: np.ndarray) -> float:
@@ -95,7 +101,7 @@ def log_ratios(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     """What each word, and each pair of classes, adds to the difference of the log likelihoods, toxic less ordinary."""
     key = table["key"].to_numpy()
     columns = {}
-    for name in ("ordinary", "toxic", "contexts"):
+    for name in ("ordinary", "toxic", "whole", "contexts"):
         full = np.zeros(WORDS + CLASSES * CLASSES, np.int64)
         full[key] = table[name].to_numpy()
         columns[name] = full
@@ -103,14 +109,21 @@ def log_ratios(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     filled = np.zeros(WORDS, np.int64)
     for k in range(CONTEXTS):
         filled += (bits >> k) & 1
-    contexts = -CONTEXTS * np.log1p(-np.minimum(filled, CONTEXTS - 0.5) / CONTEXTS)
-    shared = (contexts + 0.05) / (contexts + 0.05).sum()
-    words = [_backed(columns[c][:WORDS], shared) for c in ("ordinary", "toxic")]
-    pairs = [columns[c][WORDS:].reshape(CLASSES, CLASSES) for c in ("ordinary", "toxic")]
-    follows = ((pairs[0] + pairs[1]) > 0).sum(axis=0) + 0.05
-    classes = [_backed(p.sum(axis=0), follows / follows.sum()) for p in pairs]
-    lift = [np.log(_backed(p, c[None, :]) / c[None, :]) for p, c in zip(pairs, classes, strict=True)]
-    return np.log(words[1] / words[0]).astype(np.float32), (lift[1] - lift[0]).ravel().astype(np.float32)
+    contexts = 0.05 - CONTEXTS * np.log1p(-np.minimum(filled, CONTEXTS - 0.5) / CONTEXTS)
+    shared = _backed(columns["whole"][:WORDS], contexts / contexts.sum())
+    ordinary, toxic = (_mixed(columns[c][:WORDS], shared, SHARED_WORDS) for c in ("ordinary", "toxic"))
+    pairs = {c: columns[c][WORDS:].reshape(CLASSES, CLASSES) for c in ("ordinary", "toxic", "whole")}
+    follows = (pairs["whole"] > 0).sum(axis=0) + 0.05
+    classes = _backed(pairs["whole"].sum(axis=0), follows / follows.sum())
+    after = _backed(pairs["whole"], classes[None, :])
+    lift = {}
+    for c in ("ordinary", "toxic"):  # how much likelier a class of words is after a context than by itself
+        lift[c] = np.log(_mixed(pairs[c], after, SHARED_PAIRS) / _mixed(pairs[c].sum(axis=0), classes, SHARED_PAIRS)[None, :])
+    return np.log(toxic / ordinary).astype(np.float32), (lift["toxic"] - lift["ordinary"]).ravel().astype(np.float32)
+
+
+def _mixed(counts: np.ndarray, shared: np.ndarray, weight: float) -> np.ndarray:
+    return (1 - weight) * _backed(counts, shared) + weight * shared
 
 
 def text_ratios(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], others: list[str]) -> DataFrame:
@@ -136,17 +149,21 @@ def text_ratios(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], others: l
 
 def _inputs(n_words: np.ndarray, ratio: np.ndarray) -> np.ndarray:
     """What the curve sees: the mean ratio, the same by the root of the length, and the length."""
-    return np.stack([np.ones(len(ratio)), 10 * ratio, ratio * np.sqrt(n_words), np.log1p(n_words) / 5], axis=1)
+    return np.stack([ratio, ratio * np.sqrt(n_words), np.log1p(n_words)], axis=1)
 
 
-def fit_curve(n_words: np.ndarray, ratio: np.ndarray, toxic: np.ndarray, ridge: float = 1.0) -> np.ndarray:
-    """Weights of a logistic curve, by Newton steps on a ridged likelihood."""
-    x, w = _inputs(n_words, ratio), np.zeros(4)
+def fit_curve(n_words: np.ndarray, ratio: np.ndarray, toxic: np.ndarray, ridge: float = 0.1) -> np.ndarray:
+    """Constant and weights of a logistic curve, by Newton steps on a ridged likelihood of standardised inputs."""
+    x = _inputs(n_words, ratio)
+    middle, spread = x.mean(axis=0), x.std(axis=0) + 1e-12
+    x, w = np.column_stack([np.ones(len(x)), (x - middle) / spread]), np.zeros(4)
+    held = ridge * np.array([0.0, 1.0, 1.0, 1.0]) + 1e-9
     for _ in range(30):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        slope = x.T @ (toxic - p) - ridge * w
-        w = w + np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + ridge * np.eye(4), slope)
-    return w
+        w = w + np.clip(np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + np.diag(held), x.T @ (toxic - p) - held * w), -3, 3)
+    if min(w[1], w[2]) < 0:  # too few rows: a likelier toxic text never scores less
+        w[1:3] = max(w[1] + w[2], 0.0), 0.0
+    return np.concatenate([[w[0] - (w[1:] * middle / spread).sum()], w[1:] / spread])
 
 
 def toxicity_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -167,6 +184,6 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
     held = docs.select("doc_id", F.coalesce(fold(F.col("doc_id")) == 0, F.lit(False)).alias("held_out"), "text")
     found = text_ratios(held, model, ["doc_id", "held_out"])
     n, ratio = F.col("n_words"), F.col("ratio")
-    z = F.lit(float(w[0])) + 10 * float(w[1]) * ratio + float(w[2]) * ratio * F.sqrt(n) + float(w[3]) / 5 * F.log1p(n)
+    z = F.lit(float(w[0])) + float(w[1]) * ratio + float(w[2]) * ratio * F.sqrt(n) + float(w[3]) * F.log1p(n)
     score = 1 / (1 + F.exp(-F.greatest(F.least(z, F.lit(30.0)), F.lit(-30.0)))) if learnt else F.lit(0.0)
     return found.withColumn("score", score).select("doc_id", "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "n_words", "ratio")
