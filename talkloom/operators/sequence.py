@@ -8,8 +8,8 @@ sequence into blocks of consecutive positions and shuffle by (key, block):
 * ``running`` computes block totals first (a small table), then offsets, then the running value
   inside each block;
 * ``bounded_greedy`` runs a greedy grouping ("extend until the next row would break a limit") over
-  all blocks at once: each block works out, for every row a group could start at, where the first
-  group beyond the block would start; following those jumps block by block gives each block's true
+  all blocks at once: each block works out, for the rows that its first group may start at, where the
+  first group beyond the block would start; pointer doubling over those jumps gives each block's true
   entry point, and the blocks are then walked in parallel.
 """
 
@@ -129,114 +129,130 @@ def bounded_greedy(
     """Greedy grouping of a dense sequence; returns (keys, pos, group) with groups numbered from 0.
 
     ``next_start(cols, i, n)`` gets the rows' column arrays and says where the group after the one
-    starting at row ``i`` starts (``i < j <= n``); it looks at no more than ``reach`` rows, and gives
-    -1 when it ran out of rows undecided. Only the narrow columns travel to Python. ``stored`` says the
-    input is a stored table already, and need not be written once more.
+    starting at row ``i`` starts (``i < j <= n``), or -1 when it ran out of rows undecided. Only the
+    narrow columns travel to Python. ``reach`` is the usual length of a group: so many rows of the next
+    block are read along, and so many first rows of a block are tried as places where its first group
+    may start. A longer group is no error: the blocks that it leaves open are walked again from its end,
+    with more rows read along, until none is open. ``stored`` says the input is a stored table already.
     """
     narrow = df.select(*keys, pos, *columns)
     narrow = narrow if stored else materialise(narrow)
     fields = {f.name: f.dataType for f in narrow.schema.fields}
     key_fields = [T.StructField(k, fields[k]) for k in keys]
-    row_type = T.StructType([*key_fields, T.StructField(pos, T.LongType()), T.StructField("group", T.LongType())])
-
-    if reach >= block:
-        raise ValueError(f"reach={reach} must be smaller than block={block}")
-
-    def arrays(pdf: pd.DataFrame) -> dict[str, list]:
-        return {c: pdf[c].tolist() for c in (pos, *columns)}
-
-    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(pos, kind="stable")
-        cols, n = arrays(pdf), len(pdf)
-        group, i, g = np.empty(n, dtype=np.int64), 0, 0
-        while i < n:
-            j = next_start(cols, i, n)
-            j = n if j < 0 else j
-            group[i:j] = g
-            i, g = j, g + 1
-        out = pdf[[*keys, pos]].copy()
-        out["group"] = group
-        return out
-
-    oversized = narrow.where(F.col(pos) >= block).limit(1)
-    if oversized.isEmpty():
-        return narrow.groupBy(*keys).applyInPandas(walk, row_type)
-
-    home = block_of(pos, block)
-    halo = F.array_compact(F.array(home, F.when((F.pmod(F.col(pos), F.lit(block)) < reach) & (home > 0), home - 1)))
+    longs = lambda *names: T.StructType([*key_fields, *[T.StructField(n, T.LongType()) for n in names]])
     ends = narrow.groupBy(*keys).agg(F.max(pos).alias("__last"))
-    spread = narrow.join(ends, list(keys)).withColumn(_BLOCK, F.explode(halo))
-    jump_type = T.StructType(
-        [
-            *key_fields,
-            T.StructField(_BLOCK, T.LongType()),
-            T.StructField(pos, T.LongType()),
-            T.StructField("__next", T.LongType()),
-            T.StructField("__exit", T.LongType()),
-            T.StructField("__hops", T.LongType()),
-        ]
-    )
+    blocks = (narrow.agg(F.max(pos)).first()[0] or 0) // block + 1
 
-    def jumps(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(pos, kind="stable")
-        cols, n = arrays(pdf), len(pdf)
-        first, last = cols[pos][0], int(pdf["__last"].iloc[0])
-        own = int((pdf[pos] // block == pdf[_BLOCK]).sum())
-        final = cols[pos][n - 1] == last
-        nxt = np.empty(own, dtype=np.int64)
-        leave = np.empty(own, dtype=np.int64)
-        hops = np.empty(own, dtype=np.int64)
-        for i in range(own - 1, -1, -1):
-            j = next_start(cols, i, n)
-            if j < 0:
-                if not final:
-                    raise ValueError(f"a group looks further ahead than reach={reach} rows; raise reach")
-                j = n
-            nxt[i] = first + j
-            leave[i], hops[i] = (first + j, 1) if j >= own else (leave[j], hops[j] + 1)
-        out = pdf.iloc[:own][[*keys, _BLOCK, pos]].copy()
-        out["__next"], out["__exit"], out["__hops"] = nxt, leave, hops
-        return out
-
-    jumped = materialise(spread.groupBy(*keys, _BLOCK).applyInPandas(jumps, jump_type))
+    def around(halo: int) -> DataFrame:
+        """Rows of each block and so many after it, with the last position of their key."""
+        first = F.greatest(F.lit(0), F.expr(f"(`{pos}` - {halo}) div {block}"))
+        return narrow.join(ends, list(keys)).withColumn(_BLOCK, F.explode(F.sequence(first, block_of(pos, block))))
 
-    entry_type = T.StructType(
-        [*key_fields, T.StructField(_BLOCK, T.LongType()), T.StructField("__entry", T.LongType()), T.StructField("__g", T.LongType())]
-    )
+    def walked(pdf: pd.DataFrame, starts: list[int]) -> tuple[dict[int, tuple[int, int]], dict[int, int]]:
+        """For rows of a block where a group may start: the first start beyond the block (-1 if open) and the
+        groups until then; and the next start of every row met on the way."""
+        cols, n = {c: pdf[c].tolist() for c in (pos, *columns)}, len(pdf)
+        own = int((pdf[pos] // block == pdf[_BLOCK]).sum())
+        final = cols[pos][n - 1] == int(pdf["__last"].iloc[0])
+        following: dict[int, int] = {}
+        leaves: dict[int, tuple[int, int]] = {}
+        for start in starts:
+            path, i = [], start
+            while i < own and i not in leaves:
+                if i not in following:
+                    j = next_start(cols, i, n)
+                    following[i] = j if j >= 0 else n if final else -1
+                path.append(i)
+                i = following[i]
+                if i < 0:
+                    break
+            if i < 0 or i >= own:
+                leave, hops = (cols[pos][0] + i if i >= 0 else -1), 0
+            else:
+                leave, hops = leaves[i]
+            for i in reversed(path):
+                hops += 1
+                leaves[i] = (leave, hops)
+        return leaves, following
 
-    def chain(pdf: pd.DataFrame) -> pd.DataFrame:
-        exits = dict(zip(pdf[pos].to_numpy(), zip(pdf["__exit"].to_numpy(), pdf["__hops"].to_numpy())))
-        at, g, rows = 0, 0, []
-        while at in exits:
-            rows.append((at // block, at, g))
-            at, step = exits[at]
-            g += step
-        out = pd.DataFrame(rows, columns=[_BLOCK, "__entry", "__g"])
-        for k in keys:
+    def jumps(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(pos, kind="stable").reset_index(drop=True)
+        first, own = int(pdf[pos].iloc[0]), int((pdf[pos] // block == pdf[_BLOCK]).sum())
+        if "__wanted" in pdf:
+            starts = [int(pdf["__wanted"].iloc[0]) - first]
+        else:
+            starts = [0] if pdf[_BLOCK].iloc[0] == 0 else list(range(min(own, reach + 1)))
+        leaves, _ = walked(pdf, starts)
+        out = pd.DataFrame([(first + i, *leaves[i]) for i in starts], columns=["__entry", "__exit", "__hops"], dtype="int64")
+        for k in reversed(keys):
             out.insert(0, k, pdf[k].iloc[0])
-        return out[[*keys, _BLOCK, "__entry", "__g"]]
+        return out
 
-    candidates = jumped.where(F.pmod(F.col(pos), F.lit(block)) <= reach).select(*keys, pos, "__exit", "__hops")
-    entries = candidates.groupBy(*keys).applyInPandas(chain, entry_type)
+    jump_type = longs("__entry", "__exit", "__hops")
+    begin = ends.select(*keys, F.lit(0).cast("long").alias("__entry"), F.lit(0).cast("long").alias("__g"))
+    if blocks == 1:  # every key's one block is entered at its first row
+        entries = begin
+    else:
+        known = materialise(around(reach).groupBy(*keys, _BLOCK).applyInPandas(jumps, jump_type))
+        halo = reach
+        while True:
+            entries = materialise(_follow(known, begin, keys, blocks))
+            ending = entries.join(ends, list(keys)).where(F.col("__entry") <= F.col("__last"))
+            unknown = ending.join(known.where("__exit >= 0"), [*keys, "__entry"], "left_anti")
+            unknown = materialise(unknown.select(*keys, F.col("__entry").alias("__wanted"), block_of("__entry", block).alias(_BLOCK)))
+            if unknown.isEmpty():
+                break
+            halo *= 8
+            again = around(halo).join(unknown, [*keys, _BLOCK]).groupBy(*keys, _BLOCK, "__wanted").applyInPandas(jumps, jump_type)
+            kept = known.join(unknown.withColumnRenamed("__wanted", "__entry"), [*keys, "__entry"], "left_anti")
+            known = materialise(kept.unionByName(again))
+        reach = max(reach, halo)
 
     def label(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(pos, kind="stable")
-        at, g0 = pdf["__entry"].iloc[0], pdf["__g"].iloc[0]
-        first, n = int(pdf[pos].iloc[0]), len(pdf)
-        nxt = pdf["__next"].to_numpy()
-        group = np.full(n, -1 if pd.isna(at) else int(g0) - 1, dtype=np.int64)
-        if not pd.isna(at):
-            i, g = int(at) - first, int(g0)
-            while i < n:
-                j = min(int(nxt[i]) - first, n)
-                group[i:j] = g
+        pdf = pdf.sort_values(pos, kind="stable").reset_index(drop=True)
+        first, own = int(pdf[pos].iloc[0]), int((pdf[pos] // block == pdf[_BLOCK]).sum())
+        entry, g = pdf["__entry"].iloc[0], int(pdf["__g"].iloc[0])
+        group = np.full(own, g if pd.isna(entry) else g - 1, dtype=np.int64)
+        if not pd.isna(entry):
+            i = int(entry) - first
+            _, following = walked(pdf, [i])
+            while 0 <= i < own:
+                j = following[i]
+                group[i : own if j < 0 else j] = g
                 i, g = j, g + 1
-        out = pdf[[*keys, pos]].copy()
+        out = pdf.iloc[:own][[*keys, pos]].copy()
         out["group"] = group
         return out
 
-    return (
-        jumped.join(entries, [*keys, _BLOCK], "left")
-        .groupBy(*keys, _BLOCK)
-        .applyInPandas(label, row_type)
-    )
+    row_type = T.StructType([*key_fields, T.StructField(pos, T.LongType()), T.StructField("group", T.LongType())])
+    top = entries.groupBy(*keys).agg(F.max("__g").alias("__top"))  # an entry after the last row tells the number of groups
+    placed = entries.join(ends, list(keys)).where(F.col("__entry") <= F.col("__last")).drop("__last").withColumn(_BLOCK, block_of("__entry", block))
+    full = around(reach)
+    if blocks == 1:
+        labelled = full.join(placed, [*keys, _BLOCK])
+    else:
+        # a block without an entry lies inside the last group that started before it
+        span = F.sequence(F.lit(0), block_of("__last", block))
+        every = ends.select(*keys, F.explode(span).alias(_BLOCK)).join(placed, [*keys, _BLOCK], "left")
+        before = Window.partitionBy(*keys).orderBy(F.desc(_BLOCK)).rowsBetween(Window.unboundedPreceding, -1)
+        # the next entry's number is one more than that of the group which covers everything up to it
+        later = F.min("__g").over(before)
+        filled = every.withColumn("__later", later).join(top, list(keys))
+        number = F.coalesce("__g", F.col("__later") - 1, F.col("__top") - 1)
+        labelled = full.join(filled.select(*keys, _BLOCK, "__entry", number.alias("__g")), [*keys, _BLOCK])
+    return labelled.groupBy(*keys, _BLOCK).applyInPandas(label, row_type)
+
+
+def _follow(known: DataFrame, begin: DataFrame, keys: Sequence[str], blocks: int) -> DataFrame:
+    """Entries met from each key's first row, with the number of groups before each, by pointer doubling:
+    after k rounds all entries within 2^k jumps are known, and a jump skips 2^k blocks."""
+    met, steps, span = begin, known.where("__exit >= 0"), 1
+    while span <= blocks:
+        onward = met.join(steps, [*keys, "__entry"]).select(*keys, F.col("__exit").alias("__entry"), (F.col("__g") + F.col("__hops")).alias("__g"))
+        met = materialise(met.unionByName(onward).distinct())
+        second = steps.select(*keys, F.col("__entry").alias("__exit"), F.col("__exit").alias("__end"), F.col("__hops").alias("__more"))
+        steps = materialise(
+            steps.join(second, [*keys, "__exit"]).select(*keys, "__entry", F.col("__end").alias("__exit"), (F.col("__hops") + F.col("__more")).alias("__hops"))
+        )
+        span *= 2
+    return met

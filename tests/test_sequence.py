@@ -73,9 +73,19 @@ def test_greedy_is_the_same_for_every_block_size(rows, block):
         assert got[k] == want
 
 
-def test_greedy_refuses_a_reach_that_is_too_small(rows):
-    with pytest.raises(Exception, match="raise reach"):
-        seq.bounded_greedy(rows, ["k"], "pos", ["v"], _sum_limit(1000, 12), reach=4, block=16).collect()
+@pytest.mark.parametrize("block,reach", [(16, 4), (16, 40), (64, 2), (1 << 17, 4)])
+@pytest.mark.parametrize("limit", [40, 400, 10**6])
+def test_greedy_carries_long_groups_over_blocks(rows, block, reach, limit):
+    rule = _sum_limit(limit, 10**6)
+    got = _by_key(seq.bounded_greedy(rows, ["k"], "pos", ["v"], rule, reach=reach, block=block), "group")
+    for k, seqn in _by_key(rows, "v").items():
+        vs, i, g, want = [v for _, v in seqn], 0, 0, []
+        while i < len(vs):
+            j = rule({"v": vs}, i, len(vs))
+            j = len(vs) if j < 0 else j
+            want += [(p, g) for p in range(i, j)]
+            i, g = j, g + 1
+        assert got[k] == want
 
 
 def test_first_n_per_hot_key(rows):
