@@ -23,7 +23,6 @@ from talkloom.operators.visual import marker_hits
 
 VIDEO = ["video_id"]
 ITEM = ["video_id", "chunk_index"]
-WINDOW_ITEMS = 1 << 20  # more items than any one response can hold
 
 
 # --- questions and answers -------------------------------------------------------------------
@@ -145,8 +144,7 @@ def plan_items(responses: DataFrame, limits: ChunkLimits = DEFAULTS.chunk) -> Da
     squashed, clipped, topics lower-case and unique, numbered through the windows of a video."""
     schema = "chunks array<struct<speech_segment_ids:array<string>,title:string,boundary_reason:string,topics:array<string>,notes:string>>"
     rows = responses.select("video_id", "window_index", F.posexplode(F.from_json("body", schema)["chunks"]).alias("i", "c"))
-    placed = rows.withColumn("place", F.col("window_index").cast("long") * WINDOW_ITEMS + F.col("i"))
-    numbered = seq.dense_position(placed, VIDEO, "place", "k")
+    numbered = seq.dense_position(rows.withColumn("window_index", F.col("window_index").cast("long")), VIDEO, "window_index", "k", ties=["i"])
     return numbered.select(
         "video_id",
         (F.col("k") + 1).alias("chunk_index"),
@@ -358,7 +356,7 @@ def merge_qa_splits(items: DataFrame, segments: DataFrame, limits: ChunkLimits =
         )
 
     folded = F.aggregate(
-        F.slice("parts", 2, limits.max_segments), as_item(F.get("parts", 0)), lambda acc, x: fuse(acc, as_item(x))
+        F.slice("parts", 2, F.size("parts")), as_item(F.get("parts", 0)), lambda acc, x: fuse(acc, as_item(x))
     )
     return gathered.select("video_id", (F.col("group") + 1).alias("chunk_index"), folded.alias("f"), F.size("parts").alias("merged_from")).select(
         *ITEM, *[F.col(f"f.{f}").alias(f) for f in fields], "merged_from"

@@ -25,6 +25,8 @@ CLAIM_SCHEMA = (
 )
 LIST_FIELDS = fx.CLAIM_LIST_FIELDS
 TEXT_FIELDS = fx.CLAIM_TEXT_FIELDS
+#: Where a claim comes from: events, and references as JSON texts with sorted keys. United like lists where claims have them.
+PROVENANCE = ["timeline_event_ids", "source_refs"]
 ALL_FIELDS = [*TEXT_FIELDS, *LIST_FIELDS]
 
 
@@ -234,17 +236,22 @@ def unite_lists(rows: DataFrame, group: str, order: str, fields: Sequence[str])
     return gathered
 
 
+def united_fields(claims: DataFrame) -> list[str]:
+    return [*LIST_FIELDS, *[f for f in PROVENANCE if f in claims.columns]]
+
+
 def merge_duplicates(claims: DataFrame, scope: Sequence[str], order: str, carry: Sequence[str]) -> DataFrame:
-    """One claim per key: the first one's scalars, the lists of all in order, and how many there were."""
+    """One claim per key: the first one's scalars, the lists and provenance of all in order, and how many there were."""
+    fields = united_fields(claims)
     keyed = claims.withColumn("__key", claim_key(*scope))
     scalars = keyed.groupBy("__key").agg(
         F.min_by(F.struct(*carry), order).alias("first"), F.count("*").alias("merged_from"), F.min(order).alias("first_order")
     )
-    lists = unite_lists(keyed, "__key", order, LIST_FIELDS)
+    lists = unite_lists(keyed, "__key", order, fields)
     empty = F.array().cast("array<string>")
     return scalars.join(lists, "__key", "left").select(
         *[F.col(f"first.{c}").alias(c) for c in carry],
-        *[F.coalesce(f, empty).alias(f) for f in LIST_FIELDS],
+        *[F.coalesce(f, empty).alias(f) for f in fields],
         "merged_from", "first_order",
     )
 
@@ -337,7 +344,8 @@ def apply_curation(claims: DataFrame, first: DataFrame, merges: DataFrame, carry
             "__order": F.when(F.col("__target").isNull(), F.lit(-1).cast("long")).otherwise(F.col("__at").cast("long")),
         }
     )
-    lists = unite_lists(rows, "__group", "__order", LIST_FIELDS)
+    fields = united_fields(claims)
+    lists = unite_lists(rows, "__group", "__order", fields)
     absorbed = valid.groupBy("video_id", F.col("__target").alias("claim_id")).agg(F.count("*").alias("absorbed"))
     empty = F.array().cast("array<string>")
     levels = first.select("video_id", "claim_id", F.col("confidence_revised").alias("__revised"))
@@ -349,7 +357,7 @@ def apply_curation(claims: DataFrame, first: DataFrame, merges: DataFrame, carry
         .join(levels, ["video_id", "claim_id"], "left")
         .select(
             *carry,
-            *[F.coalesce(f, empty).alias(f) for f in LIST_FIELDS],
+            *[F.coalesce(f, empty).alias(f) for f in fields],
             "confidence_before",
             F.coalesce("__revised", "confidence_before").alias("confidence"),
             F.coalesce("absorbed", F.lit(0)).cast("long").alias("absorbed"),

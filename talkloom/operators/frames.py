@@ -1,7 +1,7 @@
 """Frame quality, quality drop and near-duplicate removal over frame feature tables.
 
-The frame plan puts at most ``max_frames_per_scene`` frames into a scene. The ordered rules below fold
-over that short array inside the JVM; a scene beyond the bound is refused, never cut.
+The frame plan puts at most ``max_frames_per_scene`` frames into a scene, but any number is taken. The ordered
+rules below fold over a scene's array of narrow fields inside the JVM.
 """
 
 from __future__ import annotations
@@ -99,15 +99,9 @@ def quality(frames: DataFrame, limits: SceneLimits = DEFAULTS.scene) -> DataFram
 
 
 def _scene_arrays(frames: DataFrame, keys: list[str], order: str, fields: list[str], limits: SceneLimits) -> DataFrame:
-    """One ordered array of frames per scene, refusing scenes beyond the planned bound."""
-    counted = frames.groupBy(*keys).agg(F.count("*").alias("__n"))
-    within = counted.where(
-        F.assert_true(
-            F.col("__n") <= limits.max_frames_per_scene, "a scene holds more frames than the frame plan allows"
-        ).isNull()
-    )
+    """One ordered array of frames per scene, however many it holds; only the named narrow fields are gathered."""
     rows = F.array_sort(F.collect_list(F.struct(order, *fields)))
-    return frames.join(within.drop("__n"), keys).groupBy(*keys).agg(rows.alias("frames"))
+    return frames.groupBy(*keys).agg(rows.alias("frames"))
 
 
 def quality_drop(frames: DataFrame, keys: list[str], limits: SceneLimits = DEFAULTS.scene, min_frames: int = 1) -> DataFrame:
@@ -141,7 +135,7 @@ def quality_drop(frames: DataFrame, keys: list[str], limits: SceneLimits = DEFAU
 
 
 def hamming_pairs(frames: DataFrame, keys: list[str], max_distance: int, limits: SceneLimits = DEFAULTS.scene) -> DataFrame:
-    """Near-duplicate pairs within a scene; a scene has at most eight planned frames, so at most 28 pairs."""
+    """Near-duplicate pairs within a scene (the plan gives it at most eight frames, so 28 pairs)."""
     scenes = _scene_arrays(frames, keys, "image_index", ["phash"], limits)
     left = scenes.select(*keys, "frames", F.explode("frames").alias("a"))
     pairs = left.select(*keys, "a", F.explode(F.filter("frames", lambda b: b["image_index"] > F.col("a.image_index"))).alias("b"))

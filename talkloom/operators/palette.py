@@ -31,7 +31,7 @@ def median_of(values: Column) -> Column:
 
 def _mean_histogram(histograms: Column) -> Column:
     total = F.aggregate(
-        F.slice(histograms, 2, 1_000_000),
+        F.slice(histograms, 2, F.size(histograms)),
         F.get(histograms, 0),
         lambda acc, h: F.zip_with(acc, h, lambda x, y: x + y),
     )

@@ -103,9 +103,11 @@ def dense_position(
     return running(df, keys, order, sums={out: F.lit(1)}, ties=ties, block=block).withColumn(out, F.col(out) - 1)
 
 
-def first_n(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], n: int, spread: str, parts: int = 64) -> DataFrame:
+def first_n(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], n: int, spread: str, parts: int | None = None) -> DataFrame:
     """The first n rows per key. A key's rows are salted over parts that keep their own first n, so only
-    n x parts rows of the hottest key meet in one task. ``spread`` names a column that varies within a key."""
+    n x parts rows of the hottest key meet in one task. ``spread`` names a column that varies within a key; there are
+    as many parts as shuffle partitions, unless told otherwise."""
+    parts = parts or max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     local = Window.partitionBy(*keys, "__part").orderBy(*order)
     last = Window.partitionBy(*keys).orderBy(*order)
     salted = df.withColumn("__part", F.pmod(F.xxhash64(spread), F.lit(parts))).withColumn("__n", F.row_number().over(local))

@@ -182,14 +182,19 @@ def baseline_leakage(events: DataFrame, markers: DataFrame, keys: Sequence[str])
     return found.select(*keys, "field", F.col("m.marker").alias("marker"))
 
 
-def leakage_metrics(hits: DataFrame, keys: Sequence[str], by: Sequence[str], fields: Sequence[str] = LEAKAGE_FIELDS) -> DataFrame:
-    """Roll-up of marker hits: rows hit, markers (unique per row), fields hit, distinct markers, hits per field.
+def leakage_metrics(
+    hits: DataFrame, keys: Sequence[str], by: Sequence[str], fields: Sequence[str] = LEAKAGE_FIELDS, *, markers: str = "per row"
+) -> DataFrame:
+    """Roll-up of marker hits: rows hit, markers, fields hit, distinct markers, hits per field.
+
+    ``markers`` says whether markers_total counts a marker once "per row" (technical labels) or once "per field" of a
+    row (presentation noise).
 
     Distinct counts run on pre-aggregated keys, so a marker found everywhere does not pile up in one task."""
     per_row = hits.groupBy(*keys, "marker").agg(F.count("*").alias("n"))
     rows = per_row.groupBy(*keys).agg(F.count("*").alias("markers"), F.sum("n").alias("errors"))
     totals = rows.groupBy(*by).agg(
-        F.count("*").alias("scenes"), F.sum("markers").alias("markers_total"), F.sum("errors").alias("structured_errors")
+        F.count("*").alias("scenes"), F.sum("errors" if markers == "per field" else "markers").alias("markers_total"), F.sum("errors").alias("structured_errors")
     )
     per_field = hits.groupBy(*keys, "field").agg(F.count("*").alias("n")).groupBy(*by).agg(
         F.count("*").alias("fields_count"),

@@ -18,7 +18,7 @@ CL = oi.with_ctes(oi.CLAIMS).rstrip() + " "
 def _planted():
     """Claims as a provider might return them: one per document, with faults at fixed intervals."""
     i = F.col("doc_id")
-    sock = F.when(i % 82 == 41, "слитки и носки").when(i % 41 == 0, "слитки").otherwise(F.substring("text", 1, 60))
+    sock = F.when(i % 82 == 41, "слитки и носки").when(i % 41 == 0, "слитки").otherwise(F.col("text"))
     return F.struct(
         F.when(i % 23 == 0, "opinion").otherwise("rule").alias("claim_type"),
         F.when(i % 17 == 0, " Source   Refs ").otherwise(F.col("lang")).alias("subject"),
@@ -26,17 +26,21 @@ def _planted():
         F.when(i % 29 == 0, "  ").otherwise(sock).alias("rationale"),
         F.array().cast("array<string>").alias("conditions"),
         F.array("lang").alias("applies_to"), F.array().cast("array<string>").alias("avoid"), F.array(F.lit("wool")).alias("prefer"),
-        F.when(i % 37 == 0, F.array(F.lit("see chunk_id here"), F.lit("x_chunk_id is fine"))).otherwise(F.array(F.substring("text", 1, 30))).alias("evidence"),
+        F.when(i % 37 == 0, F.array(F.lit("see chunk_id here"), F.lit("x_chunk_id is fine"))).otherwise(F.array("text")).alias("evidence"),
         F.when(i % 31 == 0, F.array(F.lit("Source"), F.lit("metadata"), F.lit("fit"))).otherwise(F.array("lang", "source")).alias("topics"),
         F.when(i % 19 == 0, "sure").when(i % 3 == 0, "").otherwise("high").alias("confidence"),
     )
 
 
+#: Sixteen documents in turn make three chunks, of five, five and six.
+_CHUNK = 3 * F.floor(F.col("doc_id") / 16) + F.least(F.floor(F.col("doc_id") % 16 / 5), F.lit(2))
+CHUNK_SQL = "3 * (doc_id // 16) + least(doc_id % 16 // 5, 2)"
+
+
 def _responses(spark, sf_dir):
-    """Up to six documents to a response; some bodies are broken."""
+    """Five documents to a response, six to every third; some bodies are broken."""
     docs = inputs.table(spark, sf_dir, "documents")
-    chunk = F.floor(F.col("doc_id") / 6)
-    rows = docs.where((F.col("doc_id") % 6 != 5) | (chunk % 3 == 0)).select(chunk.alias("k"), "doc_id", _planted().alias("c"))
+    rows = docs.select(_CHUNK.alias("k"), "doc_id", _planted().alias("c"))
     bodies = rows.groupBy("k").agg(F.array_sort(F.collect_list(F.struct("doc_id", "c"))).alias("cs"))
     good = F.to_json(F.struct(F.transform("cs", lambda x: x["c"]).alias("claims")))
     return bodies.select(
@@ -45,12 +49,11 @@ def _responses(spark, sf_dir):
     )
 
 
-ERRORS = r"""
-WITH dk AS (SELECT *, doc_id // 6 AS k FROM documents WHERE doc_id % 6 <> 5 OR (doc_id // 6) % 3 = 0),
+ERRORS = f"WITH dk AS (SELECT *, {CHUNK_SQL} AS k FROM documents)," + r"""
 sz AS (SELECT k, count(*) AS n FROM dk GROUP BY 1),
 ok AS (SELECT d.*, 'c' || d.k AS custom_id, row_number() OVER (PARTITION BY d.k ORDER BY doc_id) AS claim_index, trim(regexp_replace(text, '\s+', ' ', 'g')) AS ct,
-   CASE WHEN doc_id % 29 = 0 THEN '' WHEN doc_id % 82 = 41 THEN 'слитки и носки' WHEN doc_id % 41 = 0 THEN 'слитки' ELSE trim(regexp_replace(substring(text, 1, 60), '\s+', ' ', 'g')) END AS ra,
-   CASE WHEN doc_id % 37 = 0 THEN 'see chunk_id here' ELSE trim(regexp_replace(substring(text, 1, 30), '\s+', ' ', 'g')) END AS ev FROM dk d JOIN sz USING (k) WHERE sz.n <= 5 AND d.k % 13 NOT IN (5, 6)),
+   CASE WHEN doc_id % 29 = 0 THEN '' WHEN doc_id % 82 = 41 THEN 'слитки и носки' WHEN doc_id % 41 = 0 THEN 'слитки' ELSE trim(regexp_replace(text, '\s+', ' ', 'g')) END AS ra,
+   CASE WHEN doc_id % 37 = 0 THEN 'see chunk_id here' ELSE trim(regexp_replace(text, '\s+', ' ', 'g')) END AS ev FROM dk d JOIN sz USING (k) WHERE sz.n <= 5 AND d.k % 13 NOT IN (5, 6)),
 mk AS (SELECT unnest(['chunk_id','event_id','fingerprint','grounding','metadata','provenance','raw','schema','source_ref','source_refs','timeline_event_ids','timestamp_url','video_id']) AS m),
 fl AS (SELECT custom_id, claim_index, k, 'claim' AS field, ct AS v FROM ok UNION ALL SELECT custom_id, claim_index, k, 'rationale', ra FROM ok UNION ALL SELECT custom_id, claim_index, k, 'evidence', ev FROM ok WHERE ev <> ''
    UNION ALL SELECT custom_id, claim_index, k, 'evidence', 'x_chunk_id is fine' FROM ok WHERE doc_id % 37 = 0
@@ -98,11 +101,14 @@ ATTEMPT_LOG = OUTCOMES + "SELECT custom_id, attempt, error_code, errors, attempt
 
 
 def _chunk_rows(spark, sf_dir):
-    docs = inputs.table(spark, sf_dir, "documents")
-    return docs.where("doc_id % 6 = 0").select(
-        F.concat(F.lit("c"), F.floor(F.col("doc_id") / 6)).alias("chunk_id"), (F.col("doc_id") * 100).alias("start_ms"), (F.col("doc_id") * 100 + 90).alias("end_ms"),
-        F.array(F.concat(F.lit("e"), "doc_id"), F.concat(F.lit("e"), F.col("doc_id") + 1), F.concat(F.lit("x"), F.col("doc_id") % 12)).alias("timeline_event_ids"),
-        F.split(F.substring("text", 1, 120), " ").alias("topics"), F.col("text").alias("combined_text"),
+    """A chunk for each response: its documents are its events, with one more that exists nowhere."""
+    rows = inputs.table(spark, sf_dir, "documents").select(_CHUNK.alias("k"), "doc_id", "text")
+    chunks = rows.groupBy("k").agg(F.array_sort(F.collect_list(F.struct("doc_id", "text"))).alias("d"))
+    first, last, texts = F.array_min("d.doc_id"), F.array_max("d.doc_id"), F.array_join("d.text", "\n")
+    return chunks.select(
+        F.concat(F.lit("c"), "k").alias("chunk_id"), (first * 100).alias("start_ms"), (last * 100 + 90).alias("end_ms"),
+        F.concat(F.transform("d.doc_id", lambda i: F.concat(F.lit("e"), i)), F.array(F.concat(F.lit("x"), first % 12))).alias("timeline_event_ids"),
+        F.split(texts, " ").alias("topics"), texts.alias("combined_text"),
     )
 
 
@@ -119,9 +125,9 @@ def claims_materialised(spark, sf_dir):
 
 CLAIMS_MATERIALISED = OUTCOMES.rstrip() + r"""
 SELECT printf('%s_pending_claim_%02d', o.custom_id, o.claim_index) AS claim_id, o.custom_id AS chunk_id, o.lang AS subject, o.ra AS rationale, CASE WHEN o.doc_id % 3 = 0 THEN 'medium' ELSE 'high' END AS confidence,
-  array_to_string(CASE WHEN claim_index = 2 THEN string_split(substring(h.text, 1, 120), ' ')[1:8] ELSE [o.lang, o.source] END, '|') AS topics, h.doc_id * 100 AS start_ms, h.doc_id * 100 + 90 AS end_ms,
-  'e' || h.doc_id || ',e' || (h.doc_id + 1) || ',x' || (h.doc_id % 12) AS events
-FROM ok o JOIN oc ON oc.custom_id = o.custom_id AND oc.error_code IS NULL JOIN documents h ON h.doc_id = o.k * 6"""
+  array_to_string(CASE WHEN claim_index = 2 THEN string_split(h.texts, ' ')[1:8] ELSE [o.lang, o.source] END, '|') AS topics, h.low * 100 AS start_ms, h.high * 100 + 90 AS end_ms,
+  h.events || ',x' || (h.low % 12) AS events
+FROM ok o JOIN oc ON oc.custom_id = o.custom_id AND oc.error_code IS NULL JOIN (SELECT k, min(doc_id) AS low, max(doc_id) AS high, string_agg(text, chr(10) ORDER BY doc_id) AS texts, string_agg('e' || doc_id, ',' ORDER BY doc_id) AS events FROM dk GROUP BY 1) h ON h.k = o.k"""
 
 
 def chunk_event_integrity(spark, sf_dir):
@@ -131,9 +137,7 @@ def chunk_event_integrity(spark, sf_dir):
     return cl.extraction_payloads(chunks, events).select("chunk_id", "events_count").join(unknown, "chunk_id", "left")
 
 
-CHUNK_EVENT_INTEGRITY = """
-WITH c AS (SELECT doc_id, 'c' || (doc_id // 6) AS chunk_id FROM documents WHERE doc_id % 6 = 0), m AS (SELECT max(doc_id) AS m FROM documents)
-SELECT chunk_id, CAST(CASE WHEN doc_id + 1 > m THEN 1 ELSE 2 END AS BIGINT) AS events_count, CAST(CASE WHEN doc_id + 1 > m THEN 2 ELSE 1 END AS BIGINT) AS unknown_events FROM c, m"""
+CHUNK_EVENT_INTEGRITY = f"SELECT 'c' || ({CHUNK_SQL}) AS chunk_id, count(*) AS events_count, CAST(1 AS BIGINT) AS unknown_events FROM documents GROUP BY 1"
 
 
 def claim_cleanup(spark, sf_dir):
@@ -162,17 +166,24 @@ SELECT claim_id, CASE WHEN claim_pos % 5 = 0 THEN 'коричневый кост
 FROM claims"""
 
 
+def _with_provenance(claims):
+    """Each claim rests on one event, and refers to its source by video and chunk."""
+    return claims.withColumns(
+        {"timeline_event_ids": F.array(F.concat(F.lit("e"), "claim_pos")), "source_refs": F.array(F.to_json(F.struct("chunk_id", F.col("video_id").alias("video_id"))))}
+    )
+
+
 def claims_dedup_merge(spark, sf_dir):
-    """Copies of a text within a language become one claim, with the lists of all copies."""
-    merged = cl.merge_duplicates(inputs.claims(spark, sf_dir), ["subject"], "claim_pos", CARRY)
-    return merged.select("claim_id", "claim_type", "subject", "merged_from", *[F.array_join(f, "|").alias(f) for f in ("applies_to", "prefer", "topics")], F.size("evidence").cast("long").alias("evidence"))
+    """Copies of a text within a language become one claim, with the lists and provenance of all copies."""
+    merged = cl.merge_duplicates(_with_provenance(inputs.claims(spark, sf_dir)), ["subject"], "claim_pos", CARRY)
+    return merged.select("claim_id", "claim_type", "subject", "merged_from", F.array_join("timeline_event_ids", "|").alias("events"), F.md5(F.array_join("source_refs", "|")).alias("refs"), *[F.array_join(f, "|").alias(f) for f in ("applies_to", "prefer", "topics")], F.size("evidence").cast("long").alias("evidence"))
 
 
 DEDUP = CL.rstrip() + r""",
 ck AS (SELECT *, replace(lower(trim(regexp_replace(claim, '\s+', ' ', 'g'))), 'ß', 'ss') AS ckey FROM claims),
-gp AS (SELECT subject, claim_type, ckey, arg_min(claim_id, claim_pos) AS claim_id, count(*) AS merged_from, list(video_id ORDER BY claim_pos) AS vs, flatten(list(list_filter(list_transform(evidence, lambda e: regexp_replace(e, '^\s+|\s+$', '', 'g')), lambda e: e <> '') ORDER BY claim_pos)) AS evs FROM ck GROUP BY 1, 2, 3)
+gp AS (SELECT subject, claim_type, ckey, arg_min(claim_id, claim_pos) AS claim_id, count(*) AS merged_from, string_agg('e' || claim_pos, '|' ORDER BY claim_pos) AS events, list('{"chunk_id":"' || chunk_id || '","video_id":"' || video_id || '"}' ORDER BY claim_pos) AS refs, list(video_id ORDER BY claim_pos) AS vs, flatten(list(list_filter(list_transform(evidence, lambda e: regexp_replace(e, '^\s+|\s+$', '', 'g')), lambda e: e <> '') ORDER BY claim_pos)) AS evs FROM ck GROUP BY 1, 2, 3)
 """
-CLAIMS_DEDUP_MERGE = DEDUP + f"SELECT claim_id, claim_type, subject, merged_from, subject AS applies_to, array_to_string({_ordered_unique('vs')}, '|') AS prefer, subject || '|' || array_to_string({_ordered_unique('vs')}, '|') AS topics, CAST(len(list_distinct(evs)) AS BIGINT) AS evidence FROM gp"
+CLAIMS_DEDUP_MERGE = DEDUP + f"SELECT claim_id, claim_type, subject, merged_from, events, md5(array_to_string({_ordered_unique('refs')}, '|')) AS refs, subject AS applies_to, array_to_string({_ordered_unique('vs')}, '|') AS prefer, subject || '|' || array_to_string({_ordered_unique('vs')}, '|') AS topics, CAST(len(list_distinct(evs)) AS BIGINT) AS evidence FROM gp"
 
 
 def claims_renumbered(spark, sf_dir):
@@ -239,7 +250,7 @@ mg AS (SELECT f.claim_id, f.pos, f.tgt, CASE WHEN t.claim_type IS NULL THEN 'mer
 
 
 def _curation(spark, sf_dir):
-    claims = materialise(inputs.claims(spark, sf_dir).withColumn("source", F.col("video_id")).withColumn("video_id", F.lit("all")))
+    claims = materialise(_with_provenance(inputs.claims(spark, sf_dir)).withColumn("source", F.col("video_id")).withColumn("video_id", F.lit("all")))
     decisions = materialise(_decisions(claims))
     first, errors = cl.normalise_decisions(decisions, claims)
     first = materialise(first)
@@ -257,15 +268,15 @@ CURATION_ERRORS = DEC + "SELECT * FROM errs UNION ALL SELECT claim_id, pos, reas
 def curation_apply(spark, sf_dir):
     claims, first, _, merges = _curation(spark, sf_dir)
     return cl.apply_curation(claims, first, merges, ["video_id", "claim_id", "claim_type", "subject", "start_ms"]).select(
-        "claim_id", "claim_type", "confidence_before", "confidence", "absorbed", F.array_join("prefer", "|").alias("prefer"), F.size("evidence").cast("long").alias("evidence")
+        "claim_id", "claim_type", "confidence_before", "confidence", "absorbed", F.array_join("timeline_event_ids", "|").alias("events"), F.array_join("prefer", "|").alias("prefer"), F.size("evidence").cast("long").alias("evidence")
     )
 
 
 CURATION_APPLY = DEC.rstrip() + r""",
 vm AS (SELECT claim_id, tgt, pos FROM mg WHERE reason IS NULL),
-al AS (SELECT c.claim_id AS g, c.video_id, c.evidence, -1 AS o FROM claims c WHERE c.claim_id NOT IN (SELECT claim_id FROM vm) UNION ALL SELECT v.tgt, c.video_id, c.evidence, v.pos FROM vm v JOIN claims c USING (claim_id)),
-ul AS (SELECT g, list(video_id ORDER BY o) AS vs, flatten(list(list_filter(list_transform(evidence, lambda e: regexp_replace(e, '^\s+|\s+$', '', 'g')), lambda e: e <> '') ORDER BY o)) AS evs, count(*) - 1 AS absorbed FROM al GROUP BY 1)
-""" + f"SELECT c.claim_id, c.claim_type, c.confidence AS confidence_before, coalesce(f.lev, c.confidence) AS confidence, u.absorbed, array_to_string({_ordered_unique('u.vs')}, '|') AS prefer, CAST(len(list_distinct(u.evs)) AS BIGINT) AS evidence FROM claims c JOIN ul u ON u.g = c.claim_id LEFT JOIN fd f ON f.claim_id = c.claim_id WHERE c.claim_id NOT IN (SELECT claim_id FROM vm)"
+al AS (SELECT c.claim_id AS g, c.claim_pos, c.video_id, c.evidence, -1 AS o FROM claims c WHERE c.claim_id NOT IN (SELECT claim_id FROM vm) UNION ALL SELECT v.tgt, c.claim_pos, c.video_id, c.evidence, v.pos FROM vm v JOIN claims c USING (claim_id)),
+ul AS (SELECT g, string_agg('e' || claim_pos, '|' ORDER BY o) AS events, list(video_id ORDER BY o) AS vs, flatten(list(list_filter(list_transform(evidence, lambda e: regexp_replace(e, '^\s+|\s+$', '', 'g')), lambda e: e <> '') ORDER BY o)) AS evs, count(*) - 1 AS absorbed FROM al GROUP BY 1)
+""" + f"SELECT c.claim_id, c.claim_type, c.confidence AS confidence_before, coalesce(f.lev, c.confidence) AS confidence, u.absorbed, u.events, array_to_string({_ordered_unique('u.vs')}, '|') AS prefer, CAST(len(list_distinct(u.evs)) AS BIGINT) AS evidence FROM claims c JOIN ul u ON u.g = c.claim_id LEFT JOIN fd f ON f.claim_id = c.claim_id WHERE c.claim_id NOT IN (SELECT claim_id FROM vm)"
 
 
 def curation_metrics(spark, sf_dir):

@@ -86,12 +86,12 @@ READER_CHECKS = """SELECT 'read ' || lang AS what, count(*) AS rows FROM documen
 def _note_inputs(spark, sf_dir):
     docs = inputs.table(spark, sf_dir, "documents")
     empty = F.array().cast("array<string>")
-    chunks = docs.where("doc_id % 2 = 0").select(
+    chunks = docs.select(
         F.concat(F.lit("c"), "doc_id").alias("chunk_id"), F.concat(F.lit("Doc "), "doc_id").alias("chunk_title"), F.col("source").alias("title"), F.lit("u").alias("url"), F.col("lang").alias("channel"), F.lit("t").alias("timestamp_url"),
         (F.col("doc_id") * 1500).alias("start_ms"), (F.col("doc_id") * 1500 + 250).alias("end_ms"), F.lit("packed").alias("boundary_reason"), F.array("lang", "source").alias("topics"), empty.alias("entities"), F.array(F.lit("audio")).alias("modality"),
         F.array(F.lit("s1"), F.lit("s2")).alias("speech_segment_ids"), F.when(F.col("doc_id") % 4 == 0, F.array(F.lit("host"))).otherwise(empty).alias("speaker_roles"), F.when(F.col("doc_id") % 6 == 0, "brief").otherwise("").alias("presenter_brief"), F.col("text").alias("combined_text"),
     )
-    claims = docs.where("doc_id % 3 = 0").select(
+    claims = docs.select(
         F.concat(F.lit("c"), F.col("doc_id") - F.col("doc_id") % 4).alias("chunk_id"), F.col("doc_id").alias("claim_pos"), F.col("lang").alias("subject"), F.col("source").alias("claim"), F.when(F.col("doc_id") % 2 == 0, "why").otherwise("").alias("rationale"),
         empty.alias("conditions"), F.array(F.lit("a"), F.lit("b")).alias("prefer"), F.when(F.col("doc_id") % 9 == 0, F.array(F.lit("z"))).otherwise(empty).alias("avoid"),
     )
@@ -104,12 +104,12 @@ def render_notes(spark, sf_dir):
 
 
 NOTES = r"""
-WITH cl AS (SELECT 'c' || (doc_id - doc_id % 4) AS chunk_id, doc_id, '- **' || lang || '**: ' || source || CASE WHEN doc_id % 2 = 0 THEN chr(10) || '  - Rationale: why' ELSE '' END || chr(10) || '  - Prefer: a, b' || CASE WHEN doc_id % 9 = 0 THEN chr(10) || '  - Avoid: z' ELSE '' END AS t FROM documents WHERE doc_id % 3 = 0),
+WITH cl AS (SELECT 'c' || (doc_id - doc_id % 4) AS chunk_id, doc_id, '- **' || lang || '**: ' || source || CASE WHEN doc_id % 2 = 0 THEN chr(10) || '  - Rationale: why' ELSE '' END || chr(10) || '  - Prefer: a, b' || CASE WHEN doc_id % 9 = 0 THEN chr(10) || '  - Avoid: z' ELSE '' END AS t FROM documents),
 ct AS (SELECT chunk_id, string_agg(t, chr(10) ORDER BY doc_id) AS t FROM cl GROUP BY 1),
 nt AS (SELECT 'chunks/c' || doc_id || '.md' AS path, regexp_replace(concat_ws(chr(10), '# c' || doc_id || chr(10), '- Chunk title: Doc ' || doc_id, '- Video: [' || source || '](u)', '- Channel: ' || lang, '- Timestamp: [YouTube](t)',
    '- Range: ' || CAST(doc_id * 1500 / 1000 AS DOUBLE) || 's -> ' || CAST((doc_id * 1500 + 250) / 1000 AS DOUBLE) || 's', '- Boundary: packed', '- Topics: ' || lang || ', ' || source, '- Entities: ', '- Modality: audio', '- Speech segments: s1, s2',
    CASE WHEN doc_id % 4 = 0 THEN '- Speaker roles: host' END, CASE WHEN doc_id % 6 = 0 THEN '- Presenter: brief' END, text, CASE WHEN ct.t IS NOT NULL THEN chr(10) || '## Style Claims' || chr(10) || chr(10) || ct.t END), '\s+$', '') || chr(10) AS body
-  FROM documents LEFT JOIN ct ON ct.chunk_id = 'c' || doc_id WHERE doc_id % 2 = 0)
+  FROM documents LEFT JOIN ct ON ct.chunk_id = 'c' || doc_id)
 """
 RENDER_NOTES = NOTES + "SELECT * FROM nt"
 

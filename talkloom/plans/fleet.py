@@ -389,12 +389,12 @@ SELECT * FROM m UNION ALL SELECT job_id, note, kind FROM e UNION ALL SELECT job_
 
 def failure_reports(spark, sf_dir):
     jobs = inputs.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("job_id"), F.when(F.col("o_orderstatus") == "F", "completed").otherwise("failed").alias("status"))
-    failures = inputs.table(spark, sf_dir, "lineitem").where("l_linenumber = 1").select(F.col("l_orderkey").alias("job_id"), F.when(F.col("l_partkey") % 2 == 0, "resolved").when(F.col("l_partkey") % 3 == 0, "failed").alias("report_status"))
+    failures = inputs.table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("job_id"), F.when(F.col("l_partkey") % 2 == 0, "resolved").when(F.col("l_partkey") % 3 == 0, "failed").alias("report_status"))
     return au.failure_reports(failures, jobs).groupBy("class", "job_status").agg(F.count("*").alias("reports"))
 
 
 FAILURE_REPORTS = """SELECT CASE WHEN o_orderstatus = 'F' AND l_partkey % 2 <> 0 THEN 'stale' ELSE 'history' END AS class, CASE WHEN o_orderstatus = 'F' THEN 'completed' ELSE 'failed' END AS job_status, count(*) AS reports
-FROM lineitem JOIN orders ON o_orderkey = l_orderkey WHERE l_linenumber = 1 GROUP BY 1, 2"""
+FROM lineitem JOIN orders ON o_orderkey = l_orderkey GROUP BY 1, 2"""
 
 
 def _files(spark, sf_dir):

@@ -10,17 +10,9 @@ from talkloom.operators import sequence as seq
 from talkloom.operators import transcript as tr
 
 
-TEXT_TABLES = {"conversations", "documents", "embeddings", "pages"}
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A given table. Text tables whose scan has fewer splits than there are cores are spread over the cores, as
-    the expressions on them are costly; a table of many splits is read as it lies."""
-    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    cores = spark.sparkContext.defaultParallelism
-    if name in TEXT_TABLES and df.rdd.getNumPartitions() < cores:
-        return df.repartition(cores)
-    return df
+    """A given table, as it lies."""
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -87,7 +79,7 @@ def claims(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One claim per document; lines are evidence, language and source are topics."""
     docs = table(spark, sf_dir, "documents")
     kinds = F.array(*[F.lit(k) for k in ["rule", "recommendation", "warning", "definition", "example", "exception"]])
-    lines = F.slice(F.split("text", "\n"), 1, 6)
+    lines = F.split("text", "\n")
     empty = F.array().cast("array<string>")
     return docs.select(
         F.col("source").alias("video_id"),
@@ -97,7 +89,7 @@ def claims(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.element_at(kinds, (F.length("lang") + F.ascii("lang")).cast("int") % 6 + 1).alias("claim_type"),
         F.col("lang").alias("subject"),
         F.col("text").alias("claim"),
-        F.substring("text", 1, 80).alias("rationale"),
+        F.col("text").alias("rationale"),
         empty.alias("conditions"),
         F.array("lang").alias("applies_to"),
         empty.alias("avoid"),
@@ -112,7 +104,7 @@ def claims(spark: SparkSession, sf_dir: str) -> DataFrame:
 def visual_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One visual event per document: lines as observations, first words as items."""
     docs = table(spark, sf_dir, "documents")
-    words = F.filter(F.split(F.substring("text", 1, 400), r"[\s.,;:!?]+"), lambda w: w != "")
+    words = F.filter(F.split("text", r"[\s.,;:!?]+"), lambda w: w != "")
     lines = F.filter(F.split("text", "\n"), lambda s: F.trim(s) != "")
     relevance = F.element_at(F.array(*[F.lit(r) for r in ["none", "background", "brief", "primary_example"]]), (F.col("doc_id") % 4 + 1).cast("int"))
     return docs.select(
@@ -121,7 +113,7 @@ def visual_events(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("doc_id"),
         F.get(lines, 0).alias("visual_summary"),
         lines.alias("observations"),
-        F.slice(lines, 2, 2).alias("interpretations"),
+        F.slice(lines, 2, F.size(lines)).alias("interpretations"),
         F.slice(words, 1, 5).alias("items"),
         F.array("lang", "source", F.coalesce(F.get(words, 5), F.lit(""))).alias("style_topics"),
         F.slice(words, 3, 3).alias("on_screen_text"),
@@ -131,7 +123,7 @@ def visual_events(spark: SparkSession, sf_dir: str) -> DataFrame:
             (F.col("doc_id") % 3 == 0).alias("is_recurring"),
             relevance.alias("relevance"),
             F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("baseline "), F.col("doc_id") % 5)).otherwise("").alias("baseline_summary"),
-            F.slice(lines, 3, 2).alias("scene_deltas"),
+            F.slice(lines, 3, F.size(lines)).alias("scene_deltas"),
             F.coalesce(F.get(words, 1), F.lit("")).alias("narrative_brief"),
         ).alias("presenter_context"),
     )

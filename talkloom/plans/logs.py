@@ -63,12 +63,12 @@ def stream_overlay(spark, sf_dir):
         F.lit("all").alias("job_id"), (F.col("doc_id") * 2 + (F.col("action") == "delete").cast("long")).alias("edit_seq"), F.concat(F.lit("claim_"), "doc_id").alias("claim_id"), "action"
     )
     log = live.collect_edits(stream).join(claims.select("claim_id", "claim"), "claim_id").withColumns(
-        {"claim": F.col("claim").withField("claim", F.concat(F.lit("edited: "), F.left(F.col("claim.claim"), F.lit(200)))), "insert_after": none}
+        {"claim": F.col("claim").withField("claim", F.concat(F.lit("edited: "), F.col("claim.claim"))), "insert_after": none}
     )
     return ov.fold_edits(claims, materialise(log)).select("claim_id", F.col("claim.claim").alias("claim"), "edited")
 
 
-STREAM_OVERLAY = oi.with_ctes(oi.CLAIMS) + """SELECT claim_id, CASE WHEN quality = 0 AND trim(rationale) <> '' THEN 'edited: ' || left(claim, 200) ELSE claim END AS claim, coalesce(quality = 0 AND trim(rationale) <> '', false) AS edited
+STREAM_OVERLAY = oi.with_ctes(oi.CLAIMS) + """SELECT claim_id, CASE WHEN quality = 0 AND trim(rationale) <> '' THEN 'edited: ' || claim ELSE claim END AS claim, coalesce(quality = 0 AND trim(rationale) <> '', false) AS edited
 FROM claims LEFT JOIN labels ON doc_id = claim_pos WHERE coalesce(toxic, 0) <> 1"""
 
 

@@ -43,9 +43,9 @@ CLAIMS = r"""
 claims AS (
   SELECT source AS video_id, doc_id AS claim_pos, 'claim_' || doc_id AS claim_id, source || '_c_' || (doc_id % 7) AS chunk_id,
     (['rule','recommendation','warning','definition','example','exception'])[(length(lang) + ascii(lang)) % 6 + 1] AS claim_type,
-    lang AS subject, text AS claim, substring(text, 1, 80) AS rationale, CAST([] AS VARCHAR[]) AS conditions,
+    lang AS subject, text AS claim, text AS rationale, CAST([] AS VARCHAR[]) AS conditions,
     [lang] AS applies_to, CAST([] AS VARCHAR[]) AS avoid, [source] AS prefer,
-    list_filter(string_split(text, chr(10))[1:6], lambda x: x <> '') AS evidence, [lang, source] AS topics,
+    list_filter(string_split(text, chr(10)), lambda x: x <> '') AS evidence, [lang, source] AS topics,
     CASE WHEN n_chars > 2000 THEN 'high' WHEN n_chars > 500 THEN 'medium' ELSE 'low' END AS confidence,
     (doc_id % 50) * 1000 AS start_ms
   FROM documents)"""
@@ -81,10 +81,10 @@ def quote_list(values: list[str]) -> str:
 
 
 VISUAL = r"""
-vev AS (SELECT *, lines[1] AS visual_summary, lines AS observations, lines[2:3] AS interpretations, words[1:5] AS items,
+vev AS (SELECT *, lines[1] AS visual_summary, lines AS observations, lines[2:] AS interpretations, words[1:5] AS items,
     [lang, source, coalesce(words[6], '')] AS style_topics, words[3:5] AS on_screen_text, words[7:8] AS presentation_context, coalesce(lines[-1], '') AS notes,
     doc_id % 3 = 0 AS is_recurring, (['none','background','brief','primary_example'])[doc_id % 4 + 1] AS relevance,
-    CASE WHEN doc_id % 3 = 0 THEN 'baseline ' || (doc_id % 5) ELSE '' END AS baseline_summary, lines[3:4] AS scene_deltas, coalesce(words[2], '') AS narrative_brief
+    CASE WHEN doc_id % 3 = 0 THEN 'baseline ' || (doc_id % 5) ELSE '' END AS baseline_summary, lines[3:] AS scene_deltas, coalesce(words[2], '') AS narrative_brief
   FROM (SELECT doc_id, lang, source, source AS video_id, source || '_scene_' || doc_id AS scene_id,
       list_filter(string_split(text, chr(10)), lambda s: trim(s) <> '') AS lines,
-      list_filter(regexp_split_to_array(substring(text, 1, 400), '[\s.,;:!?]+'), lambda w: w <> '') AS words FROM documents))"""
+      list_filter(regexp_split_to_array(text, '[\s.,;:!?]+'), lambda w: w <> '') AS words FROM documents))"""

@@ -120,7 +120,7 @@ FROM e GROUP BY event_type, m"""
 
 
 def retry_reasons(spark, sf_dir):
-    e = inputs.table(spark, sf_dir, "events").where("event_type = 'error'")
+    e = inputs.table(spark, sf_dir, "events")
     k = F.get_json_object("props", "$.k").cast("int")
     code = F.when(k < 20, 429).when(k < 40, 503).when(k < 60, 404)
     name = F.when(k % 3 == 0, "ReadTimeout").when(k % 3 == 1, "APIConnectionError").otherwise("ValueError")
@@ -128,7 +128,7 @@ def retry_reasons(spark, sf_dir):
 
 
 RETRY_REASONS = """
-WITH e AS (SELECT CAST(json_extract_string(props, '$.k') AS INT) AS k FROM events WHERE event_type = 'error')
+WITH e AS (SELECT CAST(json_extract_string(props, '$.k') AS INT) AS k FROM events)
 SELECT CASE WHEN k < 20 THEN 'rate_limit' WHEN k < 40 THEN 'server_error' WHEN k % 3 = 0 THEN 'timeout' WHEN k % 3 = 1 THEN 'connection' ELSE 'retryable_error' END AS reason, count(*) AS retries FROM e GROUP BY 1"""
 
 
@@ -171,7 +171,7 @@ def _edits(spark, sf_dir):
     claims = _claims(spark, sf_dir)
     labelled = inputs.table(spark, sf_dir, "labels").join(claims, F.col("doc_id") == F.col("claim_pos"))
     i = F.col("doc_id")
-    new_text = F.concat(F.lit("edited: "), F.left(F.col("claim.claim"), F.lit(200)))
+    new_text = F.concat(F.lit("edited: "), F.col("claim.claim"))
     changed = F.col("claim").withField("claim", new_text).withField("claim_type", F.when(i % 9 == 0, "opinion").otherwise("warning"))
     none = F.lit(None).cast("string")
     update = labelled.where("quality = 0").select("job_id", (i * 2).alias("edit_seq"), "claim_id", F.lit("update").alias("action"), changed.alias("claim"), none.alias("insert_after"))
@@ -195,7 +195,7 @@ def effective_claims(spark, sf_dir):
 
 EFF = oi.with_ctes(oi.CLAIMS).rstrip() + """,
 lb AS (SELECT c.*, l.quality, l.toxic FROM claims c LEFT JOIN labels l ON l.doc_id = c.claim_pos),
-eff AS (SELECT claim_id, CASE WHEN quality = 0 AND claim_pos % 9 <> 0 AND trim(rationale) <> '' THEN 'edited: ' || left(claim, 200) ELSE claim END AS claim,
+eff AS (SELECT claim_id, CASE WHEN quality = 0 AND claim_pos % 9 <> 0 AND trim(rationale) <> '' THEN 'edited: ' || claim ELSE claim END AS claim,
     CASE WHEN quality = 0 AND claim_pos % 9 <> 0 AND trim(rationale) <> '' THEN 'warning' ELSE claim_type END AS claim_type, CAST(claim_pos AS VARCHAR) AS order_key,
     coalesce(quality = 0 AND claim_pos % 9 <> 0 AND trim(rationale) <> '', false) AS edited FROM lb WHERE coalesce(toxic, 0) <> 1),
 ok AS (SELECT c.claim_pos AS p, c.claim, c.claim_type, c.claim_pos % 50 AS m FROM claims c WHERE c.claim_pos % 50 IN (3, 4, 5, 6) AND trim(c.claim) <> '' AND trim(c.rationale) <> ''),

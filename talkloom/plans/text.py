@@ -97,11 +97,11 @@ SELECT doc_id, nullif(right(regexp_replace(text, '[\"''»”)\]}}\s]+$', ''), 1)
 def homoglyph_repair(spark, sf_dir):
     """Latin look-alikes planted into Cyrillic words next to each document's own words."""
     docs = inputs.table(spark, sf_dir, "documents")
-    mixed = F.concat(F.lit("кopичнeвый "), F.col("lang"), F.lit(" Пальtо-Kот "), F.substring("text", 1, 60))
+    mixed = F.concat(F.lit("кopичнeвый "), F.col("lang"), F.lit(" Пальtо-Kот "), F.col("text"))
     return docs.select("doc_id", tx.repair_homoglyphs(mixed).alias("repaired"), tx.repair_homoglyphs(F.col("text")).eqNullSafe(F.col("text")).alias("untouched"))
 
 
-HOMOGLYPH_REPAIR = "SELECT doc_id, 'коричневый ' || lang || ' Пальtо-Кот ' || substring(text, 1, 60) AS repaired, true AS untouched FROM documents"
+HOMOGLYPH_REPAIR = "SELECT doc_id, 'коричневый ' || lang || ' Пальtо-Кот ' || text AS repaired, true AS untouched FROM documents"
 
 
 def time_labels(spark, sf_dir):

@@ -65,10 +65,10 @@ def leakage_metrics(spark, sf_dir):
     return vis.leakage_metrics(materialise(hits), KEYS, ["video_id"])
 
 
-def _metrics_sql(source: str, fields: list[str]) -> str:
+def _metrics_sql(source: str, fields: list[str], total: str = "count(DISTINCT scene_id || chr(1) || marker)") -> str:
     per_field = ", ".join(f"count(*) FILTER (field = '{f}') AS {f}_count" for f in fields)
     return (
-        f"SELECT video_id, count(DISTINCT scene_id) AS scenes, count(DISTINCT scene_id || chr(1) || marker) AS markers_total, count(*) AS structured_errors, "
+        f"SELECT video_id, count(DISTINCT scene_id) AS scenes, {total} AS markers_total, count(*) AS structured_errors, "
         f"count(DISTINCT scene_id || chr(1) || field) AS fields_count, {per_field}, count(DISTINCT marker) AS unique_markers FROM {source} GROUP BY 1"
     )
 
@@ -81,12 +81,40 @@ NOISE_FIELDS = [*vis.LEAKAGE_FIELDS, "scene_deltas"]
 
 def presentation_noise_metrics(spark, sf_dir):
     hits = vis.marker_hits(inputs.visual_events(spark, sf_dir), KEYS, [*vis.LEAKAGE_FIELDS, "presenter_context.scene_deltas"], "presentation", RULES)
-    return vis.leakage_metrics(materialise(hits), KEYS, ["video_id"], NOISE_FIELDS)
+    return vis.leakage_metrics(materialise(hits), KEYS, ["video_id"], NOISE_FIELDS, markers="per field")
 
 
 PRESENTATION_NOISE_METRICS = oi.with_ctes(
     oi.VISUAL, _fields(LEAK | {"scene_deltas": "scene_deltas"}), f"ns AS (SELECT DISTINCT video_id, scene_id, field, m AS marker FROM vk WHERE k <> '' AND {_is_presentation('k')})"
-) + _metrics_sql("ns", NOISE_FIELDS)
+) + _metrics_sql("ns", NOISE_FIELDS, "count(*)")  # a marker counts in each field that holds it
+
+
+CHUNK_NOISE = {
+    "visual_text": "[array_to_string(lines, chr(10))]",
+    "presenter_brief": "[narrative_brief]",
+    "topics": "style_topics",
+    "entities": "items",
+    "combined_text": "[coalesce(visual_summary, '') || chr(10) || notes]",
+}
+
+
+def chunk_noise_metrics(spark, sf_dir):
+    """Presentation wording left in the fields of chunks, each chunk made of one visual event."""
+    chunks = inputs.visual_events(spark, sf_dir).select(
+        *KEYS,
+        F.array_join("observations", "\n").alias("visual_text"),
+        F.col("presenter_context.narrative_brief").alias("presenter_brief"),
+        F.col("style_topics").alias("topics"),
+        F.col("items").alias("entities"),
+        F.concat(F.coalesce("visual_summary", F.lit("")), F.lit("\n"), "notes").alias("combined_text"),
+    )
+    hits = vis.marker_hits(chunks, KEYS, list(CHUNK_NOISE), "presentation", RULES)
+    return vis.leakage_metrics(materialise(hits), KEYS, ["video_id"], list(CHUNK_NOISE), markers="per field").withColumnRenamed("scenes", "chunks")
+
+
+CHUNK_NOISE_METRICS = oi.with_ctes(
+    oi.VISUAL, _fields(CHUNK_NOISE), f"cn AS (SELECT DISTINCT video_id, scene_id, field, m AS marker FROM vk WHERE k <> '' AND {_is_presentation('k')})"
+) + _metrics_sql("cn", list(CHUNK_NOISE), "count(*)").replace("AS scenes", "AS chunks")
 
 
 def _profiles(spark, sf_dir):
@@ -226,6 +254,7 @@ QUERIES = {
     "visual_leakage_errors": (leakage_errors, LEAKAGE_ERRORS),
     "leakage_metrics": (leakage_metrics, LEAKAGE_METRICS),
     "presentation_noise_metrics": (presentation_noise_metrics, PRESENTATION_NOISE_METRICS),
+    "chunk_noise_metrics": (chunk_noise_metrics, CHUNK_NOISE_METRICS),
     "baseline_leakage": (baseline_leakage, BASELINE_LEAKAGE),
     "baseline_leakage_metrics": (baseline_metrics, BASELINE_METRICS),
     "label_quarantine": (label_quarantine, LABEL_QUARANTINE),

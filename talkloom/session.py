@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -29,16 +30,23 @@ def build_session(app_name: str = "talkloom", master: str | None = None, **conf:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The shared checkpoint folder the cluster names; a temporary one only where none is set."""
+    """The shared checkpoint folder that spark.checkpoint.dir names. Where none is set, a local master gets a temporary
+    folder; on a cluster, whose machines do not share such a folder, that is an error."""
     current = spark.sparkContext.getCheckpointDir()
     if current:
         return current
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    folder = configured or tempfile.mkdtemp(prefix="talkloom-checkpoint-")
+    folder = spark.conf.get("spark.checkpoint.dir", None) or temporary_folder(spark.sparkContext.master)
     spark.sparkContext.setCheckpointDir(folder)
     return folder
 
 
+def temporary_folder(master: str) -> str:
+    """A machine's own folder, for tests and other runs in one process."""
+    if not re.fullmatch(r"local(\[[^\]]*\])?", master):
+        raise ValueError(f"set spark.checkpoint.dir to a folder that all machines share (master {master})")
+    return tempfile.mkdtemp(prefix="spark-")
+
+
 def materialise(df: DataFrame) -> DataFrame:
     """Write a frame once as a table in the shared checkpoint folder and read it back.
 

@@ -16,4 +16,4 @@ def con():
 @pytest.mark.parametrize("name", list(registered()))
 def test_query(spark, con, name):
     result = compare(spark, con, SF, name)
-    assert not result.startswith(("FAIL", "ERROR")), result
+    assert not result.startswith(("FAIL", "ERROR")) and "EMPTY" not in result, result
