@@ -89,8 +89,8 @@ SERVICE_TOPICS = [
     "timeline", "timeline_event_ids",
 ]
 TECHNICAL_CLAIM_MARKERS = [
-    "chunk_id", "event_id", "fingerprint", "grounding", "metadata", "provenance", "raw", "schema",
-    "source_ref", "source_refs", "timeline_event_ids", "timestamp_url", "video_id",
+    "chunk_id", "event_id", "timeline_event_ids", "source_ref", "source_refs", "timestamp_url", "video_id", "raw",
+    "grounding", "provenance", "metadata", "schema", "fingerprint",
 ]
 TECHNICAL_CLAIM_PHRASES = ["источник и временной диапазон", "связанные события таймлайна"]
 EVIDENCE_PREFIX_PATTERN = (

@@ -212,7 +212,7 @@ def plan_errors(items: DataFrame, segments: DataFrame, limits: ChunkLimits = DEF
     """All errors of a plan: (video_id, chunk_index, segment_id, code, error_class, field)."""
     facts = items.join(item_facts(items, segments), ITEM, "left")
     numbered = seq.neighbour_window(
-        facts, VIDEO, "chunk_index", lambda w: {"prev_index": F.lag("chunk_index").over(w)}, ahead=0
+        facts, VIDEO, "chunk_index", lambda w: {"prev_index": F.lag("chunk_index").over(w)}, ahead=0, dense=False
     )
     no_ids = F.coalesce("ids", F.lit(0)) == 0
     known = ~no_ids & (F.col("unknown_ids") == 0)
@@ -277,6 +277,7 @@ def qa_boundaries(items: DataFrame, segments: DataFrame, limits: ChunkLimits = D
             "right_words": F.lead("words").over(w), "right": F.lead("first").over(w),
         },
         back=0,
+        dense=False,
     )
     gap = F.greatest(F.lit(0), F.col("right.start_ms") - F.col("last.end_ms"))
     split = (

@@ -257,8 +257,8 @@ def merge_duplicates(claims: DataFrame, scope: Sequence[str], order: str, carry:
 
 
 def renumber(claims: DataFrame, video: str = "video_id") -> DataFrame:
-    """Claims in (start, chunk, text) order with running identifiers, counted block by block of time."""
-    placed = seq.dense_position(claims, [video], "start_ms", "position", ties=["chunk_id", "claim"])
+    """Claims in (start, chunk, text) order with running identifiers, counted range by range of that order."""
+    placed = seq.ranked_position(claims, [video], ["start_ms", "chunk_id", "claim"], "position")
     return placed.withColumn("claim_id", tm.ordinal_id(F.col(video), "claim", F.col("position") + 1))
 
 

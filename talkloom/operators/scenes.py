@@ -43,7 +43,7 @@ def scene_violations(scenes: DataFrame) -> DataFrame:
     """Scenes breaking the rules: wrong identifier, no length, gap or overlap with the one before."""
     paired = seq.neighbour_window(
         scenes, VIDEO, "scene_index",
-        lambda w: {"prev_end": F.lag("end_frame").over(w), "prev_index": F.lag("scene_index").over(w)}, ahead=0,
+        lambda w: {"prev_end": F.lag("end_frame").over(w), "prev_index": F.lag("scene_index").over(w)}, ahead=0, dense=False,
     )
     codes = F.array_compact(
         F.array(

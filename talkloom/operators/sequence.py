@@ -43,8 +43,14 @@ def neighbour_window(
     back: int = 1,
     ahead: int = 1,
     block: int = WINDOW_BLOCK,
+    dense: bool = True,
 ) -> DataFrame:
-    """Add columns that look at most ``back`` rows behind and ``ahead`` rows ahead of a dense ``pos``."""
+    """Add columns that look at most ``back`` rows behind and ``ahead`` rows ahead along ``pos``.
+
+    ``dense=False`` takes positions with holes or repetitions, as validators must: the rows are numbered first."""
+    if not dense:
+        numbered = dense_position(df, keys, pos, "__dense", block=block)
+        return neighbour_window(numbered, keys, "__dense", columns, back=back, ahead=ahead, block=block).drop("__dense")
     home = block_of(pos, block)
     offset = F.pmod(F.col(pos), F.lit(block))
     copies = F.array(
@@ -103,6 +109,18 @@ def dense_position(
     return running(df, keys, order, sums={out: F.lit(1)}, ties=ties, block=block).withColumn(out, F.col(out) - 1)
 
 
+def ranked_position(df: DataFrame, keys: Sequence[str], order: Sequence[str], out: str) -> DataFrame:
+    """0-based position of the rows of a key along any columns. Rows are cut into ranges of about equal numbers, so a key
+    that holds very many rows, even at one value of the first column, is spread over many tasks."""
+    cut = materialise(df.repartitionByRange(*keys, *order).withColumn("__part", F.spark_partition_id()))
+    sizes = cut.groupBy(*keys, "__part").agg(F.count("*").alias("__n"))
+    before = Window.partitionBy(*keys).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select(*keys, "__part", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"))
+    inside = Window.partitionBy(*keys, "__part").orderBy(*order)
+    placed = cut.join(starts, [*keys, "__part"]).withColumn(out, F.col("__start") + F.row_number().over(inside) - 1)
+    return placed.drop("__part", "__start")
+
+
 def first_n(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], n: int, spread: str, parts: int | None = None) -> DataFrame:
     """The first n rows per key. A key's rows are salted over parts that keep their own first n, so only
     n x parts rows of the hottest key meet in one task. ``spread`` names a column that varies within a key; there are

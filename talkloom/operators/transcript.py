@@ -464,7 +464,7 @@ def segment_range_errors(ranges: DataFrame, units: DataFrame, limits: SegmentLim
     """All errors of proposed ranges, one row per (video_id, segment_index, code)."""
     contents = range_contents(ranges, units)
     chained = seq.neighbour_window(
-        contents, VIDEO, "segment_index", lambda w: {"prev_end": F.lag("unit_end_index").over(w)}, ahead=0
+        contents, VIDEO, "segment_index", lambda w: {"prev_end": F.lag("unit_end_index").over(w)}, ahead=0, dense=False
     )
     ms = F.col("end_ms") - F.col("start_ms")
     tolerance = int(limits.tolerance_seconds * 1000)
@@ -644,6 +644,7 @@ def segment_violations(segments: DataFrame, units: DataFrame, tokens: DataFrame)
         "seg",
         lambda w: {"prev_end": F.lag("end_pos").over(w)},
         ahead=0,
+        dense=False,
     )
     starts = units.select("video_id", "start_pos", F.lit(True).alias("starts_unit"))
     ends = units.select("video_id", "end_pos", F.col("can_end"))

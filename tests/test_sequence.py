@@ -48,6 +48,23 @@ def test_neighbours_cross_blocks(rows):
             assert n == (vs[i + 3] if i + 3 < len(vs) else None)
 
 
+def test_neighbours_with_holes(spark):
+    data = [("a", p, p) for p in (0, 15, 16, 17, 40, 200, 201)]
+    got = seq.neighbour_window(spark.createDataFrame(data, "k string, pos long, v long"), ["k"], "pos", lambda w: {"p": F.lag("v").over(w), "n": F.lead("v").over(w)}, block=4, dense=False)
+    rows = sorted((r["pos"], r["p"], r["n"]) for r in got.collect())
+    values = [d[2] for d in data]
+    assert rows == list(zip(values, [None, *values], [*values[1:], None]))
+
+
+def test_positions_along_any_columns(spark):
+    rng = random.Random(1)
+    data = [("hot", 5, f"t{rng.randrange(10**6)}") for _ in range(2000)] + [("small", i, "x") for i in range(5)]
+    frame = spark.createDataFrame(data, "k string, at long, text string").repartition(7)
+    for k in ("hot", "small"):
+        rows = sorted((r["position"], r["at"], r["text"]) for r in seq.ranked_position(frame, ["k"], ["at", "text"], "position").where(F.col("k") == k).collect())
+        assert [r[0] for r in rows] == list(range(len(rows))) and [r[1:] for r in rows] == sorted(r[1:] for r in rows)
+
+
 def _sum_limit(limit, longest):
     def next_start(cols, i, n):
         total, j = 0, i
