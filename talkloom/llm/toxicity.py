@@ -25,7 +25,7 @@ CLASSES = 1 << 9
 #: Contexts are told apart by a hash of this many values; their number is found by linear counting.
 CONTEXTS = 32
 #: Weight of the shared counts against a class's own, for words and for pairs.
-SHARED_WORDS, SHARED_PAIRS = 0.97, 0.995
+SHARED_WORDS, SHARED_PAIRS = 0.99, 0.9995
 #: Labelled rows taken at most, chosen by hash; they are broadcast to the texts (12 bytes each).
 MOST_LABELS = 1 << 18
 #: Labelled rows of this fold fit the curve, those of the others but 0 the counts.
