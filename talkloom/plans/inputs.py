@@ -8,11 +8,18 @@ from pyspark.sql import functions as F
 from talkloom.functions import times as tm
 from talkloom.operators import sequence as seq
 from talkloom.operators import transcript as tr
+from talkloom.session import materialise
+
+
+TEXT_TABLES = {"conversations", "documents", "embeddings", "pages"}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A given table, as it lies."""
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A given table, as it lies. The session setting ``spark.talkloom.spread`` (unset unless the caller wants it) deals text
+    tables out to so many partitions, for files of one unsplittable row group; results never depend on it."""
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    spread = int(spark.conf.get("spark.talkloom.spread", "0"))
+    return df.repartition(spread) if spread and name in TEXT_TABLES else df
 
 
 def tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -44,9 +51,9 @@ def tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def turn_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One speech segment per turn, with the speaker roles of the conversation."""
-    toks = tokens(spark, sf_dir)
+def turn_segments(spark: SparkSession, sf_dir: str, toks: DataFrame | None = None) -> DataFrame:
+    """One speech segment per turn, with the speaker roles of the conversation; ``toks`` are its stored tokens, if there are any."""
+    toks = materialise(tokens(spark, sf_dir)) if toks is None else toks
     spans = toks.groupBy("video_id", "turn").agg(
         F.min("start_ms").alias("start_ms"),
         F.max("end_ms").alias("end_ms"),

@@ -36,7 +36,7 @@ TOKEN_MIDPOINT_SCENE = BASE + LAST + f" SELECT t.video_id, t.pos, c.scene_index
 
 
 def _roled(spark, sf_dir):
-    toks = inputs.tokens(spark, sf_dir)
+    toks = materialise(inputs.tokens(spark, sf_dir))
     return materialise(tr.attach_roles(toks, tr.speaker_profiles(toks)))
 
 
@@ -74,8 +74,9 @@ SCENE_VISUALS = ", svs AS (SELECT s.video_id AS vid, s.scene_id AS sid, v.* EXCL
 
 def timeline_events(spark, sf_dir):
     scenes = materialise(fallback_scenes(spark, sf_dir))
-    segs = inputs.turn_segments(spark, sf_dir)
-    events = tl.scene_events(scenes, _scene_visuals(spark, sf_dir, scenes), segs, inputs.tokens(spark, sf_dir))
+    toks = materialise(inputs.tokens(spark, sf_dir))
+    segs = inputs.turn_segments(spark, sf_dir, toks)
+    events = tl.scene_events(scenes, _scene_visuals(spark, sf_dir, scenes), segs, toks)
     refs = F.array_join(F.transform("source_refs", lambda r: F.concat_ws("@", r["type"], r["url"], r["start_ms"], r["end_ms"])), "|")
     return events.select(
         "video_id", "event_id", "scene_id", "start_ms", "end_ms", "speech_text", F.array_join("speech_segment_ids", ",").alias("speech_segment_ids"),
