@@ -26,6 +26,8 @@ CLASSES = 1 << 9
 CONTEXTS = 32
 #: Weight of the shared counts against a class's own, for words and for pairs.
 SHARED_WORDS, SHARED_PAIRS = 0.99, 0.9995
+#: Taken off each count of a word in a class and left to the shared counts: so few occurrences tell nothing of a class.
+CLASS_DISCOUNT = 3.0
 #: Labelled rows taken at most, chosen by hash; they are broadcast to the texts (12 bytes each).
 MOST_LABELS = 1 << 18
 #: Labelled rows of this fold fit the curve, those of the others but 0 the counts.
@@ -89,11 +91,11 @@ def _discount(counts: np.ndarray) -> float:
     return min(0.95, max(0.1, once / (once + 2 * twice))) if once else 0.5
 
 
-def _backed(counts: np.ndarray, shared: np.ndarray) -> np.ndarray:
+def _backed(counts: np.ndarray, shared: np.ndarray, discount: float | None = None) -> np.ndarray:
     """Kneser-Ney probabilities: discounted counts, and what was taken off spread by the shared distribution."""
-    d, total = _discount(counts), counts.sum(axis=-1, keepdims=True)
-    kinds = (counts > 0).sum(axis=-1, keepdims=True)
-    found = (np.maximum(counts - d, 0) + d * kinds * shared) / np.maximum(total, 1)
+    d, total = discount or _discount(counts), counts.sum(axis=-1, keepdims=True)
+    taken = np.minimum(counts, d).sum(axis=-1, keepdims=True)
+    found = (np.maximum(counts - d, 0) + taken * shared) / np.maximum(total, 1)
     return np.where(total > 0, found, shared)
 
 
@@ -111,7 +113,7 @@ def log_ratios(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
         filled += (bits >> k) & 1
     contexts = 0.05 - CONTEXTS * np.log1p(-np.minimum(filled, CONTEXTS - 0.5) / CONTEXTS)
     shared = _backed(columns["whole"][:WORDS], contexts / contexts.sum())
-    ordinary, toxic = (_mixed(columns[c][:WORDS], shared, SHARED_WORDS) for c in ("ordinary", "toxic"))
+    ordinary, toxic = (_mixed(columns[c][:WORDS], shared, SHARED_WORDS, CLASS_DISCOUNT) for c in ("ordinary", "toxic"))
     pairs = {c: columns[c][WORDS:].reshape(CLASSES, CLASSES) for c in ("ordinary", "toxic", "whole")}
     follows = (pairs["whole"] > 0).sum(axis=0) + 0.05
     classes = _backed(pairs["whole"].sum(axis=0), follows / follows.sum())
@@ -122,8 +124,8 @@ def log_ratios(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     return np.log(toxic / ordinary).astype(np.float32), (lift["toxic"] - lift["ordinary"]).ravel().astype(np.float32)
 
 
-def _mixed(counts: np.ndarray, shared: np.ndarray, weight: float) -> np.ndarray:
-    return (1 - weight) * _backed(counts, shared) + weight * shared
+def _mixed(counts: np.ndarray, shared: np.ndarray, weight: float, discount: float | None = None) -> np.ndarray:
+    return (1 - weight) * _backed(counts, shared, discount) + weight * shared
 
 
 def text_ratios(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], others: list[str]) -> DataFrame:
