@@ -43,12 +43,17 @@ def _json_counter(path: str):
 
     Where the same vocabulary also lies beside it as ranks, tiktoken counts with them, which gives the same numbers
     (tests compare the two) at a fifth of the time; texts that it can't take go to the tokenizers library."""
-    from tokenizers import Tokenizer
 
-    tokenizer = Tokenizer.from_file(path)
-    tokenizer.no_truncation()
-    tokenizer.no_padding()
-    slow = lambda text: len(tokenizer.encode(text, add_special_tokens=False))
+    @functools.lru_cache(maxsize=1)
+    def tokenizer():  # loaded only where it is used: every worker of an executor holds its own
+        from tokenizers import Tokenizer
+
+        found = Tokenizer.from_file(path)
+        found.no_truncation()
+        found.no_padding()
+        return found
+
+    slow = lambda text: len(tokenizer().encode(text, add_special_tokens=False))
     twin = path.removesuffix(".json") + ".tiktoken"
     if not os.path.exists(twin):
         return slow
