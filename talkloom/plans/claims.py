@@ -32,15 +32,18 @@ def _planted():
     )
 
 
-#: Sixteen documents in turn make three chunks, of five, five and six.
-_CHUNK = 3 * F.floor(F.col("doc_id") / 16) + F.least(F.floor(F.col("doc_id") % 16 / 5), F.lit(2))
+def _chunk():
+    """Sixteen documents in turn make three chunks, of five, five and six."""
+    return 3 * F.floor(F.col("doc_id") / 16) + F.least(F.floor(F.col("doc_id") % 16 / 5), F.lit(2))
+
+
 CHUNK_SQL = "3 * (doc_id // 16) + least(doc_id % 16 // 5, 2)"
 
 
 def _responses(spark, sf_dir):
     """Five documents to a response, six to every third; some bodies are broken."""
     docs = inputs.table(spark, sf_dir, "documents")
-    rows = docs.select(_CHUNK.alias("k"), "doc_id", _planted().alias("c"))
+    rows = docs.select(_chunk().alias("k"), "doc_id", _planted().alias("c"))
     bodies = rows.groupBy("k").agg(F.array_sort(F.collect_list(F.struct("doc_id", "c"))).alias("cs"))
     good = F.to_json(F.struct(F.transform("cs", lambda x: x["c"]).alias("claims")))
     return bodies.select(
@@ -102,7 +105,7 @@ ATTEMPT_LOG = OUTCOMES + "SELECT custom_id, attempt, error_code, errors, attempt
 
 def _chunk_rows(spark, sf_dir):
     """A chunk for each response: its documents are its events, with one more that exists nowhere."""
-    rows = inputs.table(spark, sf_dir, "documents").select(_CHUNK.alias("k"), "doc_id", "text")
+    rows = inputs.table(spark, sf_dir, "documents").select(_chunk().alias("k"), "doc_id", "text")
     chunks = rows.groupBy("k").agg(F.array_sort(F.collect_list(F.struct("doc_id", "text"))).alias("d"))
     first, last, texts = F.array_min("d.doc_id"), F.array_max("d.doc_id"), F.array_join("d.text", "\n")
     return chunks.select(
