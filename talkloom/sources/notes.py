@@ -141,8 +141,8 @@ def frame_links(frames: DataFrame) -> DataFrame:
 
 
 def write_lines_as_text(lines: DataFrame, folder: str) -> None:
-    """Note lines as text files per path, in order; rows stream from the sort into the writer."""
+    """Note lines as text files per path, in order. A note of very many lines spans several files, whose names keep the order."""
     (
-        lines.repartition("path").sortWithinPartitions("path", "section", "ordinal")
+        lines.repartitionByRange("path", "section", "ordinal").sortWithinPartitions("path", "section", "ordinal")
         .select(F.col("line").alias("value"), "path").write.mode("overwrite").partitionBy("path").text(folder)
     )
