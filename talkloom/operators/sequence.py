@@ -173,7 +173,7 @@ def bounded_greedy(
         groups until then; and the next start of every row met on the way."""
         cols, n = {c: pdf[c].tolist() for c in (pos, *columns)}, len(pdf)
         own = int((pdf[pos] // block == pdf[_BLOCK]).sum())
-        final = cols[pos][n - 1] == int(pdf["__last"].iloc[0])
+        final = blocks == 1 or cols[pos][n - 1] == int(pdf["__last"].iloc[0])
         following: dict[int, int] = {}
         leaves: dict[int, tuple[int, int]] = {}
         for start in starts:
@@ -208,26 +208,6 @@ def bounded_greedy(
             out.insert(0, k, pdf[k].iloc[0])
         return out
 
-    jump_type = longs("__entry", "__exit", "__hops")
-    begin = ends.select(*keys, F.lit(0).cast("long").alias("__entry"), F.lit(0).cast("long").alias("__g"))
-    if blocks == 1:  # every key's one block is entered at its first row
-        entries = begin
-    else:
-        known = materialise(around(reach).groupBy(*keys, _BLOCK).applyInPandas(jumps, jump_type))
-        halo = reach
-        while True:
-            entries = materialise(_follow(known, begin, keys, blocks))
-            ending = entries.join(ends, list(keys)).where(F.col("__entry") <= F.col("__last"))
-            unknown = ending.join(known.where("__exit >= 0"), [*keys, "__entry"], "left_anti")
-            unknown = materialise(unknown.select(*keys, F.col("__entry").alias("__wanted"), block_of("__entry", block).alias(_BLOCK)))
-            if unknown.isEmpty():
-                break
-            halo *= 8
-            again = around(halo).join(unknown, [*keys, _BLOCK]).groupBy(*keys, _BLOCK, "__wanted").applyInPandas(jumps, jump_type)
-            kept = known.join(unknown.withColumnRenamed("__wanted", "__entry"), [*keys, "__entry"], "left_anti")
-            known = materialise(kept.unionByName(again))
-        reach = max(reach, halo)
-
     def label(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(pos, kind="stable").reset_index(drop=True)
         first, own = int(pdf[pos].iloc[0]), int((pdf[pos] // block == pdf[_BLOCK]).sum())
@@ -245,21 +225,39 @@ def bounded_greedy(
         return out
 
     row_type = T.StructType([*key_fields, T.StructField(pos, T.LongType()), T.StructField("group", T.LongType())])
+    jump_type = longs("__entry", "__exit", "__hops")
+    if blocks == 1:  # every key's one block holds it whole and is entered at its first row
+        zero = F.lit(0).cast("long")
+        whole = narrow.withColumns({_BLOCK: zero, "__entry": zero, "__g": zero})
+        return whole.groupBy(*keys).applyInPandas(label, row_type)
+    begin = ends.select(*keys, F.lit(0).cast("long").alias("__entry"), F.lit(0).cast("long").alias("__g"))
+    known = materialise(around(reach).groupBy(*keys, _BLOCK).applyInPandas(jumps, jump_type))
+    halo = reach
+    while True:
+        entries = materialise(_follow(known, begin, keys, blocks))
+        ending = entries.join(ends, list(keys)).where(F.col("__entry") <= F.col("__last"))
+        unknown = ending.join(known.where("__exit >= 0"), [*keys, "__entry"], "left_anti")
+        unknown = materialise(unknown.select(*keys, F.col("__entry").alias("__wanted"), block_of("__entry", block).alias(_BLOCK)))
+        if unknown.isEmpty():
+            break
+        halo *= 8
+        again = around(halo).join(unknown, [*keys, _BLOCK]).groupBy(*keys, _BLOCK, "__wanted").applyInPandas(jumps, jump_type)
+        kept = known.join(unknown.withColumnRenamed("__wanted", "__entry"), [*keys, "__entry"], "left_anti")
+        known = materialise(kept.unionByName(again))
+    reach = max(reach, halo)
+
     top = entries.groupBy(*keys).agg(F.max("__g").alias("__top"))  # an entry after the last row tells the number of groups
     placed = entries.join(ends, list(keys)).where(F.col("__entry") <= F.col("__last")).drop("__last").withColumn(_BLOCK, block_of("__entry", block))
     full = around(reach)
-    if blocks == 1:
-        labelled = full.join(placed, [*keys, _BLOCK])
-    else:
-        # a block without an entry lies inside the last group that started before it
-        span = F.sequence(F.lit(0), block_of("__last", block))
-        every = ends.select(*keys, F.explode(span).alias(_BLOCK)).join(placed, [*keys, _BLOCK], "left")
-        before = Window.partitionBy(*keys).orderBy(F.desc(_BLOCK)).rowsBetween(Window.unboundedPreceding, -1)
-        # the next entry's number is one more than that of the group which covers everything up to it
-        later = F.min("__g").over(before)
-        filled = every.withColumn("__later", later).join(top, list(keys))
-        number = F.coalesce("__g", F.col("__later") - 1, F.col("__top") - 1)
-        labelled = full.join(filled.select(*keys, _BLOCK, "__entry", number.alias("__g")), [*keys, _BLOCK])
+    # a block without an entry lies inside the last group that started before it
+    span = F.sequence(F.lit(0), block_of("__last", block))
+    every = ends.select(*keys, F.explode(span).alias(_BLOCK)).join(placed, [*keys, _BLOCK], "left")
+    before = Window.partitionBy(*keys).orderBy(F.desc(_BLOCK)).rowsBetween(Window.unboundedPreceding, -1)
+    # the next entry's number is one more than that of the group which covers everything up to it
+    later = F.min("__g").over(before)
+    filled = every.withColumn("__later", later).join(top, list(keys))
+    number = F.coalesce("__g", F.col("__later") - 1, F.col("__top") - 1)
+    labelled = full.join(filled.select(*keys, _BLOCK, "__entry", number.alias("__g")), [*keys, _BLOCK])
     return labelled.groupBy(*keys, _BLOCK).applyInPandas(label, row_type)
 
 

@@ -90,8 +90,7 @@ def test_greedy_is_the_same_for_every_block_size(rows, block):
         assert got[k] == want
 
 
-@pytest.mark.parametrize("block,reach", [(16, 4), (16, 40), (64, 2), (1 << 17, 4)])
-@pytest.mark.parametrize("limit", [40, 400, 10**6])
+@pytest.mark.parametrize("block,reach,limit", [(64, 4, 400), (128, 300, 40), (128, 2, 10**6), (1 << 17, 4, 400)])
 def test_greedy_carries_long_groups_over_blocks(rows, block, reach, limit):
     rule = _sum_limit(limit, 10**6)
     got = _by_key(seq.bounded_greedy(rows, ["k"], "pos", ["v"], rule, reach=reach, block=block), "group")
