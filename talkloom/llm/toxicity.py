@@ -32,7 +32,6 @@ CLASS_DISCOUNT = 3.0
 MOST_LABELS = 1 << 18
 #: Labelled rows of this fold fit the curve, those of the others but 0 the counts.
 CURVE_FOLD = 4
-MOST_CURVE = 50_000
 
 
 def _tokens(hashes: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -154,35 +153,47 @@ def _inputs(n_words: np.ndarray, ratio: np.ndarray) -> np.ndarray:
     return np.stack([ratio, ratio * np.sqrt(n_words), np.log1p(n_words)], axis=1)
 
 
-def fit_curve(n_words: np.ndarray, ratio: np.ndarray, toxic: np.ndarray, ridge: float = 0.1) -> np.ndarray:
-    """Constant and weights of a logistic curve, by Newton steps on a ridged likelihood of standardised inputs."""
+def fit_curve(n_words: np.ndarray, ratio: np.ndarray, toxic: np.ndarray, n: np.ndarray, ridge: float = 0.1) -> np.ndarray:
+    """Constant and weights of a logistic curve, by Newton steps on a ridged likelihood of standardised inputs; n counts equal rows."""
     x = _inputs(n_words, ratio)
-    middle, spread = x.mean(axis=0), x.std(axis=0) + 1e-12
+    middle = np.average(x, axis=0, weights=n)
+    spread = np.sqrt(np.average((x - middle) ** 2, axis=0, weights=n)) + 1e-12
     x, w = np.column_stack([np.ones(len(x)), (x - middle) / spread]), np.zeros(4)
     held = ridge * np.array([0.0, 1.0, 1.0, 1.0]) + 1e-9
     for _ in range(30):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        w = w + np.clip(np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + np.diag(held), x.T @ (toxic - p) - held * w), -3, 3)
+        w = w + np.clip(np.linalg.solve((x * (n * p * (1 - p))[:, None]).T @ x + np.diag(held), x.T @ (n * (toxic - p)) - held * w), -3, 3)
     if min(w[1], w[2]) < 0:  # too few rows: a likelier toxic text never scores less
         w[1:3] = max(w[1] + w[2], 0.0), 0.0
     return np.concatenate([[w[0] - (w[1:] * middle / spread).sum()], w[1:] / spread])
 
 
+def curve_rows(docs: DataFrame, known: DataFrame, model: tuple[np.ndarray, np.ndarray]) -> pa.Table:
+    """toxic, n_words, ratio, n: all labelled texts of the curve's fold, equal rows counted; where it lacks a class, all
+    labelled texts, those whose words were counted too. Of MOST_LABELS ids at most."""
+
+    def measured(told: DataFrame) -> pa.Table:
+        found = text_ratios(docs.select("doc_id", "text").join(F.broadcast(told), "doc_id"), model, ["toxic"])
+        return found.groupBy("toxic", "n_words", "ratio").agg(F.count("*").alias("n")).toArrow()
+
+    rows = measured(known.where("curve"))
+    return rows if len(set(rows["toxic"].to_pylist())) == 2 else measured(known)
+
+
 def toxicity_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score, predicted, n_words, ratio for every row of `docs` (doc_id, text), learnt from `labels` (doc_id, toxic).
 
     Rows of fold 0 never lend their labels. Null and empty texts have ratio 0 and the score of that; a null id is held
     out of nothing (held_out false) and unlabelled; repeated rows are each scored and each count; where one class has no
-    labelled rows all scores are 0. An empty table gives an empty result; other columns are ignored."""
+    labelled rows outside fold 0 all scores are 0. An empty table gives an empty result; other columns are ignored."""
     known = known_labels(labels)
     # at most MOST_LABELS rows, so the broadcast has a bound, and texts are not shuffled
     marked = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id", "left")
     model = log_ratios(count_words(marked.select("text", F.when(F.col("curve"), -1).otherwise(F.coalesce("toxic", F.lit(-1))).alias("toxic"))))
-    share = F.pmod(F.xxhash64(F.lit(8), "doc_id"), F.lit(MOST_LABELS)) < MOST_CURVE  # so many rows of MOST_LABELS at most, as expected
-    curve = text_ratios(docs.select("doc_id", "text").join(F.broadcast(known.where("curve").where(share)), "doc_id"), model, ["toxic"]).toArrow()
+    curve = curve_rows(docs, known, model)
     toxic = curve["toxic"].to_numpy()
     learnt = bool((toxic == 1).any() and (toxic == 0).any())
-    w = fit_curve(curve["n_words"].to_numpy(), curve["ratio"].to_numpy(), toxic) if learnt else np.zeros(4)
+    w = fit_curve(*(curve[c].to_numpy() for c in ("n_words", "ratio", "toxic", "n"))) if learnt else np.zeros(4)
     held = docs.select("doc_id", F.coalesce(fold(F.col("doc_id")) == 0, F.lit(False)).alias("held_out"), "text")
     found = text_ratios(held, model, ["doc_id", "held_out"])
     n, ratio = F.col("n_words"), F.col("ratio")

@@ -92,3 +92,20 @@ def test_scores_do_not_see_labels_of_their_fold(spark):
     flipped = labels.selectExpr("doc_id", "if(crc32(cast(cast(doc_id as string) as binary)) % 5 = 0, 1 - quality, quality) as quality")
     one = {r["doc_id"]: r["score"] for r in qc.quality_scores(docs, labels).collect()}
     assert one == {r["doc_id"]: r["score"] for r in qc.quality_scores(docs, flipped).collect()}
+
+
+@pytest.mark.parametrize("curve_only", [False, True])
+def test_all_labels_of_the_curve_fold_fit_the_curve(spark, monkeypatch, curve_only):
+    docs, labels = table(spark, "/root/testdata/sf0.001", "documents"), table(spark, "/root/testdata/sf0.001", "labels")
+    held = lambda i: zlib.crc32(str(i).encode()) % 5
+    toxic = {r["doc_id"]: r["toxic"] for r in labels.collect() if r["toxic"] is not None and held(r["doc_id"])}
+    if curve_only:  # a class without rows in the curve's fold is still fitted
+        labels = labels.where(f"doc_id in ({','.join(str(i) for i, t in toxic.items() if t == 0 or held(i) != tox.CURVE_FOLD)})")
+        want = {i: t for i, t in toxic.items() if t == 0 or held(i) != tox.CURVE_FOLD}
+    else:
+        want = {i: t for i, t in toxic.items() if held(i) == tox.CURVE_FOLD}
+    assert set(want.values()) == {0, 1}
+    seen, fit = [], tox.fit_curve
+    monkeypatch.setattr(tox, "fit_curve", lambda n_words, ratio, y, n: seen.append((int(n.sum()), int(n[y == 1].sum()))) or fit(n_words, ratio, y, n))
+    scores = {r["score"] for r in tox.toxicity_scores(docs, labels).collect()}
+    assert seen == [(len(want), sum(want.values()))] and len(scores) > 1
