@@ -23,6 +23,8 @@ from talkloom.llm.common import fold
 
 #: Trusted positives taken at most for the fit, chosen by hash; they are broadcast to the texts (16 bytes each).
 MOST_POSITIVES = 1 << 18
+#: Bytes that are compressed together.
+PIECE = 4096
 
 _KIND = np.zeros(256, np.uint8)
 _KIND[[9, 10, 11, 12, 13, 32]] = 1
@@ -62,8 +64,8 @@ def measures(raw: bytes) -> list[float]:
     lines = [line for line in raw.split(b"\n") if line.strip()]
     repeats = sum(a == b for a, b in zip(words, words[1:], strict=False))
     w = max(1, len(words))
-    # compressed size by pieces, so that long texts compare with short ones
-    packed = np.mean([len(zlib.compress(raw[k : k + 4096], 1)) / len(raw[k : k + 4096]) for k in range(0, len(raw), 1 << 16)])
+    # compressed size of all pieces, each alone, so that long texts compare with short ones
+    packed = sum(len(zlib.compress(raw[k : k + PIECE], 1)) for k in range(0, len(raw), PIECE)) / len(raw)
     return [
         counts[2] / n,
         counts[8] / n,

@@ -109,3 +109,15 @@ def test_all_labels_of_the_curve_fold_fit_the_curve(spark, monkeypatch, curve_on
     monkeypatch.setattr(tox, "fit_curve", lambda n_words, ratio, y, n: seen.append((int(n.sum()), int(n[y == 1].sum()))) or fit(n_words, ratio, y, n))
     scores = {r["score"] for r in tox.toxicity_scores(docs, labels).collect()}
     assert seen == [(len(want), sum(want.values()))] and len(scores) > 1
+
+
+def test_packing_sees_every_byte():
+    packing = list(qc.MEASURES).index("packing")
+    lead = np.random.default_rng(5).integers(33, 127, 4096, dtype=np.uint8).tobytes()
+    packed = lambda raw: qc.measures(raw)[packing]
+    assert packed(lead) > 0.8
+    assert packed(lead + b"buy now " * 4096) < 0.2  # a clean lead, and 32 KB of repetition
+    assert packed(lead * 16 + b"a" * (1 << 16) * 16) < 0.1 and packed(lead + b"a" * 40) == pytest.approx(packed(lead), abs=0.02)
+    raw = lead[:1000] + b"ab " * 5000
+    pieces = [raw[k : k + 4096] for k in range(0, len(raw), 4096)]
+    assert packed(raw) == pytest.approx(np.average([len(zlib.compress(p, 1)) / len(p) for p in pieces], weights=[len(p) for p in pieces]))
