@@ -270,9 +270,17 @@ def near_duplicates(docs: DataFrame, percent: int = 85, miss: float = 1e-5) -> D
 
 
 def without_near_duplicates(docs: DataFrame, percent: int = 80, miss: float = 1e-5) -> DataFrame:
-    """One document of each group, with all columns of `docs`; rows that share an id count as one document, of which one stays.
-
-    Rows without an id stay where their whole group has none."""
-    found = near_duplicates(docs, percent, miss)
-    kept = materialise(found.where("kept").select(F.col("doc_id").alias("_kept")).distinct())
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["_kept"]), "left_semi")
+    """One row of each group, with all columns of `docs`: the one with the smallest id, rows without an id last, then by hash.
+
+    Every row is a document of its own, so repeated rows, rows without an id and several texts under one id are linked by
+    their texts like any others. Rows without words are linked with nothing; of those with the same id one stays."""
+    number = "_near_dedup_row"
+    rows = materialise(docs.withColumn(number, F.monotonically_increasing_id()))  # written, so that numbers stay as they are
+    found = near_duplicates(rows.select(F.col(number).alias("doc_id"), "text"), percent, miss).withColumnRenamed("doc_id", number)
+    order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", F.xxhash64(*[rows[f"`{c}`"] for c in docs.columns]).alias("mix"), number)
+    blank = F.col("n_shingles") == 0
+    group = F.when(blank, F.coalesce("order.doc_id", number)).otherwise(F.col("component_id"))
+    placed = rows.select(number, order.alias("order")).join(found, number)
+    firsts = placed.groupBy(blank.alias("blank"), (blank & F.col("order.no_id")).alias("alone"), group.alias("group")).agg(F.min("order").alias("first"))
+    kept = materialise(firsts.select(F.col(f"first.{number}").alias(number)))
+    return rows.join(kept, number, "left_semi").select(*[f"`{c}`" for c in docs.columns])

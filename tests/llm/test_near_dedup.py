@@ -2,6 +2,7 @@
 
 import random
 import re
+from collections import Counter
 from math import comb
 
 import numpy as np
@@ -92,6 +93,23 @@ def test_empty_table_and_pipeline_form(spark):
     assert {r["doc_id"] for r in kept.collect()} == {i for i, _, _, stays in groups if stays}
 
 
+def test_one_row_of_each_group_stays(spark):
+    rng = random.Random(8)
+    a, b, c, d, e = (" ".join(f"w{rng.randrange(5000)}" for _ in range(200)) for _ in range(5))
+    rows = [(1, a), (1, a), (1, a)]  # repeated rows of one id
+    rows += [(3, b), (5, b), (5, c), (5, c + " more")]  # an id whose texts are a copy, its own, and near its own
+    rows += [(None, a), (None, b.upper()), (None, d), (None, d), (None, d + " more"), (None, e)]
+    rows += [(7, ""), (7, ""), (8, None), (5, " "), (None, " "), (None, " "), (None, None)]
+    frame = spark.createDataFrame([(*r, "clash", 1) for r in rows], SCHEMA)
+    got = [(r["doc_id"], r["text"], r["kept"], r["digest"]) for r in nd.without_near_duplicates(frame.repartition(3), 80).collect()]
+    assert all(r[2:] == ("clash", 1) for r in got)
+    near = lambda t: {c + " more": c, d + " more": d}.get(t, t)
+    want = [(1, a), (3, b), (5, c), (None, d), (None, e), (7, ""), (8, None), (5, " "), (None, " "), (None, " "), (None, None)]
+    assert Counter((i, near(t)) for i, t, *_ in got) == Counter(want)
+    again = nd.without_near_duplicates(frame.repartition(7), 80).collect()
+    assert Counter(map(str, again)) == Counter(map(str, nd.without_near_duplicates(frame, 80).collect()))
+
+
 def test_bounds_follow_the_posterior():
     least = nd.least_matches(0.85, 1e-5)
     assert len(least) == nd.SIGNATURE // nd.BATCH and all(a < b for a, b in zip(least, least[1:], strict=False))
