@@ -2,7 +2,8 @@
 
 The words of each source, its documents laid end to end in seeded order, are cut into blocks of equal size. Blocks are
 seats: sources win them by highest quotients of their targets, shard after shard, so every shard of the mix has integer
-quotas. Each source then fills its quota by a seeded permutation of its blocks, again from the start once all are used.
+quotas. Each source then fills its quota with consecutive blocks from the start of that order, and again from there once
+all are used. So documents are taken whole but for the one in which the last run ends, which keeps its first words.
 
 Only one row of totals for each source reaches the driver (at most MOST_SOURCES, checked); everything per document or
 per block stays in Spark. A source of any size is split into parts for its running sums."""
@@ -11,7 +12,6 @@ from __future__ import annotations
 
 import heapq
 import math
-import random
 from fractions import Fraction
 
 from pyspark.sql import Column, DataFrame, Window
@@ -69,8 +69,8 @@ def shard_quotas(votes: list[float], seats: int, n_shards: int) -> list[list[int
     return [sainte_lague(votes, seats * (s + 1) // n_shards) for s in range(n_shards)]
 
 
-def source_plan(sizes: dict, weights: tuple[int, ...] = WEIGHTS, block: int = BLOCK_WORDS, n_shards: int = 8, seed: int = 7) -> list[tuple]:
-    """A row for each source: sid, source, source_size, target, blocks, quotas up to each shard, step and start of its permutation, parts."""
+def source_plan(sizes: dict, weights: tuple[int, ...] = WEIGHTS, block: int = BLOCK_WORDS, n_shards: int = 8) -> list[tuple]:
+    """A row for each source: sid, source, source_size, target, blocks, quotas up to each shard, parts."""
     if len(sizes) > MOST_SOURCES:
         raise ValueError(f"{len(sizes)} sources; at most {MOST_SOURCES}")
     names = sorted(sizes, key=lambda s: (s is None, (s or "").encode("utf-8", "surrogatepass")))  # code points order as UTF-8 bytes
@@ -78,20 +78,15 @@ def source_plan(sizes: dict, weights: tuple[int, ...] = WEIGHTS, block: int = BL
     aims = targets(totals, [weights[i % len(weights)] for i in range(len(names))]) if names else []
     blocks = [-(-t // block) for t in totals]
     quotas = shard_quotas(aims, round(sum(aims) / block), n_shards)
-    rng, rows = random.Random(seed), []
+    rows = []
     for i, name in enumerate(names):
-        step = start = 0
-        if blocks[i] > 1:
-            step, start = rng.randrange(1, blocks[i]), rng.randrange(blocks[i])
-            while math.gcd(step, blocks[i]) != 1:
-                step = rng.randrange(1, blocks[i])
         parts = max(1, min(MOST_PARTS, -(-totals[i] // PART_WORDS)))
         upto = [min(q[i], 2 * blocks[i]) for q in quotas]  # no block is used more than twice
-        rows.append((i, name, totals[i], aims[i], blocks[i], upto, step, start, parts))
+        rows.append((i, name, totals[i], aims[i], blocks[i], upto, parts))
     return rows
 
 
-PLAN_SCHEMA = "sid int, source string, source_size bigint, target double, blocks bigint, upto array<bigint>, step bigint, start bigint, parts bigint"
+PLAN_SCHEMA = "sid int, source string, source_size bigint, target double, blocks bigint, upto array<bigint>, parts bigint"
 
 
 def block_uses(docs: DataFrame, columns: list[str], n_shards: int = 8, seed: int = 7, block: int = BLOCK_WORDS) -> DataFrame:
@@ -99,7 +94,7 @@ def block_uses(docs: DataFrame, columns: list[str], n_shards: int = 8, seed: int
     place of the document's first word in its source) and uses: how often each block that it touches is taken."""
     size = word_count(F.col("text"))
     totals = docs.groupBy("source").agg(F.sum(size).alias("n")).collect()
-    plan = docs.sparkSession.createDataFrame(source_plan({r["source"]: r["n"] for r in totals}, block=block, n_shards=n_shards, seed=seed), PLAN_SCHEMA)
+    plan = docs.sparkSession.createDataFrame(source_plan({r["source"]: r["n"] for r in totals}, block=block, n_shards=n_shards), PLAN_SCHEMA)
     rows = docs.select(
         F.struct(*[docs[f"`{c}`"] for c in columns]).alias("row"),
         size.alias("size"),
@@ -116,11 +111,9 @@ def block_uses(docs: DataFrame, columns: list[str], n_shards: int = 8, seed: int
     part_starts = part_sizes.select("sid", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("part_start"))
     placed = summed.join(part_starts, ["sid", "part"]).withColumn("first", F.col("part_start") + F.col("upto_doc") - F.col("size"))
     quota = F.element_at("upto", -1)
-    wide = "decimal(20,0)"
 
     def uses(b: Column) -> Column:
-        draw = ((F.col("step").cast(wide) * b.cast(wide) + F.col("start")) % F.col("blocks")).cast("long")
-        return (F.floor(quota / F.col("blocks")) + F.when(draw < quota % F.col("blocks"), 1).otherwise(0)).cast("int")
+        return (F.floor(quota / F.col("blocks")) + F.when(b < quota % F.col("blocks"), 1).otherwise(0)).cast("int")
 
     last = F.floor((F.col("first") + F.col("size") - 1) / block)
     touched = F.when(F.col("size") > 0, F.transform(F.sequence(F.floor(F.col("first") / block), last), uses))
@@ -144,8 +137,8 @@ def mixed_documents(docs: DataFrame, n_shards: int = 8, seed: int = 7, block: in
 def mix(docs: DataFrame, n_shards: int = 8, seed: int = 7, block: int = BLOCK_WORDS) -> DataFrame:
     """The mix itself: `docs` (doc_id, text, source and others) with one row for each first and second use of a document.
 
-    A document used in part keeps the words of its used blocks, each with the white space after it; one used whole keeps
-    its text. Unused documents, and those without words, are left out. `n_chars` follows the text where it exists."""
+    A document used in part, one of a source at most, keeps its words up to the end of a block, each with the white space
+    after it; one used whole keeps its text. Unused documents, and those without words, are left out. `n_chars` follows the text where it exists."""
     used = block_uses(docs, docs.columns, n_shards, seed, block)
     at = F.col("first")
     copies = used.withColumn("copy", F.explode(F.sequence(F.lit(1), F.greatest(F.array_max("uses"), F.lit(1)))))

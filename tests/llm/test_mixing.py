@@ -97,6 +97,23 @@ def test_mixed_texts_hold_what_was_taken(spark):
     assert got == +want
 
 
+def test_documents_are_taken_whole_but_for_one_of_a_source(spark):
+    rows = [r for r in corpus() if r[0] is not None and r[0] != 5]
+    rng = random.Random(4)
+    rows += [(1000 + i, " ".join(f"w{rng.randrange(99)}" for _ in range(512)), "en", source, 0, "") for i, source in enumerate(["hot", "a", "Z", None] * 20)]
+    whole, source = {r[0]: r[1] for r in rows}, {r[0]: r[3] for r in rows}
+    frame = spark.createDataFrame(rows, SCHEMA)
+    cut, used = Counter(), Counter()
+    for r in mx.mix(frame).collect():
+        used[source[r["doc_id"]]] += 1
+        if r["text"] != whole[r["doc_id"]]:
+            assert whole[r["doc_id"]].lstrip().startswith(r["text"].lstrip())  # no holes
+            cut[source[r["doc_id"]]] += 1
+    assert len(used) == 5 and max(cut.values()) == 1
+    other = lambda seed: Counter(r["doc_id"] for r in mx.mix(frame, seed=seed).select("doc_id").collect())
+    assert other(7) != other(8)
+
+
 def test_edges(spark):
     empty = spark.createDataFrame([], SCHEMA)
     assert mx.mixed_documents(empty).count() == 0 and mx.mix(empty).count() == 0
