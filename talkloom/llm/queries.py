@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from talkloom.llm import decontamination, media, mixing, near_dedup, quality_classifier, sharding, toxicity, url_filters, warc
+from talkloom.llm import decontamination, media, merkle, mixing, near_dedup, oracles, quality_classifier, sharding, toxicity, url_filters, warc
 from talkloom.llm import token_counts as tokens
 from talkloom.llm.common import table
 from talkloom.session import ensure_checkpoint_dir
@@ -59,6 +59,10 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_counts(table(spark, sf_dir, "documents"), fresh_folder(spark, "token-cache"))
 
 
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.tamper_report(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_url_filters": (op1_url_filters, None),
     "op2_toxicity": (op2_toxicity, None),
@@ -70,4 +74,5 @@ QUERIES = {
     "op8_quality": (op8_quality, None),
     "op9_media": (op9_media, None),
     "op10_token_counts": (op10_token_counts, None),
+    "op11_merkle": (op11_merkle, oracles.OP11),
 }
