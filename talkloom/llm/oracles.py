@@ -61,3 +61,44 @@ WITH RECURSIVE leaves AS (
 )
 SELECT *, folded_root = root AS verified FROM answers
 """
+
+_WORDS = r"len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))"
+
+#: Paths of all members at all depths; subtrees through the ancestors of each node's smallest member.
+OP13 = f"""
+WITH named AS (
+  SELECT conv_id, turn, {_WORDS} AS words,
+         left(sha256(strlen(coalesce(role, ''))::VARCHAR || ':' || coalesce(role, '') || coalesce(text, '')), 32) AS id
+  FROM conversations WHERE conv_id IS NOT NULL
+), turns AS (
+  SELECT conv_id, id, words, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, id) - 1 AS r FROM named
+), convs AS (
+  SELECT conv_id AS c, conv_id - conv_id % 20 AS base, {crc32_sql("conv_id")} % 4 AS h FROM (SELECT DISTINCT conv_id FROM turns)
+), rebuilt AS (
+  SELECT c.c, t.r AS k, t.id, t.words FROM convs c JOIN turns t ON t.conv_id = c.base AND t.r < c.h
+  UNION ALL
+  SELECT c.c, t.r - c.h + least(c.h, (SELECT count(*) FROM turns b WHERE b.conv_id = c.base)), t.id, t.words
+  FROM convs c JOIN turns t ON t.conv_id = c.c AND t.r >= c.h
+), paths AS (
+  SELECT c, 0 AS depth, '' AS path, 0 AS words FROM convs
+  UNION ALL
+  SELECT c, k + 1, sha256(string_agg(id, '') OVER (PARTITION BY c ORDER BY k)), words FROM rebuilt
+), ends AS (
+  SELECT arg_max(path, depth) AS path, c FROM paths GROUP BY c
+), ended AS (
+  SELECT path, sha256(string_agg(c::VARCHAR, ',' ORDER BY c)) AS ends FROM ends GROUP BY path
+), nodes AS (
+  SELECT path, depth, min(c) AS conv_id, count(*) AS n_convs, (count(*) - 1) * any_value(words) AS saved FROM paths GROUP BY path, depth
+), linked AS (
+  SELECT n.*, p.path AS parent, m.conv_id AS parent_conv_id
+  FROM nodes n LEFT JOIN paths p ON p.c = n.conv_id AND p.depth = n.depth - 1 LEFT JOIN nodes m ON m.path = p.path AND m.depth = p.depth
+), families AS (
+  SELECT parent AS path, count(*) AS n_children FROM linked WHERE parent IS NOT NULL GROUP BY parent
+), subtrees AS (
+  SELECT a.path, a.depth, sum(n.saved) AS saved_tokens, sum((f.path IS NULL)::INT) AS n_leaves
+  FROM nodes n LEFT JOIN families f ON f.path = n.path JOIN paths a ON a.c = n.conv_id AND a.depth <= n.depth GROUP BY a.path, a.depth
+)
+SELECT l.conv_id, l.depth::BIGINT AS depth, l.parent_conv_id, l.n_convs, coalesce(f.n_children, 0) AS n_children, s.n_leaves::BIGINT AS n_leaves,
+       s.saved_tokens::BIGINT AS saved_tokens, coalesce(e.ends, sha256('')) AS ends_sha256
+FROM linked l JOIN subtrees s USING (path, depth) LEFT JOIN families f USING (path) LEFT JOIN ended e USING (path)
+"""

@@ -74,7 +74,7 @@ def corpus(seed, n):
     return rows + rows[:3] * 2 + [(None, None, None, None, None), (None, "s", "en", 7, "no id"), (rows[5][0], "other", "en", 1, "a second text of an id")]
 
 
-@pytest.mark.parametrize("n", [1, 2, 3, 63, 64, 65, 300])
+@pytest.mark.parametrize("n", [1, 3, 64, 65, 300])
 def test_proofs_equal_trees_by_hand(spark, n):
     rows = corpus(n, n) if n > 9 else [(k, "s", "en", k, f"t{k}") for k in range(n)]
     assert report(spark, rows) == by_hand(rows)
