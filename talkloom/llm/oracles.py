@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from talkloom.llm import secret_scan
+
 
 def crc32_sql(value: str) -> str:
     """crc32 of the decimal form of an integer, bit by bit."""
@@ -102,3 +104,65 @@ SELECT l.conv_id, l.depth::BIGINT AS depth, l.parent_conv_id, l.n_convs, coalesc
        s.saved_tokens::BIGINT AS saved_tokens, coalesce(e.ends, sha256('')) AS ends_sha256
 FROM linked l JOIN subtrees s USING (path, depth) LEFT JOIN families f USING (path) LEFT JOIN ended e USING (path)
 """
+
+
+def _literal(pattern: str) -> str:
+    return "'" + pattern.replace("'", "''") + "'"
+
+
+def _runs(kind: str, pattern: str, group: int = 0) -> str:
+    """Matches of a pattern (and a group of each) with their places: the lengths of all matches and gaps before, summed."""
+    p = _literal(pattern)
+    return f"""
+  SELECT id, '{kind}' AS kind, matches[i] AS value, groups[i] AS part,
+         (list_sum(list_transform(gaps[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(matches[1:i - 1], lambda x: length(x))), 0))::BIGINT AS start
+  FROM (SELECT id, regexp_extract_all(t, {p}, 0) AS matches, regexp_extract_all(t, {p}, {group}) AS groups, string_split_regex(t, {p}) AS gaps FROM docs),
+       unnest(range(1, len(matches) + 1)) AS u(i)"""
+
+
+def _op12() -> str:
+    either = lambda word: "".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in word)
+    assign = "(" + "|".join(either(w) for w in secret_scan.KEYWORDS) + ")" + secret_scan.ASSIGN_REST
+    runs = [f"(SELECT *, {c.window} AS size, {c.bits} AS bits FROM ({_runs(c.kind, f'[{c.alphabet}]+')}) WHERE length(value) >= {c.window})" for c in secret_scan.CLASSES]
+    kinds = [*secret_scan.BASE_KINDS, *(c.kind for c in secret_scan.CLASSES)]
+    placed = "list_position([" + ", ".join(f"'{k}'" for k in kinds) + "], kind)"
+    allowed = " OR ".join(f"regexp_full_match(value, {_literal(a)})" for a in secret_scan.ALLOWED)
+    allowed += "".join(f" OR contains(lower(value), '{p}')" for p in secret_scan.PLACEHOLDERS)
+    counts = ", ".join(f"count(*) FILTER (kind = '{k}') AS n_{k}" for k in secret_scan.BASE_KINDS)
+    joined = "string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, place)"
+    return f"""
+WITH docs AS (
+  SELECT row_number() OVER () AS id, doc_id, coalesce(text, '') AS t FROM documents
+), base AS (
+  SELECT id, kind, start, start + length(value) AS stop FROM ({_runs("assign", assign, 2)}) WHERE length(part) >= {secret_scan.ASSIGN_LEAST}
+  UNION ALL
+  SELECT id, kind, start, start + length(value) FROM ({_runs("access", "AKIA[A-Z0-9]+")}) WHERE length(value) >= {secret_scan.ACCESS_LEAST}
+  UNION ALL
+  SELECT id, kind, start, start + length(value) FROM ({_runs("hex", "[0-9a-f]+")}) WHERE length(value) >= {secret_scan.HEX_LEAST}
+), candidates AS (
+  SELECT * FROM ({" UNION ALL ".join(runs)}) WHERE NOT ({allowed})
+), windows AS (
+  SELECT id, kind, start AS run, size, start + w AS place
+  FROM candidates, LATERAL unnest(range(0, length(value) - size + 1)) AS u(w)
+  WHERE list_entropy(string_split(substr(value, w + 1, size), '')) >= bits
+), islands AS (
+  SELECT *, sum((before IS NULL OR place > before + size)::INT) OVER (PARTITION BY id, kind, run ORDER BY place) AS island
+  FROM (SELECT *, lag(place) OVER (PARTITION BY id, kind, run ORDER BY place) AS before FROM windows)
+), added AS (
+  SELECT id, kind, min(place) AS start, max(place) + any_value(size) AS stop FROM islands GROUP BY id, kind, run, island
+), spans AS (
+  SELECT *, {placed} AS place FROM (
+    SELECT * FROM base
+    UNION ALL
+    SELECT * FROM added a WHERE NOT EXISTS (SELECT 1 FROM base b WHERE b.id = a.id AND b.start <= a.start AND a.stop <= b.stop)
+  )
+), summed AS (
+  SELECT id, {counts}, coalesce({joined.replace("place)", f"place) FILTER (place <= {len(secret_scan.BASE_KINDS)})")}, '') AS base, {joined} AS spans FROM spans GROUP BY id
+)
+SELECT d.doc_id, {", ".join(f"coalesce(s.n_{k}, 0) AS n_{k}" for k in secret_scan.BASE_KINDS)}, sha256(coalesce(s.base, '')) AS base_sha256, coalesce(s.spans, '') AS spans
+FROM docs d LEFT JOIN summed s USING (id)
+"""
+
+
+#: Places from the lengths of matches and gaps; the entropy of every window anew.
+OP12 = _op12()

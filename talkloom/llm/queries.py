@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from talkloom.llm import decontamination, media, merkle, mixing, near_dedup, oracles, prefix_trie, quality_classifier, sharding, toxicity, url_filters, warc
+from talkloom.llm import decontamination, media, merkle, mixing, near_dedup, oracles, prefix_trie, quality_classifier, secret_scan, sharding, toxicity, url_filters, warc
 from talkloom.llm import token_counts as tokens
 from talkloom.llm.common import table
 from talkloom.session import ensure_checkpoint_dir
@@ -63,6 +63,10 @@ def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.tamper_report(table(spark, sf_dir, "documents"))
 
 
+def op12_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.secret_report(table(spark, sf_dir, "documents"))
+
+
 def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.conversation_trie(table(spark, sf_dir, "conversations"))
 
@@ -79,5 +83,6 @@ QUERIES = {
     "op9_media": (op9_media, None),
     "op10_token_counts": (op10_token_counts, None),
     "op11_merkle": (op11_merkle, oracles.OP11),
+    "op12_secret_scan": (op12_secret_scan, oracles.OP12),
     "op13_prefix_trie": (op13_prefix_trie, oracles.OP13),
 }
