@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from talkloom import fixed_values as fx
-from talkloom.operators import overlay as ov
-from talkloom.plans import fleet
+from talkloom.plans import fleet, inputs
 from talkloom.plans import oracle_inputs as oi
 from talkloom.plans.requests import _claims
 from talkloom.session import materialise
@@ -54,18 +53,16 @@ STREAM_STAGE_STATE = fleet.STATE + "SELECT job_id, stage, status, attempt, last_
 
 
 def stream_overlay(spark, sf_dir):
-    """Updates and deletes arriving as a stream of labels, folded into the effective claims."""
-    claims = materialise(_claims(spark, sf_dir))
+    """Updates and deletes arriving as a stream of labels, folded into the effective claims of their jobs batch by batch."""
+    claims = materialise(_claims(spark, sf_dir).withColumn("job_id", F.concat(F.lit("job"), F.col("claim_pos") % 97)))
     labels = live.file_stream(spark, sf_dir, "labels.parquet", "doc_id BIGINT, quality INT, toxic INT")
-    none = F.lit(None).cast("string")
     actions = F.array_compact(F.array(F.when(F.col("quality") == 0, "update"), F.when(F.col("toxic") == 1, "delete")))
-    stream = labels.select("doc_id", F.explode(actions).alias("action")).select(
-        F.lit("all").alias("job_id"), (F.col("doc_id") * 2 + (F.col("action") == "delete").cast("long")).alias("edit_seq"), F.concat(F.lit("claim_"), "doc_id").alias("claim_id"), "action"
+    asked = labels.select(F.concat(F.lit("claim_"), "doc_id").alias("claim_id"), "doc_id", F.explode(actions).alias("action"))
+    edits = asked.join(claims.select("job_id", "claim_id", "claim"), "claim_id").select(
+        "job_id", (F.col("doc_id") * 2 + (F.col("action") == "delete").cast("long")).alias("edit_seq"), "claim_id", "action",
+        F.col("claim").withField("claim", F.concat(F.lit("edited: "), F.col("claim.claim"))).alias("claim"), F.lit(None).cast("string").alias("insert_after"),
     )
-    log = live.collect_edits(stream).join(claims.select("claim_id", "claim"), "claim_id").withColumns(
-        {"claim": F.col("claim").withField("claim", F.concat(F.lit("edited: "), F.col("claim.claim"))), "insert_after": none}
-    )
-    return ov.fold_edits(claims, materialise(log)).select("claim_id", F.col("claim.claim").alias("claim"), "edited")
+    return live.live_overlay(claims, edits).current().select("claim_id", F.col("claim.claim").alias("claim"), "edited")
 
 
 STREAM_OVERLAY = oi.with_ctes(oi.CLAIMS) + """SELECT claim_id, CASE WHEN quality = 0 AND trim(rationale) <> '' THEN 'edited: ' || claim ELSE claim END AS claim, coalesce(quality = 0 AND trim(rationale) <> '', false) AS edited
@@ -73,14 +70,18 @@ FROM claims LEFT JOIN labels ON doc_id = claim_pos WHERE coalesce(toxic, 0) <> 1
 
 
 def stream_unfinished(spark, sf_dir):
+    """Stage starts that no end follows within twelve hours; the log is closed by a row of a later time."""
     log = _log(spark, sf_dir)
-    started = log.where("event = 'stage_started'").withColumnRenamed("ts", "started_ts")
-    ended = _log(spark, sf_dir).where("event IN ('stage_completed', 'stage_failed')").withColumnRenamed("ts", "ended_ts")
-    return live.unfinished_stages(started, ended, "12 hours").select("event_id", "job_id", "stage")
+    kind = F.when(F.col("event") == "stage_started", "start").when(F.col("event").isin("stage_completed", "stage_failed"), "end")
+    rows = log.select(kind.alias("kind"), "event_id", "job_id", "stage", "ts").where("kind IS NOT NULL")
+    last = inputs.table(spark, sf_dir, "events").agg((F.max("ts").cast("timestamp") + F.expr("INTERVAL 1 DAY")).alias("ts"))
+    none = F.lit(None)
+    tick = last.select(F.lit("tick").alias("kind"), none.cast("long").alias("event_id"), none.cast("long").alias("job_id"), none.cast("string").alias("stage"), "ts")
+    return live.unfinished_stages(rows, 12 * 3600 * 10**6, [tick]).select("event_id", "job_id", "stage")
 
 
-STREAM_UNFINISHED = fleet.L + """, m AS (SELECT least(max(ts) FILTER (event = 'stage_started'), max(ts) FILTER (event IN ('stage_completed', 'stage_failed'))) - INTERVAL 10 MINUTES - INTERVAL 12 HOURS AS w FROM log)
-SELECT event_id, job_id, stage FROM log s, m WHERE event = 'stage_started' AND ts < w AND NOT EXISTS (SELECT 1 FROM log e WHERE e.job_id = s.job_id AND e.stage = s.stage AND e.event IN ('stage_completed', 'stage_failed') AND e.ts >= s.ts AND e.ts <= s.ts + INTERVAL 12 HOURS)"""
+STREAM_UNFINISHED = fleet.L + """SELECT event_id, job_id, stage FROM log s WHERE event = 'stage_started'
+AND NOT EXISTS (SELECT 1 FROM log e WHERE e.job_id = s.job_id AND e.stage = s.stage AND e.event IN ('stage_completed', 'stage_failed') AND e.ts >= s.ts AND e.ts <= s.ts + INTERVAL 12 HOURS)"""
 
 
 QUERIES = {

@@ -5,14 +5,18 @@ replayed after a failure replaces its own rows. Results are read back as the lat
 
 from __future__ import annotations
 
+import contextlib
 import uuid
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from talkloom import fixed_values as fx
 from talkloom.operators.audit import stage_state
+from talkloom.operators.overlay import fold_edits
 from talkloom.session import ensure_checkpoint_dir
 
 
@@ -26,19 +30,23 @@ def _folders(spark: SparkSession) -> tuple[str, str]:
     return f"{base}/state", f"{base}/rows"
 
 
+def drain(stream: DataFrame, mode: str, state: str, write: Callable[[DataFrame, int], None]) -> None:
+    """Run a stream over all that has arrived, from where its checkpoint stands, then stop it."""
+    query = stream.writeStream.outputMode(mode).option("checkpointLocation", state).trigger(availableNow=True).foreachBatch(write).start()
+    query.awaitTermination()
+
+
+def _batch_rows(spark: SparkSession, rows: str, schema) -> DataFrame:
+    return spark.read.schema(schema.add("batch", "long")).option("basePath", rows).parquet(rows)
+
+
 def run_to_table(stream: DataFrame, mode: str) -> DataFrame:
     """Drain a stream into a table with one folder per batch, and read the table back with its batch number.
 
     In complete mode only the last batch counts, as each one holds the whole result."""
-    spark = stream.sparkSession
-    state, rows = _folders(spark)
-
-    def write(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{rows}/batch={number}")
-
-    query = stream.writeStream.outputMode(mode).option("checkpointLocation", state).trigger(availableNow=True).foreachBatch(write).start()
-    query.awaitTermination()
-    table = spark.read.schema(stream.schema.add("batch", "long")).option("basePath", rows).parquet(rows)
+    state, rows = _folders(stream.sparkSession)
+    drain(stream, mode, state, lambda batch, number: batch.write.mode("overwrite").parquet(f"{rows}/batch={number}"))
+    table = _batch_rows(stream.sparkSession, rows, stream.schema)
     if mode != "complete":
         return table
     return table.where(F.col("batch") == table.agg(F.max("batch")).scalar()).drop("batch")
@@ -62,10 +70,48 @@ def event_windows(events: DataFrame, width: str = "1 hour", late: str = "10 minu
     return latest_rows(run_to_table(counted, "update"), ["window_start", "event"])
 
 
-def unique_events(events: DataFrame, late: str = "1 hour") -> DataFrame:
-    """Log rows exactly once, by event identifier."""
-    once = events.withWatermark("ts", late).dropDuplicatesWithinWatermark(["event_id"])
-    return run_to_table(once, "append").drop("batch")
+class SeenIndex:
+    """Which keys have been let through, and by which batch, as a stored table dealt to parts by the hash of the key.
+
+    A batch looks up its own parts alone and appends what is new to them. Its entries bear its number: a batch that is
+    run again meets only those of the batches before it, so it lets the same rows through and replaces its own entries."""
+
+    def __init__(self, spark: SparkSession, folder: str, key: str, kind: str, parts: int = 64) -> None:
+        self.spark, self.folder, self.key, self.kind, self.parts = spark, folder, key, kind, parts
+
+    def entries(self) -> DataFrame:
+        schema = f"`{self.key}` {self.kind}, part int, batch long"
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.folder)
+        if not path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(path):
+            return self.spark.createDataFrame([], schema)
+        return self.spark.read.schema(schema).parquet(self.folder)
+
+    def fresh(self, batch: DataFrame, number: int) -> DataFrame:
+        """The rows of a batch whose key no earlier batch has let through, one of each key."""
+        dealt = batch.dropDuplicates([self.key]).withColumn("part", F.pmod(F.xxhash64(self.key), F.lit(self.parts)).cast("int"))
+        known = self.entries().where(F.col("batch") < number).drop("batch")
+        same = dealt[self.key].eqNullSafe(known[self.key]) & (dealt["part"] == known["part"])
+        return dealt.join(known, same, "left_anti")
+
+    def add(self, rows: DataFrame, number: int) -> None:
+        """Enter the keys of a batch that were let through (rows from ``fresh``)."""
+        keys = rows.select(self.key, "part", F.lit(number).cast("long").alias("batch"))
+        keys.repartition("part").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("part", "batch").parquet(self.folder)
+
+
+def unique_events(events: DataFrame, key: str = "event_id", parts: int = 64) -> DataFrame:
+    """Log rows exactly once, by event identifier, however far apart their copies arrive: the first batch to bring one wins."""
+    spark = events.sparkSession
+    state, rows = _folders(spark)
+    index = SeenIndex(spark, f"{rows}-seen", key, events.schema[key].dataType.simpleString(), parts)
+
+    def write(batch: DataFrame, number: int) -> None:
+        target = f"{rows}/batch={number}"
+        index.fresh(batch, number).write.mode("overwrite").parquet(target)
+        index.add(spark.read.parquet(target), number)
+
+    drain(events, "append", state, write)
+    return _batch_rows(spark, rows, events.schema).drop("batch")
 
 
 def run_sessions(events: DataFrame, gap: str = "30 minutes", late: str = "10 minutes") -> DataFrame:
@@ -84,20 +130,134 @@ def live_stage_state(events: DataFrame) -> DataFrame:
     return latest_rows(run_to_table(stage_state(events), "update"), ["job_id", "stage"])
 
 
-def collect_edits(edits: DataFrame) -> DataFrame:
-    """Append-only edit table fed by a stream of edits; the effective claims are the fold over it."""
-    return run_to_table(edits, "append").drop("batch")
+class LiveOverlay:
+    """The effective claims of all jobs, kept up to date from a stream of edits.
+
+    A batch stores its edits, then folds again all edits up to it of the jobs that it touches, and of no others. Both are
+    written under the batch's number, and a job's claims are those of the last batch that touched it; so a batch that is
+    run again replaces its own rows, leaves later ones alone, and changes nothing. Jobs without edits keep their claims."""
+
+    def __init__(self, claims: DataFrame, edit_schema, folder: str) -> None:
+        self.spark, self.claims, self.folder = claims.sparkSession, claims, folder
+        self.edit_schema = edit_schema
+        fold = fold_edits(claims.limit(0), self.spark.createDataFrame([], edit_schema))
+        self.claim_schema = fold.schema
+
+    def _table(self, name: str, schema) -> DataFrame:
+        where = f"{self.folder}/{name}"
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(where)
+        if not path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(path):
+            return self.spark.createDataFrame([], schema).withColumn("batch", F.lit(None).cast("long"))
+        return self.spark.read.schema(schema).parquet(where).withColumn("batch", F.regexp_extract(F.input_file_name(), "/batch=([0-9]+)/", 1).cast("long"))
+
+    def apply(self, batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{self.folder}/edits/batch={number}")
+        edits = self._table("edits", self.edit_schema).where(F.col("batch") <= number)
+        jobs = edits.where(F.col("batch") == number).select("job_id").distinct()
+        jobs.write.mode("overwrite").parquet(f"{self.folder}/jobs/batch={number}")
+        touched = self.spark.read.parquet(f"{self.folder}/jobs/batch={number}")
+        folded = fold_edits(self.claims.join(touched, "job_id", "left_semi"), edits.drop("batch").join(touched, "job_id", "left_semi"))
+        folded.write.mode("overwrite").parquet(f"{self.folder}/claims/batch={number}")
+
+    def current(self, upto: int | None = None) -> DataFrame:
+        """The effective claims as of a batch, or of the last one."""
+        within = F.lit(True) if upto is None else F.col("batch") <= upto
+        last = self._table("jobs", "job_id string").where(within).groupBy("job_id").agg(F.max("batch").alias("batch"))
+        edited = self._table("claims", self.claim_schema).join(last, ["job_id", "batch"], "left_semi").drop("batch")
+        untouched = self.claims.join(last, "job_id", "left_anti")
+        return edited.unionByName(fold_edits(untouched, self.spark.createDataFrame([], self.edit_schema)))
+
+
+def live_overlay(claims: DataFrame, edits: DataFrame) -> LiveOverlay:
+    """The overlay after all edits of a stream that have arrived."""
+    state, rows = _folders(claims.sparkSession)
+    overlay = LiveOverlay(claims, edits.schema, rows)
+    drain(edits, "append", state, overlay.apply)
+    return overlay
+
+
+class OverdueStarts(StatefulProcessor):
+    """Starts of one job's stage that no end follows in time; rows: kind (start or end), event_id, at (microseconds).
+
+    A start sets a timer for the moment after its time is up, and an end in time takes it back. Once the watermark has
+    passed a timer no end can come that counts, so a start that is still there is reported, once. Ends are kept until the
+    watermark has passed them, for starts that arrive after them."""
 
+    def __init__(self, within_us: int) -> None:
+        self.within = within_us
 
-def unfinished_stages(started: DataFrame, ended: DataFrame, within: str = "2 hours", late: str = "10 minutes") -> DataFrame:
-    """Stage starts without any end in time: a left outer stream join that emits a start once its time is up."""
-    s = started.withWatermark("started_ts", late).alias("s")
-    e = ended.withWatermark("ended_ts", late).select(F.col("job_id").alias("ended_job"), F.col("stage").alias("ended_stage"), "ended_ts").alias("e")
-    bound: Column = (
-        (F.col("job_id") == F.col("ended_job"))
-        & (F.col("stage") == F.col("ended_stage"))
-        & (F.col("ended_ts") >= F.col("started_ts"))
-        & (F.col("ended_ts") <= F.col("started_ts") + F.expr(f"INTERVAL {within}"))
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.starts = handle.getMapState("starts", "event_id long", "at long")
+        self.ends = handle.getMapState("ends", "at long", "seen boolean")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        for batch in rows:
+            for kind, event_id, at in zip(batch["kind"], batch["event_id"], batch["at"], strict=True):
+                at = int(at)
+                if kind == "end":
+                    self.ends.updateValue((at,), (True,))
+                    self._timer(at)
+                elif kind == "start":
+                    self.starts.updateValue((int(event_id),), (at,))
+                    self._timer(at + self.within)
+        ends = sorted(int(k[0]) for k in self.ends.keys())
+        for event_id, at in [(int(k[0]), int(v[0])) for k, v in self.starts.iterator()]:
+            if any(at <= e <= at + self.within for e in ends):
+                self.starts.removeKey((event_id,))
+        yield from ()
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        passed = expiredTimerInfo.getExpiryTimeInMs() * 1000
+        for at in [int(k[0]) for k in self.ends.keys()]:
+            if at < passed:
+                self.ends.removeKey((at,))
+        found = [(int(k[0]), int(v[0])) for k, v in self.starts.iterator() if int(v[0]) + self.within < passed]
+        for event_id, _ in found:
+            self.starts.removeKey((event_id,))
+        if found:
+            yield pd.DataFrame([(e, key[0], key[1], at) for e, at in found], columns=["event_id", "job_id", "stage", "started_us"])
+
+    def _timer(self, at: int) -> None:
+        self.handle.registerTimer(at // 1000 + 1)
+
+    def close(self) -> None:
+        pass
+
+
+@contextlib.contextmanager
+def _setting(spark: SparkSession, key: str, value: str) -> Iterator[None]:
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
+def unfinished_stages(lifecycle: DataFrame, within_us: int, closing: Sequence[DataFrame] = (), late: str = "10 minutes") -> DataFrame:
+    """Stage starts without an end within a time, each reported once: event_id, job_id, stage, started_us.
+
+    ``lifecycle`` has kind (start, end, or anything else for rows that only tell the time), event_id, job_id, stage and ts.
+    A start is reported when the event time has passed its time and the lateness. A log that is closed is drained with
+    ``closing`` rows that tell a later time, one table after the other; without them the last starts are still waited for."""
+    spark = lifecycle.sparkSession
+    state, rows = _folders(spark)
+    ticks = f"{rows}-ticks"
+    columns = ["kind", "event_id", "job_id", "stage", "ts"]
+    schema = lifecycle.select(*columns).schema
+    spark.createDataFrame([], schema).write.parquet(ticks)
+    stream = lifecycle.select(*columns).unionByName(spark.readStream.schema(schema).parquet(ticks))
+    timed = stream.withWatermark("ts", late).withColumn("at", F.unix_micros("ts"))
+    job, stage = schema["job_id"].dataType.simpleString(), schema["stage"].dataType.simpleString()
+    overdue = timed.groupBy("job_id", "stage").transformWithStateInPandas(
+        OverdueStarts(within_us), f"event_id long, job_id {job}, stage {stage}, started_us long", "append", "eventTime"
     )
-    joined = s.join(e, bound, "leftOuter").select("event_id", "job_id", "stage", "started_ts", "ended_ts")
-    return run_to_table(joined, "append").where("ended_ts IS NULL").select("event_id", "job_id", "stage", "started_ts")
+    write = lambda batch, number: batch.write.mode("overwrite").parquet(f"{rows}/batch={number}")
+    provider = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+    with _setting(spark, "spark.sql.streaming.stateStore.providerClass", provider):
+        drain(overdue, "append", state, write)
+        for table in closing:
+            table.select(*columns).write.mode("append").parquet(ticks)
+            drain(overdue, "append", state, write)
+    return _batch_rows(spark, rows, overdue.schema).drop("batch")
