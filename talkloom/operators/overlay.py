@@ -1,7 +1,7 @@
 """Human edits as an append-only overlay on the claim table.
 
 Claims and edits are matched by (job, claim) keys only; even the order of inserted claims comes out of
-joins, so one job may hold any share of the rows."""
+joins (list ranking by pointer doubling), so one job may hold any share of the rows."""
 
 from __future__ import annotations
 
@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from talkloom import fixed_values as fx
 from talkloom.functions import text as tx
 from talkloom.functions.fields import short_hash
+from talkloom.operators import sequence as seq
 from talkloom.operators.requests import ordered_fingerprint
 from talkloom.session import materialise
 
@@ -32,7 +33,8 @@ def fold_edits(claims: DataFrame, edits: DataFrame) -> DataFrame:
     ``claims`` has (job_id, claim_pos, claim_id, claim struct); ``edits`` has (job_id, edit_seq, claim_id,
     action, claim struct, insert_after). A delete is final; an update needs a claim to update; an invalid
     claim changes nothing; a new claim goes after its anchor if that is in the list at the time, else last.
-    ``order_key`` is an array: the rows of a job sort by it."""
+    ``order_key`` is (root, place): the rows of a job sort by it. A root is a claim that was not inserted after another,
+    by position or, if added last, by APPENDED and its number; place counts the claims inserted below it, in list order."""
     known = claims.select(*KEY, F.lit(True).alias("original"))
     deleted = edits.where("action = 'delete'").groupBy(*KEY).agg(F.min("edit_seq").alias("deleted_at"))
     usable = (
@@ -47,8 +49,8 @@ def fold_edits(claims: DataFrame, edits: DataFrame) -> DataFrame:
     counted = usable.join(born.select(*KEY, "added_at"), KEY, "left").where("original OR edit_seq >= added_at")
     latest = counted.groupBy(*KEY).agg(F.max_by("claim", "edit_seq").alias("edited_claim"))
 
-    start = claims.select(*KEY, F.array(F.col("claim_pos").cast("long")).alias("order_key"), F.lit(-1).cast("long").alias("added_at")).join(deleted, KEY, "left")
-    members = start.drop("order_key").unionByName(born.select(*KEY, "added_at").join(deleted, KEY, "left"))
+    start = claims.select(*KEY, F.col("claim_pos").cast("long").alias("root"), F.lit(-1).cast("long").alias("added_at")).join(deleted, KEY, "left")
+    members = start.drop("root").unionByName(born.select(*KEY, "added_at").join(deleted, KEY, "left"))
     anchors = members.select(
         "job_id", F.col("claim_id").alias("insert_after"), F.col("added_at").alias("anchor_added"), F.col("deleted_at").alias("anchor_deleted"), F.lit(True).alias("anchor_known")
     )
@@ -60,24 +62,62 @@ def fold_edits(claims: DataFrame, edits: DataFrame) -> DataFrame:
         ),
     )
     placed = materialise(placed.select(*KEY, "added_at", "insert_after", "anchored"))
-    last = placed.where("NOT anchored").select(*KEY, F.array(F.lit(APPENDED) + F.col("added_at")).alias("order_key"))
-    level = start.select(*KEY, "order_key").unionByName(last)
-    ordered, pending = level, placed.where("anchored")
-    while not pending.isEmpty():
-        up = level.select("job_id", F.col("claim_id").alias("insert_after"), F.col("order_key").alias("anchor_key"))
-        hit = pending.join(up, ["job_id", "insert_after"]).select(
-            *KEY, F.concat("anchor_key", F.array(-F.col("added_at"))).alias("order_key")
-        )
-        level = materialise(hit)
-        ordered = ordered.unionByName(level)
-        pending = materialise(pending.join(level, KEY, "left_anti"))
+    roots = start.select(*KEY, "root").unionByName(placed.where("NOT anchored").select(*KEY, (F.lit(APPENDED) + F.col("added_at")).alias("root")))
+    trees = preorder(placed.where("anchored").select("job_id", F.col("claim_id").alias("node"), F.col("insert_after").alias("parent"), "added_at"), ["job_id"], "added_at")
+    trees = trees.select("job_id", F.col("node").alias("claim_id"), F.col("top").alias("top_id"), "place")
+    tops = roots.select("job_id", F.col("claim_id").alias("top_id"), "root")
+    inserted = trees.where("place > 0").join(tops, ["job_id", "top_id"]).select(*KEY, "root", "place")
+    ordered = roots.withColumn("place", F.lit(0).cast("long")).unionByName(inserted)
 
     return (
         ordered.join(deleted, KEY, "left_anti")
         .join(claims.select(*KEY, "claim"), KEY, "left")
         .join(latest, KEY, "left")
-        .select(*KEY, F.coalesce("edited_claim", "claim").alias("claim"), "order_key", F.col("edited_claim").isNotNull().alias("edited"))
+        .select(*KEY, F.coalesce("edited_claim", "claim").alias("claim"), F.array("root", "place").alias("order_key"), F.col("edited_claim").isNotNull().alias("edited"))
+    )
+
+
+def preorder(children: DataFrame, keys: list[str], newest: str) -> DataFrame:
+    """The forest of ``children`` (keys, node, parent, ``newest``) in list order: (keys, node, top, place).
+
+    A node stands after its parent, before what was inserted after that parent earlier, with all below it. ``top`` is the
+    root of its tree, which has place 0 and may be a parent that is no node itself; places count on from there.
+
+    List ranking of Euler tours: each node is entered and left, each step knows the next, and pointer doubling sums the
+    entries from every step to the end of its tree in a number of rounds that grows with the logarithm of the longest
+    tour. Each step is the next of one other at most, so no round has a hot key; siblings are chained by a window over
+    blocks of siblings."""
+    kids = materialise(children.select(*keys, "node", "parent", newest))
+    ranked = seq.dense_position(kids.withColumn("__back", -F.col(newest)), [*keys, "parent"], "__back", "__place", ties=["node"])
+    chained = seq.neighbour_window(ranked, [*keys, "parent"], "__place", lambda w: {"__next": F.lead("node").over(w)}, back=0)
+    chained = materialise(chained.select(*keys, "node", "parent", "__place", "__next"))
+    first = chained.where("__place = 0").select(*keys, F.col("parent").alias("node"), F.col("node").alias("child"))
+    own = chained.select(*keys, "node", "parent", F.col("__next").alias("sibling"))
+    none = F.lit(None).cast(own.schema["node"].dataType)
+    tops = first.select(*keys, "node").join(own, [*keys, "node"], "left_anti").withColumns({"parent": none, "sibling": none})
+    nodes = own.unionByName(tops).join(first, [*keys, "node"], "left")
+    step = lambda node, entering: F.when(node.isNotNull(), F.struct(node.alias("node"), F.lit(entering).alias("entering")))
+    enter = F.coalesce(step(F.col("child"), True), step(F.col("node"), False))
+    leave = F.coalesce(step(F.col("sibling"), True), step(F.col("parent"), False))
+    both = F.array(
+        F.struct(F.lit(True).alias("entering"), enter.alias("next"), F.lit(1).cast("long").alias("entered")),
+        F.struct(F.lit(False).alias("entering"), leave.alias("next"), F.lit(0).cast("long").alias("entered")),
+    )
+    # a step that has reached the end knows the root of its tree: the node that it last left
+    steps = nodes.select(*keys, "node", F.explode(both).alias("s")).select(
+        *keys, "node", "s.entering", "s.next", "s.entered", F.when(F.col("s.next").isNull(), F.col("node")).alias("top")
     )
+    state = materialise(steps)
+    while not (going := state.where("next IS NOT NULL")).isEmpty():
+        ahead = state.select(
+            *keys, F.col("node").alias("n_node"), F.col("entering").alias("n_entering"), F.col("next").alias("n_next"), F.col("entered").alias("n_entered"), F.col("top").alias("n_top")
+        )
+        jumped = going.withColumns({"n_node": F.col("next.node"), "n_entering": F.col("next.entering")}).join(ahead, [*keys, "n_node", "n_entering"])
+        onward = jumped.select(*keys, "node", "entering", F.col("n_next").alias("next"), (F.col("entered") + F.col("n_entered")).alias("entered"), F.col("n_top").alias("top"))
+        state = materialise(state.where("next IS NULL").unionByName(onward))
+    entries = state.where("entering").select(*keys, "node", "top", "entered")
+    whole = entries.where("node = top").select(*keys, "top", F.col("entered").alias("__all"))
+    return entries.join(whole, [*keys, "top"]).select(*keys, "node", "top", (F.col("__all") - F.col("entered")).alias("place"))
 
 
 def edit_history(edits: DataFrame) -> DataFrame:

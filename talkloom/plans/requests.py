@@ -196,17 +196,18 @@ def effective_claims(spark, sf_dir):
 EFF = oi.with_ctes(oi.CLAIMS).rstrip() + """,
 lb AS (SELECT c.*, l.quality, l.toxic FROM claims c LEFT JOIN labels l ON l.doc_id = c.claim_pos),
 eff AS (SELECT claim_id, CASE WHEN quality = 0 AND claim_pos % 9 <> 0 AND trim(rationale) <> '' THEN 'edited: ' || claim ELSE claim END AS claim,
-    CASE WHEN quality = 0 AND claim_pos % 9 <> 0 AND trim(rationale) <> '' THEN 'warning' ELSE claim_type END AS claim_type, CAST(claim_pos AS VARCHAR) AS order_key,
+    CASE WHEN quality = 0 AND claim_pos % 9 <> 0 AND trim(rationale) <> '' THEN 'warning' ELSE claim_type END AS claim_type, claim_pos || '/0' AS order_key,
     coalesce(quality = 0 AND claim_pos % 9 <> 0 AND trim(rationale) <> '', false) AS edited FROM lb WHERE coalesce(toxic, 0) <> 1),
 ok AS (SELECT c.claim_pos AS p, c.claim, c.claim_type, c.claim_pos % 50 AS m FROM claims c WHERE c.claim_pos % 50 IN (3, 4, 5, 6) AND trim(c.claim) <> '' AND trim(c.rationale) <> ''),
 live AS (SELECT claim_pos AS p FROM lb WHERE coalesce(toxic, 0) <> 1),
-k3 AS (SELECT p, CASE WHEN p - 1 IN (SELECT p FROM live) THEN (p - 1) || '/' || -(p + 10000000) ELSE CAST(1125899906842624 + p + 10000000 AS VARCHAR) END AS k FROM ok WHERE m = 3),
-k4 AS (SELECT o.p, CASE WHEN k3.k IS NOT NULL THEN k3.k || '/' || -(o.p + 10000000) ELSE CAST(1125899906842624 + o.p + 10000000 AS VARCHAR) END AS k FROM ok o LEFT JOIN k3 ON k3.p = o.p - 1 WHERE m = 4),
-k5 AS (SELECT o.p, CASE WHEN k4.k IS NOT NULL THEN k4.k || '/' || -(o.p + 10000000) ELSE CAST(1125899906842624 + o.p + 10000000 AS VARCHAR) END AS k FROM ok o LEFT JOIN k4 ON k4.p = o.p - 1 WHERE m = 5),
-kx AS (SELECT p, 'new_' || p AS id, k FROM k3 UNION ALL SELECT p, 'new_' || p, k FROM k4 UNION ALL SELECT p, 'new_' || p, k FROM k5 UNION ALL SELECT p, 'new_' || p, CAST(1125899906842624 + p + 10000000 AS VARCHAR) FROM ok WHERE m = 6
-  UNION ALL SELECT p, 'new_x' || p, CASE WHEN p - 1 IN (SELECT p FROM live) THEN (p - 1) || '/' || -(p + 20000000) ELSE CAST(1125899906842624 + p + 20000000 AS VARCHAR) END FROM ok WHERE m = 3)
+k3 AS (SELECT p, CASE WHEN p - 1 IN (SELECT p FROM live) THEN [p - 1, -(p + 10000000)] ELSE [1125899906842624 + p + 10000000] END AS k FROM ok WHERE m = 3),
+k4 AS (SELECT o.p, CASE WHEN k3.k IS NOT NULL THEN list_append(k3.k, -(o.p + 10000000)) ELSE [1125899906842624 + o.p + 10000000] END AS k FROM ok o LEFT JOIN k3 ON k3.p = o.p - 1 WHERE m = 4),
+k5 AS (SELECT o.p, CASE WHEN k4.k IS NOT NULL THEN list_append(k4.k, -(o.p + 10000000)) ELSE [1125899906842624 + o.p + 10000000] END AS k FROM ok o LEFT JOIN k4 ON k4.p = o.p - 1 WHERE m = 5),
+kx AS (SELECT p, 'new_' || p AS id, k FROM k3 UNION ALL SELECT p, 'new_' || p, k FROM k4 UNION ALL SELECT p, 'new_' || p, k FROM k5 UNION ALL SELECT p, 'new_' || p, [1125899906842624 + p + 10000000] FROM ok WHERE m = 6
+  UNION ALL SELECT p, 'new_x' || p, CASE WHEN p - 1 IN (SELECT p FROM live) THEN [p - 1, -(p + 20000000)] ELSE [1125899906842624 + p + 20000000] END FROM ok WHERE m = 3),
+kr AS (SELECT p, id, k[1] AS root, row_number() OVER (PARTITION BY k[1] ORDER BY k) - CAST(k[1] > 1125899906842624 AS INT) AS place FROM kx)
 """
-EFFECTIVE_CLAIMS = EFF + "SELECT * FROM eff UNION ALL SELECT kx.id, ok.claim, ok.claim_type, kx.k, true FROM kx JOIN ok USING (p)"
+EFFECTIVE_CLAIMS = EFF + "SELECT * FROM eff UNION ALL SELECT kr.id, ok.claim, ok.claim_type, kr.root || '/' || kr.place, true FROM kr JOIN ok USING (p)"
 
 
 def edit_history(spark, sf_dir):
