@@ -12,7 +12,7 @@ from talkloom import fixed_values as fx
 from talkloom.functions import text as tx
 from talkloom.functions.fields import short_hash
 from talkloom.operators import sequence as seq
-from talkloom.operators.requests import ordered_fingerprint
+from talkloom.operators.hashtree import FAN, LEAF, differing_leaves, fingerprint
 from talkloom.session import materialise
 
 KEY = ["job_id", "claim_id"]
@@ -209,14 +209,46 @@ def review_summary(jobs: DataFrame, reviews: DataFrame) -> DataFrame:
 
 def surface_drift(effective: DataFrame, exported: DataFrame, pos: str, row: Column) -> DataFrame:
     """Jobs whose exported table differs from the effective one, by ordered fingerprint and row count."""
-    a = ordered_fingerprint(effective, ["job_id"], pos, row).select("job_id", F.col("fingerprint").alias("f_effective"), F.col("rows").alias("effective_rows"))
-    b = ordered_fingerprint(exported, ["job_id"], pos, row).select("job_id", F.col("fingerprint").alias("f_exported"), F.col("rows").alias("exported_rows"))
+    a = fingerprint(effective, ["job_id"], pos, row).select("job_id", F.col("fingerprint").alias("f_effective"), F.col("rows").alias("effective_rows"))
+    b = fingerprint(exported, ["job_id"], pos, row).select("job_id", F.col("fingerprint").alias("f_exported"), F.col("rows").alias("exported_rows"))
     return a.join(b, "job_id", "full_outer").select(
         "job_id", "effective_rows", "exported_rows",
         F.when(F.col("f_exported").isNull(), "missing").when(F.col("f_effective").eqNullSafe(F.col("f_exported")), "current").otherwise("refresh").alias("surface"),
     )
 
 
+def drift_blocks(effective: DataFrame, exported: DataFrame, pos: str, row: Column, leaf: int = LEAF, fan: int = FAN) -> DataFrame:
+    """Where an export differs from the effective table: job_id, from_pos, to_pos, and the rows of each side there."""
+    found = differing_leaves(effective, exported, ["job_id"], pos, row, leaf, fan)
+    return found.select("job_id", "from_pos", "to_pos", F.col("left_rows").alias("effective_rows"), F.col("right_rows").alias("exported_rows"))
+
+
+def refresh_results(surfaces: DataFrame) -> DataFrame:
+    """What a refresh of the existing claim surfaces of each job does, as flags, and what stays stale.
+
+    ``surfaces``: job_id, has_export, has_manifest, rows_differ, manifest_differs, has_notes, notes_changed, stale_notes
+    (notes to remove), lock_pid (of a process that runs the job, else null), report_differs, report_older (than the
+    claims or its stage's end). Nothing is written for a surface that a job doesn't have, and a manifest is not invented."""
+    jsonl = F.col("has_export") & F.col("has_manifest")
+    free, due = F.col("lock_pid").isNull(), F.col("report_differs") | F.col("report_older")
+    locked = F.concat(F.lit("ValueError: job is locked by running pipeline process pid="), F.col("lock_pid"))
+    flags = surfaces.select(
+        "job_id",
+        (~F.col("has_export")).alias("jsonl_skipped"),
+        (jsonl & F.col("rows_differ")).alias("jsonl_refreshed"),
+        (jsonl & F.col("manifest_differs")).alias("manifest_refreshed"),
+        F.when(F.col("has_export") & ~F.col("has_manifest"), "missing JSONL manifest").alias("jsonl_error"),
+        (~F.col("has_notes")).alias("obsidian_skipped"),
+        (F.col("has_notes") & (F.col("notes_changed") | (F.col("stale_notes") > 0))).alias("obsidian_refreshed"),
+        F.when(F.col("has_notes"), F.col("stale_notes")).otherwise(0).cast("long").alias("stale_obsidian_notes_removed"),
+        (free & ~due).alias("quality_report_skipped"),
+        (free & due).alias("quality_report_refreshed"),
+        F.when(~free, locked).alias("quality_report_error"),
+    )
+    stale = F.array_compact(F.array(F.when(F.col("jsonl_error").isNotNull(), "exports/jsonl"), F.when(F.col("quality_report_error").isNotNull(), "reports/quality_report.json")))
+    return flags.withColumns({"has_errors": F.size(stale) > 0, "stale": stale})
+
+
 def refresh_summary(jobs: DataFrame, drift: DataFrame) -> DataFrame:
     """Counters of a fleet refresh: jobs seen, skipped for not being completed, refreshed, up to date."""
     j = jobs.join(drift.select("job_id", "surface"), "job_id", "left")

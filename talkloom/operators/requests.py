@@ -9,8 +9,6 @@ from pyspark.sql import functions as F
 
 from talkloom.functions.fields import json_int
 
-FINGERPRINT_BLOCK = 1 << 16
-
 
 def canonical_map(m: Column) -> Column:
     """A map as JSON with sorted keys, so equal maps give equal text."""
@@ -61,16 +59,6 @@ def batch_rows(requests: DataFrame, url: str) -> DataFrame:
     return requests.select("custom_id", F.to_json(line).alias("line"))
 
 
-def ordered_fingerprint(df: DataFrame, keys: Sequence[str], pos: str, row: Column, block: int = FINGERPRINT_BLOCK) -> DataFrame:
-    """SHA-256 over the ordered rows of each key, as a two-level hash: rows within blocks of positions, then blocks.
-
-    A key of any size costs one digest per block in its final group."""
-    hashed = df.select(*keys, F.col(pos).cast("long").alias("__p"), F.expr(f"CAST(`{pos}` AS BIGINT) div {block}").alias("__b"), F.sha2(row, 256).alias("__h"))
-    joined = lambda order: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order, "__h"))), lambda x: x["__h"]), "")
-    blocks = hashed.groupBy(*keys, "__b").agg(F.sha2(joined("__p"), 256).alias("__h"), F.count("*").alias("__n"))
-    return blocks.groupBy(*keys).agg(F.sha2(joined("__b"), 256).alias("fingerprint"), F.sum("__n").alias("rows"))
-
-
 def last_response(lines: DataFrame) -> DataFrame:
     """The last line per request wins."""
     row = F.struct("status_code", "body", "error")

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from talkloom.operators import overlay as ov
 from talkloom.operators import requests as rq
+from talkloom.operators.hashtree import fingerprint
 from talkloom.plans import inputs
 from talkloom.plans import oracle_inputs as oi
 from talkloom.session import materialise
@@ -291,12 +292,16 @@ WITH r AS (SELECT user_id AS job_id, max(event_id) AS m FROM events WHERE event_
 SELECT j.job_id, coalesce(m % 2 = 0, false) AS human_reviewed, CAST(m AS VARCHAR) AS reviewed_at, CASE WHEN m IS NOT NULL THEN 'dashboard' END AS reviewed_by, m AS review_updated_at FROM (SELECT DISTINCT user_id AS job_id FROM events) j LEFT JOIN r USING (job_id)"""
 
 
-def _surfaces(spark, sf_dir):
-    """Effective claims per source against an export that misses toxic ones and altered one source."""
+def _both_sides(spark, sf_dir):
+    """Effective claims per source, and an export that misses toxic ones and altered one source."""
     base = inputs.table(spark, sf_dir, "documents").select(F.col("source").alias("job_id"), F.col("doc_id").alias("pos"), "text")
     toxic = inputs.table(spark, sf_dir, "labels").where("toxic = 1").select(F.col("doc_id").alias("pos"))
     exported = base.join(toxic, "pos", "left_anti").where("job_id <> 'src4'").withColumn("text", F.when(F.col("job_id") == "src7", F.upper("text")).otherwise(F.col("text")))
-    return ov.surface_drift(base, exported, "pos", F.col("text"))
+    return base, exported
+
+
+def _surfaces(spark, sf_dir):
+    return ov.surface_drift(*_both_sides(spark, sf_dir), "pos", F.col("text"))
 
 
 def surface_drift(spark, sf_dir):
@@ -311,6 +316,49 @@ d AS (SELECT job_id, effective_rows, exported_rows, CASE WHEN exported_rows IS N
 SURFACE_DRIFT = SURF + "SELECT * FROM d"
 
 
+def surface_drift_blocks(spark, sf_dir):
+    return ov.drift_blocks(*_both_sides(spark, sf_dir), "pos", F.col("text"), leaf=64, fan=4)
+
+
+SURFACE_DRIFT_BLOCKS = """
+WITH b AS (SELECT source AS job_id, d.doc_id AS p, d.doc_id // 64 AS n, text, coalesce(l.toxic, 0) = 1 AS tox FROM documents d LEFT JOIN labels l USING (doc_id)),
+s AS (SELECT job_id, n, count(*) AS effective_rows, nullif(count(*) FILTER (NOT tox AND job_id <> 'src4'), 0) AS exported_rows, list(p || text ORDER BY p) AS a,
+    list(p || CASE WHEN job_id = 'src7' THEN upper(text) ELSE text END ORDER BY p) FILTER (NOT tox AND job_id <> 'src4') AS c FROM b GROUP BY ALL)
+SELECT job_id, n * 64 AS from_pos, n * 64 + 63 AS to_pos, effective_rows, exported_rows FROM s WHERE a IS DISTINCT FROM c"""
+
+
+def surface_fingerprints(spark, sf_dir):
+    return fingerprint(_both_sides(spark, sf_dir)[0], ["job_id"], "pos", F.col("text"), leaf=64, fan=4)
+
+
+SURFACE_FINGERPRINTS = (
+    """
+WITH l0 AS (SELECT *, max(n) OVER (PARTITION BY job_id) AS last FROM
+    (SELECT source AS job_id, doc_id // 64 AS n, sha256(string_agg(sha256(text), '' ORDER BY doc_id)) AS h, count(*) AS c FROM documents GROUP BY ALL))"""
+    + "".join(
+        f""",
+l{k + 1} AS (SELECT job_id, n // 4 AS n, sha256(string_agg(h, '' ORDER BY n)) AS h, CAST(sum(c) AS BIGINT) AS c, last // 4 AS last FROM l{k} WHERE last > 0 GROUP BY job_id, n // 4, last // 4)"""
+        for k in range(10)
+    )
+    + " UNION ALL ".join(f"\nSELECT job_id, h AS fingerprint, c AS rows FROM l{k} WHERE last = 0" for k in range(11))
+)
+
+
+def refresh_results(spark, sf_dir):
+    """Refresh flags of the sources' surfaces; what each one has follows from its number of rows and last document."""
+    base, exported = _both_sides(spark, sf_dir)
+    drift = ov.surface_drift(base, exported, "pos", F.col("text"))
+    n, last = F.col("n"), F.col("last")
+    facts = base.groupBy("job_id").agg(F.count("*").alias("n"), F.max("pos").alias("last")).join(drift, "job_id")
+    surfaces = facts.select(
+        "job_id", (F.col("surface") != "missing").alias("has_export"), (last % 7 != 0).alias("has_manifest"), (F.col("surface") == "refresh").alias("rows_differ"),
+        (~F.col("effective_rows").eqNullSafe(F.col("exported_rows"))).alias("manifest_differs"), (n % 5 != 0).alias("has_notes"), (n % 3 == 0).alias("notes_changed"),
+        (F.greatest(F.col("effective_rows") - F.coalesce("exported_rows", F.lit(0)), F.lit(0))).alias("stale_notes"),
+        F.when(last % 6 == 0, last).alias("lock_pid"), (n % 4 == 0).alias("report_differs"), (last % 4 == 1).alias("report_older"),
+    )
+    return ov.refresh_results(surfaces).withColumn("stale", F.array_join("stale", ","))
+
+
 def fleet_refresh_counts(spark, sf_dir):
     jobs = inputs.table(spark, sf_dir, "documents").groupBy(F.col("source").alias("job_id")).agg(F.max("doc_id").alias("m")).select("job_id", F.when(F.col("m") % 4 == 0, "failed").otherwise("completed").alias("status"))
     return ov.refresh_summary(jobs, _surfaces(spark, sf_dir))
@@ -321,6 +369,16 @@ j AS (SELECT source AS job_id, max(doc_id) % 4 <> 0 AS done FROM documents GROUP
 SELECT count(*) AS jobs_seen, count(*) FILTER (NOT done) AS jobs_skipped, count(*) FILTER (done AND surface = 'refresh') AS jobs_refreshed, count(*) FILTER (done AND surface = 'current') AS jobs_current, count(*) FILTER (done AND surface = 'missing') AS jobs_without_export FROM j JOIN d USING (job_id)"""
 
 
+REFRESH_RESULTS = SURF.rstrip() + """,
+f AS (SELECT source AS job_id, count(*) AS n, max(doc_id) AS last FROM documents GROUP BY 1),
+x AS (SELECT *, surface <> 'missing' AS e, last % 7 <> 0 AS m, n % 5 <> 0 AS o, last % 6 = 0 AS k, n % 4 = 0 OR last % 4 = 1 AS due, effective_rows - coalesce(exported_rows, 0) AS s FROM f JOIN d USING (job_id)),
+r AS (SELECT job_id, NOT e AS jsonl_skipped, e AND m AND surface = 'refresh' AS jsonl_refreshed, e AND m AND effective_rows IS DISTINCT FROM exported_rows AS manifest_refreshed,
+  CASE WHEN e AND NOT m THEN 'missing JSONL manifest' END AS jsonl_error, NOT o AS obsidian_skipped, o AND (n % 3 = 0 OR s > 0) AS obsidian_refreshed, CASE WHEN o THEN s ELSE 0 END AS stale_obsidian_notes_removed,
+  NOT k AND NOT due AS quality_report_skipped, NOT k AND due AS quality_report_refreshed, CASE WHEN k THEN 'ValueError: job is locked by running pipeline process pid=' || last END AS quality_report_error FROM x)
+SELECT *, jsonl_error IS NOT NULL OR quality_report_error IS NOT NULL AS has_errors,
+  concat_ws(',', CASE WHEN jsonl_error IS NOT NULL THEN 'exports/jsonl' END, CASE WHEN quality_report_error IS NOT NULL THEN 'reports/quality_report.json' END) AS stale FROM r"""
+
+
 QUERIES = {
     "request_cache_split": (request_cache_split, REQUEST_CACHE_SPLIT),
     "batch_requests": (batch_requests, BATCH_REQUESTS),
@@ -340,5 +398,8 @@ QUERIES = {
     "overlay_blocked": (overlay_blocked, OVERLAY_BLOCKED),
     "human_reviews": (human_reviews, HUMAN_REVIEWS),
     "surface_drift": (surface_drift, SURFACE_DRIFT),
+    "surface_drift_blocks": (surface_drift_blocks, SURFACE_DRIFT_BLOCKS),
+    "surface_fingerprints": (surface_fingerprints, SURFACE_FINGERPRINTS),
+    "refresh_results": (refresh_results, REFRESH_RESULTS),
     "fleet_refresh_counts": (fleet_refresh_counts, FLEET_REFRESH_COUNTS),
 }

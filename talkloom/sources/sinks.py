@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from talkloom import fixed_values as fx
-from talkloom.operators.requests import ordered_fingerprint
+from talkloom.operators.hashtree import fingerprint
 
 
 def write_lines(df: DataFrame, path: str, partition_by: str = "video_id") -> None:
@@ -35,7 +35,7 @@ def write_bundle(tables: dict[str, DataFrame], folder: str, visual_enabled: bool
 def manifest(claims: DataFrame, visual_enabled: bool, pos: str = "claim_pos") -> DataFrame:
     """Manifest rows per video and file: role, whether it is imported, and for the claims their fingerprint and count."""
     row = F.to_json(F.struct(*sorted(c for c in claims.columns if c != "video_id")), {"ignoreNullFields": "false"})
-    prints = ordered_fingerprint(claims, ["video_id"], pos, row)
+    prints = fingerprint(claims, ["video_id"], pos, row)
     entries = F.array(
         *[
             F.struct(

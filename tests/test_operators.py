@@ -1,5 +1,6 @@
 """Hand-written edge cases of the operators."""
 
+import hashlib
 import random
 
 import pytest
@@ -15,6 +16,7 @@ from talkloom.operators import audit as au
 from talkloom.operators import chunks as ch
 from talkloom.operators import claims as cl
 from talkloom.operators import frames as fr
+from talkloom.operators import hashtree as ht
 from talkloom.operators import intervals as iv
 from talkloom.operators import overlay as ov
 from talkloom.operators import palette as pal
@@ -210,11 +212,38 @@ def test_chunk_contamination_brute_force(spark):
     assert got == [("c1", "combined_text", "общий план"), ("c1", "topics", "slides"), ("c1", "visual_text", "общий план"), ("c2", "combined_text", "слева сумка"), ("c2", "presenter_brief", "слева")]
 
 
-def test_ordered_fingerprint_sees_order_and_blocks(spark):
-    rows = [("a", i, f"r{i}") for i in range(50)]
-    fp = lambda data, block: rq.ordered_fingerprint(spark.createDataFrame(data, "job_id string, pos long, t string"), ["job_id"], "pos", F.col("t"), block).first()["fingerprint"]
-    swapped = rows[:10] + [("a", 10, "r11"), ("a", 11, "r10")] + rows[12:]
-    assert fp(rows, 8) == fp(list(reversed(rows)), 8) != fp(swapped, 8)
+def test_fingerprints_equal_trees_by_hand_and_drift_is_located(spark):
+    digest = lambda t: hashlib.sha256(t.encode()).hexdigest()
+
+    def by_hand(rows, leaf, fan):
+        level = {}
+        for p, t in sorted(rows):
+            level[p // leaf] = level.get(p // leaf, "") + digest(t)
+        level, last = {n: digest(h) for n, h in level.items()}, max(p for p, _ in rows) // leaf
+        while last:
+            up = {}
+            for n in sorted(level):
+                up[n // fan] = up.get(n // fan, "") + level[n]
+            level, last = {n: digest(h) for n, h in up.items()}, last // fan
+        return level[0]
+
+    rng = random.Random(3)
+    jobs = {"hot": [(p, f"r{p}") for p in range(700)], "small": [(3, "x")], "gaps": [(p * 97, f"g{p}") for p in range(40)]}
+    frame = lambda tables: spark.createDataFrame([(j, p, t) for j, rows in tables.items() for p, t in rows], "job_id string, pos long, t string")
+    got = {r["job_id"]: (r["fingerprint"], r["rows"]) for r in ht.fingerprint(frame(jobs).repartition(5), ["job_id"], "pos", F.col("t"), 8, 3).collect()}
+    assert got == {j: (by_hand(rows, 8, 3), len(rows)) for j, rows in jobs.items()}
+    changed = {"hot": [(p, "other" if p in (17, 444) else t) for p, t in jobs["hot"] if not 96 <= p < 104] + [(2000, "late")], "small": jobs["small"], "new": [(0, "n")]}
+    changed["hot"][5], changed["hot"][6] = (5, "r6"), (6, "r5")
+    rng.shuffle(changed["hot"])
+    found = ht.differing_leaves(frame(jobs), frame(changed), ["job_id"], "pos", F.col("t"), 8, 3).collect()
+    want = set()
+    for j in {*jobs, *changed}:
+        blocks = [{}, {}]
+        for side, tables in enumerate((jobs, changed)):
+            for p, t in sorted(tables.get(j, [])):
+                blocks[side].setdefault(p // 8, []).append(t)
+        want |= {(j, n * 8, n * 8 + 7, *(len(b[n]) if n in b else None for b in blocks)) for n in {*blocks[0], *blocks[1]} if blocks[0].get(n) != blocks[1].get(n)}
+    assert {(r["job_id"], r["from_pos"], r["to_pos"], r["left_rows"], r["right_rows"]) for r in found} == want and len(found) == len(want)
 
 
 def test_drift_cases(spark):
