@@ -1,12 +1,14 @@
 """Mixing sources to target weights by Sainte-Laguë apportionment.
 
-The words of each source, its documents laid end to end in seeded order, are cut into blocks of equal size. Blocks are
-seats: sources win them by highest quotients of their targets, shard after shard, so every shard of the mix has integer
-quotas. Each source then fills its quota with consecutive blocks from the start of that order, and again from there once
-all are used. So documents are taken whole but for the one in which the last run ends, which keeps its first words.
+The words of each source, its documents laid end to end in seeded order, are cut into blocks of equal size (of one word,
+unless told otherwise, so that the smallest source can hold a seat). Blocks are seats: sources win them by highest
+quotients of their targets, shard after shard, so every shard of the mix has integer quotas. A source draws consecutive
+blocks from the start of its order, and again from there once all are used: those of the first shard's quota go to that
+shard, the next ones to the next. So documents are taken whole but for the ones in which a run ends, and what a document
+lends to each shard is the overlap of its place with the shard's run.
 
-Only one row of totals for each source reaches the driver (at most MOST_SOURCES, checked); everything per document or
-per block stays in Spark. A source of any size is split into parts for its running sums."""
+Only one row of totals for each source reaches the driver (at most MOST_SOURCES, checked); everything per document stays
+in Spark. A source of any size is split into parts for its running sums."""
 
 from __future__ import annotations
 
@@ -18,9 +20,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from talkloom.llm.common import word_count
+from talkloom.session import materialise
 
 WEIGHTS = (3, 1, 2)
-BLOCK_WORDS = 32
+BLOCK_WORDS = 1
 PART_WORDS = 1 << 16
 #: Parts of one source; beyond this they grow instead.
 MOST_PARTS = 1 << 17
@@ -70,85 +73,107 @@ def shard_quotas(votes: list[float], seats: int, n_shards: int) -> list[list[int
 
 
 def source_plan(sizes: dict, weights: tuple[int, ...] = WEIGHTS, block: int = BLOCK_WORDS, n_shards: int = 8) -> list[tuple]:
-    """A row for each source: sid, source, source_size, target, blocks, quotas up to each shard, parts."""
+    """A row for each source: sid, source, source_size, target, words drawn up to and with each shard, parts."""
     if len(sizes) > MOST_SOURCES:
         raise ValueError(f"{len(sizes)} sources; at most {MOST_SOURCES}")
     names = sorted(sizes, key=lambda s: (s is None, (s or "").encode("utf-8", "surrogatepass")))  # code points order as UTF-8 bytes
     totals = [sizes[s] for s in names]
     aims = targets(totals, [weights[i % len(weights)] for i in range(len(names))]) if names else []
-    blocks = [-(-t // block) for t in totals]
     quotas = shard_quotas(aims, round(sum(aims) / block), n_shards)
     rows = []
     for i, name in enumerate(names):
-        parts = max(1, min(MOST_PARTS, -(-totals[i] // PART_WORDS)))
-        upto = [min(q[i], 2 * blocks[i]) for q in quotas]  # no block is used more than twice
-        rows.append((i, name, totals[i], aims[i], blocks[i], upto, parts))
+        blocks = -(-totals[i] // block)
+
+        def drawn(uses: int, total: int = totals[i], blocks: int = blocks) -> int:
+            """Words of the first `uses` blocks drawn; the last block of a pass may be short."""
+            return uses // blocks * total + min(uses % blocks * block, total) if blocks else 0
+
+        ends = [drawn(min(q[i], 2 * blocks)) for q in quotas]  # no block is used more than twice
+        rows.append((i, name, totals[i], aims[i], ends, max(1, min(MOST_PARTS, -(-totals[i] // PART_WORDS)))))
     return rows
 
 
-PLAN_SCHEMA = "sid int, source string, source_size bigint, target double, blocks bigint, upto array<bigint>, parts bigint"
+PLAN_SCHEMA = "sid int, source string, source_size bigint, target double, ends array<bigint>, parts bigint"
 
 
-def block_uses(docs: DataFrame, columns: list[str], n_shards: int = 8, seed: int = 7, block: int = BLOCK_WORDS) -> DataFrame:
-    """`columns` of `docs` (doc_id, text, source) as one struct column `row`, with size, source_size, target, sid, first (the
-    place of the document's first word in its source) and uses: how often each block that it touches is taken."""
-    size = word_count(F.col("text"))
-    totals = docs.groupBy("source").agg(F.sum(size).alias("n")).collect()
-    plan = docs.sparkSession.createDataFrame(source_plan({r["source"]: r["n"] for r in totals}, block=block, n_shards=n_shards), PLAN_SCHEMA)
-    rows = docs.select(
-        F.struct(*[docs[f"`{c}`"] for c in columns]).alias("row"),
-        size.alias("size"),
-        F.col("source").alias("of"),
-        F.xxhash64(F.lit(seed), "doc_id", "text").alias("mix"),
-        F.col("doc_id").alias("tie"),
-    )
+def _plan(sized: DataFrame, n_shards: int, block: int) -> DataFrame:
+    """The plan of all sources of `sized` (of: the source, size, n: how many)."""
+    totals = sized.groupBy("of").agg(F.sum(F.col("size") * F.col("n")).alias("total")).collect()
+    return sized.sparkSession.createDataFrame(source_plan({r["of"]: r["total"] for r in totals}, block=block, n_shards=n_shards), PLAN_SCHEMA)
+
+
+def _named(sized: DataFrame, plan: DataFrame) -> DataFrame:
+    """`sized` (of, mix, and others) with the row of its source and the part that it falls in."""
     # the plan has one row a source (checked above); Spark broadcasts it where it is small
-    named = rows.join(plan, rows["of"].eqNullSafe(plan["source"])).withColumn("part", F.pmod(F.shiftright("mix", 3), F.col("parts")))
-    inside = Window.partitionBy("sid", "part")
-    summed = named.withColumn("upto_doc", F.sum("size").over(inside.orderBy("mix", "tie", "size").rowsBetween(Window.unboundedPreceding, 0)))
-    part_sizes = named.groupBy("sid", "part").agg(F.sum("size").alias("n"))
+    named = sized.join(plan, sized["of"].eqNullSafe(plan["source"])).drop("source")
+    return named.withColumn("part", F.pmod(F.shiftright("mix", 3), F.col("parts")))
+
+
+def _part_starts(named: DataFrame) -> DataFrame:
+    sizes = named.groupBy("sid", "part").agg(F.sum(F.col("size") * F.col("n")).alias("words"))
     before = Window.partitionBy("sid").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    part_starts = part_sizes.select("sid", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("part_start"))
-    placed = summed.join(part_starts, ["sid", "part"]).withColumn("first", F.col("part_start") + F.col("upto_doc") - F.col("size"))
-    quota = F.element_at("upto", -1)
+    return sizes.select("sid", "part", F.coalesce(F.sum("words").over(before), F.lit(0)).alias("part_start"))
 
-    def uses(b: Column) -> Column:
-        return (F.floor(quota / F.col("blocks")) + F.when(b < quota % F.col("blocks"), 1).otherwise(0)).cast("int")
 
-    last = F.floor((F.col("first") + F.col("size") - 1) / block)
-    touched = F.when(F.col("size") > 0, F.transform(F.sequence(F.floor(F.col("first") / block), last), uses))
-    return placed.select("row", "size", "source_size", "target", "sid", "first", F.coalesce(touched, F.array().cast("array<int>")).alias("uses"))
+def _placed(named: DataFrame, starts: DataFrame, ties: list[str]) -> DataFrame:
+    """`named` with `first`: the place of its first word in its source."""
+    inside = Window.partitionBy("sid", "part").orderBy("mix", *ties).rowsBetween(Window.unboundedPreceding, 0)
+    own = F.col("size") * F.col("n")
+    return named.withColumn("upto", F.sum(own).over(inside)).join(starts, ["sid", "part"]).withColumn("first", F.col("part_start") + F.col("upto") - own)
 
 
-def mixed_documents(docs: DataFrame, n_shards: int = 8, seed: int = 7, block: int = BLOCK_WORDS) -> DataFrame:
-    """doc_id, size, source_size, target, taken for every row of `docs` (doc_id, text, source).
+def _lent(first: Column, size: Column) -> Column:
+    """Words that a document lends to each shard, over both passes through its source."""
+
+    def overlap(end: Column, s: Column) -> Column:
+        start = F.when(s > 0, F.get("ends", s - 1)).otherwise(0)
+        parts = [F.greatest(F.least(end, at + size) - F.greatest(start, at), F.lit(0)) for at in (first, first + F.col("source_size"))]
+        return parts[0] + parts[1]
 
-    `taken`: words that the mix takes from the document, repeats counted, at most twice its size. A null or empty text
-    has size 0 and gives nothing; null is a source of its own, after all others. Repeated rows are separate documents.
-    The same rows and seed give the same result. An empty table gives an empty result; other columns are ignored."""
-    used = block_uses(docs, ["doc_id"], n_shards, seed, block)
-    head = F.col("first") % block  # words of the first block that lie before the document
-    overlap = lambda i: F.least(F.lit(block) * (i + 1) - head, F.col("size")) - F.greatest(F.lit(block) * i - head, F.lit(0))
-    parts = F.transform("uses", lambda n, i: n * overlap(i))
-    taken = F.aggregate(parts, F.lit(0).cast("long"), lambda a, x: a + x)
-    return used.select("row.doc_id", "size", "source_size", "target", taken.alias("taken"))
+    return F.transform("ends", overlap)
 
 
-def mix(docs: DataFrame, n_shards: int = 8, seed: int = 7, block: int = BLOCK_WORDS) -> DataFrame:
+def mixed_documents(docs: DataFrame, n_shards: int = 8, seed: int = 7, block: int = BLOCK_WORDS) -> DataFrame:
+    """doc_id, size, source_size, target, taken, shard_words, source for every row of `docs` (doc_id, text, source).
+
+    `taken`: words that the mix takes from the document, repeats counted, at most twice its size; `shard_words`: the same
+    for each shard. A null or empty text has size 0 and gives nothing; null is a source of its own, after all others. Texts
+    of any length are counted whole. Repeated rows are separate documents, told apart by nothing and counted before they are
+    shuffled. The same rows and seed give the same result. An empty table gives an empty result; other columns are ignored."""
+    row = docs.select(F.col("source").alias("of"), word_count(F.col("text")).alias("size"), F.xxhash64(F.lit(seed), "doc_id", "text").alias("mix"), "doc_id")
+    equal = materialise(row.groupBy("of", "mix", "doc_id", "size").agg(F.count("*").alias("n")))
+    named = _named(equal, _plan(equal, n_shards, block))
+    placed = _placed(named, _part_starts(named), ["doc_id", "size"])
+    each = placed.withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
+    lent = each.withColumn("shard_words", _lent(F.col("first") + F.col("k") * F.col("size"), F.col("size")))
+    taken = F.aggregate("shard_words", F.lit(0).cast("long"), lambda a, x: a + x)
+    return lent.select("doc_id", "size", "source_size", "target", taken.alias("taken"), "shard_words", F.col("of").alias("source"))
+
+
+def mix(docs: DataFrame, n_shards: int = 8, seed: int = 7, block: int = BLOCK_WORDS, shard: str | None = None) -> DataFrame:
     """The mix itself: `docs` (doc_id, text, source and others) with one row for each first and second use of a document.
 
-    A document used in part, one of a source at most, keeps its words up to the end of a block, each with the white space
-    after it; one used whole keeps its text. Unused documents, and those without words, are left out. `n_chars` follows the text where it exists."""
-    used = block_uses(docs, docs.columns, n_shards, seed, block)
-    at = F.col("first")
-    copies = used.withColumn("copy", F.explode(F.sequence(F.lit(1), F.greatest(F.array_max("uses"), F.lit(1)))))
-    copies = copies.where(F.exists("uses", lambda n: n >= F.col("copy")))
-    words = F.filter(F.split("row.text", r"(?<=[\x20\x09-\x0D])(?=[^\x20\x09-\x0D])"), lambda w: F.length(F.btrim(w, F.lit(" \t\n\x0b\f\r"))) > 0)
-    kept = F.filter(words, lambda w, i: F.get("uses", F.floor((at % block + i) / F.lit(block)).cast("int")) >= F.col("copy"))
-    whole = F.forall("uses", lambda n: n >= F.col("copy"))
-    text = F.when(whole, F.col("row.text")).otherwise(F.array_join(kept, ""))
+    A document used in part, one of a source at most, keeps its first words, each with the white space after it; one used
+    whole keeps its text. Unused documents, and those without words, are left out. `n_chars` follows the text where it
+    exists. `shard` names a column for the shard that a use's first word goes to; without it there is none."""
+    row = F.struct(*[docs[f"`{c}`"] for c in docs.columns])
+    sized = docs.select(
+        row.alias("row"), word_count(F.col("text")).alias("size"), F.col("source").alias("of"), F.xxhash64(F.lit(seed), "doc_id", "text").alias("mix"), F.lit(1).alias("n")
+    )
+    # places come from narrow stored rows, told apart by a hash of all columns; equal rows share it and their order is all one
+    narrow = materialise(sized.select("of", "size", "mix", F.xxhash64("row").alias("tie"), "n"))
+    plan = _plan(narrow, n_shards, block)
+    starts = materialise(_part_starts(_named(narrow, plan)))
+    named = _named(sized, plan)
+    placed = _placed(named.withColumn("tie", F.xxhash64("row")), starts, ["tie"])
+    at = F.col("first") + (F.col("copy") - 1) * F.col("source_size")
+    copies = placed.withColumn("copy", F.explode(F.lit([1, 2]))).withColumn("kept", F.least(F.element_at("ends", -1) - at, F.col("size"))).where("kept > 0")
+    pieces = F.filter(F.split("row.text", r"(?<=[\x20\x09-\x0D])(?=[^\x20\x09-\x0D])"), lambda w: F.length(F.btrim(w, F.lit(" \t\n\x0b\f\r"))) > 0)
+    text = F.when(F.col("kept") == F.col("size"), F.col("row.text")).otherwise(F.array_join(F.slice(pieces, F.lit(1), F.col("kept").cast("int")), ""))
     changed = copies.withColumn("text", text)
     columns = {c: F.col(f"row.`{c}`") for c in docs.columns} | {"text": F.col("text")}
     if "n_chars" in docs.columns:
         columns["n_chars"] = F.length("text").cast(docs.schema["n_chars"].dataType)
+    if shard:
+        columns[shard] = F.size(F.filter("ends", lambda e: e <= at))
     return changed.select(*[value.alias(name) for name, value in columns.items()])

@@ -68,6 +68,7 @@ def test_the_mix_comes_near_its_targets(spark):
         totals[s] += size(t)
     names = sorted(totals, key=lambda s: (s is None, s or ""))
     aims = dict(zip(names, slow_targets([totals[s] for s in names], [mx.WEIGHTS[i % 3] for i in range(len(names))]), strict=True))
+    quotas = mx.shard_quotas(list(aims.values()), round(sum(aims.values())), 8)
     assert Counter((r["doc_id"], r["size"], r["source_size"], round(r["target"], 6)) for r in got) == Counter(
         (i, size(t), totals[s], round(aims[s], 6)) for i, t, _, s, _, _ in rows
     )
@@ -76,7 +77,41 @@ def test_the_mix_comes_near_its_targets(spark):
         assert 0 <= r["taken"] <= 2 * r["size"]
         taken[source[r["doc_id"]]] += r["taken"]
     for s in names:
-        assert abs(taken[s] - aims[s]) <= 3 * mx.BLOCK_WORDS, (s, taken[s], aims[s])
+        assert abs(taken[s] - aims[s]) <= 1, (s, taken[s], aims[s])
+    by_shard = Counter()
+    for r in got:
+        assert sum(r["shard_words"]) == r["taken"]
+        for k, words in enumerate(r["shard_words"]):
+            by_shard[r["source"], k] += words
+    for n, s in enumerate(names):  # quotas of every shard, exactly
+        won = [min(q[n], 2 * totals[s]) for q in quotas]
+        assert [by_shard[s, k] for k in range(8)] == [b - a for a, b in zip([0, *won], won, strict=False)]
+
+
+def test_small_sources_meet_their_targets(spark):
+    rows = [(i, " ".join(f"w{k}" for k in range(10)), "en", f"s{i:03}", 0, "") for i in range(200)]
+    rows += [(1000 + i, f"one{i}", "en", f"t{i:03}", 0, "") for i in range(50)]
+    got = mx.mixed_documents(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert all(abs(r["taken"] - r["target"]) <= 1 for r in got) and abs(sum(r["taken"] for r in got) - 1.5 * 2050) <= 2
+
+
+def test_blocks_of_several_words_and_shards_of_uses(spark):
+    rows = corpus()
+    frame = spark.createDataFrame(rows, SCHEMA)
+    got = mx.mixed_documents(frame, block=16).collect()
+    totals, taken, aim = Counter(), Counter(), {}
+    for r in got:
+        totals[r["source"]], aim[r["source"]] = r["source_size"], r["target"]
+        taken[r["source"]] += r["taken"]
+    assert all(abs(taken[s] - aim[s]) <= 32 for s in totals)
+    shards = mx.mix(frame, shard="part")
+    assert shards.columns == [*frame.columns, "part"] and {r["part"] for r in shards.select("part").collect()} == set(range(8))
+
+
+def test_a_row_that_is_repeated_very_often(spark):
+    rows = [(1, "a b c", "en", "hot", 5, "")] * 300 + [(k, "d e", "en", "hot", 3, "") for k in range(2, 80)]
+    got = mx.mixed_documents(spark.createDataFrame(rows, SCHEMA).repartition(5)).collect()
+    assert len(got) == 378 and sum(r["taken"] for r in got) == round(1.5 * (900 + 156)) and all(r["taken"] <= 2 * r["size"] for r in got)
 
 
 def test_mixed_texts_hold_what_was_taken(spark):
