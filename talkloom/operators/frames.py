@@ -1,15 +1,27 @@
 """Frame quality, quality drop and near-duplicate removal over frame feature tables.
 
-The frame plan puts at most ``max_frames_per_scene`` frames into a scene, but any number is taken. The ordered
-rules below fold over a scene's array of narrow fields inside the JVM.
+The frame plan puts at most ``max_frames_per_scene`` frames into a scene, but any number is taken. The quality rule folds
+over a scene's array of narrow fields inside the JVM. Near-duplicates are found by bands of their hashes, and the ordered
+rule then streams over a scene's conflicts, one row each.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from talkloom.config import DEFAULTS, SceneLimits
+from talkloom.operators import sequence as seq
+from talkloom.session import materialise
+
+HASH_BITS = 64
+#: From this distance on bands of a hash tell hardly anything apart, and half of all pairs are alike anyway.
+DENSE_DISTANCE = 16
+#: Frames of a block where all pairs of a scene are compared.
+PAIR_BLOCK = 256
 
 SEVERE = ["transition_like", "gray_transition_like", "high_central_blurred_tile_ratio"]
 
@@ -134,17 +146,55 @@ def quality_drop(frames: DataFrame, keys: list[str], limits: SceneLimits = DEFAU
     return folded.select(*keys, "f.image_index", "f.status", "f.guard")
 
 
+def hash_bands(max_distance: int) -> tuple[list[tuple[int, int]], int]:
+    """(offset, width) of bands of a hash, and the distance that some band of two hashes keeps to (pigeonhole): 0 for few
+    differing bits, so that bands are equal, else 1, so that one bit is flipped at most."""
+    n = max_distance + 1 if max_distance < 4 else (max_distance + 2) // 2
+    cuts = [HASH_BITS * k // n for k in range(n + 1)]
+    return [(a, b - a) for a, b in zip(cuts, cuts[1:], strict=False)], max_distance // n
+
+
 def hamming_pairs(frames: DataFrame, keys: list[str], max_distance: int, limits: SceneLimits = DEFAULTS.scene) -> DataFrame:
-    """Near-duplicate pairs within a scene (the plan gives it at most eight frames, so 28 pairs)."""
-    scenes = _scene_arrays(frames, keys, "image_index", ["phash"], limits)
-    left = scenes.select(*keys, "frames", F.explode("frames").alias("a"))
-    pairs = left.select(*keys, "a", F.explode(F.filter("frames", lambda b: b["image_index"] > F.col("a.image_index"))).alias("b"))
-    return pairs.select(
-        *keys,
-        F.col("a.image_index").alias("left_index"),
-        F.col("b.image_index").alias("right_index"),
-        hamming(F.col("a.phash"), F.col("b.phash")).alias("distance"),
-    ).where(F.col("distance") <= max_distance)
+    """Pairs of frames of a scene (keys, left_index < right_index, distance) whose hashes differ in few bits.
+
+    Multi-index hashing: a pair is found in the first band in which it is close enough, and there alone, so frames that
+    are not alike hardly ever meet. For distances at which bands don't tell frames apart, all pairs are compared by blocks."""
+    sides = [frames.where("phash IS NOT NULL").select(*keys, F.col("image_index").alias(f"{side}_index"), F.col("phash").alias(f"{side}_hash")) for side in ("left", "right")]
+    if max_distance >= DENSE_DISTANCE:
+        met = _all_pairs(*sides, keys)
+    else:
+        met = _banded_pairs(*sides, keys, max_distance)
+    distance = hamming(F.col("left_hash"), F.col("right_hash"))
+    return met.select(*keys, "left_index", "right_index", distance.alias("distance")).where((F.col("distance") <= max_distance) & (F.col("left_index") < F.col("right_index")))
+
+
+def _banded_pairs(left: DataFrame, right: DataFrame, keys: list[str], max_distance: int) -> DataFrame:
+    bands, radius = hash_bands(max_distance)
+
+    def band(value: Column, k: int) -> Column:
+        offset, width = bands[k]
+        return F.shiftrightunsigned(value, offset).bitwiseAND(F.lit((1 << width) - 1 if width < 64 else -1))
+
+    def probes(value: Column, k: int) -> Column:
+        own = band(value, k)
+        flipped = [own.bitwiseXOR(F.lit(1 << b)) for b in range(bands[k][1])] if radius else []
+        return F.array(*[F.struct(F.lit(k).alias("band"), v.alias("value")) for v in [own, *flipped]])
+
+    asked = left.withColumn("b", F.explode(F.concat(*[probes(F.col("left_hash"), k) for k in range(len(bands))])))
+    stored = right.withColumn("b", F.explode(F.array(*[F.struct(F.lit(k).alias("band"), band(F.col("right_hash"), k).alias("value")) for k in range(len(bands))])))
+    joined = asked.join(stored, [*keys, "b"])
+    differing = F.col("left_hash").bitwiseXOR(F.col("right_hash"))
+    first = F.coalesce(*[F.when(F.bit_count(band(differing, k)) <= radius, k) for k in range(len(bands))])
+    return joined.where(first == F.col("b.band"))
+
+
+def _all_pairs(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    sizes = left.groupBy(*keys).agg(F.ceil(F.count("*") / PAIR_BLOCK).cast("int").alias("n"))
+    place = lambda side: F.pmod(F.xxhash64(f"{side}_index"), F.col("n")).cast("int")
+    every = F.explode(F.sequence(F.lit(0), F.col("n") - 1))
+    one = left.join(sizes, keys).withColumn("i", place("left")).withColumn("j", every).drop("n")
+    two = right.join(sizes, keys).withColumn("j", place("right")).withColumn("i", every).drop("n")
+    return one.join(two, [*keys, "i", "j"])
 
 
 def drop_near_duplicates(
@@ -158,62 +208,101 @@ def drop_near_duplicates(
     """Greedy near-duplicate removal in time order against the frames kept so far.
 
     The earliest keyframe (or else the first frame) is protected; when fewer than ``min_frames`` stay, the
-    sharpest dropped ones come back. Returns every frame with kept, matched_index and distance."""
+    sharpest dropped ones come back. Returns every frame with kept, matched_index and distance.
+
+    Frames of one hash share their conflicts, so only the first of each and the protected frame are compared. A scene of
+    any size is held as rows; of those that the ordered rule goes through, it keeps only which frames have stayed."""
     distance = limits.phash_max_distance if max_distance is None else max_distance
     floor = limits.min_frames_per_scene if min_frames is None else min_frames
-    scenes = _scene_arrays(frames, keys, "ts_ms", ["image_index", "frame_role", "phash", "sharpness"], limits)
-    key_frames = F.filter("frames", lambda f: f["frame_role"] == "keyframe")
-    by_index = F.array_min(F.transform("frames", lambda f: f["image_index"]))
-    scenes = scenes.withColumn(
-        "protected", F.when(F.size(key_frames) > 0, F.get(key_frames, 0)["image_index"]).otherwise(by_index)
+    place = F.struct("ts_ms", "image_index")
+    rows = frames.select(*keys, F.col("image_index").cast("long").alias("image_index"), F.col("ts_ms").cast("long").alias("ts_ms"), "frame_role", F.col("phash").cast("long").alias("phash"), "sharpness")
+    guarded = rows.groupBy(*keys).agg(F.min(F.when(F.col("frame_role") == "keyframe", place)).alias("k"), F.min("image_index").alias("i"))
+    firsts = rows.where("phash IS NOT NULL").groupBy(*keys, "phash").agg(F.min(place).alias("first"))
+    # frames without a hash have no conflicts and stay
+    same_hash = [F.col(f"r.{k}").eqNullSafe(F.col(f"f.{k}")) for k in keys] + [F.col("r.phash") == F.col("f.phash")]
+    joined = rows.join(guarded.select(*keys, F.coalesce("k.image_index", "i").alias("protected")), keys).alias("r").join(firsts.alias("f"), same_hash, "left")
+    marked = materialise(
+        joined.select(*[F.col(f"r.{c}") for c in rows.columns], F.col("f.first.image_index").alias("first_index"), (F.col("r.image_index") == F.col("r.protected")).alias("protected"))
     )
-    kept_type = "array<struct<image_index:bigint,phash:bigint>>"
-    out_type = "array<struct<image_index:bigint,kept:boolean,matched_index:bigint,distance:bigint,sharpness:double,ts_ms:bigint>>"
-    start = F.struct(F.array().cast(kept_type).alias("kept"), F.array().cast(out_type).alias("out"))
-
-    def step(acc: Column, f: Column) -> Column:
-        index = f["image_index"].cast("long")
-        match = F.get(F.filter(acc["kept"], lambda k: hamming(k["phash"], f["phash"]) <= distance), 0)
-        keep = (index == F.col("protected")) | match.isNull()
-        entry = F.struct(index.alias("image_index"), f["phash"].cast("long").alias("phash"))
-        row = F.struct(
-            index.alias("image_index"),
-            keep.alias("kept"),
-            F.when(~keep, match["image_index"]).alias("matched_index"),
-            F.when(~keep, hamming(match["phash"], f["phash"])).alias("distance"),
-            f["sharpness"].cast("double").alias("sharpness"),
-            f["ts_ms"].cast("long").alias("ts_ms"),
-        )
-        return F.struct(
-            F.when(keep, F.concat(acc["kept"], F.array(entry))).otherwise(acc["kept"]).alias("kept"),
-            F.concat(acc["out"], F.array(row)).alias("out"),
-        )
-
-    folded = scenes.withColumn("out", F.aggregate("frames", start, step)["out"])
-    missing = F.greatest(F.lit(0), F.lit(floor) - F.size(F.filter("out", lambda r: r["kept"])))
-    sharpest = F.slice(
-        F.array_sort(
-            F.transform(
-                F.filter("out", lambda r: ~r["kept"]),
-                lambda r: F.struct((-r["sharpness"]).alias("s"), r["ts_ms"].alias("t"), r["image_index"].alias("i")),
-            )
-        ),
-        F.lit(1),
-        missing,
-    )
-    rows = folded.withColumn("restored", F.transform(sharpest, lambda r: r["i"])).select(
-        *keys, "restored", F.explode("out").alias("r")
+    nodes = marked.where((F.col("image_index") == F.coalesce("first_index", "image_index")) | F.col("protected"))
+    pairs = hamming_pairs(nodes, keys, distance)
+    both = pairs.select(*keys, F.col("left_index").alias("image_index"), F.col("right_index").alias("other"), "distance").unionByName(
+        pairs.select(*keys, F.col("right_index").alias("image_index"), F.col("left_index").alias("other"), "distance")
     )
-    back = F.array_contains("restored", F.col("r.image_index"))
-    return rows.select(
+    times = nodes.select(*keys, F.col("image_index").alias("other"), F.col("ts_ms").alias("other_ts"))
+    conflicts = both.join(times, [*keys, "other"])
+    earlier = (F.col("other_ts") < F.col("ts_ms")) | ((F.col("other_ts") == F.col("ts_ms")) & (F.col("other") < F.col("n.image_index")))
+    on = [F.col(f"n.{k}").eqNullSafe(F.col(f"c.{k}")) for k in keys] + [F.col("n.image_index") == F.col("c.image_index"), earlier]
+    asked = nodes.alias("n").join(conflicts.alias("c"), on, "left").select(*[f"n.{k}" for k in keys], "n.image_index", "n.ts_ms", "n.protected", "other", "other_ts", "distance")
+    decided = materialise(_kept_in_order(asked, keys))
+    # a later frame of the same hash matches what its first one matched, or else that one itself
+    named = decided.select(*keys, F.col("image_index").alias("node"), "kept", "matched_index", "distance")
+    of_first = named.select(*keys, F.col("node").alias("first_index"), F.coalesce("matched_index", "node").alias("m"), F.coalesce("distance", F.lit(0).cast("long")).alias("d"))
+    late = marked.where((F.col("image_index") != F.col("first_index")) & ~F.col("protected")).join(of_first, [*keys, "first_index"])
+    dropped_late = late.select(*keys, "image_index", "ts_ms", "sharpness", F.lit(False).alias("kept"), F.col("m").alias("matched_index"), F.col("d").alias("distance"))
+    own = nodes.select(*keys, "image_index", "ts_ms", "sharpness").join(decided.drop("ts_ms"), [*keys, "image_index"])
+    matched = F.when(~F.col("kept"), F.col("matched_index")), F.when(~F.col("kept"), F.col("distance"))
+    every = own.select(*keys, "image_index", "ts_ms", "sharpness", "kept", matched[0].alias("matched_index"), matched[1].alias("distance")).unionByName(dropped_late)
+    missing = every.groupBy(*keys).agg((F.lit(floor) - F.count_if("kept")).alias("missing")).where("missing > 0")
+    short = every.where("NOT kept").join(missing, keys).withColumn("blur", -F.col("sharpness"))
+    best = seq.first_n(short, keys, ["blur", "ts_ms", "image_index"], max(floor, 1), "image_index")
+    rank = F.row_number().over(Window.partitionBy(*keys).orderBy("blur", "ts_ms", "image_index"))
+    back = best.withColumn("rank", rank).where(F.col("rank") <= F.col("missing")).select(*keys, "image_index", F.lit(True).alias("back"))
+    out = every.join(back, [*keys, "image_index"], "left")
+    returned = F.col("back").isNotNull()
+    return out.select(
         *keys,
-        "r.image_index",
-        (F.col("r.kept") | back).alias("kept"),
-        F.when(~back, F.col("r.matched_index")).alias("matched_index"),
-        F.when(~back, F.col("r.distance")).alias("distance"),
+        "image_index",
+        (F.col("kept") | returned).alias("kept"),
+        F.when(~returned, F.col("matched_index")).alias("matched_index"),
+        F.when(~returned, F.col("distance")).alias("distance"),
     )
 
 
+def _kept_in_order(conflicts: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, image_index, ts_ms, kept, matched_index, distance of every frame of ``conflicts``: a row for each earlier frame that
+    one conflicts with, or one with null. In time order a frame stays if it is protected or no conflicting one has stayed."""
+    names = [*keys, "image_index", "ts_ms", "kept", "matched_index", "distance"]
+    fields = {f.name: f.dataType.simpleString() for f in conflicts.schema.fields}
+    schema = ", ".join(f"`{k}` {fields[k]}" for k in keys) + ", image_index bigint, ts_ms bigint, kept boolean, matched_index bigint, distance bigint"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scene, stayed = None, set()
+        now: list | None = None  # the frame whose conflicts are being read
+
+        kinds: list[pa.DataType] = []
+        for batch in batches:
+            kinds = [batch.schema.field(k).type for k in keys] + [pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64()]
+            columns = [batch.column(c).to_pylist() for c in (*keys, "image_index", "ts_ms", "protected", "other", "distance")]
+            done = []
+            for row in zip(*columns, strict=True):
+                own, (index, ts, protected, other, distance) = row[: len(keys)], row[len(keys) :]
+                if now is None or now[: len(keys) + 1] != [*own, index]:
+                    if now is not None:
+                        done.append(settle(now, stayed))
+                    if own != scene:
+                        scene, stayed = own, set()
+                    now = [*own, index, ts, protected, None, None]
+                if now[-2] is None and other is not None and other in stayed:
+                    now[-2:] = other, distance
+            if done:
+                yield batch_of(done, kinds)
+        if now is not None:
+            yield batch_of([settle(now, stayed)], kinds)
+
+    def settle(frame: list, stayed: set) -> tuple:
+        kept = frame[-3] or frame[-2] is None
+        if kept:
+            stayed.add(frame[len(keys)])
+        return (*frame[:-3], kept, *frame[-2:])
+
+    def batch_of(rows: list[tuple], kinds: list[pa.DataType]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+
+    ordered = conflicts.repartition(*keys).sortWithinPartitions(*keys, "ts_ms", "image_index", "other_ts", "other")
+    return ordered.mapInArrow(run, schema)
+
+
 def frame_outcomes(frames: DataFrame, keys: list[str], limits: SceneLimits = DEFAULTS.scene, **dedup) -> DataFrame:
     """Every frame as kept, dropped for quality, or dropped as a near-duplicate of another frame."""
     dropped = quality_drop(frames, keys, limits)
