@@ -12,9 +12,12 @@ from talkloom.functions import markers as mk
 from talkloom.functions import text as tx
 from talkloom.functions.markers import DEFAULT_RULES, MarkerRules
 from talkloom.functions.redact import preview
+from talkloom.session import materialise
 
 TEXT_FIELDS = ["visual_summary", "notes"]
 LIST_FIELDS = ["observations", "interpretations", "items", "style_topics"]
+#: Signs of a marker of one word by which it is looked up inside words.
+GRAM = 3
 LEAKAGE_FIELDS = ["visual_summary", "observations", "interpretations", "items", "style_topics", "notes"]
 
 
@@ -165,21 +168,50 @@ def baseline_markers(profiles: DataFrame) -> DataFrame:
     )
 
 
+def _anchors(markers: DataFrame) -> DataFrame:
+    """Markers with the piece of a text's word that must be there for the marker to be: made of its longest word, which is a
+    whole word of the text, or the start of one if the marker ends with it, the end of one if it begins with it; of a marker
+    of one word its first signs may stand anywhere in a word."""
+    words = F.split("marker_key", " ")
+    longest = F.array_max(F.transform(words, lambda w, i: F.struct(F.length(w).alias("n"), (-i).alias("back"), w.alias("word"))))
+    at, word = -F.col("longest.back"), F.col("longest.word")
+    piece = (
+        F.when(F.col("n_words") == 1, F.concat(F.lit("in "), F.substring(word, 1, GRAM)))
+        .when(at == 0, F.concat(F.lit("end "), word))
+        .when(at == F.col("n_words") - 1, F.concat(F.lit("start "), word))
+        .otherwise(F.concat(F.lit("is "), word))
+    )
+    return markers.withColumns({"n_words": F.size(words), "longest": longest}).withColumn("piece", piece).drop("n_words", "longest")
+
+
+def _pieces(word: Column) -> Column:
+    """All pieces of a word that a marker may be anchored to."""
+    n = F.length(word)
+
+    def inside(size: int) -> Column:
+        return F.transform(F.sequence(F.lit(1), n), lambda i: F.concat(F.lit("in "), F.substring(word, i, F.lit(size))))
+
+    ends = F.transform(F.sequence(F.lit(1), n), lambda i: F.concat(F.lit("end "), F.substring(word, i, n)))
+    starts = F.transform(F.sequence(F.lit(1), n), lambda i: F.concat(F.lit("start "), F.substring(word, F.lit(1), i)))
+    return F.array_distinct(F.concat(F.array(F.concat(F.lit("is "), word)), ends, starts, *[inside(size) for size in range(1, GRAM + 1)]))
+
+
 def baseline_leakage(events: DataFrame, markers: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Baseline markers repeated in scene fields of recurring presenters: (keys, field, marker).
 
-    The marker list of a video is a short array next to its events, so no marker x event pairs are shuffled."""
-    per_video = markers.groupBy("video_id").agg(F.array_sort(F.collect_list(F.struct("ordinal", "marker_key", "marker"))).alias("markers"))
-    recurring = events.where("presenter_context.is_recurring").join(per_video, "video_id")
-    texts = F.array(
-        *[
-            F.struct(F.lit(f).alias("field"), tx.label_key(F.array_join(as_list(events, f), " ")).alias("key"))
-            for f in LEAKAGE_FIELDS
-        ]
-    )
-    rows = recurring.select(*keys, "markers", F.explode(texts).alias("t"))
-    found = rows.select(*keys, "t.field", F.explode(F.filter("markers", lambda m: F.contains(F.col("t.key"), m["marker_key"]))).alias("m"))
-    return found.select(*keys, "field", F.col("m.marker").alias("marker"))
+    Markers are substrings of a field's key text, which is words and single blanks. They meet the vocabulary of their video
+    through an index of word pieces, the words found lead to the texts that hold them, and those alone are searched. So a
+    video may have any number of markers and events, and no list of either is gathered."""
+    recurring = events.where("presenter_context.is_recurring")
+    texts = F.array(*[F.struct(F.lit(f).alias("field"), tx.label_key(F.array_join(as_list(events, f), " ")).alias("key")) for f in LEAKAGE_FIELDS])
+    named = F.struct(*keys).alias("row")
+    rows = materialise(recurring.select("video_id", named, F.explode(texts).alias("t")).select("video_id", "row", "t.*", F.monotonically_increasing_id().alias("text_id")))
+    words = rows.select("video_id", "text_id", F.explode(F.array_distinct(F.split("key", " "))).alias("word")).where("word <> ''")
+    pieces = words.select("video_id", "word").distinct().select("video_id", "word", F.explode(_pieces(F.col("word"))).alias("piece"))
+    met = pieces.join(_anchors(markers), ["video_id", "piece"]).select("video_id", "word", "marker_key", "marker").distinct()
+    asked = words.join(met, ["video_id", "word"]).select("text_id", "marker_key", "marker").distinct()
+    found = rows.join(asked, "text_id").where(F.contains("key", "marker_key"))
+    return found.select("row.*", "field", "marker")
 
 
 def leakage_metrics(
