@@ -15,9 +15,12 @@ from talkloom.functions import text as tx
 from talkloom.functions import times as tm
 from talkloom.functions.fields import alternative_ms, first_present
 from talkloom.operators import sequence as seq
+from talkloom.operators.intervals import overlap_join
 from talkloom.session import materialise
 
 VIDEO = ["video_id"]
+#: Token positions of a bucket in which spans of positions meet.
+POSITION_BUCKET = 256
 
 
 # --- provider tokens and speakers -----------------------------------------------------------
@@ -678,6 +681,63 @@ def segment_violations(segments: DataFrame, units: DataFrame, tokens: DataFrame)
     return per_segment.unionByName(short).unionByName(twice)
 
 
+def segment_table_violations(segments: DataFrame, units: DataFrame, tokens: DataFrame, limits: SegmentLimits = DEFAULTS.segment, *, merged: bool = True) -> DataFrame:
+    """All that must hold of a stored segment table, as (video_id, seg, code): ``segment_violations``, and agreement with
+    the tokens that a segment names (times, text, speaker, no blank at its start or after its end), times in order, limits,
+    no unit inside it after which a segment must end, and, with ``merged``, that merging short neighbours changes nothing."""
+    min_ms, max_ms = int(limits.min_seconds * 1000), int((limits.max_seconds + limits.tolerance_seconds) * 1000)
+    tolerance = int(limits.tolerance_seconds * 1000)
+    paired = seq.neighbour_window(
+        segments.select("video_id", "seg", "start_ms", "end_ms", "start_pos", "end_pos", "words", "speaker", "speaker_role", "text"),
+        VIDEO, "seg", lambda w: {"prev_start": F.lag("start_ms").over(w)}, ahead=0, dense=False,
+    )
+
+    def token_at(at: Column, name: str) -> DataFrame:
+        fields = F.struct(F.col("start_ms"), F.col("end_ms"), tx.is_blank("text").alias("blank"))
+        return tokens.select("video_id", at.alias(f"at_{name}"), fields.alias(name))
+
+    placed = paired.withColumns({"at_first": F.col("start_pos"), "at_last": F.col("end_pos"), "at_next": F.col("end_pos")})
+    for name, at in (("first", F.col("pos")), ("last", F.col("pos")), ("next", F.col("pos") - 1)):
+        placed = placed.join(token_at(at, name), ["video_id", f"at_{name}"], "left")
+    spans = segments.where("start_pos <= end_pos").select("video_id", "seg", F.col("start_pos").alias("a"), (F.col("end_pos") + 1).alias("b"))
+    points = tokens.select("video_id", "pos", (F.col("pos") + 1).alias("after"), "text", "speaker", "speaker_role")
+    inside = overlap_join(points, spans, VIDEO, ("pos", "after"), ("a", "b"), width=POSITION_BUCKET)
+    who = F.when(~tx.is_blank("text"), F.struct(F.coalesce("speaker", F.lit("")).alias("s"), F.coalesce("speaker_role", F.lit("")).alias("r")))
+    said = F.transform(F.array_sort(F.collect_list(F.struct("pos", "text"))), lambda x: x["text"])
+    held = inside.groupBy("video_id", "seg").agg(tx.squash(F.array_join(said, "")).alias("said"), F.min(who).alias("low"), F.max(who).alias("high"))
+    musts = units.where("must_end").select("video_id", F.col("end_pos").alias("must_pos"), (F.col("end_pos") + 1).alias("must_after"))
+    before_end = spans.select("video_id", "seg", "a", (F.col("b") - 1).alias("last_b")).where("a < last_b")
+    crossed = overlap_join(musts, before_end, VIDEO, ("must_pos", "must_after"), ("a", "last_b"), width=POSITION_BUCKET).select("video_id", "seg", F.lit("must_end_inside").alias("code")).distinct()
+    one = F.col("low").eqNullSafe(F.col("high"))
+    speaker, role = (F.when(one, F.nullif(F.col(f"low.{k}"), F.lit(""))) for k in ("s", "r"))
+    duration = F.col("end_ms") - F.col("start_ms")
+    unnamed = F.coalesce("speaker", F.lit("")) == ""
+    joined = placed.join(held, ["video_id", "seg"], "left")
+    codes = F.array_compact(
+        F.array(
+            F.when(duration < 0, "inverted_times"),
+            F.when(F.col("start_ms") < F.col("prev_start"), "starts_before_previous"),
+            F.when(duration > max_ms, "duration_exceeded"),
+            F.when(unnamed & (duration < min_ms - tolerance), "duration_too_short"),
+            F.when(F.col("words") > limits.max_words, "words_exceeded"),
+            F.when(F.col("first").isNull(), "unknown_start"),
+            F.when(F.col("last").isNull(), "unknown_end"),
+            F.when(F.col("start_pos") > F.col("end_pos"), "inverted_range"),
+            F.when(F.col("first.blank"), "leading_blank"),
+            F.when(F.col("next.blank"), "followed_by_blank"),
+            F.when((F.col("start_ms") != F.col("first.start_ms")) | (F.col("end_ms") != F.col("last.end_ms")), "times_disagree"),
+            F.when(~F.col("text").eqNullSafe(F.coalesce("said", F.lit(""))), "text_disagrees"),
+            F.when(~(F.nullif("speaker", F.lit("")).eqNullSafe(speaker) & F.nullif("speaker_role", F.lit("")).eqNullSafe(role)), "speaker_disagrees"),
+        )
+    )
+    found = segment_violations(segments, units, tokens).unionByName(joined.select("video_id", "seg", F.explode(codes).alias("code"))).unionByName(crossed)
+    if not merged:
+        return found
+    numbered = seq.dense_position(segments, VIDEO, "seg", "__seg").withColumn("seg", F.col("__seg")).drop("__seg")
+    again = merge_short_segments(numbered, limits).where("merged_from > 1").join(numbered.select("video_id", "start_pos", F.col("seg").alias("first_seg")), ["video_id", "start_pos"])
+    return found.unionByName(again.select("video_id", F.col("first_seg").alias("seg"), F.lit("not_merged").alias("code")))
+
+
 def mode_by(df: DataFrame, keys: list[str], value: str, order: str) -> DataFrame:
     """Most frequent non-empty value per key, the first seen winning ties; counts are combined map-side."""
     counts = (

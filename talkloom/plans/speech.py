@@ -158,6 +158,15 @@ def transcript_units(spark, sf_dir):
     )
 
 
+def transcript_units_blocks(spark, sf_dir):
+    """The same units with blocks of 64 tokens, so that most units' conversations lie over many blocks."""
+    units = tr.transcript_units(_tokens_with_roles(spark, sf_dir), block=64, reach=16)
+    return units.select(
+        "video_id", "unit_index", "start_pos", "end_pos", "start_ms", "end_ms", "text", "word_count", "speaker",
+        "speaker_role", "boundary_reason", "can_end", "must_end",
+    )
+
+
 UNITS_CTE = FEATURES_SQL.replace("WITH ", "WITH RECURSIVE ", 1).rstrip() + r""",
 walk AS (
   SELECT video_id, pos, 1 AS u, start_ms AS us, 1 AS wc, hard_reason,
@@ -346,6 +355,46 @@ UNION ALL SELECT 'ends_at_unsafe_boundary', count(*) FROM ids WHERE NOT can_end
 UNION ALL SELECT 'duplicate_segment_id', count(*) FROM (SELECT video_id, """ + half_even("s") + " AS a, " + half_even("e") + """ AS b FROM ids GROUP BY 1, 2, 3 HAVING count(*) > 1) HAVING count(*) > 0"""
 
 
+def segment_table_faults(spark, sf_dir):
+    """Turns as segments and as units, with faults planted in the segments by their numbers."""
+    tokens = _tokens_with_roles(spark, sf_dir)
+    turns = materialise(inputs.turn_segments(spark, sf_dir, tokens))
+    k = (F.col("video_id") * 31 + F.col("seg")) % 11
+    h = F.col("video_id") + F.col("seg")
+    units = turns.select("video_id", "start_pos", "end_pos", (h % 5 != 0).alias("can_end"), (h % 4 == 0).alias("must_end"))
+    segments = turns.select(
+        "video_id", "seg", F.when(k == 9, "twice").otherwise(F.col("segment_id")).alias("segment_id"),
+        (F.col("start_ms") + F.when(k == 2, 1).when(k == 5, 10**6).otherwise(0)).alias("start_ms"), "end_ms",
+        (F.col("start_pos") - F.when(k == 7, 2).otherwise(0)).alias("start_pos"), (F.col("end_pos") + F.when(k == 3, 1).when(k == 8, 10**6).otherwise(0)).alias("end_pos"),
+        F.when(k == 6, 151).otherwise(F.col("words")).alias("words"), F.when(k == 4, "zz").when(k == 10, "").otherwise(F.col("speaker")).alias("speaker"), "speaker_role",
+        F.when(k == 1, F.concat("text", F.lit("x"))).otherwise(F.col("text")).alias("text"),
+    )
+    found = tr.segment_table_violations(materialise(segments), materialise(units), tokens, merged=False)
+    return found.groupBy("video_id", "seg", "code").agg(F.count("*").alias("n"))
+
+
+SEGMENT_TABLE_FAULTS = oi.with_ctes(oi.TOKENS, oi.SPEAKERS, oi.SEGMENTS).rstrip() + """,
+k AS (SELECT *, (video_id * 31 + seg) % 11 AS k, (video_id + seg) % 5 <> 0 AS can_end, (video_id + seg) % 4 = 0 AS must_end FROM seg),
+s AS (SELECT video_id, seg, CASE WHEN k = 9 THEN 'twice' ELSE segment_id END AS id, start_ms + CASE k WHEN 2 THEN 1 WHEN 5 THEN 1000000 ELSE 0 END AS s, end_ms AS e, start_pos - CASE k WHEN 7 THEN 2 ELSE 0 END AS a,
+    end_pos + CASE k WHEN 3 THEN 1 WHEN 8 THEN 1000000 ELSE 0 END AS b, CASE k WHEN 6 THEN 151 ELSE words END AS w, CASE k WHEN 4 THEN 'zz' WHEN 10 THEN '' ELSE speaker END AS who, speaker_role AS role, CASE k WHEN 1 THEN text || 'x' ELSE text END AS t FROM k),
+n AS (SELECT *, lag(s) OVER v AS ps, lag(b) OVER v AS pb, (SELECT max(pos) FROM tok WHERE tok.video_id = s.video_id) AS last FROM s WINDOW v AS (PARTITION BY video_id ORDER BY seg)),
+g AS (SELECT n.video_id, n.seg, trim(regexp_replace(string_agg(x.text, '' ORDER BY pos), '\\s+', ' ', 'g')) AS said, min(x.speaker) FILTER (trim(x.text) <> '') AS lo, max(x.speaker) FILTER (trim(x.text) <> '') AS hi
+  FROM n JOIN tok x ON x.video_id = n.video_id AND x.pos BETWEEN n.a AND n.b GROUP BY 1, 2),
+j AS (SELECT n.*, g.said, CASE WHEN g.lo = g.hi THEN g.lo END AS one, CASE WHEN g.lo = g.hi THEN p.role END AS one_role, f.start_ms AS fs, trim(f.text) = '' AS fb, l.end_ms AS le, trim(x.text) = '' AS xb, u.can_end, o.seg AS own
+  FROM n LEFT JOIN g USING (video_id, seg) LEFT JOIN prof p ON p.video_id = n.video_id AND p.speaker = g.lo LEFT JOIN tok f ON f.video_id = n.video_id AND f.pos = n.a LEFT JOIN tok l ON l.video_id = n.video_id AND l.pos = n.b
+  LEFT JOIN tok x ON x.video_id = n.video_id AND x.pos = n.b + 1 LEFT JOIN k u ON u.video_id = n.video_id AND u.end_pos = n.b LEFT JOIN k o ON o.video_id = n.video_id AND o.start_pos = n.a),
+c AS (
+  SELECT video_id, seg, unnest(list_filter([CASE WHEN pb + 1 <> a THEN 'token_gap_or_overlap' END, CASE WHEN own IS NULL THEN 'starts_inside_unit' END, CASE WHEN can_end IS NULL THEN 'ends_inside_unit' END,
+    CASE WHEN NOT can_end AND b < last THEN 'ends_at_unsafe_boundary' END, CASE WHEN e < s THEN 'inverted_times' END, CASE WHEN s < ps THEN 'starts_before_previous' END, CASE WHEN e - s > 60250 THEN 'duration_exceeded' END,
+    CASE WHEN coalesce(who, '') = '' AND e - s < 4750 THEN 'duration_too_short' END, CASE WHEN w > 150 THEN 'words_exceeded' END, CASE WHEN fs IS NULL THEN 'unknown_start' END, CASE WHEN le IS NULL THEN 'unknown_end' END,
+    CASE WHEN a > b THEN 'inverted_range' END, CASE WHEN fb THEN 'leading_blank' END, CASE WHEN xb THEN 'followed_by_blank' END, CASE WHEN s <> fs OR e <> le THEN 'times_disagree' END, CASE WHEN t IS DISTINCT FROM coalesce(said, '') THEN 'text_disagrees' END,
+    CASE WHEN nullif(who, '') IS DISTINCT FROM one OR nullif(role, '') IS DISTINCT FROM one_role THEN 'speaker_disagrees' END], lambda y: y IS NOT NULL)) AS code FROM j
+  UNION ALL SELECT n.video_id, n.seg, 'must_end_inside' FROM n WHERE EXISTS (SELECT 1 FROM k u WHERE u.video_id = n.video_id AND u.must_end AND u.end_pos >= n.a AND u.end_pos < n.b)
+  UNION ALL SELECT video_id, -1, 'stream_not_covered' FROM n GROUP BY 1 HAVING max(b) <> max(last)
+  UNION ALL SELECT video_id, min(seg), 'duplicate_segment_id' FROM n GROUP BY video_id, id HAVING count(*) > 1)
+SELECT video_id, seg, code, count(*) AS n FROM c GROUP BY ALL"""
+
+
 def segment_boundary_issues(spark, sf_dir):
     _, segments = _segments(spark, sf_dir)
     return tr.segment_boundary_issues(materialise(segments))
@@ -424,12 +473,14 @@ QUERIES = {
     "token_stream_violations": (token_stream_violations, TOKEN_STREAM_VIOLATIONS),
     "unit_boundaries": (unit_boundaries, UNIT_BOUNDARIES),
     "transcript_units": (transcript_units, TRANSCRIPT_UNITS),
+    "transcript_units_blocks": (transcript_units_blocks, TRANSCRIPT_UNITS),
     "unit_reason_histogram": (unit_reasons, UNIT_REASONS),
     "unit_payloads": (unit_payloads, None),
     "segments_proposed": (segments_proposed, SEGMENTS_PROPOSED),
     "segment_range_errors": (segment_range_errors, SEGMENT_RANGE_ERRORS),
     "segment_error_causes": (segment_error_causes, SEGMENT_ERROR_CAUSES),
     "speech_segments": (speech_segments, SPEECH_SEGMENTS),
+    "segment_table_faults": (segment_table_faults, SEGMENT_TABLE_FAULTS),
     "segment_validation": (segment_validation, SEGMENT_VALIDATION),
     "segment_boundary_issues": (segment_boundary_issues, BOUNDARY_ISSUES),
     "segments_merged_short": (segments_merged_short, SEGMENTS_MERGED_SHORT),

@@ -310,3 +310,22 @@ def test_note_lines_in_order(spark):
         "### 0.0s -> 1.5s\n\n- Timestamp: [YouTube](t)\n- Topics: x, y\n- Items: \n- Presenter: calm\nГолос: A\nВедущий (h): B\n\nseen\n\n"
         "On-screen text:\n- SALE\n\nFrames:\n![](../../../f1.jpg)\n![](../../../f2.jpg)\n"
     )
+
+
+def test_stored_segments_must_be_a_fix_point_of_merging(spark):
+    rows, segs = [], []
+    for seg, (speaker, words) in enumerate([("a", 3), ("a", 3), ("b", 3), ("b", 40)]):
+        start = len(rows)
+        for k in range(words):
+            p = len(rows)
+            rows.append(("v", p, f" w{p}", 400 * p, 400 * p + 300, speaker, "host"))
+        segs.append(("v", seg, f"s{seg}", 400 * start, 400 * (len(rows) - 1) + 300, start, len(rows) - 1, words, speaker, "host", " ".join(f"w{p}" for p in range(start, len(rows)))))
+    tokens = spark.createDataFrame(rows, "video_id string, pos long, text string, start_ms long, end_ms long, speaker string, speaker_role string")
+    segments = spark.createDataFrame(segs, "video_id string, seg long, segment_id string, start_ms long, end_ms long, start_pos long, end_pos long, words long, speaker string, speaker_role string, text string")
+    units = segments.select("video_id", "start_pos", "end_pos", F.lit(True).alias("can_end"), (F.col("seg") == 1).alias("must_end"))
+    check = lambda s: sorted((r["seg"], r["code"]) for r in tr.segment_table_violations(s, units, tokens).collect())
+    assert check(segments) == [(0, "not_merged"), (2, "not_merged")]
+    merged = tr.merge_short_segments(segments).select(*segments.columns)
+    assert [c for c in check(merged) if c[1] == "not_merged"] == []
+    late = segments.withColumn("end_pos", F.when(F.col("seg") == 1, F.col("end_pos") + 1).otherwise(F.col("end_pos")))
+    assert {(1, "must_end_inside"), (1, "ends_inside_unit"), (2, "token_gap_or_overlap"), (1, "speaker_disagrees"), (1, "text_disagrees"), (1, "times_disagree")} <= set(check(late))
