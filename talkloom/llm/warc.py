@@ -11,6 +11,7 @@ import hashlib
 import html
 import re
 import uuid
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -22,7 +23,7 @@ NAMESPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")  # the public name
 DERIVED = (
     "warc_type string, record_id string, refers_to string, target_uri string, warc_date string, content_type string, content_length bigint, "
     "block_digest string, source_block_digest string, source_payload_digest string, digest_ok boolean, http_status int, "
-    "source_headers map<string,string>, block string"
+    "source_headers array<struct<name:string,value:string>>, block string"
 )
 
 # Elements without readable text, and elements that end a line.
@@ -36,6 +37,8 @@ _BLANKS = re.compile(r"[ \t\r\f\v]+")
 _LINES = re.compile(r" ?\n[ \n]*")
 _TITLE = re.compile(r"<title\b[^<>]*>(.*?)</title\s*>", re.S | re.I)
 _LINK = re.compile(r"<(?:a|link)\b[^<>]*?\bhref\s*=\s*[\"']?([^\"'\s<>]+)", re.I)
+_HEAD_END = re.compile(rb"\r?\n\r?\n")
+_CHUNK = re.compile(rb"([0-9A-Fa-f]{1,15})[^\n]*\n")
 _CHARSET = re.compile(r"charset\s*=\s*[\"']?([A-Za-z0-9._-]+)", re.I)
 
 
@@ -50,15 +53,65 @@ def plain_text(markup: str) -> str:
     return _LINES.sub("\n", text).strip()
 
 
-def parse_http(block: bytes) -> tuple[int | None, dict[str, str], bytes]:
-    """Status, headers (lower-case names, later ones win) and body; without a status line all is body."""
-    head, mark, body = block.partition(b"\r\n\r\n")
-    lines = head.decode("latin-1").split("\r\n")
-    first = re.match(r"HTTP/\d(?:\.\d)? (\d{3})", lines[0])
-    if not first:
-        return None, {}, block
-    pairs = (line.partition(":") for line in lines[1:] if ":" in line)
-    return int(first[1]), {name.strip().lower(): value.strip() for name, _, value in pairs}, body if mark else b""
+def parse_http(block: bytes) -> tuple[int | None, list[tuple[str, str]], bytes]:
+    """Status, headers (lower-case names, in order, repeats kept, folded lines joined) and body; without a status line all
+    is body. An empty line ends the headers, with or without carriage returns."""
+    if not (first := re.match(rb"HTTP/\d(?:\.\d)? (\d{3})", block)):
+        return None, [], block
+    end = _HEAD_END.search(block)
+    head, body = (block[: end.start()], block[end.end() :]) if end else (block, b"")
+    headers: list[tuple[str, str]] = []
+    for line in head.decode("latin-1").replace("\r\n", "\n").split("\n")[1:]:
+        name, mark, value = line.partition(":")
+        if line[:1] in " \t" and headers:
+            headers[-1] = (headers[-1][0], f"{headers[-1][1]} {line.strip()}".strip())
+        elif mark:
+            headers.append((name.strip().lower(), value.strip()))
+    return int(first[1]), headers, body
+
+
+def _last(headers: list[tuple[str, str]], name: str) -> str:
+    return next((value for known, value in reversed(headers) if known == name), "")
+
+
+def dechunked(body: bytes) -> bytes:
+    """The body of a chunked message; what follows a broken chunk is left out."""
+    parts, at = [], 0
+    while (mark := _CHUNK.match(body, at)) and (size := int(mark[1], 16)):
+        parts.append(body[mark.end() : mark.end() + size])
+        at = mark.end() + size
+        at += 2 if body[at : at + 2] == b"\r\n" else 1 if body[at : at + 1] == b"\n" else 0
+    return b"".join(parts)
+
+
+def inflated(body: bytes, coding: str) -> bytes:
+    """A gzip or deflate body unpacked as far as it is sound; as it is where it isn't packed so."""
+    for bits in {"gzip": (31,), "x-gzip": (31,), "deflate": (15, -15)}.get(coding, ()):
+        parts, left = [], body
+        try:
+            while left:  # members may follow each other
+                unpack = zlib.decompressobj(bits)
+                while left and not unpack.eof:
+                    parts.append(unpack.decompress(left, 1 << 20))
+                    left = unpack.unconsumed_tail
+                    if not left and not unpack.eof:
+                        parts.append(unpack.flush())
+                        break
+                left = unpack.unused_data
+        except zlib.error:
+            if not any(parts):
+                continue
+        return b"".join(parts)
+    return body
+
+
+def content(headers: list[tuple[str, str]], body: bytes) -> bytes:
+    """What a body says once its transfer and content codings are undone, the last applied first."""
+    if "chunked" in _last(headers, "transfer-encoding").lower():
+        body = dechunked(body)
+    for coding in reversed([c.strip().lower() for name, value in headers if name == "content-encoding" for c in value.split(",")]):
+        body = inflated(body, coding)
+    return body
 
 
 def _decode(body: bytes, content_type: str) -> str:
@@ -69,29 +122,30 @@ def _decode(body: bytes, content_type: str) -> str:
         return body.decode("utf-8", "replace")
 
 
-def _record(kind: str, source: dict, content_type: str, block: str, status: int | None, headers: dict[str, str], digests: tuple) -> tuple:
+def _record(kind: str, source: dict, content_type: str, block: str, status: int | None, headers: list[tuple[str, str]], digests: tuple) -> tuple:
     data = block.encode("utf-8", "replace")
     own = uuid.uuid5(NAMESPACE, f"{kind} {source['record_id']}")
     return (
         (kind, f"<urn:uuid:{own}>", source["record_id"], source["target_uri"], source["warc_date"], content_type, len(data), sha1_digest(data))
         + digests
-        + (status, list(headers.items()), data.decode("utf-8"))
+        + (status, [{"name": name, "value": value} for name, value in headers], data.decode("utf-8"))
     )
 
 
 def _derive(source: dict) -> list[tuple]:
     block = source["block"] or b""
     status, headers, body = parse_http(block)
-    content_type = headers.get("content-type", "")
+    content_type = _last(headers, "content-type")
     own = sha1_digest(block)
     declared = source["block_digest"]
     digests = (declared or own, source["payload_digest"] or sha1_digest(body), declared is None or declared == own)
     readable = content_type.lower().startswith(("text/", "application/xhtml")) or not content_type
-    page = _decode(body, content_type) if readable else ""
+    page = _decode(content(headers, body), content_type) if readable else ""
     markup = readable and not content_type.lower().startswith("text/plain")
     title = _TITLE.search(page) if markup else None
     fields = [("http-status", status), ("source-content-type", content_type), ("source-length", len(body))]
     fields += [("source-block-digest", digests[0]), ("source-payload-digest", digests[1])]
+    fields += [("source-header", f"{name}: {value}") for name, value in headers]
     fields += [("title", _BLANKS.sub(" ", html.unescape(title[1])).replace("\n", " ").strip())] if title else []
     fields += [("outlink", html.unescape(link)) for link in _LINK.findall(page)] if markup else []
     lines = "".join(f"{name}: {value}\r\n" for name, value in fields if value is not None)
@@ -108,14 +162,15 @@ def derivatives(responses: DataFrame, id_columns: list[str]) -> DataFrame:
     `responses`: record_id, target_uri, warc_date, block (the HTTP message), block_digest, payload_digest (null: computed),
     and id columns to carry along. Each response gives a metadata record; a readable one (text or no stated type) gives a
     conversion record too. A null block counts as empty; null targets and dates stay null; a block whose digest
-    differs from the stated one is converted and marked (digest_ok false). Repeated rows are each converted; an empty
+    differs from the stated one is converted and marked (digest_ok false). Chunked, gzip and deflate bodies are unpacked
+    before they are read, digests are of the stored bytes. All headers are kept in order, also in the metadata block. Repeated rows are each converted; an empty
     table gives an empty result; other columns are ignored."""
     named = ["record_id", "target_uri", "warc_date", "block", "block_digest", "payload_digest"]
     fields = responses.select(*id_columns).schema
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in fields), DERIVED])
     names = [*id_columns, *(part.split()[0] for part in re.split(r", (?=\w+ )", DERIVED))]
     text = pa.string()
-    kinds = [text] * 6 + [pa.int64(), text, text, text, pa.bool_(), pa.int32(), pa.map_(text, text), text]
+    kinds = [text] * 6 + [pa.int64(), text, text, text, pa.bool_(), pa.int32(), pa.list_(pa.struct([("name", text), ("value", text)])), text]
 
     def emit(batch: pa.RecordBatch, kept: list[int], rows: list[tuple]) -> pa.RecordBatch:
         ids = batch.select(list(range(len(id_columns)))).take(pa.array(kept, pa.int64()))
@@ -160,7 +215,7 @@ def page_responses(pages: DataFrame, warc_date: str = "1970-01-01T00:00:00Z") ->
 
 
 def render() -> Column:
-    """A derived record as the bytes of a WARC file."""
+    """A derived record as the bytes of a WARC file; what it keeps of its source is in extension fields."""
 
     def line(name: str, value: Column) -> Column:
         return F.coalesce(F.concat(F.lit(f"{name}: "), value, F.lit("\r\n")), F.lit(""))
@@ -173,6 +228,9 @@ def render() -> Column:
         line("WARC-Target-URI", F.col("target_uri")),
         line("WARC-Date", F.col("warc_date")),
         line("WARC-Block-Digest", F.col("block_digest")),
+        line("X-Source-Block-Digest", F.col("source_block_digest")),
+        line("X-Source-Payload-Digest", F.col("source_payload_digest")),
+        F.array_join(F.transform("source_headers", lambda h: F.concat(F.lit("X-Source-Header: "), h["name"], F.lit(": "), h["value"], F.lit("\r\n"))), ""),
         line("Content-Type", F.col("content_type")),
         line("Content-Length", F.col("content_length").cast("string")),
     )
