@@ -11,7 +11,7 @@ TESTED_OTHERWISE = {
     "unit_payloads": "tests/test_operators.py::test_unit_payloads_round_trip",
     "chunk_contamination": "tests/test_operators.py::test_chunk_contamination_brute_force",
     "claim_violations": "tests/test_operators.py::test_claim_violations_find_each_fault_once",
-    "note_lines": "tests/test_sources.py",
+    "note_lines": "tests/test_operators.py::test_note_lines_in_order",
 }
 
 
