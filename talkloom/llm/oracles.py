@@ -166,3 +166,29 @@ FROM docs d LEFT JOIN summed s USING (id)
 
 #: Places from the lengths of matches and gaps; the entropy of every window anew.
 OP12 = _op12()
+
+
+#: All pairs of texts that share a shingle, then everything reachable over links.
+OP4 = r"""
+WITH RECURSIVE texts AS (
+  SELECT row_number() OVER () AS id, doc_id,
+         list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w
+  FROM documents
+), shingles AS (
+  SELECT DISTINCT id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+                    ELSE list_transform(range(1, len(w) - 3), lambda k: array_to_string(w[k:k + 4], ' ')) END) AS s FROM texts
+), sizes AS (
+  SELECT id, count(*) AS n FROM shingles GROUP BY id
+), links AS (
+  SELECT p.a, p.b FROM (SELECT x.id AS a, y.id AS b, count(*) AS c FROM shingles x JOIN shingles y ON x.s = y.s AND x.id <> y.id GROUP BY ALL) p
+  JOIN sizes m ON m.id = p.a JOIN sizes n ON n.id = p.b WHERE 100 * c >= 85 * (m.n + n.n - c)
+), reached AS (
+  SELECT id AS a, id AS b FROM texts
+  UNION
+  SELECT r.a, l.b FROM reached r JOIN links l ON l.a = r.b
+), answers AS (
+  SELECT t.doc_id, coalesce(s.n, 0) AS n_shingles, (SELECT min(u.doc_id) FROM reached r JOIN texts u ON u.id = r.b WHERE r.a = t.id) AS component_id
+  FROM texts t LEFT JOIN sizes s USING (id)
+)
+SELECT *, doc_id IS NOT DISTINCT FROM component_id AS kept FROM answers
+"""

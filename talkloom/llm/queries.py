@@ -75,7 +75,7 @@ QUERIES = {
     "op1_url_filters": (op1_url_filters, None),
     "op2_toxicity": (op2_toxicity, None),
     "op3_mixing": (op3_mixing, None),
-    "op4_near_dedup": (op4_near_dedup, None),
+    "op4_near_dedup": (op4_near_dedup, oracles.OP4),
     "op5_warc": (op5_warc, None),
     "op6_sharding": (op6_sharding, None),
     "op7_decontamination": (op7_decontamination, None),
