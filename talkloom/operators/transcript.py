@@ -120,6 +120,7 @@ def token_stream_violations(tokens: DataFrame, durations: DataFrame, slack_ms: i
         "pos",
         lambda w: {"prev_start": F.lag("start_ms").over(w)},
         ahead=0,
+        dense=False,
     )
     codes = F.array_compact(
         F.array(
@@ -143,6 +144,26 @@ def token_stream_violations(tokens: DataFrame, durations: DataFrame, slack_ms: i
     return per_token.unionByName(beyond)
 
 
+def token_table_differences(stored: DataFrame, expected: DataFrame) -> DataFrame:
+    """Where a stored token table differs from the tokens derived anew, as (video_id, pos, code): tokens that are missing or
+    unexpected, and a code for each field that differs. Tokens meet by video and position; a position that the stored
+    table has several times is checked each time and reported as repeated."""
+    fields = ["text", "start_ms", "end_ms", "language", "speaker", "speaker_role"]
+    key = ["video_id", "pos"]
+    ours = stored.select(*key, F.struct(*fields).alias("stored"))
+    both = ours.join(expected.select(*key, F.struct(*fields).alias("expected")), key, "full_outer")
+    there = F.col("stored").isNotNull() & F.col("expected").isNotNull()
+    codes = F.array_compact(
+        F.array(
+            F.when(F.col("stored").isNull(), "token_missing"),
+            F.when(F.col("expected").isNull(), "token_unexpected"),
+            *[F.when(there & ~F.col(f"stored.{f}").eqNullSafe(F.col(f"expected.{f}")), f"{f}_differs") for f in fields],
+        )
+    )
+    repeated = stored.groupBy(*key).agg(F.count("*").alias("n")).where("n > 1").select(*key, F.lit("token_repeated").alias("code"))
+    return both.select(*key, F.explode(codes).alias("code")).unionByName(repeated)
+
+
 # --- transcript units ------------------------------------------------------------------------
 
 

@@ -102,6 +102,36 @@ UNION ALL SELECT e.video_id, l.pos, 'ends_after_audio' FROM ends e JOIN last l U
 UNION ALL SELECT video_id + 1000000, CAST(-1 AS BIGINT), 'empty_stream' FROM ends WHERE video_id % 5 = 0"""
 
 
+def token_table_faults(spark, sf_dir):
+    """Stored tokens with a fault of each kind planted by position, against those derived anew."""
+    expected = _tokens_with_roles(spark, sf_dir).select("video_id", "pos", "text", "start_ms", "end_ms", "language", "speaker", "speaker_role")
+    p = F.col("pos")
+    faulty = expected.where(p % 101 != 5).withColumns(
+        {
+            "text": F.when(p % 101 == 7, F.concat("text", F.lit("!"))).otherwise(F.col("text")), "start_ms": F.col("start_ms") + F.when(p % 103 == 9, 1).otherwise(0),
+            "end_ms": F.col("end_ms") - F.when(p % 105 == 10, 1).otherwise(0), "language": F.when(p % 107 != 11, F.col("language")),
+            "speaker": F.when(p % 109 == 13, "zz").otherwise(F.col("speaker")), "speaker_role": F.when(p % 113 != 17, F.col("speaker_role")),
+        }
+    )
+    extra = expected.where(p % 127 == 19).withColumn("pos", p + 1_000_000)
+    twice = expected.where((p % 131 == 23) & (p % 101 != 5))
+    return tr.token_table_differences(faulty.unionByName(extra).unionByName(twice), expected)
+
+
+TOKEN_TABLE_FAULTS = BASE + """,
+e AS (SELECT t.video_id, t.pos FROM tok t),
+c AS (SELECT *, (pos % 101 <> 5)::INT AS k, (pos % 131 = 23 AND pos % 101 <> 5) AS twice FROM e)
+SELECT video_id, pos, 'token_missing' AS code FROM c WHERE k = 0
+UNION ALL SELECT video_id, pos + 1000000, 'token_unexpected' FROM c WHERE pos % 127 = 19
+UNION ALL SELECT video_id, pos, 'text_differs' FROM c WHERE k = 1 AND pos % 101 = 7
+UNION ALL SELECT video_id, pos, 'start_ms_differs' FROM c WHERE k = 1 AND pos % 103 = 9
+UNION ALL SELECT video_id, pos, 'end_ms_differs' FROM c WHERE k = 1 AND pos % 105 = 10
+UNION ALL SELECT video_id, pos, 'language_differs' FROM c WHERE k = 1 AND pos % 107 = 11
+UNION ALL SELECT video_id, pos, 'speaker_differs' FROM c WHERE k = 1 AND pos % 109 = 13
+UNION ALL SELECT video_id, pos, 'speaker_role_differs' FROM c WHERE k = 1 AND pos % 113 = 17
+UNION ALL SELECT video_id, pos, 'token_repeated' FROM c WHERE twice"""
+
+
 FEATURES_SQL = oi.with_ctes(oi.TOKENS, oi.SPEAKERS, r"""
 feat0 AS (
   SELECT t.*, p.role AS speaker_role,
@@ -471,6 +501,7 @@ QUERIES = {
     "token_role_join": (token_roles, TOKEN_ROLES),
     "provider_tokens": (provider_tokens, PROVIDER_TOKENS),
     "token_stream_violations": (token_stream_violations, TOKEN_STREAM_VIOLATIONS),
+    "token_table_faults": (token_table_faults, TOKEN_TABLE_FAULTS),
     "unit_boundaries": (unit_boundaries, UNIT_BOUNDARIES),
     "transcript_units": (transcript_units, TRANSCRIPT_UNITS),
     "transcript_units_blocks": (transcript_units_blocks, TRANSCRIPT_UNITS),
