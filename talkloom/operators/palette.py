@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from talkloom.config import DEFAULTS, PaletteLimits
+from talkloom.operators import sequence as seq
+from talkloom.session import materialise
 
 SCENE = ["video_id", "scene_index"]
 
@@ -183,6 +185,38 @@ def rejection_histogram(candidates: DataFrame) -> DataFrame:
     return candidates.where("reason IS NOT NULL").groupBy("reason").agg(F.count("*").alias("candidates"))
 
 
+def _checked_cuts(scenes: DataFrame, adjustments: DataFrame, fps: int) -> DataFrame:
+    """The cut in frames after each adjusted scene, and the reason why it can't be taken: a cut lies inside the two scenes
+    that it parts."""
+    cut = adjustments.select(*SCENE, F.bround(F.col("ts_ms") * fps / 1000).cast("long").alias("cut"))
+    own = scenes.select(*SCENE, F.col("start_frame").alias("from_frame"))
+    following = scenes.select("video_id", (F.col("scene_index") - 1).alias("scene_index"), F.col("end_frame").alias("to_frame"))
+    placed = cut.join(own, SCENE, "left").join(following, SCENE, "left")
+    inside = F.coalesce((F.col("cut") > F.col("from_frame")) & (F.col("cut") < F.col("to_frame")), F.lit(False))
+    return placed.select(*SCENE, "cut", F.when(~inside, "invalid_adjusted_boundary").alias("reason"))
+
+
+def refine_boundaries(scenes: DataFrame, adjustments: DataFrame, fps: int = 25) -> tuple[DataFrame, DataFrame]:
+    """Scenes with moved boundaries in order of their frames (video_id, position, scene_index, start_frame, end_frame, moved), and
+    what was refused: (video_id, scene_index, reason). Cuts outside the scenes that they part are not taken; scenes that
+    two taken cuts leave without a frame go. ``scene_index`` stays that of the source, ``position`` is numbered anew."""
+    checked = materialise(_checked_cuts(scenes, adjustments, fps))
+    taken = checked.where("reason IS NULL").select(*SCENE, "cut")
+    as_end, as_start = taken.withColumnRenamed("cut", "new_end"), taken.select("video_id", (F.col("scene_index") + 1).alias("scene_index"), F.col("cut").alias("new_start"))
+    moved = materialise(
+        scenes.select(*SCENE, "start_frame", "end_frame").join(as_end, SCENE, "left").join(as_start, SCENE, "left").select(
+            *SCENE,
+            F.coalesce("new_start", "start_frame").alias("start_frame"),
+            F.coalesce("new_end", "end_frame").alias("end_frame"),
+            (F.col("new_end").isNotNull() | F.col("new_start").isNotNull()).alias("moved"),
+        )
+    )
+    empty = moved.where("end_frame <= start_frame").select(*SCENE, F.lit("invalid_final_boundary").alias("reason"))
+    refused = checked.where("reason IS NOT NULL").select(*SCENE, "reason").unionByName(empty)
+    kept = seq.dense_position(moved.where("end_frame > start_frame"), ["video_id"], "start_frame", "position", ties=["end_frame", "scene_index"])
+    return kept.select("video_id", "position", "scene_index", "start_frame", "end_frame", "moved"), refused
+
+
 def apply_adjustments(scenes: DataFrame, adjustments: DataFrame, fps: int = 25) -> DataFrame:
     """Scenes with moved boundaries; the cut after scene i becomes the start of scene i + 1, inverted scenes go."""
     moved = adjustments.select(*SCENE, F.bround(F.col("ts_ms") * fps / 1000).cast("long").alias("cut"))

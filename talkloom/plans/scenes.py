@@ -378,6 +378,38 @@ FROM sc s LEFT JOIN bs n ON n.video_id = s.video_id AND n.scene_index = s.scene_
 WHERE coalesce(n.cut, s.e // 40) > coalesce(p.cut, s.s // 40)"""
 
 
+def _planted_cuts(scenes):
+    """Cuts after the first two scenes of each video: sound ones, outside their scenes, and such that cross each other."""
+    v, i = F.col("video_id") % 4, F.col("scene_index")
+    ts = (
+        F.when(v == 0, F.col("end_ms") - 1000)
+        .when(v == 1, F.col("start_ms"))
+        .when(v == 2, F.when(i == 0, F.col("end_ms") + 5000).otherwise(F.col("start_ms") + 4000))
+        .otherwise(F.col("end_ms") + 10**6)
+    )
+    return scenes.where(i < 2).select("video_id", "scene_index", ts.cast("long").alias("ts_ms"))
+
+
+def boundary_refinement(spark, sf_dir):
+    """Scenes after planted cuts, renumbered, with a row for each refusal."""
+    scenes = materialise(_palette_scenes(materialise(palette_samples(spark, sf_dir))))
+    kept, refused = pal.refine_boundaries(scenes, _planted_cuts(scenes))
+    none = F.lit(None)
+    gone = refused.select("video_id", none.cast("long").alias("position"), "scene_index", *[none.cast("long").alias(c) for c in ("start_frame", "end_frame")], none.cast("boolean").alias("moved"), "reason")
+    return kept.withColumn("reason", none.cast("string")).unionByName(gone)
+
+
+BOUNDARY_REFINEMENT = PALETTE.rstrip() + """,
+f AS (SELECT video_id, scene_index, s, e, s // 40 AS a, e // 40 AS b FROM sc),
+t AS (SELECT *, round_even(CASE video_id % 4 WHEN 0 THEN e - 1000 WHEN 1 THEN s WHEN 2 THEN CASE WHEN scene_index = 0 THEN e + 5000 ELSE s + 4000 END ELSE e + 1000000 END * 25 / 1000.0, 0)::BIGINT AS cut FROM f WHERE scene_index < 2),
+k AS (SELECT t.video_id, t.scene_index, t.cut, coalesce(t.cut > t.a AND t.cut < n.b, false) AS ok FROM t LEFT JOIN f n ON n.video_id = t.video_id AND n.scene_index = t.scene_index + 1),
+m AS (SELECT f.video_id, f.scene_index, coalesce(p.cut, f.a) AS start_frame, coalesce(n.cut, f.b) AS end_frame, p.cut IS NOT NULL OR n.cut IS NOT NULL AS moved FROM f
+  LEFT JOIN k n ON n.video_id = f.video_id AND n.scene_index = f.scene_index AND n.ok LEFT JOIN k p ON p.video_id = f.video_id AND p.scene_index = f.scene_index - 1 AND p.ok)
+SELECT video_id, row_number() OVER (PARTITION BY video_id ORDER BY start_frame, end_frame, scene_index) - 1 AS position, scene_index, start_frame, end_frame, moved, CAST(NULL AS VARCHAR) AS reason FROM m WHERE end_frame > start_frame
+UNION ALL SELECT video_id, NULL, scene_index, NULL, NULL, NULL, 'invalid_final_boundary' FROM m WHERE end_frame <= start_frame
+UNION ALL SELECT video_id, NULL, scene_index, NULL, NULL, NULL, 'invalid_adjusted_boundary' FROM k WHERE NOT ok"""
+
+
 def shift_rejections(spark, sf_dir):
     samples = materialise(palette_samples(spark, sf_dir))
     return pal.rejection_histogram(pal.boundary_candidates(samples, _palette_scenes(samples), LOOSE))
@@ -404,5 +436,6 @@ QUERIES = {
     "bootstrap_sample": (bootstrap_sample, BOOTSTRAP_SAMPLE),
     "palette_candidates": (palette_candidates, PALETTE_CANDIDATES),
     "boundary_shift": (boundary_shift, BOUNDARY_SHIFT),
+    "boundary_refinement": (boundary_refinement, BOUNDARY_REFINEMENT),
     "boundary_shift_rejections": (shift_rejections, SHIFT_REJECTIONS),
 }
