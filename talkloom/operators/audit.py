@@ -115,6 +115,19 @@ def note_drift(chunks: DataFrame, notes: DataFrame) -> DataFrame:
     )
 
 
+def notes_drift(jobs: DataFrame, chunks: DataFrame, notes: DataFrame) -> DataFrame:
+    """Drift of the notes of jobs that have claims, as (job_id, kind, missing, extra): a video note older than the claims, and
+    chunk notes that do not match the chunks, with how many are missing and extra (``note_drift`` names them).
+
+    ``jobs`` has (job_id, claims_mtime, video_note_mtime), null where there is no such file."""
+    with_claims = jobs.where("claims_mtime IS NOT NULL")
+    none = [F.lit(None).cast("long").alias(c) for c in ("missing", "extra")]
+    older = with_claims.where("video_note_mtime < claims_mtime").select("job_id", F.lit("obsidian_video_note_older_than_effective_claims").alias("kind"), *none)
+    counted = note_drift(chunks, notes).groupBy("job_id").agg(F.count_if(F.col("kind") == "missing").alias("missing"), F.count_if(F.col("kind") == "extra").alias("extra"))
+    differ = counted.join(with_claims.select("job_id"), "job_id").select("job_id", F.lit("obsidian_chunk_note_set_mismatch").alias("kind"), "missing", "extra")
+    return older.unionByName(differ)
+
+
 def stale_notes(chunks: DataFrame, notes: DataFrame) -> DataFrame:
     """Extra notes whose name shows that the export owns them; others are left alone."""
     extra = note_drift(chunks, notes).where("kind = 'extra'")

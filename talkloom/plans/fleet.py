@@ -11,7 +11,7 @@ from talkloom.operators import visual as vis
 from talkloom.plans import inputs
 from talkloom.plans import oracle_inputs as oi
 from talkloom.plans.scenes import SCENES, fallback_scenes
-from talkloom.plans.visual import KEYS, RULES, VIS
+from talkloom.plans.visual import ALL_HITS, CHUNK_NOISE, KEYS, RULES, VIS, chunk_texts
 from talkloom.session import materialise
 
 KIND = {"signup": "run_started", "view": "stage_started", "click": "stage_completed", "error": "stage_failed", "purchase": "provider_request_failed"}
@@ -387,6 +387,29 @@ m AS (SELECT w.*, 'missing' AS kind FROM w ANTI JOIN t ON t.job_id = w.job_id AN
 SELECT * FROM m UNION ALL SELECT job_id, note, kind FROM e UNION ALL SELECT job_id, note, 'stale_owned' FROM e WHERE n <> 7"""
 
 
+def notes_drift(spark, sf_dir):
+    """Notes of jobs against their claims: some jobs have no claims, some video notes are older, some chunk notes differ."""
+    li = inputs.table(spark, sf_dir, "lineitem")
+    k = F.col("l_orderkey")
+    cid = F.format_string("%d_c_%06d_%06d", k, F.col("l_linenumber"), F.col("l_linenumber") + 1)
+    chunks = li.where("l_linenumber <= 5").select(k.alias("job_id"), cid.alias("chunk_id"))
+    notes = li.where("l_partkey % 10 <> 0").select(k.alias("job_id"), F.concat(cid, F.lit(".md")).alias("note"))
+    at = F.make_timestamp(F.lit(2024), F.lit(1), F.lit(1), F.lit(0), F.lit(0), F.lit(0))
+    jobs = inputs.table(spark, sf_dir, "orders").select(
+        F.col("o_orderkey").alias("job_id"), F.when(F.col("o_orderkey") % 7 != 0, at).alias("claims_mtime"),
+        F.when(F.col("o_orderkey") % 5 != 0, F.when(F.col("o_orderkey") % 3 == 0, at - F.expr("INTERVAL 1 SECOND")).otherwise(at)).alias("video_note_mtime"),
+    )
+    return au.notes_drift(jobs, chunks, notes)
+
+
+NOTES_DRIFT = """
+WITH b AS (SELECT l_orderkey AS job_id, l_linenumber AS n, l_partkey % 10 <> 0 AS note FROM lineitem),
+t AS (SELECT *, bool_or(note) OVER (PARTITION BY job_id, n) AS there FROM b),
+d AS (SELECT job_id, count(*) FILTER (n <= 5 AND NOT there) AS missing, count(*) FILTER (n > 5 AND note) AS extra FROM t GROUP BY 1)
+SELECT o_orderkey AS job_id, 'obsidian_video_note_older_than_effective_claims' AS kind, CAST(NULL AS BIGINT) AS missing, CAST(NULL AS BIGINT) AS extra FROM orders WHERE o_orderkey % 7 <> 0 AND o_orderkey % 5 <> 0 AND o_orderkey % 3 = 0
+UNION ALL SELECT job_id, 'obsidian_chunk_note_set_mismatch', missing, extra FROM d JOIN orders ON o_orderkey = job_id WHERE o_orderkey % 7 <> 0 AND (missing > 0 OR extra > 0)"""
+
+
 def failure_reports(spark, sf_dir):
     jobs = inputs.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("job_id"), F.when(F.col("o_orderstatus") == "F", "completed").otherwise("failed").alias("status"))
     failures = inputs.table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("job_id"), F.when(F.col("l_partkey") % 2 == 0, "resolved").when(F.col("l_partkey") % 3 == 0, "failed").alias("report_status"))
@@ -485,21 +508,31 @@ UNION ALL SELECT 'deleted from jobs', count(*) FROM d UNION ALL SELECT 'deleted
 
 
 def marker_counters(spark, sf_dir):
-    """Top markers over all visual events, with their shares."""
-    events = inputs.visual_events(spark, sf_dir)
-    hits = vis.marker_hits(events, KEYS, vis.LEAKAGE_FIELDS, "technical", RULES)
-    counts = hits.groupBy(F.lit("technical_visual").alias("counter"), F.col("marker").alias("value")).agg(F.count("*").alias("n"))
+    """Top markers over all visual events and chunks, with their shares: technical labels, presentation wording, the same in chunks."""
+    events = materialise(inputs.visual_events(spark, sf_dir))
+    found = {
+        "technical_visual": vis.marker_hits(events, KEYS, vis.LEAKAGE_FIELDS, "technical", RULES),
+        "presentation_visual": vis.marker_hits(events, KEYS, [*vis.LEAKAGE_FIELDS, "presenter_context.scene_deltas"], "presentation", RULES),
+        "presentation_chunks": vis.marker_hits(chunk_texts(spark, sf_dir), KEYS, list(CHUNK_NOISE), "presentation", RULES),
+    }
+    counts = None
+    for counter, hits in found.items():
+        one = hits.groupBy(F.lit(counter).alias("counter"), F.col("marker").alias("value")).agg(F.count("*").alias("n"))
+        counts = one if counts is None else counts.unionByName(one)
     return au.counter_payload(counts)
 
 
-MARKER_COUNTERS = VIS + f", c AS (SELECT 'technical_visual' AS counter, marker AS value, count(*) AS n FROM th GROUP BY 2) SELECT counter, value, n, {SHARE} FROM c"
+MARKER_COUNTERS = ALL_HITS + f""",
+c AS (SELECT 'technical_visual' AS counter, marker AS value, count(*) AS n FROM ht GROUP BY 2
+  UNION ALL SELECT 'presentation_visual', marker, count(*) FROM hp GROUP BY 2 UNION ALL SELECT 'presentation_chunks', marker, count(*) FROM hc GROUP BY 2)
+SELECT counter, value, n, {SHARE} FROM c"""
 
 QUERIES = {
     name: (globals()[name], globals().get(name.upper()))
     for name in (
         "event_counters provider_failures success_with_error status_counters quality_warnings warning_ratios quality_report report_identity report_stage_metrics "
         "unclaimed_chunks top_topics dashboard_histograms job_listing stage_rows artifact_statuses job_documents issue_locations issue_summaries partial_report "
-        "derived_stale failure_status drift_union audit_summary notes_missing_extra failure_reports stage_freshness job_complete stage_state_fold job_state log_tail "
+        "derived_stale failure_status drift_union audit_summary notes_missing_extra notes_drift failure_reports stage_freshness job_complete stage_state_fold job_state log_tail "
         "delete_jobs marker_counters"
     ).split()
 }

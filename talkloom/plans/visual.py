@@ -98,9 +98,9 @@ CHUNK_NOISE = {
 }
 
 
-def chunk_noise_metrics(spark, sf_dir):
-    """Presentation wording left in the fields of chunks, each chunk made of one visual event."""
-    chunks = inputs.visual_events(spark, sf_dir).select(
+def chunk_texts(spark, sf_dir):
+    """The text fields of chunks, each chunk made of one visual event."""
+    return inputs.visual_events(spark, sf_dir).select(
         *KEYS,
         F.array_join("observations", "\n").alias("visual_text"),
         F.col("presenter_context.narrative_brief").alias("presenter_brief"),
@@ -108,7 +108,11 @@ def chunk_noise_metrics(spark, sf_dir):
         F.col("items").alias("entities"),
         F.concat(F.coalesce("visual_summary", F.lit("")), F.lit("\n"), "notes").alias("combined_text"),
     )
-    hits = vis.marker_hits(chunks, KEYS, list(CHUNK_NOISE), "presentation", RULES)
+
+
+def chunk_noise_metrics(spark, sf_dir):
+    """Presentation wording left in the fields of chunks."""
+    hits = vis.marker_hits(chunk_texts(spark, sf_dir), KEYS, list(CHUNK_NOISE), "presentation", RULES)
     return vis.leakage_metrics(materialise(hits), KEYS, ["video_id"], list(CHUNK_NOISE), markers="per field").withColumnRenamed("scenes", "chunks")
 
 
@@ -117,6 +121,17 @@ CHUNK_NOISE_METRICS = oi.with_ctes(
 ) + _metrics_sql("cn", list(CHUNK_NOISE), "count(*)").replace("AS scenes", "AS chunks")
 
 
+def _hits_sql(tag: str, fields: dict[str, str], test: str) -> str:
+    """Fields, keys and hits under names of their own."""
+    named = _fields(fields).replace("vf", f"vf{tag}").replace("vk", f"vk{tag}")
+    return f"{named}, h{tag} AS (SELECT DISTINCT video_id, scene_id, field, m AS marker FROM vk{tag} WHERE k <> '' AND {test})"
+
+
+ALL_HITS = oi.with_ctes(
+    oi.VISUAL, _hits_sql("t", LEAK, _is_technical("k")), _hits_sql("p", LEAK | {"scene_deltas": "scene_deltas"}, _is_presentation("k")), _hits_sql("c", CHUNK_NOISE, _is_presentation("k"))
+).rstrip()
+
+
 def _profiles(spark, sf_dir):
     """A presenter profile per source, drawn from the first document of the source."""
     first = inputs.visual_events(spark, sf_dir).groupBy("video_id").agg(F.min_by(F.struct("items", "visual_summary"), "doc_id").alias("d"))
