@@ -5,13 +5,15 @@ MinHash bands find classes that may be alike. Signatures of candidates are compa
 pruned once the posterior probability of the wanted similarity falls under a chosen miss probability. Survivors are
 verified on their whole sets, and links are followed by distributed connected components.
 
-A bucket of n classes is not expanded into n^2 pairs. All its members are first compared to its first one. Only members
-that this leaves outside the first one's component are compared to the others, block by block inside tasks of bounded
-size that emit survivors alone; pairs of members that are already joined are never looked at again."""
+A bucket of n classes is not expanded into n^2 pairs. Turn by turn, each member of a bucket that holds several components
+meets others in a random block of one of its buckets; the block's task verifies pairs of different components and emits a
+spanning forest of these, never the pairs. Once a turn leaves more than half of the members outside their buckets' main
+components there, those that are left are alike to few, and each is compared to all others, again by blocks. Pairs of
+members that are already joined are never looked at again, nor are buckets of which all members have met."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from math import comb
 
 import numpy as np
@@ -28,7 +30,8 @@ BANDS, ROWS = 20, 4
 #: Bytes of the long signature of candidates (one per hash function), compared in batches.
 SIGNATURE, BATCH = 512, 32
 #: Members of a block; a task holds two blocks.
-BLOCK = 128
+BLOCK = 512
+SLICE = 256
 
 _RNG = np.random.Generator(np.random.PCG64(31))
 _BAND_A = _RNG.integers(0, 2**63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -64,51 +67,60 @@ def _digest(values: np.ndarray) -> bytes:
     return np.array([mix64(values).sum(dtype=np.uint64), (other * np.uint64(3)).sum(dtype=np.uint64)], np.uint64).tobytes()
 
 
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches of SLICE rows at most, so that what a worker makes of one stays small."""
+    for batch in batches:
+        for start in range(0, batch.num_rows, SLICE):
+            yield batch.slice(start, SLICE)
+
+
 def _sets(texts: pa.Array) -> Iterator[np.ndarray]:
     for _, hashes, offsets in word_hashes(texts):
         for k in range(len(offsets) - 1):
             yield shingles(hashes[offsets[k] : offsets[k + 1]])
 
 
+def _keyed(docs: DataFrame) -> DataFrame:
+    """doc_id, text and k1, k2: 128 bits of the two together."""
+    return docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("k1"), F.xxhash64(F.lit("other"), "doc_id", "text").alias("k2"))
+
+
 def text_sets(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, digest, bands for every row of `docs` (doc_id, text); bands is null for an empty set."""
+    """doc_id, k1, k2, n_shingles, digest, bands for every row of `docs` (doc_id, text); bands is null for an empty set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _slices(batches):
             sizes, digests, bands = [], [], []
             for values in _sets(batch.column("text")):
                 sizes.append(len(values))
                 digests.append(_digest(values))
                 bands.append(minima(values, _BAND_A, _BAND_B).tobytes() if len(values) else None)
-            columns = [batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(bands, pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_shingles", "digest", "bands"])
+            columns = [*(batch.column(c) for c in ("doc_id", "k1", "k2")), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(bands, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "k1", "k2", "n_shingles", "digest", "bands"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_shingles bigint, digest binary, bands binary")
+    return _keyed(docs).mapInArrow(run, f"doc_id {kind}, k1 bigint, k2 bigint, n_shingles bigint, digest binary, bands binary")
 
 
 def candidate_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """id, n, signature, bands, shingles of the texts of `wanted` (id, digest); a row of another digest under that id is left out."""
+    """id, n, signature, bands, shingles of the texts of `wanted` (id, k1, k2)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            kept, sizes, signatures, bands, sets = [], [], [], [], []
-            for k, (values, digest) in enumerate(zip(_sets(batch.column("text")), batch.column("digest"), strict=True)):
-                if _digest(values) == digest.as_py():
-                    kept.append(k)
-                    sizes.append(len(values))
-                    signatures.append(minima(values, _LONG_A, _LONG_B).astype(np.uint8).tobytes())
-                    bands.append(minima(values, _BAND_A, _BAND_B).tobytes())
-                    sets.append(values.view(np.int64))
-            ids = batch.column("id").take(pa.array(kept, pa.int64()))
+        for batch in _slices(batches):
+            sizes, signatures, bands, sets = [], [], [], []
+            for values in _sets(batch.column("text")):
+                sizes.append(len(values))
+                signatures.append(minima(values, _LONG_A, _LONG_B).astype(np.uint8).tobytes())
+                bands.append(minima(values, _BAND_A, _BAND_B).tobytes())
+                sets.append(values.view(np.int64))
             offsets = pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32))
             lists = pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(sets) if sets else np.zeros(0, np.int64)))
-            columns = [ids, pa.array(sizes, pa.int64()), pa.array(signatures, pa.binary()), pa.array(bands, pa.binary()), lists]
+            columns = [batch.column("id"), pa.array(sizes, pa.int64()), pa.array(signatures, pa.binary()), pa.array(bands, pa.binary()), lists]
             yield pa.RecordBatch.from_arrays(columns, ["id", "n", "signature", "bands", "shingles"])
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    texts = docs.select(F.col("doc_id").alias("id"), "text").join(wanted, "id").select("id", "digest", "text")
-    return texts.mapInArrow(run, f"id {kind}, n bigint, signature binary, bands binary, shingles array<bigint>")
+    # repeated rows are one from here on: they share their key, and all but one fall out before the shuffle
+    texts = _keyed(docs).groupBy("k1", "k2").agg(F.first("text").alias("text")).join(wanted, ["k1", "k2"]).select("id", "text")
+    return texts.mapInArrow(run, "id bigint, n bigint, signature binary, bands binary, shingles array<bigint>")
 
 
 def least_matches(similarity: float, miss: float) -> list[int]:
@@ -143,72 +155,36 @@ def _signatures(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, SIGNATURE)
 
 
-def screen(pairs: DataFrame, sets: DataFrame, percent: int, miss: float) -> DataFrame:
-    """The pairs (a, b) that sizes and signatures leave possible."""
-    needed = least_matches(percent / 100, miss)
+def _similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    """100 * intersection >= percent * union of two sorted sets."""
+    if len(x) > len(y):
+        x, y = y, x
+    at = np.minimum(np.searchsorted(y, x), len(y) - 1)
+    common = int((y[at] == x).sum())
+    return 100 * common >= percent * (len(x) + len(y) - common)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                rows = np.arange(batch.num_rows)
-                yield batch.select(["a", "b"]).take(pa.array(_alike(_signatures(batch.column("sa")), _signatures(batch.column("sb")), rows, rows, needed)))
-
-    kind = pairs.schema["a"].dataType.simpleString()
-    one = sets.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("signature").alias("sa"))
-    two = sets.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("signature").alias("sb"))
-    both = pairs.join(one, "a").join(two, "b").where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
-    return both.select("a", "b", "sa", "sb").mapInArrow(run, f"a {kind}, b {kind}")
 
+def _joins(rows: pa.Table, i: np.ndarray, j: np.ndarray, percent: int) -> Iterator[tuple[int, int]]:
+    """Pairs of components that verified pairs (i, j) of rows join: a spanning forest, as pairs already joined are skipped."""
+    component, sets = rows["component"].to_numpy(), rows["shingles"].combine_chunks()
+    offsets, values = sets.offsets.to_numpy(), sets.values.to_numpy()
+    up: dict[int, int] = {}
 
-def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs whose whole sets have 100 * intersection >= percent * union."""
-    one = sets.select(F.col("id").alias("a"), F.col("shingles").alias("x"))
-    two = sets.select(F.col("id").alias("b"), F.col("shingles").alias("y"))
-    both = pairs.join(one, "a").join(two, "b")
-    common = both.select("a", "b", F.size(F.array_intersect("x", "y")).cast("long").alias("common"), (F.size("x") + F.size("y")).cast("long").alias("both"))
-    return common.where(100 * F.col("common") >= percent * (F.col("both") - F.col("common"))).select("a", "b").distinct()
+    def root(c: int) -> int:
+        while c in up:
+            c = up[c]
+        return c
 
+    unsigned = lambda k: values[offsets[k] : offsets[k + 1]].view(np.uint64)
+    for a, b in zip(i.tolist(), j.tolist(), strict=True):
+        x, y = root(int(component[a])), root(int(component[b]))
+        if x != y and _similar(unsigned(a), unsigned(b), percent):
+            up[max(x, y)] = min(x, y)
+            yield min(x, y), max(x, y)
 
-def _outside_pairs(members: DataFrame, sets: DataFrame, percent: int, miss: float) -> DataFrame:
-    """Possible pairs (a, b) of different components with an outsider among them, from buckets split into blocks.
 
-    `members`: bucket, band, id, component, outside, outsiders and insiders (of the bucket; the first member counts as neither).
-    A pair that shares buckets in several bands is emitted in the first of them alone. It has been compared before if one
-    of the two is the first member there, and it is in no need of it if both are insiders there."""
-    needed = least_matches(percent / 100, miss)
-    blocks = lambda c: F.ceil(F.col(c) / BLOCK).cast("int")
-    own = F.when(F.col("outside"), F.pmod(F.xxhash64("id"), blocks("outsiders"))).otherwise(F.pmod(F.xxhash64("id"), blocks("insiders"))).cast("int")
-    all_outer = F.sequence(F.lit(0), blocks("outsiders") - 1)
-    all_inner = F.when(F.col("insiders") > 0, F.sequence(F.lit(0), blocks("insiders") - 1)).otherwise(F.array().cast("array<int>"))
-    # a task is (outer block i, outer block j >= i) or (outer block i, inner block ~j)
-    place = lambda i, j, side: F.struct(i.alias("i"), j.alias("j"), F.lit(side).alias("side"))
-    same = F.transform(all_outer, lambda o: F.when(o < F.col("own"), place(o, F.col("own"), 1)).otherwise(place(F.col("own"), o, 0)))
-    outer = F.concat(same, F.transform(all_inner, lambda o: place(F.col("own"), -o - 1, 0)))
-    inner = F.transform(all_outer, lambda o: place(o, -F.col("own") - 1, 1))
-    dealt = members.withColumn("own", own).withColumn("at", F.explode(F.when(F.col("outside"), outer).otherwise(inner)))
-    keyed = dealt.select(F.xxhash64("bucket", "at.i", "at.j").alias("task"), (F.col("at.i") == F.col("at.j")).alias("alone"), "at.side", "band", "id", "component")
-    full = keyed.join(sets.select("id", "n", "signature", "bands"), "id").repartition("task").sortWithinPartitions("task")
-
-    def compare(rows: pa.Table) -> Iterator[pa.RecordBatch]:
-        side, ids = rows["side"].to_numpy(), rows["id"].to_numpy()
-        component, n = rows["component"].to_numpy(), rows["n"].to_numpy()
-        left = np.flatnonzero(side == 0)
-        if rows["alone"][0].as_py():
-            i, j = (left[x] for x in np.triu_indices(len(left), 1))
-        else:
-            right = np.flatnonzero(side == 1)
-            i, j = np.repeat(left, len(right)), np.tile(right, len(left))
-        likely = (component[i] != component[j]) & (100 * np.minimum(n[i], n[j]) >= percent * np.maximum(n[i], n[j]))
-        i, j = i[likely], j[likely]
-        if len(i):
-            signatures = _signatures(rows["signature"])
-            alive = _alike(signatures, signatures, i, j, needed)
-            bands = np.frombuffer(b"".join(rows["bands"].to_pylist()), np.uint64).reshape(len(ids), BANDS, -1)
-            shared = (bands[i[alive]] == bands[j[alive]]).all(axis=2)
-            alive = alive[shared.argmax(axis=1) == rows["band"][0].as_py()]
-            a, b = np.minimum(ids[i[alive]], ids[j[alive]]), np.maximum(ids[i[alive]], ids[j[alive]])
-            if len(a):
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+def _tasks(rows: DataFrame, compare: Callable[[pa.Table], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """`compare` over all rows of each task, wherever batches end."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.Table] = []  # the rows of the task that the last batch ended in
@@ -226,8 +202,107 @@ def _outside_pairs(members: DataFrame, sets: DataFrame, percent: int, miss: floa
         if held:
             yield from compare(pa.concat_tables(held).combine_chunks())
 
-    kind = members.schema["id"].dataType.simpleString()
-    return full.mapInArrow(run, f"a {kind}, b {kind}").distinct()
+    return rows.repartition("task").sortWithinPartitions("task", "id").mapInArrow(run, schema)
+
+
+def _likely(rows: pa.Table, percent: int, needed: list[int], first_band: bool) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs of a task, of different components, that sizes and signatures leave possible."""
+    side, component, n = (rows[c].to_numpy() for c in ("side", "component", "n"))
+    left = np.flatnonzero(side == 0)
+    if rows["alone"][0].as_py():
+        i, j = (left[x] for x in np.triu_indices(len(left), 1))
+    else:
+        right = np.flatnonzero(side == 1)
+        i, j = np.repeat(left, len(right)), np.tile(right, len(left))
+    likely = (component[i] != component[j]) & (100 * np.minimum(n[i], n[j]) >= percent * np.maximum(n[i], n[j]))
+    i, j = i[likely], j[likely]
+    if len(i):
+        signatures = _signatures(rows["signature"])
+        alive = _alike(signatures, signatures, i, j, needed)
+        if first_band and len(alive):
+            bands = np.frombuffer(b"".join(rows["bands"].to_pylist()), np.uint64).reshape(len(n), BANDS, -1)
+            alive = alive[(bands[i[alive]] == bands[j[alive]]).all(axis=2).argmax(axis=1) == rows["band"][0].as_py()]
+        i, j = i[alive], j[alive]
+    return i, j
+
+
+KEYED = "task bigint, alone boolean, side int, band int, id bigint, component bigint"
+
+
+def _by_task(keyed: DataFrame, sets: DataFrame, percent: int, miss: float, first_band: bool) -> DataFrame:
+    """Pairs (a, b) of components that are joined by a pair of `keyed` (task, alone, side, band, id, component) in a task.
+
+    In a task that is `alone` all pairs are compared, else those of different sides; with `first_band` only in the first
+    band that the two share. First signatures alone are dealt to the tasks, which tell the members that may be alike to
+    another; then these members' whole sets, to verify. A task holds at most some two blocks of members."""
+    needed = least_matches(percent / 100, miss)
+    columns = [c.split()[0] for c in KEYED.split(", ")]
+
+    def members(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+        i, j = _likely(rows, percent, needed, first_band)
+        if len(i):
+            yield from rows.select(columns).take(pa.array(np.union1d(i, j))).combine_chunks().to_batches()
+
+    def forest(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+        found = list(_joins(rows, *_likely(rows, percent, needed, first_band), percent))
+        if found:
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], ["a", "b"])
+
+    dealt = keyed.select(*[F.col(c).cast(kind) for c, kind in (x.split() for x in KEYED.split(", "))])
+    likely = materialise(_tasks(dealt.join(sets.select("id", "n", "signature", "bands"), "id"), members, KEYED))
+    return _tasks(likely.join(sets, "id"), forest, "a bigint, b bigint").distinct()
+
+
+def _sampled(members: DataFrame, turn: int) -> tuple[DataFrame, DataFrame]:
+    """Each member in one of its buckets, the one of the least hash in this turn, and there in one block at random: the
+    tasks, and the buckets of which all `n` members meet in one."""
+    chosen = members.groupBy("id", "component").agg(F.min_by(F.struct("bucket", "band", "n"), F.xxhash64("bucket", F.lit(turn))).alias("at"))
+    dealt = materialise(chosen.select("id", "component", "at.bucket", "at.band", F.col("at.n").alias("all")))
+    sizes = dealt.groupBy("bucket", "all").agg(F.count("*").alias("there"))
+    met = sizes.where((F.col("there") == F.col("all")) & (F.col("there") <= BLOCK)).select("bucket")
+    block = F.pmod(F.xxhash64("id", F.lit(turn)), F.ceil(F.col("there") / BLOCK))
+    tasks = dealt.join(sizes.drop("all"), "bucket").select(F.xxhash64("bucket", block).alias("task"), F.lit(True).alias("alone"), F.lit(0).alias("side"), "band", "id", "component")
+    return tasks, met
+
+
+def _exhaustive(members: DataFrame) -> DataFrame:
+    """All pairs of an outsider and another member of its bucket, by blocks.
+
+    `members`: bucket, band, id, component, outside, outsiders and insiders (of the bucket). A pair that shares buckets in
+    several bands meets in the first of them, and is in no need of it if both are insiders there."""
+    blocks = lambda c: F.ceil(F.col(c) / BLOCK).cast("int")
+    own = F.when(F.col("outside"), F.pmod(F.xxhash64("id"), blocks("outsiders"))).otherwise(F.pmod(F.xxhash64("id"), blocks("insiders"))).cast("int")
+    all_outer = F.sequence(F.lit(0), blocks("outsiders") - 1)
+    all_inner = F.sequence(F.lit(0), blocks("insiders") - 1)
+    # a task is (outer block i, outer block j >= i) or (outer block i, inner block ~j)
+    place = lambda i, j, side: F.struct(i.alias("i"), j.alias("j"), F.lit(side).alias("side"))
+    same = F.transform(all_outer, lambda o: F.when(o < F.col("own"), place(o, F.col("own"), 1)).otherwise(place(F.col("own"), o, 0)))
+    outer = F.concat(same, F.transform(all_inner, lambda o: place(F.col("own"), -o - 1, 0)))
+    inner = F.transform(all_outer, lambda o: place(o, -F.col("own") - 1, 1))
+    dealt = members.withColumn("own", own).withColumn("at", F.explode(F.when(F.col("outside"), outer).otherwise(inner)))
+    return dealt.select(F.xxhash64("bucket", "at.i", "at.j").alias("task"), (F.col("at.i") == F.col("at.j")).alias("alone"), "at.side", "band", "id", "component")
+
+
+def _open_members(members: DataFrame, joined: DataFrame) -> DataFrame:
+    """bucket, band, id, n, component, outside, outsiders, insiders of all buckets with members outside their main component.
+
+    The main component is the one of most members, then the smallest. `members`: bucket, band, id, n."""
+    own = members.join(joined.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
+    shares = own.groupBy("bucket", "component").agg(F.count("*").alias("here"))
+    main = shares.groupBy("bucket").agg(F.max(F.struct("here", (-F.col("component")).alias("back"))).alias("top"), F.count("*").alias("components"))
+    open_buckets = main.where("components > 1").select("bucket", F.col("top.here").alias("insiders"), (-F.col("top.back")).alias("main"))
+    placed = own.join(open_buckets, "bucket").withColumn("outside", F.col("component") != F.col("main")).withColumn("outsiders", F.col("n") - F.col("insiders"))
+    return placed.drop("main")
+
+
+def _merged(joined: DataFrame | None, pairs: DataFrame) -> DataFrame:
+    """`joined` (node, component) after pairs (a, b) of components are joined too."""
+    roots = connected_components(pairs, "a", "b").select(F.col("node").alias("component"), F.col("component").alias("root"))
+    if joined is None:
+        return materialise(roots.select(F.col("component").alias("node"), F.col("root").alias("component")))
+    known = joined.join(roots, "component", "left").select("node", F.coalesce("root", "component").alias("component"))
+    single = roots.join(joined.select(F.col("node").alias("component")), "component", "left_anti")
+    return materialise(known.unionByName(single.select(F.col("component").alias("node"), F.col("root").alias("component"))))
 
 
 def near_duplicates(docs: DataFrame, percent: int = 85, miss: float = 1e-5) -> DataFrame:
@@ -235,36 +310,42 @@ def near_duplicates(docs: DataFrame, percent: int = 85, miss: float = 1e-5) -> D
 
     Texts are linked with 100 * intersection >= percent * union of their shingle sets. component_id is the smallest id
     reachable over links; kept says that it is the row's own. Null and blank texts have no shingles, are linked with
-    nothing and kept. Rows without an id belong to the component of their class of equal sets, which bears the smallest
-    id of the others; a class without any id is linked with no other, and its component_id is null and it is kept.
-    Repeated rows each get the same answer. An empty table gives an empty result; other columns are ignored.
+    nothing and kept. Rows without an id link like any others; where no row of a component has an id, component_id is
+    null and its rows are kept. Several texts under one id are linked each by itself, repeated rows each get the same
+    answer. Texts of any length are taken whole; a task holds the sets of two blocks of texts. An empty table gives an
+    empty result; other columns are ignored.
 
     Two texts share no band with probability 4e-7 at similarity 0.85 and 3e-5 at 0.8; a pair is pruned by mistake with probability `miss`."""
     rows = materialise(text_sets(docs))
-    classes = materialise(
-        rows.where("n_shingles > 0").groupBy("digest").agg(F.min("doc_id").alias("id"), F.first("bands").alias("bands"))
+    grouped = rows.where("n_shingles > 0").groupBy("digest").agg(
+        F.min("doc_id").alias("least"), F.first("bands").alias("bands"), F.min(F.struct("k1", "k2")).alias("key")
     )
+    classes = materialise(grouped.select("digest", "least", "bands", "key.k1", "key.k2", F.monotonically_increasing_id().alias("id")))
     width = 4 * ROWS
     keys = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda k: F.xxhash64(k, F.substring(F.col("bands"), k * width + 1, F.lit(width))))
-    banded = classes.where("id is not null").select("id", "digest", F.posexplode(keys).alias("band", "bucket"))
-    shared = materialise(banded.groupBy("bucket").agg(F.count("*").alias("n"), F.min("id").alias("first")).where("n > 1"))
+    banded = classes.select("id", "k1", "k2", F.posexplode(keys).alias("band", "bucket"))
+    shared = banded.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
     members = materialise(banded.join(shared, "bucket"))
-    sets = materialise(candidate_sets(docs, members.select("id", "digest").distinct()))
-    stars = members.where("id <> first").select(F.col("first").alias("a"), F.col("id").alias("b")).distinct()
-    links = materialise(verify(screen(stars, sets, percent, miss), sets, percent))
-    joined = materialise(connected_components(links, "a", "b"))
-    own = members.where("n > 2").join(joined.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
-    firsts = joined.select(F.col("node").alias("first"), F.col("component").alias("first_component"))
-    placed = own.join(firsts, "first", "left").where("id <> first").withColumn("outside", F.col("component") != F.coalesce("first_component", "first"))
-    placed = materialise(placed.select("bucket", "band", "id", "component", "outside"))
-    counted = placed.groupBy("bucket").agg(F.sum(F.col("outside").cast("int")).alias("outsiders"), F.sum((~F.col("outside")).cast("int")).alias("insiders"))
-    open_buckets = materialise(counted.where("outsiders > 0"))
-    more = materialise(verify(_outside_pairs(placed.join(open_buckets, "bucket"), sets, percent, miss), sets, percent))
-    groups = materialise(connected_components(links.unionByName(more), "a", "b"))
-    of = classes.select("digest", "id").join(groups.withColumnRenamed("node", "id"), "id", "left")
-    of = materialise(of.select("digest", F.coalesce("component", "id").alias("component")))
+    sets = materialise(candidate_sets(docs, members.select("id", "k1", "k2").distinct()))
+    left = members.select("bucket", "band", "id", "n")
+    open_members, before, turn, joined = left.withColumn("component", F.col("id")), left.count(), 0, None
+    while True:
+        tasks, met = _sampled(open_members, turn)
+        joined = _merged(joined, materialise(_by_task(tasks, sets, percent, miss, first_band=False)))
+        left = materialise(left.join(met, "bucket", "left_anti"))
+        open_members = materialise(_open_members(left, joined))
+        outsiders = open_members.where("outside").count()
+        if 2 * outsiders > before or not outsiders:
+            break
+        before, turn = outsiders, turn + 1
+    if outsiders:  # they are alike to few others, so each is compared to all
+        joined = _merged(joined, materialise(_by_task(_exhaustive(open_members), sets, percent, miss, first_band=True)))
+    placed = classes.select("digest", "id", "least").join(joined.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
+    placed = materialise(placed.select("digest", "component", "least"))
+    named = placed.groupBy("component").agg(F.min("least").alias("component_id"))
+    of = materialise(placed.join(named, "component").select("digest", "component_id"))
     found = rows.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("digest")).alias("digest")).join(of, "digest", "left")
-    component = F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("doc_id"))
+    component = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
     out = found.select("doc_id", "n_shingles", component.alias("component_id"))
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 

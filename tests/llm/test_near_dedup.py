@@ -30,8 +30,7 @@ def all_pairs(docs, percent):
     for i, a in enumerate(sets):
         for j in range(i):
             b = sets[j]
-            named = docs[i][0] is not None and docs[j][0] is not None
-            if a and b and (a == b or named and 100 * len(a & b) >= percent * len(a | b)):
+            if a and b and 100 * len(a & b) >= percent * len(a | b):
                 x, y = root(i), root(j)
                 up[max(x, y)] = min(x, y)
     least = {}
@@ -76,6 +75,34 @@ def test_groups_equal_all_pairs(spark):
         assert run(spark, docs, percent) == all_pairs(docs, percent)
 
 
+def test_rows_without_an_id_carry_links(spark):
+    rng = random.Random(12)
+    base = [f"w{rng.randrange(5000)}" for _ in range(200)]
+    one, two = [*base[:185], *(f"x{k}" for k in range(13))], [*(f"y{k}" for k in range(13)), *base[13:]]
+    docs = [(1, " ".join(one)), (None, " ".join(base)), (2, " ".join(two)), (None, "alone " * 9), (None, "ALONE " * 9), (9, "p q r s t u"), (9, "another text under that id")]
+    got = run(spark, docs, 85)
+    assert got == all_pairs(docs, 85) and {r[2] for r in got if r[1] > 150} == {1}
+
+
+def test_links_grow_with_the_members(spark, monkeypatch):
+    """Families that their first members don't hold together: what is handed on to the components is in proportion to them."""
+    handed = []
+    real = nd.connected_components
+
+    def counted(edges, u="u", v="v"):
+        handed[-1] += edges.count()
+        return real(edges, u, v)
+
+    monkeypatch.setattr(nd, "connected_components", counted)
+    rng = random.Random(11)
+    for members in (400, 1600):
+        base = [f"w{rng.randrange(5000)}" for _ in range(60)]
+        docs = [(k, " ".join([*base[: k % 60], f"n{k}", *base[k % 60 + 1 :]])) for k in range(members)]
+        handed.append(0)
+        assert {r[2] for r in run(spark, docs, 80)} == {0}
+    assert handed[1] < 5 * handed[0] and handed[1] < 3 * 1600
+
+
 def test_hot_buckets_are_split_without_losing_links(spark, monkeypatch):
     """One family over many blocks, whose members are often less alike to the first than to each other."""
     monkeypatch.setattr(nd, "BLOCK", 4)
