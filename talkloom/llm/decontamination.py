@@ -26,6 +26,8 @@ SHARE = 0.8
 MASKS = ((0, 1, 2, 4, 6, 7), (0, 1, 3, 6, 7, 8))
 #: Items are compared in pieces: the words of the hit's block and one block on either side.
 BLOCK = 32
+#: Words of a text that are seeded as one row.
+CHUNK = 64
 MOST_BROADCAST = 1_000_000
 
 
@@ -93,8 +95,13 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     seeds = materialise(_seeds(items, masks))
     # outer generators: inferred filters on the inner kind would split every text into words once more
     rows = docs.select("doc_id", F.xxhash64("text").alias("text_key"), word_keys(F.col("text")).alias("w"))
-    each = F.transform("w", lambda _, p: F.struct(p.alias("p"), _masked(F.col("w"), p, masks).alias("seeds")))
-    places = rows.select("doc_id", "text_key", F.explode_outer(each).alias("x")).select("doc_id", "text_key", "x.p", F.explode_outer("x.seeds").alias("seed"))
+    # by chunks of words and those that masks reach beyond them, so that a place carries no more than that
+    cuts = F.sequence(F.lit(0), F.greatest(F.size("w") - 1, F.lit(0)), F.lit(CHUNK))
+    chunks = F.transform(cuts, lambda at: F.struct(at.alias("at"), F.slice("w", at + 1, F.lit(CHUNK + STRETCH_WORDS - 1)).alias("c")))
+    cut = rows.select("doc_id", "text_key", F.explode_outer(chunks).alias("x")).select("doc_id", "text_key", F.col("x.at").alias("from"), F.col("x.c").alias("c"))
+    inside = F.when(F.size("c") > 0, F.sequence(F.lit(0), F.least(F.lit(CHUNK), F.size("c")) - 1))
+    each = cut.select("doc_id", "text_key", "from", "c", F.explode_outer(inside).alias("q"))
+    places = each.select("doc_id", "text_key", (F.col("from") + F.col("q")).alias("p"), F.explode_outer(_masked(F.col("c"), F.col("q"), masks)).alias("seed"))
     hits = places.join(F.broadcast(seeds) if seeds.count() <= MOST_BROADCAST else seeds, "seed").where("p is not null")
     offset, low = F.col("p") - F.col("at"), F.floor(F.col("at") / BLOCK).cast("int") * BLOCK - BLOCK
     start = F.greatest(low, -offset, F.lit(0))
