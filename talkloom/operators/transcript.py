@@ -720,14 +720,20 @@ def segment_table_violations(segments: DataFrame, units: DataFrame, tokens: Data
     placed = paired.withColumns({"at_first": F.col("start_pos"), "at_last": F.col("end_pos"), "at_next": F.col("end_pos")})
     for name, at in (("first", F.col("pos")), ("last", F.col("pos")), ("next", F.col("pos") - 1)):
         placed = placed.join(token_at(at, name), ["video_id", f"at_{name}"], "left")
-    spans = segments.where("start_pos <= end_pos").select("video_id", "seg", F.col("start_pos").alias("a"), (F.col("end_pos") + 1).alias("b"))
+    # beyond the stream there is nothing to meet: a span that ends far behind it would fill buckets without tokens
+    ends = tokens.groupBy("video_id").agg((F.max("pos") + 1).alias("beyond"))
+    known = segments.where("start_pos <= end_pos").join(ends, "video_id")
+    spans = known.select("video_id", "seg", F.greatest("start_pos", F.lit(0)).alias("a"), F.least(F.col("end_pos") + 1, "beyond").alias("b")).where("a < b")
     points = tokens.select("video_id", "pos", (F.col("pos") + 1).alias("after"), "text", "speaker", "speaker_role")
     inside = overlap_join(points, spans, VIDEO, ("pos", "after"), ("a", "b"), width=POSITION_BUCKET)
     who = F.when(~tx.is_blank("text"), F.struct(F.coalesce("speaker", F.lit("")).alias("s"), F.coalesce("speaker_role", F.lit("")).alias("r")))
     said = F.transform(F.array_sort(F.collect_list(F.struct("pos", "text"))), lambda x: x["text"])
     held = inside.groupBy("video_id", "seg").agg(tx.squash(F.array_join(said, "")).alias("said"), F.min(who).alias("low"), F.max(who).alias("high"))
     musts = units.where("must_end").select("video_id", F.col("end_pos").alias("must_pos"), (F.col("end_pos") + 1).alias("must_after"))
-    before_end = spans.select("video_id", "seg", "a", (F.col("b") - 1).alias("last_b")).where("a < last_b")
+    must_ends = musts.groupBy("video_id").agg(F.min("must_pos").alias("low_must"), F.max("must_after").alias("high_must"))
+    before_end = segments.join(must_ends, "video_id").select(
+        "video_id", "seg", F.greatest("start_pos", "low_must").alias("a"), F.least("end_pos", "high_must").alias("last_b")
+    ).where("a < last_b")
     crossed = overlap_join(musts, before_end, VIDEO, ("must_pos", "must_after"), ("a", "last_b"), width=POSITION_BUCKET).select("video_id", "seg", F.lit("must_end_inside").alias("code")).distinct()
     one = F.col("low").eqNullSafe(F.col("high"))
     speaker, role = (F.when(one, F.nullif(F.col(f"low.{k}"), F.lit(""))) for k in ("s", "r"))

@@ -329,3 +329,12 @@ def test_stored_segments_must_be_a_fix_point_of_merging(spark):
     assert [c for c in check(merged) if c[1] == "not_merged"] == []
     late = segments.withColumn("end_pos", F.when(F.col("seg") == 1, F.col("end_pos") + 1).otherwise(F.col("end_pos")))
     assert {(1, "must_end_inside"), (1, "ends_inside_unit"), (2, "token_gap_or_overlap"), (1, "speaker_disagrees"), (1, "text_disagrees"), (1, "times_disagree")} <= set(check(late))
+
+
+def test_a_segment_that_ends_far_behind_the_stream_meets_its_tokens_alone(spark):
+    tokens = spark.createDataFrame([(1, p, f" w{p}", 100 * p, 100 * p + 50, "a", "host") for p in range(6)], "video_id long, pos long, text string, start_ms long, end_ms long, speaker string, speaker_role string")
+    units = spark.createDataFrame([(1, 0, 2, True, True), (1, 3, 5, True, True)], "video_id long, start_pos long, end_pos long, can_end boolean, must_end boolean")
+    row = "video_id long, seg long, segment_id string, start_ms long, end_ms long, start_pos long, end_pos long, words long, speaker string, speaker_role string, text string"
+    segments = spark.createDataFrame([(1, 0, "s0", 0, 250, 0, 2, 3, "a", "host", "w0 w1 w2"), (1, 1, "s1", 300, 550, 3, 10**12, 3, "a", "host", "w3 w4 w5")], row)
+    found = tr.segment_table_violations(segments, units, tokens, merged=False)
+    assert sorted((r["seg"], r["code"]) for r in found.collect()) == [(-1, "stream_not_covered"), (1, "ends_inside_unit"), (1, "must_end_inside"), (1, "unknown_end")]
