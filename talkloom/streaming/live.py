@@ -21,8 +21,13 @@ from talkloom.session import ensure_checkpoint_dir
 
 
 def file_stream(spark: SparkSession, folder: str, pattern: str, schema: str, max_files: int = 100) -> DataFrame:
-    """New parquet files of a folder, as they arrive."""
-    return spark.readStream.schema(schema).option("pathGlobFilter", pattern).option("maxFilesPerTrigger", max_files).parquet(folder)
+    """New parquet files of a folder, as they arrive; a folder of part files under that very name is read as the table it is."""
+    reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files)
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{pattern}")
+    found = path.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(path)
+    if any(entry.isDirectory() for entry in found or []):
+        return reader.parquet(f"{folder}/{pattern}")
+    return reader.option("pathGlobFilter", pattern).parquet(folder)
 
 
 def _folders(spark: SparkSession) -> tuple[str, str]:

@@ -95,3 +95,12 @@ def test_every_overdue_start_is_reported_once(spark):
     ends = [r for r in rows if r[0] == "end"]
     want = [r for r in rows if r[0] == "start" and not any(e[2:4] == r[2:4] and r[4] <= e[4] <= r[4] + 2 * hour for e in ends)]
     assert found == sorted(((r[1], r[2], r[3], r[4]) for r in want), key=lambda x: x[0]) and 904 in [r[0] for r in found]
+
+
+def test_a_table_of_part_files_is_a_stream_too(spark):
+    where = folder(spark, "tables")
+    rows = spark.range(6).selectExpr("id AS k")
+    rows.repartition(3).write.parquet(f"{where}/log.parquet")
+    rows.repartition(3).write.parquet(f"{where}/other.parquet")
+    table = live.run_to_table(live.file_stream(spark, where, "log.parquet", "k long"), "append")
+    assert sorted(r["k"] for r in table.collect()) == list(range(6))
