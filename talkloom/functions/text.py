@@ -16,7 +16,7 @@ from talkloom import fixed_values as fx
 
 SPACE = r"(?U)\s+"
 WORD = r"[\p{L}\p{N}_]"
-NOT_WORD_OR_SPACE = r"[^\p{L}\p{N}_\s]"
+NOT_WORD = r"[^\p{L}\p{N}_]"
 
 
 def _col(c: Column | str) -> Column:
@@ -48,10 +48,9 @@ def compare_key(c: Column | str) -> Column:
 
 
 def label_key(c: Column | str) -> Column:
-    """Key of a visual label: folded, ё as е, dashes as blanks, punctuation dropped."""
+    """Key of a visual label: folded, ё as е; dashes, punctuation and blanks between words are one blank."""
     folded = F.replace(fold_case(text_or_empty(c)), F.lit("ё"), F.lit("е"))
-    dashless = F.regexp_replace(folded, "[-‐‑‒–—]+", " ")
-    return F.trim(F.regexp_replace(F.regexp_replace(dashless, "(?U)" + NOT_WORD_OR_SPACE, " "), SPACE, " "))
+    return F.trim(F.regexp_replace(folded, NOT_WORD + "+", " "))
 
 
 def unique_in_order(values: Column | str) -> Column:

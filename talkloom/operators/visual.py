@@ -39,9 +39,31 @@ def field_values(df: DataFrame, keys: Sequence[str], fields: Sequence[str]) -> D
 
 def marker_hits(df: DataFrame, keys: Sequence[str], fields: Sequence[str], kind: str, rules: MarkerRules = DEFAULT_RULES) -> DataFrame:
     """One row per (row, field, marker); ``kind`` is technical, presentation or noise."""
-    finder = {"technical": mk.technical_markers, "presentation": mk.presentation_markers, "noise": mk.noise_markers}[kind]
-    found = field_values(df, keys, fields).withColumn("markers", finder(F.col("values"), rules))
-    return found.where(F.size("markers") > 0).select(*keys, "field", F.explode("markers").alias("marker"))
+    return marker_kinds(df, keys, fields, [kind], rules).drop("kind")
+
+
+def marker_kinds(df: DataFrame, keys: Sequence[str], fields: Sequence[str], kinds: Sequence[str], rules: MarkerRules = DEFAULT_RULES) -> DataFrame:
+    """``marker_hits`` of several kinds, with the kind. A text that several fields of a row hold is judged once.
+
+    Outer explodes: from an inner one Spark infers a filter that works the exploded expression out once more."""
+    tests = {"technical": mk.technical_key, "presentation": mk.presentation_key, "noise": mk.noise_key}
+
+    def squashed(field: str) -> Column:
+        return F.array_distinct(F.transform(F.coalesce(as_list(df, field), F.array().cast("array<string>")), tx.squash))
+
+    entries = F.array(*[F.struct(F.lit(f.split(".")[-1]).alias("field"), squashed(f).alias("texts")) for f in fields])
+    read = df.select(*keys, entries.alias("__entries"))
+    pairs = F.transform(F.array_distinct(F.flatten("__entries.texts")), lambda t: F.struct(t.alias("text"), tx.label_key(t).alias("key")))
+    read = read.withColumn("__pairs", pairs)
+
+    def hits(kind: str) -> Column:
+        return mk.texts(F.filter("__pairs", lambda p: tests[kind](p["key"], rules)))
+
+    found = F.array(*[F.struct(F.lit(kind).alias("kind"), hits(kind).alias("hits")) for kind in kinds])
+    by_kind = read.select(*keys, "__entries", F.explode(found).alias("__kind")).where(F.size("__kind.hits") > 0)
+    by_field = by_kind.select(*keys, "__kind", F.explode_outer("__entries").alias("__entry"))
+    kept = F.array_intersect("__entry.texts", "__kind.hits")
+    return by_field.select(*keys, F.col("__entry.field").alias("field"), F.explode_outer(kept).alias("marker"), F.col("__kind.kind").alias("kind")).where("marker IS NOT NULL")
 
 
 def leakage_errors(events: DataFrame, keys: Sequence[str], rules: MarkerRules = DEFAULT_RULES) -> DataFrame:
@@ -61,26 +83,24 @@ def quarantine(events: DataFrame, rules: MarkerRules = DEFAULT_RULES) -> DataFra
     sinked (whether those already carried markers)."""
     labels = {"items", "style_topics"}
 
-    def unique_pairs(values: Column) -> Column:
-        return F.array_distinct(F.filter(mk.keyed(values), lambda p: p["text"] != ""))
+    def noisy(field: str, key: Column) -> Column:
+        return mk.noise_key(key, rules) | (key == "") if field in labels else mk.noise_key(key, rules)
 
-    def noisy(field: str):
-        if field in labels:
-            return lambda p: mk.noise_key(p["key"], rules) | mk.drop_key(p["key"], rules)
-        return lambda p: mk.noise_key(p["key"], rules)
+    def judged(field: str, values: Column) -> Column:
+        return F.transform(values, lambda p: F.struct(p["text"].alias("text"), noisy(field, p["key"]).alias("noisy")))
 
-    def quiet(field: str):
-        return lambda p: ~noisy(field)(p)
+    def unique_pairs(values: Column) -> Column:
+        return F.array_distinct(F.filter(mk.keyed(values), lambda p: p["text"] != ""))
 
     deltas, brief = F.col("presenter_context.scene_deltas"), F.col("presenter_context.narrative_brief")
     pairs = {f: unique_pairs(F.col(f)) for f in LIST_FIELDS} | {"deltas": unique_pairs(deltas)}
     lone = {f: mk.keyed(F.array(F.col(f))) for f in TEXT_FIELDS} | {"brief": mk.keyed(F.array(brief))}
     context = F.filter(mk.keyed(F.col("presentation_context")), lambda p: p["text"] != "")
-    step = events.withColumns({f"__{f}": c for f, c in (pairs | lone).items()} | {"__context": context})
+    step = events.withColumns({f"__{f}": judged(f, c) for f, c in (pairs | lone).items()} | {"__context": context})
     order = [*LIST_FIELDS, *TEXT_FIELDS, "deltas", "brief"]
-    step = step.withColumns({f"__out_{f}": F.filter(f"__{f}", noisy(f)) for f in order})
+    step = step.withColumns({f"__out_{f}": F.filter(f"__{f}", lambda p: p["noisy"]) for f in order})
     step = step.withColumn("__removed", mk.texts(F.concat(*[f"__out_{f}" for f in order])))
-    kept = {f: mk.texts(F.filter(f"__{f}", quiet(f))) for f in LIST_FIELDS}
+    kept = {f: mk.texts(F.filter(f"__{f}", lambda p: ~p["noisy"])) for f in LIST_FIELDS}
 
     def text_or_nothing(field: str) -> Column:
         return F.when(F.size(f"__out_{field}") > 0, "").otherwise(F.get(f"__{field}", 0)["text"])
@@ -88,7 +108,7 @@ def quarantine(events: DataFrame, rules: MarkerRules = DEFAULT_RULES) -> DataFra
     texts = {f: text_or_nothing(f) for f in TEXT_FIELDS}
     presenter = (
         F.col("presenter_context")
-        .withField("scene_deltas", mk.texts(F.filter("__deltas", quiet("deltas"))))
+        .withField("scene_deltas", mk.texts(F.filter("__deltas", lambda p: ~p["noisy"])))
         .withField("narrative_brief", text_or_nothing("brief"))
     )
     out = step.withColumns(

@@ -111,8 +111,13 @@ def claims(spark: SparkSession, sf_dir: str) -> DataFrame:
 def visual_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One visual event per document: lines as observations, first words as items."""
     docs = table(spark, sf_dir, "documents")
-    words = F.filter(F.split("text", r"[\s.,;:!?]+"), lambda w: w != "")
-    lines = F.filter(F.split("text", "\n"), lambda s: F.trim(s) != "")
+    docs = docs.withColumns(
+        {
+            "words": F.filter(F.split("text", r"[\s.,;:!?]+"), lambda w: w != ""),
+            "lines": F.filter(F.split("text", "\n"), lambda s: F.trim(s) != ""),
+        }
+    )
+    words, lines = F.col("words"), F.col("lines")
     relevance = F.element_at(F.array(*[F.lit(r) for r in ["none", "background", "brief", "primary_example"]]), (F.col("doc_id") % 4 + 1).cast("int"))
     return docs.select(
         F.col("source").alias("video_id"),

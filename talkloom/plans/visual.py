@@ -41,10 +41,7 @@ VIS = oi.with_ctes(oi.VISUAL, _fields(LEAK), f"th AS (SELECT DISTINCT video_id,
 
 
 def marker_hits(spark, sf_dir):
-    events = inputs.visual_events(spark, sf_dir)
-    technical = vis.marker_hits(events, KEYS, vis.LEAKAGE_FIELDS, "technical", RULES).withColumn("kind", F.lit("technical"))
-    presentation = vis.marker_hits(events, KEYS, vis.LEAKAGE_FIELDS, "presentation", RULES).withColumn("kind", F.lit("presentation"))
-    return technical.unionByName(presentation)
+    return vis.marker_kinds(inputs.visual_events(spark, sf_dir), KEYS, vis.LEAKAGE_FIELDS, ["technical", "presentation"], RULES)
 
 
 MARKER_HITS = VIS + "SELECT *, 'technical' AS kind FROM th UNION ALL SELECT *, 'presentation' FROM ph"

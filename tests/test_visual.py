@@ -4,6 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
+from talkloom.functions import text as tx
 from talkloom.operators import visual as vis
 
 FIELDS = ["visual_summary", "observations", "interpretations", "items", "style_topics", "notes"]
@@ -35,3 +36,12 @@ def test_markers_equal_substring_search(spark):
             text = " ".join(" ".join(value if isinstance(value, list) else [value or ""]).split())
             want += [(e[0], e[1], field, m) for (v, k), m in markers.items() if e[8] and v == e[0] and k in text]
     assert got == sorted(want) and len(got) > 500
+
+
+def test_every_text_of_a_row_is_judged_once(spark):
+    rows = spark.createDataFrame([(1, "s", ["on  screen", "plain", None], ["plain", "on screen", "red"]), (2, None, None, ["Red"])], "k int, visual_summary string, observations array<string>, items array<string>")
+    fields = ["visual_summary", "observations", "items"]
+    found = vis.marker_kinds(rows, ["k"], fields, ["technical", "presentation"])
+    assert sorted((r["k"], r["field"], r["marker"], r["kind"]) for r in found.collect()) == [(1, "items", "on screen", "technical"), (1, "items", "red", "technical"), (1, "observations", "on screen", "technical"), (2, "items", "Red", "technical")]
+    for frame in (found, vis.marker_hits(rows, ["k"], fields, "noise")):
+        assert frame._jdf.queryExecution().optimizedPlan().toString().count(tx.NOT_WORD + "+") == 1
