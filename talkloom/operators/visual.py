@@ -128,12 +128,11 @@ def quarantine(events: DataFrame, rules: MarkerRules = DEFAULT_RULES) -> DataFra
 def safety_metrics(raw: DataFrame, clean: DataFrame, keys: Sequence[str], by: Sequence[str], rules: MarkerRules = DEFAULT_RULES) -> DataFrame:
     """Counts before and after the quarantine, summed over scenes."""
     raw_hits = marker_hits(raw, keys, LEAKAGE_FIELDS, "technical", rules).select(*keys).distinct().withColumn("raw_hit", F.lit(1))
-    final_hits = marker_hits(clean, keys, LEAKAGE_FIELDS, "technical", rules).select(*keys).distinct().withColumn("final_hit", F.lit(1))
-    noise = marker_hits(
-        clean, keys, [*LEAKAGE_FIELDS, "presenter_context.scene_deltas"], "presentation", rules
-    ).select(*keys).distinct().withColumn("noise_hit", F.lit(1))
+    left = marker_kinds(clean, keys, [*LEAKAGE_FIELDS, "presenter_context.scene_deltas"], ["technical", "presentation"], rules)
+    final = F.max(F.when((F.col("kind") == "technical") & (F.col("field") != "scene_deltas"), 1))
+    left_hits = left.groupBy(*keys).agg(final.alias("final_hit"), F.max(F.when(F.col("kind") == "presentation", 1)).alias("noise_hit"))
     joined = clean.select(*keys, "scrubbed_entries", "model_entries", "sinked", F.size("presentation_context").alias("entries"))
-    for part in (raw_hits, final_hits, noise):
+    for part in (raw_hits, left_hits):
         joined = joined.join(part, list(keys), "left")
     return joined.groupBy(*by).agg(
         F.count("raw_hit").alias("raw_scenes"),
