@@ -8,12 +8,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from talkloom import fixed_values as fx
-from talkloom.functions import markers as mk
 from talkloom.functions import times as tm
 from talkloom.functions.fields import short_hash
 from talkloom.functions.markers import DEFAULT_RULES, MarkerRules
 from talkloom.operators import sequence as seq
-from talkloom.operators.visual import field_values
+from talkloom.operators.visual import marker_hits
 
 JOB = ["job_id"]
 
@@ -180,10 +179,8 @@ def job_documents(jobs: DataFrame, parts: dict[str, DataFrame]) -> DataFrame:
 
 def marker_locations(df: DataFrame, kind: str, object_id: str, fields: Sequence[str], issue: str, rules: MarkerRules = DEFAULT_RULES) -> DataFrame:
     """Where a marker sits: one row per (object, field, marker), with a stable identifier and a time label."""
-    finder = mk.presentation_markers if issue.endswith("presentation_noise") else mk.technical_markers
     keys = ["job_id", object_id, "start_ms", "end_ms"]
-    found = field_values(df, keys, fields).withColumn("markers", finder(F.col("values"), rules)).where(F.size("markers") > 0)
-    rows = found.select(*keys, "field", F.explode("markers").alias("marker"))
+    rows = marker_hits(df, keys, fields, "presentation" if issue.endswith("presentation_noise") else "technical", rules)
     label = tm.range_label(F.floor(F.col("start_ms") / 1000), F.floor(F.col("end_ms") / 1000))
     return rows.select(
         "job_id",

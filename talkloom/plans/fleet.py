@@ -81,10 +81,9 @@ def _facts(spark, sf_dir):
     docs = inputs.table(spark, sf_dir, "documents").withColumnRenamed("source", "job_id")
     events = inputs.visual_events(spark, sf_dir).withColumnRenamed("video_id", "job_id")
     base = docs.groupBy("job_id").agg(F.count("*").alias("events"), F.max("doc_id").alias("m"), F.sum("n_chars").alias("chars"))
-    hit = lambda kind: vis.marker_hits(events, ["job_id", "scene_id"], vis.LEAKAGE_FIELDS, kind, RULES).select("job_id", "scene_id").distinct().groupBy("job_id")
-    technical = hit("technical").agg(F.count("*").alias("technical_scenes"))
-    noise = hit("presentation").agg(F.count("*").alias("noise_scenes"))
-    out = base.join(technical, "job_id", "left").join(noise, "job_id", "left").join(qa.presenter_facts(events), "job_id", "left")
+    hits = vis.marker_kinds(events, ["job_id", "scene_id"], vis.LEAKAGE_FIELDS, ["technical", "presentation"], RULES).select("job_id", "scene_id", "kind").distinct()
+    marked = hits.groupBy("job_id").agg(F.count_if(F.col("kind") == "technical").alias("technical_scenes"), F.count_if(F.col("kind") == "presentation").alias("noise_scenes"))
+    out = base.join(marked, "job_id", "left").join(qa.presenter_facts(events), "job_id", "left")
     zero = [c for c in out.columns if c.endswith("_scenes") or c in ("recurring", "baselines")]
     m = F.col("m")
     return out.withColumns({c: F.coalesce(c, F.lit(0)).cast("long") for c in zero}).withColumns(
@@ -509,17 +508,12 @@ UNION ALL SELECT 'deleted from jobs', count(*) FROM d UNION ALL SELECT 'deleted
 
 def marker_counters(spark, sf_dir):
     """Top markers over all visual events and chunks, with their shares: technical labels, presentation wording, the same in chunks."""
-    events = materialise(inputs.visual_events(spark, sf_dir))
-    found = {
-        "technical_visual": vis.marker_hits(events, KEYS, vis.LEAKAGE_FIELDS, "technical", RULES),
-        "presentation_visual": vis.marker_hits(events, KEYS, [*vis.LEAKAGE_FIELDS, "presenter_context.scene_deltas"], "presentation", RULES),
-        "presentation_chunks": vis.marker_hits(chunk_texts(spark, sf_dir), KEYS, list(CHUNK_NOISE), "presentation", RULES),
-    }
-    counts = None
-    for counter, hits in found.items():
-        one = hits.groupBy(F.lit(counter).alias("counter"), F.col("marker").alias("value")).agg(F.count("*").alias("n"))
-        counts = one if counts is None else counts.unionByName(one)
-    return au.counter_payload(counts)
+    events = inputs.visual_events(spark, sf_dir)
+    visual = vis.marker_kinds(events, KEYS, [*vis.LEAKAGE_FIELDS, "presenter_context.scene_deltas"], ["technical", "presentation"], RULES)
+    visual = visual.where("kind = 'presentation' OR field <> 'scene_deltas'").withColumn("counter", F.concat("kind", F.lit("_visual")))
+    chunks = vis.marker_hits(chunk_texts(spark, sf_dir), KEYS, list(CHUNK_NOISE), "presentation", RULES).withColumn("counter", F.lit("presentation_chunks"))
+    hits = visual.select("counter", "marker").unionByName(chunks.select("counter", "marker"))
+    return au.counter_payload(materialise(hits.groupBy("counter", F.col("marker").alias("value")).agg(F.count("*").alias("n"))))
 
 
 MARKER_COUNTERS = ALL_HITS + f""",
