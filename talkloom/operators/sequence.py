@@ -15,10 +15,12 @@ sequence into blocks of consecutive positions and shuffle by (key, block):
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -227,9 +229,8 @@ def bounded_greedy(
     row_type = T.StructType([*key_fields, T.StructField(pos, T.LongType()), T.StructField("group", T.LongType())])
     jump_type = longs("__entry", "__exit", "__hops")
     if blocks == 1:  # every key's one block holds it whole and is entered at its first row
-        zero = F.lit(0).cast("long")
-        whole = narrow.withColumns({_BLOCK: zero, "__entry": zero, "__g": zero})
-        return whole.groupBy(*keys).applyInPandas(label, row_type)
+        ordered = narrow.repartition(*keys).sortWithinPartitions(*keys, pos)
+        return ordered.mapInArrow(_walk_whole(keys, pos, columns, next_start), row_type)
     begin = ends.select(*keys, F.lit(0).cast("long").alias("__entry"), F.lit(0).cast("long").alias("__g"))
     known = materialise(around(reach).groupBy(*keys, _BLOCK).applyInPandas(jumps, jump_type))
     halo = reach
@@ -261,6 +262,55 @@ def bounded_greedy(
     return labelled.groupBy(*keys, _BLOCK).applyInPandas(label, row_type)
 
 
+def _walk_whole(keys: Sequence[str], pos: str, columns: Sequence[str], next_start: NextStart) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Groups of keys that come whole and in order, many keys to a batch; only the rows of the last key wait for the next batch."""
+
+    def starts_of(table: pa.Table) -> list[int]:
+        """Rows at which another key begins; null keys are alike."""
+        n = table.num_rows
+        new = np.zeros(n, dtype=bool)
+        new[:1] = True
+        for k in keys:
+            values = table.column(k).combine_chunks()
+            here, before = values.slice(1), values.slice(0, n - 1)
+            differ = pc.fill_null(pc.not_equal(here, before), False).to_numpy(zero_copy_only=False)
+            new[1:] |= differ | (pc.is_null(here).to_numpy(zero_copy_only=False) != pc.is_null(before).to_numpy(zero_copy_only=False))
+        return np.flatnonzero(new).tolist()
+
+    def labelled(table: pa.Table, starts: list[int]) -> Iterator[pa.RecordBatch]:
+        n = table.num_rows
+        cols = {c: table.column(c).to_pylist() for c in (pos, *columns)}
+        group = np.zeros(n, dtype=np.int64)
+        for first, end in zip(starts, [*starts[1:], n], strict=True):
+            i, g = first, 0
+            while i < end:
+                j = next_start(cols, i, end)
+                j = end if j < 0 else j
+                group[i:j] = g
+                i, g = j, g + 1
+        out = table.select([*keys, pos]).append_column("group", pa.array(group))
+        yield from out.combine_chunks().to_batches()
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            held.append(batch)
+            ends = pa.Table.from_batches([held[0].slice(0, 1), batch.slice(batch.num_rows - 1)])
+            if len(starts_of(ends)) < 2:  # one key until now
+                continue
+            table = pa.Table.from_batches(held)
+            starts = starts_of(table)
+            yield from labelled(table.slice(0, starts[-1]), starts[:-1])
+            held = table.slice(starts[-1]).combine_chunks().to_batches()
+        if held:
+            table = pa.Table.from_batches(held)
+            yield from labelled(table, starts_of(table))
+
+    return walk
+
+
 def _follow(known: DataFrame, begin: DataFrame, keys: Sequence[str], blocks: int) -> DataFrame:
     """Entries met from each key's first row, with the number of groups before each, by pointer doubling:
     after k rounds all entries within 2^k jumps are known, and a jump skips 2^k blocks."""

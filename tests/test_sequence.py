@@ -196,3 +196,27 @@ def test_units_with_soft_limits(spark, block):
     df = spark.createDataFrame([("v", i, *x) for i, x in enumerate(tokens)], "video_id string, pos long, text string, start_ms long, end_ms long, speaker string")
     got = tr.transcript_units(df, limits, block=block, reach=64).orderBy("unit_index").collect()
     assert [(r["start_pos"], r["end_pos"], r["boundary_reason"], r["word_count"]) for r in got] == _units_by_hand(tokens, limits)
+
+
+def test_short_keys_are_walked_many_at_a_time(spark):
+    rng = random.Random(3)
+    keys = [None, *range(40)]
+    rows = [(k, p, rng.randint(1, 9)) for k in keys for p in range(rng.choice([1, 2, 5, 30]))]
+    frame = spark.createDataFrame(rows, "k long, pos long, v long")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        grouped = seq.bounded_greedy(frame, ["k"], "pos", ["v"], _sum_limit(12, 6), reach=8)
+        got = {(r["k"], r["pos"]): r["group"] for r in grouped.collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    want, rule = {}, _sum_limit(12, 6)
+    for k in keys:
+        values = [v for key, _, v in sorted(r for r in rows if r[0] == k)]
+        i, g = 0, 0
+        while i < len(values):
+            j = rule({"v": values}, i, len(values))
+            j = len(values) if j < 0 else j
+            want.update({(k, p): g for p in range(i, j)})
+            i, g = j, g + 1
+    assert got == want
+    assert "FlatMapGroupsInPandas" not in grouped._jdf.queryExecution().toString()
