@@ -7,15 +7,31 @@ from pyspark.sql import functions as F
 
 from talkloom import fixed_values as fx
 from talkloom.operators.hashtree import fingerprint
-
-
-def write_lines(df: DataFrame, path: str, partition_by: str = "video_id") -> None:
-    """JSON lines with sorted keys; only the partitions present in ``df`` are replaced, atomically per commit."""
-    ordered = df.select(*sorted(c for c in df.columns if c != partition_by), partition_by)
-    (
-        ordered.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("ignoreNullFields", "false")
-        .partitionBy(partition_by).json(path)
-    )
+from talkloom.session import materialise
+
+PARTS = 64
+SPREAD = 8
+
+
+def write_lines(df: DataFrame, path: str, key: str = "video_id") -> None:
+    """JSON lines with sorted keys; only the lines of the videos present in ``df`` are replaced, atomically per commit.
+
+    Videos are dealt to ``PARTS`` folders by hash, each of at most ``SPREAD`` files, so the number of files does not grow
+    with that of videos and a video with very many lines is written by several tasks. Lines of other videos that lie in
+    the same folders are carried over as they are."""
+    spark = df.sparkSession
+    lines = df.select(
+        F.col(key).cast("string").alias(key), F.to_json(F.struct(*sorted(df.columns)), {"ignoreNullFields": "false"}).alias("value")
+    ).withColumn("part", F.pmod(F.xxhash64(key), F.lit(PARTS)).cast("int"))
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
+        lines = materialise(lines)
+        stored = spark.read.schema("value string, part int").text(path).join(lines.select("part").distinct(), "part", "left_semi")
+        stored = stored.select(F.from_json("value", F.lit(f"`{key}` string"))[key].alias(key), "value", "part")
+        replaced = lines.select(F.col(key).alias("__key")).distinct()
+        lines = lines.unionByName(stored.join(replaced, F.col(key).eqNullSafe(F.col("__key")), "left_anti"))
+    dealt = lines.repartition("part", F.pmod(F.xxhash64("value"), F.lit(SPREAD))).sortWithinPartitions("part", key)
+    dealt.select("value", "part").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("part").text(path)
 
 
 def bundle_tables(visual_enabled: bool) -> list[str]:

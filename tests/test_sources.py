@@ -49,3 +49,20 @@ def test_only_local_masters_get_a_temporary_folder(master, local):
     else:
         with pytest.raises(ValueError, match="spark.checkpoint.dir"):
             temporary_folder(master)
+
+
+def test_bundle_files_do_not_grow_with_videos(spark, tmp_path):
+    path = f"{tmp_path}/bundle"
+    rows = [(f"v{v}", k, f"text {v} {k} \n\"x\"" if k else None) for v in range(2000) for k in range(3)]
+    odd = [(None, 0, "no video"), ("", 0, "empty name"), ("a/b=c", 0, "name of signs")]
+    frame = spark.createDataFrame(rows + odd, "video_id string, token_index long, text string")
+    sinks.write_lines(frame, path)
+    files = glob.glob(f"{path}/**/part-*", recursive=True)
+    assert len(files) <= sinks.PARTS * sinks.SPREAD < 2000
+    assert all(list(json.loads(line)) == ["text", "token_index", "video_id"] for file in files for line in open(file, newline="\n"))
+    read = lambda: sorted(((r["video_id"], r["token_index"], r["text"]) for r in readers.read_table(spark, path, "speech_tokens").collect()), key=str)
+    assert read() == sorted(rows + odd, key=str)
+    again = [(f"v{v}", 7, "new") for v in range(0, 2000, 50)] + [("v9999", 0, "added"), (None, 1, "still no video")]
+    sinks.write_lines(spark.createDataFrame(again, frame.schema), path)
+    names = {r[0] for r in again}
+    assert read() == sorted([r for r in rows + odd if r[0] not in names] + again, key=str)
