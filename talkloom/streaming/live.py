@@ -5,14 +5,11 @@ replayed after a failure replaces its own rows. Results are read back as the lat
 
 from __future__ import annotations
 
-import contextlib
 import uuid
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Sequence
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from talkloom import fixed_values as fx
 from talkloom.operators.audit import stage_state
@@ -181,63 +178,52 @@ def live_overlay(claims: DataFrame, edits: DataFrame) -> LiveOverlay:
     return overlay
 
 
-class OverdueStarts(StatefulProcessor):
-    """Starts of one job's stage that no end follows in time; rows: kind (start or end), event_id, at (microseconds).
-
-    A start sets a timer for the moment after its time is up, and an end in time takes it back. Once the watermark has
-    passed a timer no end can come that counts, so a start that is still there is reported, once. Ends are kept until the
-    watermark has passed them, for starts that arrive after them."""
-
-    def __init__(self, within_us: int) -> None:
-        self.within = within_us
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.starts = handle.getMapState("starts", "event_id long", "at long")
-        self.ends = handle.getMapState("ends", "at long", "seen boolean")
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        for batch in rows:
-            for kind, event_id, at in zip(batch["kind"], batch["event_id"], batch["at"], strict=True):
-                at = int(at)
-                if kind == "end":
-                    self.ends.updateValue((at,), (True,))
-                    self._timer(at)
-                elif kind == "start":
-                    self.starts.updateValue((int(event_id),), (at,))
-                    self._timer(at + self.within)
-        ends = sorted(int(k[0]) for k in self.ends.keys())
-        for event_id, at in [(int(k[0]), int(v[0])) for k, v in self.starts.iterator()]:
-            if any(at <= e <= at + self.within for e in ends):
-                self.starts.removeKey((event_id,))
-        yield from ()
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        passed = expiredTimerInfo.getExpiryTimeInMs() * 1000
-        for at in [int(k[0]) for k in self.ends.keys()]:
-            if at < passed:
-                self.ends.removeKey((at,))
-        found = [(int(k[0]), int(v[0])) for k, v in self.starts.iterator() if int(v[0]) + self.within < passed]
-        for event_id, _ in found:
-            self.starts.removeKey((event_id,))
-        if found:
-            yield pd.DataFrame([(e, key[0], key[1], at) for e, at in found], columns=["event_id", "job_id", "stage", "started_us"])
-
-    def _timer(self, at: int) -> None:
-        self.handle.registerTimer(at // 1000 + 1)
-
-    def close(self) -> None:
-        pass
-
-
-@contextlib.contextmanager
-def _setting(spark: SparkSession, key: str, value: str) -> Iterator[None]:
-    before = spark.conf.get(key, None)
-    spark.conf.set(key, value)
-    try:
-        yield
-    finally:
-        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+class OverdueStarts:
+    """Starts of a job's stage that no end follows in time, found batch by batch with one sort of what is still open.
+
+    A batch is judged together with what the one before left waiting: starts whose time is not up, and ends that the
+    clock has not passed, for starts that arrive after them. The clock is the highest event time less the lateness; rows
+    behind it come too late and are left out. Once it has passed a start's time no end can come that counts, so a start
+    without one is reported, once. Everything is written under the batch's number: a batch that is run again reads what
+    the one before it left, and replaces its own rows."""
+
+    def __init__(self, spark: SparkSession, schema, folder: str, within_us: int, late_us: int) -> None:
+        self.spark, self.folder, self.within, self.late = spark, folder, within_us, late_us
+        self.schema = schema
+
+    def _left(self, number: int, due: bool) -> DataFrame:
+        return self.spark.read.schema(self.schema).parquet(f"{self.folder}/batch={number}/due={str(due).lower()}")
+
+    def _waiting(self, number: int) -> DataFrame:
+        """What the batch before left, with its clock."""
+        return self._left(number - 1, False) if number else self.spark.createDataFrame([], self.schema)
+
+    def apply(self, batch: DataFrame, number: int) -> None:
+        before = self._waiting(number)
+        clock = before.where("kind = 'clock'").agg(F.max("at")).first()[0]
+        timed = batch.select(*self.schema.names).where("at IS NOT NULL")
+        last = timed.agg(F.max("at") - self.late).first()[0]
+        now = max([t for t in (clock, last) if t is not None], default=None)
+        fresh = timed.where(F.col("kind").isin("start", "end"))
+        fresh = fresh if clock is None else fresh.where(F.col("at") > clock)
+        rows = before.where("kind <> 'clock'").unionByName(fresh)
+        # a start delivered again is one start; of equal ends one is enough
+        same = F.when(F.col("kind") == "start", F.col("event_id"))
+        once = rows.groupBy("kind", "job_id", "stage", same.alias("event_id"), F.when(F.col("kind") == "end", F.col("at")).alias("end_at")).agg(F.max("at").alias("at"))
+        later = Window.partitionBy("job_id", "stage").orderBy(F.desc("at")).rangeBetween(Window.unboundedPreceding, Window.currentRow)
+        end = F.min(F.when(F.col("kind") == "end", F.col("at"))).over(later)
+        judged = once.withColumn("end_at", end)
+        waits = (F.col("kind") == "start") & F.coalesce(F.col("end_at") > F.col("at") + self.within, F.lit(True))
+        passed = F.lit(False) if now is None else F.col("at") + self.within < now
+        keeps = waits if now is None else waits | ((F.col("kind") == "end") & (F.col("at") >= now))
+        left = judged.where(keeps).select(*self.schema.names, ((F.col("kind") == "start") & passed).alias("due"))
+        ticks = self.spark.range(1).select(F.lit("clock").alias("kind"), *[F.lit(None).cast(f.dataType).alias(f.name) for f in self.schema.fields[1:-1]], F.lit(now).cast("long").alias("at"), F.lit(False).alias("due"))
+        nothing = ticks.withColumn("kind", F.lit("none")).withColumn("due", F.lit(True))  # so that both folders are there
+        left.unionByName(ticks).unionByName(nothing).write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy("due").parquet(f"{self.folder}/batch={number}")
+
+    def reported(self) -> DataFrame:
+        found = self.spark.read.schema(self.schema).parquet(f"{self.folder}/batch=*/due=true")
+        return found.where("kind = 'start'").select("event_id", "job_id", "stage", F.col("at").alias("started_us"))
 
 
 def unfinished_stages(lifecycle: DataFrame, within_us: int, closing: Sequence[DataFrame] = (), late: str = "10 minutes") -> DataFrame:
@@ -253,16 +239,11 @@ def unfinished_stages(lifecycle: DataFrame, within_us: int, closing: Sequence[Da
     schema = lifecycle.select(*columns).schema
     spark.createDataFrame([], schema).write.parquet(ticks)
     stream = lifecycle.select(*columns).unionByName(spark.readStream.schema(schema).parquet(ticks))
-    timed = stream.withWatermark("ts", late).withColumn("at", F.unix_micros("ts"))
-    job, stage = schema["job_id"].dataType.simpleString(), schema["stage"].dataType.simpleString()
-    overdue = timed.groupBy("job_id", "stage").transformWithStateInPandas(
-        OverdueStarts(within_us), f"event_id long, job_id {job}, stage {stage}, started_us long", "append", "eventTime"
-    )
-    write = lambda batch, number: batch.write.mode("overwrite").parquet(f"{rows}/batch={number}")
-    provider = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-    with _setting(spark, "spark.sql.streaming.stateStore.providerClass", provider):
-        drain(overdue, "append", state, write)
-        for table in closing:
-            table.select(*columns).write.mode("append").parquet(ticks)
-            drain(overdue, "append", state, write)
-    return _batch_rows(spark, rows, overdue.schema).drop("batch")
+    timed = stream.withColumn("at", F.unix_micros("ts")).drop("ts")
+    late_us = spark.sql(f"SELECT unix_micros(timestamp_micros(0) + INTERVAL {late})").first()[0]
+    overdue = OverdueStarts(spark, timed.schema, rows, within_us, late_us)
+    drain(timed, "append", state, overdue.apply)
+    for table in closing:
+        table.select(*columns).write.mode("append").parquet(ticks)
+        drain(timed, "append", state, overdue.apply)
+    return overdue.reported()

@@ -104,3 +104,26 @@ def test_a_table_of_part_files_is_a_stream_too(spark):
     rows.repartition(3).write.parquet(f"{where}/other.parquet")
     table = live.run_to_table(live.file_stream(spark, where, "log.parquet", "k long"), "append")
     assert sorted(r["k"] for r in table.collect()) == list(range(6))
+
+
+def test_overdue_starts_of_a_batch_run_again(spark):
+    schema = "kind string, event_id long, job_id long, stage string, at long"
+    batches = [
+        [("start", 1, 1, "a", 100), ("start", 2, 1, "a", 150), ("start", 3, 1, None, 150), ("end", 4, 1, "a", 120), ("tick", None, None, None, 155)],
+        [("start", 1, 1, "a", 100), ("start", 2, 1, "a", 150), ("start", 5, 2, "b", 160), ("end", 6, 1, "a", 210), ("end", 7, 2, "b", 200), ("start", 8, 2, "b", 190), (None, 9, 2, "b", None)],
+        [("tick", None, None, None, 400), ("start", 10, 3, "c", 405)],
+        [("start", 11, 3, "c", 300), ("start", 12, 3, "c", 396)],
+    ]
+    frames = [spark.createDataFrame(rows, schema) for rows in batches]
+    overdue = live.OverdueStarts(spark, frames[0].schema, folder(spark, "overdue"), 50, 10)
+    found = lambda: sorted(tuple(r) for r in overdue.reported().collect())
+    want = [[], [(2, 1, "a", 150)], [(2, 1, "a", 150), (3, 1, None, 150)], [(2, 1, "a", 150), (3, 1, None, 150)]]
+    for number, frame in enumerate(frames):
+        overdue.apply(frame, number)
+        first = found()
+        overdue.apply(frame, number)
+        assert found() == first
+    # start 2 ends 60 after, start 3 never, starts 1, 5 and 8 in time; 11 comes behind the clock, 10 and 12 still wait
+    assert first == want[3]
+    overdue.apply(spark.createDataFrame([("tick", None, None, None, 1000)], schema), 4)
+    assert found() == sorted([*want[3], (10, 3, "c", 405), (12, 3, "c", 396)])
