@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterable
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -17,6 +18,8 @@ from talkloom import fixed_values as fx
 SPACE = r"(?U)\s+"
 WORD = r"[\p{L}\p{N}_]"
 NOT_WORD = r"[^\p{L}\p{N}_]"
+#: Forms of the letters of the fixed terms (с, т, т) whose capital is the usual one.
+OLD_LETTERS = ["\u1c83", "\u1c84", "\u1c85"]
 
 
 def _col(c: Column | str) -> Column:
@@ -28,8 +31,13 @@ def text_or_empty(c: Column | str) -> Column:
 
 
 def strip(c: Column | str) -> Column:
-    """Remove leading and trailing whitespace of any kind (not only blanks)."""
-    return F.regexp_replace(_col(c), r"(?U)^\s+|\s+$", "")
+    """Remove leading and trailing whitespace of any kind (not only blanks).
+
+    Of a plain column, only texts with such an edge are searched."""
+    stripped = F.regexp_replace(_col(c), r"(?U)^\s+|\s+$", "")
+    if not isinstance(c, str):
+        return stripped
+    return F.when(F.concat(F.left(_col(c), F.lit(1)), F.right(_col(c), F.lit(1))).rlike(r"(?U)\s"), stripped).otherwise(_col(c))
 
 
 def squash(c: Column | str) -> Column:
@@ -39,7 +47,7 @@ def squash(c: Column | str) -> Column:
 
 def fold_case(c: Column | str) -> Column:
     """Case folding: lower case plus the two letters lower() leaves alone."""
-    return F.replace(F.translate(F.lower(_col(c)), "ς", "σ"), F.lit("ß"), F.lit("ss"))
+    return F.replace(F.replace(F.lower(_col(c)), F.lit("ς"), F.lit("σ")), F.lit("ß"), F.lit("ss"))
 
 
 def compare_key(c: Column | str) -> Column:
@@ -157,13 +165,20 @@ def has_sock_context(c: Column | str) -> Column:
     return text_or_empty(c).rlike("(?iU)" + fx.SOCK_CONTEXT_PATTERN)
 
 
+def _may_hold(c: Column | str, *words: str) -> Column:
+    """Whether one of some Cyrillic words may be in the text in any case: a cheap test before a pattern that ignores case.
+    Such patterns also take the old letter forms that lower case leaves alone; texts with any of those are searched."""
+    low = F.lower(text_or_empty(c))
+    return reduce(lambda a, b: a | b, [F.contains(low, F.lit(w)) for w in [*words, *OLD_LETTERS]])
+
+
 def has_sock_term(c: Column | str) -> Column:
-    return text_or_empty(c).rlike(rf"(?iU)\b{fx.SOCK_TERM_STEM}{fx.SOCK_TERM_ENDINGS}\b")
+    return _may_hold(c, fx.SOCK_TERM_STEM) & text_or_empty(c).rlike(rf"(?iU)\b{fx.SOCK_TERM_STEM}{fx.SOCK_TERM_ENDINGS}\b")
 
 
 def has_unnormalised_term(c: Column | str) -> Column:
     alternatives = "|".join(term for term, _ in fx.DOMAIN_TERMS)
-    return text_or_empty(c).rlike(rf"(?iU)\b(?:{alternatives})\b")
+    return _may_hold(c, *[term for term, _ in fx.DOMAIN_TERMS]) & text_or_empty(c).rlike(rf"(?iU)\b(?:{alternatives})\b")
 
 
 def replace_domain_terms(c: Column | str, context: Column) -> Column:

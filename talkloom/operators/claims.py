@@ -53,14 +53,21 @@ def raw_claims(parsed: DataFrame, limits: ClaimLimits = DEFAULTS.claim) -> DataF
 
 def technical_marker(text: Column, video_id: Column) -> Column:
     """First technical marker in a text: the video prefix, then phrases, then names in alphabetical order."""
-    low = tx.fold_case(text)
+    return _marker_in(tx.fold_case(text), video_id)
+
+
+def _marker_in(low: Column, video_id: Column) -> Column:
+    """The same in a text that is case-folded already; only texts that hold a name at all are searched for it as a word."""
     prefix = F.concat(tx.fold_case(video_id), F.lit("_"))
     out = F.when(F.contains(low, prefix), F.concat(video_id, F.lit("_")))
     for phrase in fx.TECHNICAL_CLAIM_PHRASES:
         out = out.when(F.contains(low, F.lit(phrase)), phrase)
-    names = "|".join(sorted(fx.TECHNICAL_CLAIM_MARKERS, key=len, reverse=True))
+    markers = fx.TECHNICAL_CLAIM_MARKERS
+    names = "|".join(sorted(markers, key=len, reverse=True))
+    shortest = [m for m in markers if not any(n != m and n in m for n in markers)]
+    held = reduce(lambda a, b: a | b, [F.contains(low, F.lit(m)) for m in shortest])
     found = F.array_sort(F.regexp_extract_all(low, F.lit(f"(?<![a-z0-9_])({names})(?![a-z0-9_])"), F.lit(1)))
-    return out.otherwise(F.get(found, 0))
+    return out.when(held, F.get(found, 0))
 
 
 def mostly_service_topics(topics: Column) -> Column:
@@ -396,17 +403,23 @@ def curation_payloads(claims: DataFrame) -> DataFrame:
 def claim_violations(claims: DataFrame, chunk_ids: DataFrame) -> DataFrame:
     """Rules a final claim table must meet: numbering, known chunk, required fields, clean content, unique keys."""
     required = reduce(lambda a, b: a | b, [F.trim(f) == "" for f in TEXT_FIELDS]) | (F.size("evidence") == 0)
-    values = _long_fields(claims, ["claim_id"])
+    # a text that several fields of a claim hold is judged once; evidence is apart, as it has a rule of its own
+    empty = F.array().cast("array<string>")
+    texts = F.array_distinct(F.concat(F.array(*TEXT_FIELDS), *[F.coalesce(f, empty) for f in LIST_FIELDS if f != "evidence"]))
+    kinds = F.array(F.struct(F.lit(False).alias("is_evidence"), texts.alias("values")), F.struct(F.lit(True).alias("is_evidence"), F.col("evidence").alias("values")))
+    values = claims.select("video_id", "claim_id", F.explode(kinds).alias("e")).select("video_id", "claim_id", "e.is_evidence", F.explode("e.values").alias("value"))
     unnormalised = tx.has_unnormalised_term("value") | tx.has_sock_term("value")
-    prefixed = (F.col("field") == "evidence") & (tx.strip_evidence_prefix("value") != F.col("value"))
+    prefixed = F.col("is_evidence") & (tx.strip_evidence_prefix("value") != F.col("value"))
+    # whole texts are folded and searched in plain projections, where a common part is worked out once
+    folded = values.withColumn("low", tx.fold_case("value"))
+    judged = folded.select(
+        "video_id", "claim_id",
+        _marker_in(F.col("low"), F.col("video_id")).isNotNull().alias("marked"), unnormalised.alias("unnormalised"), prefixed.alias("prefixed"),
+    )
     codes = F.array_compact(
-        F.array(
-            F.when(technical_marker(F.col("value"), F.col("video_id")).isNotNull(), "technical_marker"),
-            F.when(unnormalised, "unnormalised_term"),
-            F.when(prefixed, "evidence_prefix"),
-        )
+        F.array(F.when(F.col("marked"), "technical_marker"), F.when(F.col("unnormalised"), "unnormalised_term"), F.when(F.col("prefixed"), "evidence_prefix"))
     )
-    content = values.select("video_id", "claim_id", F.explode(codes).alias("code")).distinct()
+    content = judged.select("video_id", "claim_id", F.explode(codes).alias("code")).distinct()
     own = F.array_compact(
         F.array(
             F.when(F.col("claim_id") != tm.ordinal_id(F.col("video_id"), "claim", F.col("position") + 1), "wrong_claim_id"),

@@ -282,6 +282,24 @@ def test_claim_violations_find_each_fault_once(spark):
     )
 
 
+def test_claim_texts_are_folded_once_and_searched_where_a_word_may_be(spark):
+    fields = "video_id string, position long, claim_id string, chunk_id string, claim_type string, subject string, claim string, rationale string, " + ", ".join(
+        f"{f} array<string>" for f in ("conditions", "applies_to", "avoid", "prefer", "evidence", "topics")
+    )
+    texts = ["plain", "THE SCHEMA", "schemata", "in \u1c83лагсы", "СЛИТКАМИ!", "слиткачество", "V_frame", "raw", None, "drawn"]
+    rows = [("V", k, f"V_claim_{k + 1:06d}", "c", "rule", f"s{k}", t, t, None, ["x"], [], ["x"], ["\u00a0 seen"] if k == 0 else ["seen"], ["fit"]) for k, t in enumerate(texts)]
+    found = cl.claim_violations(spark.createDataFrame(rows, fields), spark.createDataFrame([("c",)], "chunk_id string"))
+    got = {(int(r["claim_id"][-6:]) - 1, r["code"]) for r in found.collect()}
+    assert got == {(0, "evidence_prefix"), (1, "technical_marker"), (3, "unnormalised_term"), (4, "unnormalised_term"), (6, "technical_marker"), (7, "technical_marker")}
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "translate(" not in plan and plan.count("lower(value") <= 1 + plan.count("contains(lower(")
+    odd = spark.createDataFrame([(t,) for t in ("\u1c83лагсы", "СеРсаКер,", "а тенсил", "İтенсил", None, "слагсысы")], "t string")
+    assert all(r[0] == r[1] for r in odd.select(tx.has_unnormalised_term("t"), F.coalesce("t", F.lit("")).rlike(r"(?iU)\b(?:слагсы|серсакер|тенсил)\b")).collect())
+    edges = ["", " ", "a", "\u2003a\u00a0", "a b\n", "\u0085", None, "a\u200b "]
+    strips = spark.createDataFrame([(e,) for e in edges], "t string").select(tx.strip("t").alias("a"), F.regexp_replace("t", r"(?U)^\s+|\s+$", "").alias("b")).collect()
+    assert all(r["a"] == r["b"] for r in strips)
+
+
 def test_unit_payloads_round_trip(spark):
     import json
 
