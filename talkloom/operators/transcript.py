@@ -167,9 +167,11 @@ def token_table_differences(stored: DataFrame, expected: DataFrame) -> DataFrame
 # --- transcript units ------------------------------------------------------------------------
 
 
-def boundary_features(tokens: DataFrame, limits: SegmentLimits = DEFAULTS.segment) -> DataFrame:
+def boundary_features(tokens: DataFrame, limits: SegmentLimits = DEFAULTS.segment, whole: bool = False) -> DataFrame:
     """Content tokens with what their right-hand boundary looks like.
 
+    ``whole`` says that every video is short enough to lie in one partition, where one sort serves all windows.
+
     c: dense content position; glued_text: the token with a blank before it where a blank token was
     dropped; starts_word; hard_reason (end, speaker_change, pause, sentence_end or NULL); is_clause;
     is_safe: a unit may end here without cutting a sentence.
@@ -179,30 +181,35 @@ def boundary_features(tokens: DataFrame, limits: SegmentLimits = DEFAULTS.segmen
     if "speaker_role" not in tokens.columns:
         tokens = tokens.withColumn("speaker_role", F.lit(None).cast("string"))
     marked = tokens.where(~tx.is_blank("text")).withColumns(
-        {"end_char": tx.terminal_char("text"), "opens": tx.leads_with_space("text")}
+        {"end_char": tx.terminal_char("text"), "opens": tx.leads_with_space("text"), "lower": tx.starts_lower("text")}
     )
-    content = seq.dense_position(marked, VIDEO, "pos", "c")
     k = limits.lookahead_tokens
 
     def columns(w):
-        def following(i):
-            apart = F.lead("pos", i).over(w) - (F.lead("pos", i - 1).over(w) if i > 1 else F.lead("pos", 1).over(w)) > 1
-            return F.coalesce(F.concat(F.when(apart, " ").otherwise(""), F.lead("text", i).over(w)), F.lit(""))
-
-        after_blank = F.col("pos") - F.lag("pos").over(w) > 1
-        glued = F.concat(F.when(F.coalesce(after_blank, F.lit(False)), " ").otherwise(""), F.col("text"))
-        return {
-            "prev_pos": F.lag("pos").over(w),
-            "next_pos": F.lead("pos").over(w),
-            "next_start_ms": F.lead("start_ms").over(w),
-            "next_speaker": F.lead("speaker").over(w),
-            "next_role": F.lead("speaker_role").over(w),
-            "next_opens": F.lead("opens").over(w),
-            "next_text": F.concat(*[following(i) for i in range(1, k + 1)]),
-            "glued_text": glued,
+        """Neighbours as few rows, each read once: a window function for every field of every neighbour is what costs."""
+        first = F.struct("pos", "text", "start_ms", "speaker", "speaker_role", "opens", "lower")
+        further = {f"__next_{i}": F.lead(F.struct("pos", "text"), i).over(w) for i in range(2, k + 1)}
+        return {"prev_pos": F.lag("pos").over(w), "__next_1": F.lead(first).over(w), **further}
+
+    if whole:
+        order = Window.partitionBy(*VIDEO).orderBy("pos")
+        near = marked.withColumns({"c": F.row_number().over(order).cast("long") - 1, **columns(order)})
+    else:
+        near = seq.neighbour_window(seq.dense_position(marked, VIDEO, "pos", "c"), VIDEO, "c", columns, back=1, ahead=k)
+
+    def following(i):
+        apart = F.col(f"__next_{i}.pos") - F.col(f"__next_{max(i - 1, 1)}.pos") > 1
+        return F.coalesce(F.concat(F.when(apart, " ").otherwise(""), F.col(f"__next_{i}.text")), F.lit(""))
+
+    next_text = F.concat(*[following(i) for i in range(1, k + 1)])
+    after_blank = F.col("pos") - F.col("prev_pos") > 1
+    ahead = near.withColumns(
+        {
+            "next_pos": F.col("__next_1.pos"), "next_start_ms": F.col("__next_1.start_ms"), "next_speaker": F.col("__next_1.speaker"),
+            "next_role": F.col("__next_1.speaker_role"), "next_opens": F.col("__next_1.opens"), "next_lower": F.col("__next_1.lower"),
+            "glued_text": F.concat(F.when(F.coalesce(after_blank, F.lit(False)), " ").otherwise(""), F.col("text")),
         }
-
-    ahead = seq.neighbour_window(content, VIDEO, "c", columns, back=1, ahead=k)
+    )
     end_char = F.col("end_char")
     next_starts_word = F.col("next_opens") | (F.col("next_pos") - F.col("pos") > 1)
     both = (F.coalesce("speaker", F.lit("")) != "") & (F.coalesce("next_speaker", F.lit("")) != "")
@@ -215,8 +222,8 @@ def boundary_features(tokens: DataFrame, limits: SegmentLimits = DEFAULTS.segmen
     safe = (
         F.when(F.col("next_pos").isNull() | end_char.isin(fx.SENTENCE_END_CHARS), True)
         .when(end_char.isin(fx.NON_TERMINAL_END_CHARS), False)
-        .when(~next_starts_word | tx.starts_lower("next_text"), False)
-        .otherwise(~tx.first_word("next_text").isin(fx.CONTINUATION_WORDS))
+        .when(~next_starts_word | F.col("next_lower"), False)
+        .otherwise(~tx.first_word(next_text).isin(fx.CONTINUATION_WORDS))
     )
     starts_word = (
         F.col("prev_pos").isNull() | F.col("opens") | (F.col("pos") - F.col("prev_pos") > 1)
@@ -234,19 +241,31 @@ def boundary_features(tokens: DataFrame, limits: SegmentLimits = DEFAULTS.segmen
     )
 
 
-def transcript_atoms(tokens: DataFrame, limits: SegmentLimits = DEFAULTS.segment) -> DataFrame:
+def transcript_atoms(tokens: DataFrame, limits: SegmentLimits = DEFAULTS.segment, *, block: int = seq.WINDOW_BLOCK) -> DataFrame:
     """The smallest pieces a unit is made of: token runs between two places where a unit could end or
-    the speaker identity changes. Pre-aggregating to atoms keeps the greedy step narrow."""
-    features = materialise(boundary_features(tokens, limits))
+    the speaker identity changes. Pre-aggregating to atoms keeps the greedy step narrow.
+
+    Videos shorter than a block are sorted once, whole, for all steps; longer ones go by blocks."""
+    longer = materialise(tokens.groupBy(*VIDEO).agg(F.max("pos").alias("last")).where(F.col("last") >= block).select(*VIDEO))
+    if longer.isEmpty():
+        return _atoms(tokens, limits, True)
+    same = lambda how: tokens.join(longer.withColumnRenamed("video_id", "__long"), F.col("video_id").eqNullSafe(F.col("__long")), how)
+    return _atoms(same("left_anti"), limits, True).unionByName(_atoms(same("left_semi"), limits, False))
+
+
+def _atoms(tokens: DataFrame, limits: SegmentLimits, whole: bool) -> DataFrame:
+    features = boundary_features(tokens, limits, whole)
+    features = features if whole else materialise(features)
     ends_atom = (
         F.col("hard_reason").isNotNull() | F.col("is_clause") | F.col("is_safe") | F.coalesce("identity_ends", F.lit(True))
     )
-    counted = seq.running(
-        features.withColumn("ends_atom", ends_atom.cast("long")),
-        VIDEO,
-        "c",
-        sums={"words_so_far": F.col("starts_word").cast("long"), "atoms_so_far": F.col("ends_atom")},
-    )
+    marked = features.withColumn("ends_atom", ends_atom.cast("long"))
+    sums = {"words_so_far": F.col("starts_word").cast("long"), "atoms_so_far": F.col("ends_atom")}
+    if whole:
+        so_far = Window.partitionBy(*VIDEO).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+        counted = marked.withColumns({n: F.sum(v).over(so_far) for n, v in sums.items()})
+    else:
+        counted = seq.running(marked, VIDEO, "c", sums=sums)
     last = F.struct("c", "hard_reason", "is_clause", "is_safe", "end_ms", "next_pos", "words_so_far", "pos")
     return (
         counted.withColumn("atom", F.col("atoms_so_far") - F.col("ends_atom"))

@@ -174,7 +174,7 @@ UNIT_BOUNDARIES = FEATURES_SQL + (
 
 def _tokens_with_roles(spark, sf_dir):
     toks = materialise(inputs.tokens(spark, sf_dir))
-    return materialise(tr.attach_roles(toks, tr.speaker_profiles(toks)))
+    return tr.attach_roles(toks, materialise(tr.speaker_profiles(toks)))
 
 
 def _units(spark, sf_dir):

@@ -220,3 +220,20 @@ def test_short_keys_are_walked_many_at_a_time(spark):
             i, g = j, g + 1
     assert got == want
     assert "FlatMapGroupsInPandas" not in grouped._jdf.queryExecution().toString()
+
+
+def test_atoms_of_short_and_long_videos(spark):
+    rng = random.Random(3)
+    words = [" Wir", " und", " gehen", ".", ",", " ", "-", " Да", "Neu", " but", "!\"", " x", "e", " ", " (A"]
+    rows = []
+    for video, n in ((1, 90), (2, 7), (None, 40), (3, 1), (4, 31)):
+        at = 0
+        for pos in range(n):
+            at += rng.choice([300, 400, 2000])
+            rows.append((video, pos, rng.choice(words), at, at + 250, rng.choice(["a", "a", "a", "b", None]), "host", "xx"))
+    tokens = spark.createDataFrame(rows, "video_id long, pos long, text string, start_ms long, end_ms long, speaker string, speaker_role string, language string").repartition(3)
+    short = tr.transcript_atoms(tokens)
+    seen = lambda df: sorted((tuple(r) for r in df.collect()), key=str)
+    assert seen(short.where("video_id IS NOT NULL")) == seen(tr.transcript_atoms(tokens.where("video_id IS NOT NULL"), block=30)) == seen(tr.transcript_atoms(tokens.where("video_id IS NOT NULL"), block=1))
+    short.collect()
+    assert short._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") <= 2  # one shuffle, in the first and the final plan
