@@ -169,7 +169,7 @@ def mix(docs: DataFrame, n_shards: int = 8, seed: int = 7, block: int = BLOCK_WO
     at = F.col("first") + (F.col("copy") - 1) * F.col("source_size")
     copies = placed.withColumn("copy", F.explode(F.lit([1, 2]))).withColumn("kept", F.least(F.element_at("ends", -1) - at, F.col("size"))).where("kept > 0")
     pieces = F.filter(F.split("row.text", r"(?<=[\x20\x09-\x0D])(?=[^\x20\x09-\x0D])"), lambda w: F.length(F.btrim(w, F.lit(" \t\n\x0b\f\r"))) > 0)
-    text = F.when(F.col("kept") == F.col("size"), F.col("row.text")).otherwise(F.array_join(F.slice(pieces, F.lit(1), F.col("kept").cast("int")), ""))
+    text = F.when(F.col("kept") == F.col("size"), F.col("row.text")).otherwise(F.array_join(F.slice(pieces, F.lit(1), F.greatest(F.col("kept"), F.lit(0)).cast("int")), ""))
     changed = copies.withColumn("text", text)
     columns = {c: F.col(f"row.`{c}`") for c in docs.columns} | {"text": F.col("text")}
     if "n_chars" in docs.columns:
