@@ -45,3 +45,18 @@ def test_every_text_of_a_row_is_judged_once(spark):
     assert sorted((r["k"], r["field"], r["marker"], r["kind"]) for r in found.collect()) == [(1, "items", "on screen", "technical"), (1, "items", "red", "technical"), (1, "observations", "on screen", "technical"), (2, "items", "Red", "technical")]
     for frame in (found, vis.marker_hits(rows, ["k"], fields, "noise")):
         assert frame._jdf.queryExecution().optimizedPlan().toString().count(tx.NOT_WORD + "+") == 1
+
+
+def test_first_words_of_a_text_are_cut_without_splitting_the_rest(spark, tmp_path):
+    import re
+
+    from talkloom.plans import inputs
+
+    texts = ["", " ,. a b", "a,b;c:d!e?f.g h i j k l", "...one two three four five six seven eight nine", "one two three four five six seven eight", "one\n\ntwo. ", "a b c d e f g h "]
+    spark.createDataFrame([(k, t, "de", "web", len(t)) for k, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    events = inputs.visual_events(spark, str(tmp_path)).select("doc_id", "items", "on_screen_text", "presentation_context", "style_topics")
+    for row in events.collect():
+        words = [w for w in re.split(r"[\s.,;:!?]+", texts[row["doc_id"]]) if w]
+        assert (row["items"], row["on_screen_text"], row["presentation_context"]) == (words[:5], words[2:5], words[6:8])
+        assert row["style_topics"][2] == (words[5] if len(words) > 5 else "")
+    assert "!?]+, 10)" in events._jdf.queryExecution().optimizedPlan().toString()
